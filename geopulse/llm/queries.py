@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geopulse.llm import quality
+from geopulse.llm import decontamination, packing, quality, secret_scan
 from geopulse.llm.text import documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_packing": lambda spark, sf: packing.op1_packing(documents(spark, sf)),
         "op8_quality_rules": lambda spark, sf: quality.op8_quality_rules(documents(spark, sf)),
+        "op9_secret_scans": lambda spark, sf: secret_scan.op9_secret_scans(documents(spark, sf)),
+        "op10_decontamination": lambda spark, sf: decontamination.op10_decontamination(
+            documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet")
+        ),
     }
 
 
