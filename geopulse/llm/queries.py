@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geopulse.llm import decontamination, packing, quality, secret_scan
+from geopulse.llm import decontamination, jaccard_join, packing, quality, secret_scan
 from geopulse.llm.text import documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": lambda spark, sf: packing.op1_packing(documents(spark, sf)),
+        "op3_jaccard_join": lambda spark, sf: jaccard_join.op3_jaccard_join(documents(spark, sf)),
         "op8_quality_rules": lambda spark, sf: quality.op8_quality_rules(documents(spark, sf)),
         "op9_secret_scans": lambda spark, sf: secret_scan.op9_secret_scans(documents(spark, sf)),
         "op10_decontamination": lambda spark, sf: decontamination.op10_decontamination(
@@ -21,5 +22,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+#: A-Z in lower case, whatever the locale.
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP3 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS.replace("text", LOWER, 1)} AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+r AS (SELECT doc_id AS v, doc_id AS u FROM documents UNION SELECT r.v, e.b FROM r JOIN e ON r.u = e.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(u) AS component_id FROM r GROUP BY v) c ON c.v = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_jaccard_join": OP3}
