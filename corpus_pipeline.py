@@ -1,13 +1,61 @@
-"""The corpus pipeline: quality rules, near duplicates, decontamination, secrets, packing."""
+"""The corpus pipeline over ``documents``.
+
+Quality rules, near duplicates, decontamination and secret redaction keep the columns of
+``documents``; the last stage returns the packed pieces. Each stage reads what its predecessor
+wrote.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from geopulse.llm import decontamination, jaccard_join, packing, quality, secret_scan
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality.quality_filter(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of the n-gram Jaccard join stays: five words, similarity 0.8."""
+    return jaccard_join.drop_near_duplicates(docs, size=5, percent=80)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by their kind; every document stays."""
+    return secret_scan.redact_secrets(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 tokens, a row for each piece."""
+    return packing.op1_packing(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("jaccard_join", near_duplicates),
+    ("decontamination", decontaminate),
+    ("secret_scans", redact_secrets),
+    ("packing", pack),
+]
+
+#: Decontamination, secret scans and packing can't be expressed in SQL; see tests/llm.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn, each written as Parquet in the shared folder and read again."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+    run_id = spark.sql("select uuid()").head()[0]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        path = f"{base}/corpus_pipeline/{run_id}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
