@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geopulse.llm import decontamination, jaccard_join, packing, quality, secret_scan
+from geopulse.llm import decontamination, jaccard_join, packing, quality, secret_scan, suffix_dedup, window_dedup
 from geopulse.llm.text import documents
 
 
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": lambda spark, sf: packing.op1_packing(documents(spark, sf)),
         "op3_jaccard_join": lambda spark, sf: jaccard_join.op3_jaccard_join(documents(spark, sf)),
+        "op5_substring_dedup": lambda spark, sf: window_dedup.op5_substring_dedup(documents(spark, sf)),
+        "op7_suffix_dedup": lambda spark, sf: suffix_dedup.op7_suffix_dedup(documents(spark, sf)),
         "op8_quality_rules": lambda spark, sf: quality.op8_quality_rules(documents(spark, sf)),
         "op9_secret_scans": lambda spark, sf: secret_scan.op9_secret_scans(documents(spark, sf)),
         "op10_decontamination": lambda spark, sf: decontamination.op10_decontamination(
