@@ -114,8 +114,12 @@ class Index:
         which = keys // (2 * base)
         kept = shared >= self.bounds[which]
         best: dict[tuple[int, int], tuple] = {}
-        for s, b in zip(which[kept].tolist(), (keys[kept] % (2 * base) - base).tolist(), strict=True):
+        # The fullest bands first: a segment found without edits needs no other band.
+        order = np.argsort(-shared[kept], kind="stable")
+        for s, b in zip(which[kept][order].tolist(), (keys[kept] % (2 * base) - base)[order].tolist(), strict=True):
             item, part, budget, _ = self.segments[s]
+            if (item, s) in best and not best[item, s][2]:
+                continue
             low = b * (budget + 1)  # the band's first diagonal
             found = aligned(part, points, low - budget, low + 3 * budget + 2, budget)
             if found and ((item, s) not in best or found[2] < best[item, s][2]):
