@@ -26,8 +26,10 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from geopulse.llm.graph import components
+from geopulse.llm.reduction import maybe_in
 from geopulse.llm.text import WordHash, checkpointed, hash_words, map_rows, rolling, signed
 
 SHINGLE = 4
@@ -47,6 +49,10 @@ def shingle_set(text: bytes | None, size: int, cache: WordHash) -> np.ndarray:
     return np.unique(rolling(hash_words(words, cache), min(size, len(words))))
 
 
+def set_id(s: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(s.tobytes(), len(s)) - 2**63
+
+
 def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
     """The most frequent of the shingles that some task saw often, with their counts: at most HEAVY_TOKENS rows.
 
@@ -100,19 +106,19 @@ def prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
                 weight = np.where(tokens[at] == own, counts[at], 0)
             first = own[np.lexsort((s, weight))[: prefix_length(n, percent)]]
-            yield doc_id, n, xxhash.xxh3_64_intdigest(s.tobytes(), n) - 2**63, first
+            yield doc_id, n, set_id(s), first
 
     return map_rows(docs.select("doc_id", F.col("text").cast("binary").alias("text")), run, "doc_id long, n long, sid long, prefix array<long>")
 
 
 def set_table(docs: DataFrame, size: int) -> DataFrame:
-    """sid and the whole set, once for each set."""
+    """sid and the whole set of each document."""
 
     def run(rows):
         cache = WordHash()
         for (text,) in rows:
             s = shingle_set(text, size, cache)
-            yield xxhash.xxh3_64_intdigest(s.tobytes(), len(s)) - 2**63, signed(s)
+            yield set_id(s), signed(s)
 
     return map_rows(docs.select(F.col("text").cast("binary")), run, "sid long, tokens array<long>")
 
@@ -121,20 +127,24 @@ class Joiner:
     """The join over classes of equal sets."""
 
     def __init__(self, docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT):
-        self.percent, self.rows = percent, checkpointed(prefixes(docs, size, percent))
+        self.docs, self.size, self.percent = docs.select("doc_id", "text"), size, percent
+        self.rows = checkpointed(prefixes(docs, size, percent))
         block = F.floor(F.log("n") / np.log(100 / percent) + 1e-9).cast("int")
-        entries = self.rows.where("sid is not null").select("sid", "n", block.alias("block"), F.posexplode("prefix").alias("pos", "token"))
-        # Lists with one set only link nothing. Extremes tell them, whatever number of copies there is.
-        several = entries.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("token")
-        self.live = checkpointed(entries.join(several, "token", "left_semi").distinct())
-        used = self.live.select("sid").distinct()
-        of = self.rows.where("doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(used, "sid", "left_semi")
-        texts = docs.select("doc_id", "text").join(of.select("doc_id"), "doc_id", "left_semi")
-        self.sets = checkpointed(set_table(texts, size).dropDuplicates(["sid"]))
-        self.labels = None  # sid, label; classes without a row are on their own
-        self.done = None  # a, b, overlap
+        entries = self.classes(self.rows).select("sid", "n", block.alias("block"), F.posexplode("prefix").alias("pos", "token"))
+        # Lists with one set only link nothing.
+        whole = W.partitionBy("token")
+        listed = entries.select("*", F.min("sid").over(whole).alias("lo"), F.max("sid").over(whole).alias("hi"))
+        self.live = checkpointed(listed.where("lo <> hi").drop("lo", "hi"))
+        self.labels = None  # v, label; classes without a row are on their own
+        self.done = None  # a, b, overlap (null where the prefixes already tell that it is too small)
         self.entries = self.live.count()
 
+    @staticmethod
+    def classes(rows: DataFrame) -> DataFrame:
+        """One row for each set: sid, its least doc_id, n and prefix; copies are added up within tasks first."""
+        least = F.min(F.struct("doc_id", "n", "prefix")).alias("r")
+        return rows.where("sid is not null and doc_id is not null").groupBy("sid").agg(least).select("sid", "r.*")
+
     def needed(self, m: str, n: str) -> str:
         """SQL: the least overlap of sets of m and n shingles."""
         return f"cast(ceil({self.percent} * ({m} + {n}) / {100 + self.percent} - 1e-9) as long)"
@@ -153,24 +163,43 @@ class Joiner:
     def pairs(self, probes: DataFrame, others: DataFrame, extra: str = "true") -> DataFrame:
         """Candidate pairs a < b of probes with the entries of their own and the next block of the list."""
         p = probes.select(*(F.col(c).alias(f"p_{c}") for c in probes.columns)).withColumn("p_at", F.explode(F.expr("array(p_block, p_block + 1)")))
+        # Blocks whose farthest position and least set rule out any match are skipped as a whole.
+        blocks = others.groupBy(F.col("token").alias("b_token"), F.col("block").alias("b_block")).agg(F.max(F.expr("n - pos")).alias("reach"), F.min("n").alias("least_n"))
+        p = p.join(blocks, F.expr("p_token = b_token and p_at = b_block")).where(f"least(p_n - p_pos, reach) >= {self.needed('p_n', 'least_n')}")
         both = p.join(others, (F.col("p_token") == F.col("token")) & (F.col("p_at") == F.col("block")))
         keep = both.where(
             f"p_comp <> comp and 100 * least(p_n, n) >= {self.percent} * greatest(p_n, n)"
             f" and least(p_n - p_pos, n - pos) >= {self.needed('p_n', 'n')} and {extra}"
         )
         found = keep.select(F.least("p_sid", "sid").alias("a"), F.greatest("p_sid", "sid").alias("b")).distinct()
-        return found if self.done is None else found.join(self.done, ["a", "b"], "left_anti")
+        return found if self.done is None else found.join(self.done.select("a", "b"), ["a", "b"], "left_anti")
 
     def verify(self, pairs: DataFrame) -> None:
-        """Exact overlaps of the pairs; links are added to the components."""
-        sets = self.sets
+        """Exact overlaps of the pairs; links are added to the components.
+
+        Of two prefixes, the shingles of the one that ends first can only be shared with the other prefix. So what
+        they share, and what is left behind that prefix, bounds the overlap; whole sets are only made for the rest.
+        """
+        pairs = checkpointed(pairs)
+        sids = pairs.select("a").unionAll(pairs.select("b")).distinct()
+        known = checkpointed(self.classes(maybe_in(self.rows, "sid", sids)))
+        one = known.select(F.col("sid").alias("a"), F.col("n").alias("m"), F.col("prefix").alias("x"))
+        two = known.select(F.col("sid").alias("b"), "n", F.col("prefix").alias("y"))
+        shared = F.size(F.array_intersect("x", "y"))
+        behind = F.greatest(F.col("m") - F.size("x"), F.col("n") - F.size("y"))
+        close = pairs.join(one, "a").join(two, "b").where(shared + behind >= F.expr(self.needed("m", "n"))).select("a", "b")
+        close = checkpointed(close)
+        sids = close.select("a").unionAll(close.select("b")).distinct()
+        ids = maybe_in(known, "sid", sids).select("doc_id")
+        sets = checkpointed(set_table(maybe_in(self.docs, "doc_id", ids), self.size).join(sids.select(F.col("a").alias("sid")), "sid", "left_semi"))
         one = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("x"))
         two = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("y"))
         overlap = F.size(F.array_intersect("x", "y")).cast("long")
-        new = checkpointed(
-            pairs.join(one, "a").join(two, "b").select("a", "b", overlap.alias("overlap"), F.size("x").alias("m"), F.size("y").alias("n"))
-        )
-        self.done = new.drop("m", "n") if self.done is None else self.done.unionAll(new.drop("m", "n"))
+        # Several documents of one set may have come through the reduction: they say the same.
+        new = close.join(one, "a").join(two, "b").select("a", "b", overlap.alias("overlap"), F.size("x").alias("m"), F.size("y").alias("n"))
+        new = checkpointed(new.distinct())
+        done = pairs.join(new.select("a", "b", "overlap"), ["a", "b"], "left")
+        self.done = checkpointed(done if self.done is None else self.done.unionAll(done))
         links = new.where(f"100 * overlap >= {self.percent} * (m + n - overlap)").select("a", "b")
         if self.labels is not None:
             links = links.unionAll(self.labels.select(F.col("v").alias("a"), F.col("label").alias("b")))
