@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from geopulse.llm.reduction import maybe_in, membership
 from geopulse.llm.text import MULT, bounded_batches, checkpointed, mix, signed
 
 SEGMENT = 1 << 19
@@ -217,11 +218,16 @@ def repeated_windows(docs: DataFrame, units, window: int, q: int, steps: tuple[i
     for step in steps:
         # Starts of one document only: as many as it has, at most.
         todo = level.where("open").groupBy("doc").agg(F.collect_set("pos").alias("todo"))
-        rows = texts.join(todo, texts.key == todo.doc).select("key", "text", "todo").mapInArrow(finer(step), ROWS)
+        some = maybe_in(texts, "key", level.where("open").select("doc"))
+        rows = some.join(todo, some.key == todo.doc).select("key", "text", "todo").mapInArrow(finer(step), ROWS)
         level = checkpointed(decided(rows, first_only))
         removed = removed.unionAll(level.where("removed").select("doc", "pos"))
     spans = removed.groupBy("doc").agg(F.collect_set("pos").alias("spans"))
-    return docs.join(spans, docs.key == spans.doc, "left").select(*docs.columns, "spans")
+    # Texts without any span need no join, and so no shuffle.
+    may = membership(removed.select("doc"))(F.col("key"))
+    some, other = docs.where(may), docs.where(~may)
+    joined = some.join(spans, some.key == spans.doc, "left").select(*docs.columns, "spans")
+    return joined.unionAll(other.select("*", F.lit(None).cast("array<long>").alias("spans")))
 
 
 def removed_units(n: int, spans: list[int] | None, window: int) -> np.ndarray:
