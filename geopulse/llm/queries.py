@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geopulse.llm import decontamination, jaccard_join, packing, quality, secret_scan, suffix_dedup, window_dedup
+from geopulse.llm import compaction, decontamination, jaccard_join, packing, quality, secret_scan, suffix_dedup, toxicity, window_dedup
 from geopulse.llm.text import documents
 
 
@@ -14,7 +14,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": lambda spark, sf: packing.op1_packing(documents(spark, sf)),
         "op3_jaccard_join": lambda spark, sf: jaccard_join.op3_jaccard_join(documents(spark, sf)),
+        "op4_sharding": lambda spark, sf: compaction.op4_sharding(documents(spark, sf)),
         "op5_substring_dedup": lambda spark, sf: window_dedup.op5_substring_dedup(documents(spark, sf)),
+        "op6_toxicity": lambda spark, sf: toxicity.op6_toxicity(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")),
         "op7_suffix_dedup": lambda spark, sf: suffix_dedup.op7_suffix_dedup(documents(spark, sf)),
         "op8_quality_rules": lambda spark, sf: quality.op8_quality_rules(documents(spark, sf)),
         "op9_secret_scans": lambda spark, sf: secret_scan.op9_secret_scans(documents(spark, sf)),
@@ -44,4 +46,7 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(u) AS component_
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard_join": OP3}
+    return {
+        "op3_jaccard_join": OP3,
+        "op4_sharding": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents",
+    }
