@@ -56,7 +56,7 @@ class Index:
     """The q-grams of one block of the benchmark."""
 
     def __init__(self, items: list[tuple[int, bytes]], q: int, segment: int, edit_rate: float):
-        self.q, self.segments = q, []  # item, points, budget, bound
+        self.q, self.segments, self.made = q, [], {}  # item, points, budget, bound
         for item, text in items:
             points = normal(text)
             if len(points) < 2 * q:
@@ -81,6 +81,15 @@ class Index:
         self.bounds = np.array([x[3] for x in self.segments], np.int64)
         self.budgets = np.array([x[2] for x in self.segments], np.int64)
 
+    def masks(self, s: int) -> dict[int, int]:
+        """Where each character stands in a segment, as bits."""
+        if s not in self.made:
+            bits: dict[int, int] = {}
+            for i, c in enumerate(self.segments[s][1].tolist()):
+                bits[c] = bits.get(c, 0) | 1 << i
+            self.made[s] = bits
+        return self.made[s]
+
     def search(self, text: bytes | None) -> list[tuple[int, int, int, int, int]]:
         """(item, start, end, edits, matched characters) for each item found; offsets in the normal form."""
         points = normal(text)
@@ -121,6 +130,8 @@ class Index:
             if (item, s) in best and not best[item, s][2]:
                 continue
             low = b * (budget + 1)  # the band's first diagonal
+            if least_edits(self.masks(s), len(part), points[max(0, low - budget) : max(0, low + 3 * budget + 2 + len(part))]) > budget:
+                continue
             found = aligned(part, points, low - budget, low + 3 * budget + 2, budget)
             if found and ((item, s) not in best or found[2] < best[item, s][2]):
                 best[item, s] = found + (len(part),)
@@ -131,6 +142,25 @@ class Index:
         return [(item, *x) for item, x in merged.items()]
 
 
+def least_edits(masks: dict[int, int], m: int, region: np.ndarray) -> int:
+    """Least edits between a segment and any part of the region, by bit-parallel columns."""
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    up, down, edits = full, 0, m
+    best = m
+    for c in region.tolist():
+        eq = masks.get(c, 0)
+        x = (((eq & up) + up) ^ up) | eq | down
+        gain, loss = down | (~(x | up) & full), up & x
+        if gain & top:
+            edits += 1
+        elif loss & top:
+            edits -= 1
+            best = min(best, edits)
+        gain, loss = gain << 1 & full, loss << 1 & full
+        up, down = loss | (~((eq | down) | gain) & full), gain & (eq | down)
+    return best
+
+
 def aligned(part: np.ndarray, points: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
     """The region of least edits (start, end, edits) on diagonals low..high, if within the budget.
 
