@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geopulse.llm.text import shared_folder
+
 TARGET_BYTES = 64 << 20
 FANOUT = 4
 BASE_BYTES = 1 << 20
@@ -188,11 +190,6 @@ class ShardStore:
                     fs.delete(p, True)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; where it isn't set, one in the warehouse."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
-
-
 def op4_sharding(docs: DataFrame, arrivals: int = ARRIVALS) -> DataFrame:
     """All documents, appended in ``arrivals`` parts, compacted, and read from the committed version.
 

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geopulse.llm import compaction, decontamination, jaccard_join, packing, quality, secret_scan, suffix_dedup, toxicity, window_dedup
+from geopulse.llm import compaction, decontamination, hmm, jaccard_join, packing, quality, secret_scan, suffix_dedup, toxicity, window_dedup
 from geopulse.llm.text import documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": lambda spark, sf: packing.op1_packing(documents(spark, sf)),
+        "op2_lm_scoring": lambda spark, sf: hmm.op2_lm_scoring(documents(spark, sf)),
         "op3_jaccard_join": lambda spark, sf: jaccard_join.op3_jaccard_join(documents(spark, sf)),
         "op4_sharding": lambda spark, sf: compaction.op4_sharding(documents(spark, sf)),
         "op5_substring_dedup": lambda spark, sf: window_dedup.op5_substring_dedup(documents(spark, sf)),

@@ -37,11 +37,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder; where it isn't set (tests on one machine), one in the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage by writing Parquet to the shared folder and reading it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stored/{spark.sql('select uuid()').head()[0]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small in bytes, so that long texts don't pile up in one batch."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
