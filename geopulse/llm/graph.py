@@ -11,18 +11,19 @@ from geopulse.llm.text import checkpointed
 def components(edges: DataFrame) -> DataFrame:
     """Columns v and label, the least vertex reachable from v, for each vertex of edges(a, b).
 
-    Each round takes the least label of the neighbours (an aggregate with partial sums, so a
+    Each round takes the least label of the neighbours twice (an aggregate with partial sums, so a
     vertex with very many neighbours is no hot task) and then the label's own label, which
     halves the way to go. Rounds are checkpointed; only a count comes to the driver.
     """
     both = edges.select("a", "b").unionAll(edges.select("b", "a")).where("a <> b").distinct()
-    both = checkpointed(both)
-    labels = checkpointed(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("n")).select("v", F.least("v", "n").alias("label")))
+    labels = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("n")).select("v", F.least("v", "n").alias("label"))
     while True:
-        near = both.join(labels, both.b == labels.v).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.v == near.a, "left").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        own = labels.select(F.col("v").alias("u"), F.col("label").alias("next"))
+        step = labels.select("v", "label", F.col("label").alias("old"))
+        for _ in range(2):
+            near = both.join(step.select("v", "label"), both.b == F.col("v")).groupBy("a").agg(F.min("label").alias("near"))
+            step = step.join(near, step.v == near.a, "left").select("v", "old", F.least("label", "near").alias("label"))
+        own = step.select(F.col("v").alias("u"), F.col("label").alias("next"))
         step = checkpointed(step.join(own, step.label == own.u, "left").select("v", "old", F.least("label", "next").alias("label")))
-        if not step.where("label <> old").limit(1).count():
-            return step.select("v", "label")
         labels = step.select("v", "label")
+        if not step.where("label <> old").limit(1).count():
+            return labels

@@ -34,8 +34,8 @@ from geopulse.llm.text import WordHash, checkpointed, hash_words, map_rows, roll
 
 SHINGLE = 4
 PERCENT = 85
-HEAVY_LOCAL = 8
-HEAVY_TOKENS = 1 << 17
+HEAVY_LOCAL = 2
+HEAVY_TOKENS = 1 << 19
 FLUSH_TOKENS = 1 << 21
 PAIRS_PER_ENTRY = 4
 MAX_ROUNDS = 12
@@ -199,7 +199,7 @@ class Joiner:
         new = close.join(one, "a").join(two, "b").select("a", "b", overlap.alias("overlap"), F.size("x").alias("m"), F.size("y").alias("n"))
         new = checkpointed(new.distinct())
         done = pairs.join(new.select("a", "b", "overlap"), ["a", "b"], "left")
-        self.done = checkpointed(done if self.done is None else self.done.unionAll(done))
+        self.done = done if self.done is None else self.done.unionAll(done)
         links = new.where(f"100 * overlap >= {self.percent} * (m + n - overlap)").select("a", "b")
         if self.labels is not None:
             links = links.unionAll(self.labels.select(F.col("v").alias("a"), F.col("label").alias("b")))
