@@ -1,11 +1,206 @@
-"""Registry of the named queries over the driver's tables."""
+"""Registry of the named queries over the driver's tables, with DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from geopulse.functions.grid import GridSpec
+from geopulse.operators import backtest as bt
+from geopulse.operators import evaluate, geometry, graph, hotspot, knox, network, points, scan, sepp, simulate, surface
 
-def oracle_sql() -> dict:
-    return {}
+GRID = GridSpec(150.0, 150.0, 0.0, 0.0, 33, 20)
+TRAIN_END, SCORE_END = "2024-01-22 00:00:00", "2024-01-29 00:00:00"
+COVERAGES = [1, 5, 10, 20, 50]
+POLYGON = [(310.0, 205.0), (2905.0, 410.0), (2505.0, 2610.0), (1105.0, 2210.0)]
+SEGMENTS = [(1, 100.0, 120.0, 940.0, 610.0), (2, 1000.0, 330.0, 1000.0, 990.0), (3, 2000.0, 1210.0, 1430.0, 1210.0), (4, 505.0, 2405.0, 1210.0, 1705.0)]
+DAY = 86_400_000_000
+SPACE_BINS = [(0.0, 50.0), (50.0, 100.0), (0.0, 100.0)]
+TIME_BINS = [(0, DAY), (DAY, 3 * DAY), (0, 7 * DAY)]
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def pts(spark: SparkSession, sf: str) -> DataFrame:
+    return points.load_points(spark, sf)
+
+
+def train(spark: SparkSession, sf: str) -> DataFrame:
+    return points.between(pts(spark, sf), end=TRAIN_END)
+
+
+def score(spark: SparkSession, sf: str) -> DataFrame:
+    """The events of the scored week on the grid."""
+    p = points.between(pts(spark, sf), TRAIN_END, SCORE_END)
+    return p.where(GRID.inside(GRID.gx(), GRID.gy()))
+
+
+def base(spark: SparkSession, sf: str) -> DataFrame:
+    """The training events' counts plus 1 as a surface."""
+    return hotspot.count_grid(train(spark, sf), GRID).withColumn("risk", F.col("risk") + 1)
+
+
+def prob(spark: SparkSession, sf: str) -> DataFrame:
+    return surface.renormalise(base(spark, sf))
+
+
+def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) for c in columns})
+
+
+def risks(df: DataFrame, places: int = 6) -> DataFrame:
+    return df.select("gx", "gy", F.round("risk", places).alias("risk"))
+
+
+def streets(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """A lattice without some of its edges, so that vertices of degree 1 and 2 occur."""
+    vertices, edges = graph.lattice(spark, 8, 8)
+    return vertices, edges.where((F.col("k1") % 100 * 7 + F.floor(F.col("k1") / 100) * 3) % 5 != 0)
+
+
+def street_events(spark: SparkSession, sf: str) -> DataFrame:
+    vertices, edges = streets(spark)
+    return network.network_points(pts(spark, sf).where("x < 1100 and y < 1100"), vertices, edges, 75.0)
+
+
+def two_weeks(spark: SparkSession, sf: str) -> DataFrame:
+    return points.between(pts(spark, sf), "2024-01-08 00:00:00", TRAIN_END)
+
+
+def queries() -> dict[str, Query]:
+    q: dict[str, Query] = {}
+    q["hotspot_backtest"] = lambda s, d: bt.naive_backtest(pts(s, d), GRID, bt.periods("2024-01-08", SCORE_END, 7), COVERAGES)
+    # Points.
+    q["points_events_before"] = lambda s, d: points.events_before(pts(s, d), "2024-01-10 12:00:00").select("event_id", "x", "y")
+    q["points_bbox"] = lambda s, d: points.bounding_box(pts(s, d))
+    q["points_time_deltas"] = lambda s, d: points.time_deltas(pts(s, d))
+    q["points_bin_timestamps"] = lambda s, d: points.bin_timestamps(pts(s, d), "2024-01-05 06:00:00", DAY).groupBy("ts").agg(F.count("*").alias("n"))
+    q["points_type_counts"] = lambda s, d: points.counts_by_type(pts(s, d))
+    q["points_train"] = lambda s, d: points.training(pts(s, d), "2024-01-03 00:00:00", TRAIN_END, ["click", "error"]).select("event_id")
+    q["points_assess"] = lambda s, d: points.assessment(pts(s, d), TRAIN_END, SCORE_END, ["click", "error"]).select("event_id")
+    q["points_default_split"] = lambda s, d: points.default_split(pts(s, d))
+    q["project_lonlat"] = lambda s, d: rounded(points.project_lonlat(points.translate(pts(s, d).withColumns({"x": F.col("x") / 1e5, "y": F.col("y") / 1e5}), -1.5, 51.0)), "x", "y", places=3).select("event_id", "x", "y")
+    # Grids and geometry.
+    q["grid_coord"] = lambda s, d: GRID.with_cells(pts(s, d)).select("event_id", "gx", "gy")
+    q["grid_snap_centre"] = lambda s, d: geometry.snap_to_centres(pts(s, d), 250.0, 20.0, 30.0).select("event_id", "x", "y")
+    q["grid_mask_points"] = lambda s, d: geometry.mask_by_points(pts(s, d).where("x < 1500"), GRID)
+    q["grid_mask_polygon"] = lambda s, d: geometry.mask_by_polygon(GRID.cells(s), GRID, POLYGON)
+    q["points_in_polygon"] = lambda s, d: geometry.points_in_polygon(pts(s, d), POLYGON).select("event_id")
+    q["segment_grid_split"] = lambda s, d: rounded(geometry.segment_cells(s.createDataFrame(SEGMENTS, "segment_id long, x1 double, y1 double, x2 double, y2 double"), GRID), "t1", "t2")
+    q["project_point_to_segments"] = lambda s, d: rounded(geometry.project(pts(s, d), s.createDataFrame(SEGMENTS, "segment_id long, x1 double, y1 double, x2 double, y2 double"), 300.0), "t", "distance")
+    # Predictors.
+    q["naive_count_grid"] = lambda s, d: risks(hotspot.count_grid(train(s, d), GRID))
+    q["retro_grid_quartic"] = lambda s, d: risks(hotspot.retro_grid(train(s, d), GRID))
+    q["retro_grid_gauss"] = lambda s, d: risks(hotspot.retro_grid(train(s, d), GRID, hotspot.kernels.truncated_gaussian, 300.0))
+    q["retro_cts_subgrid"] = lambda s, d: risks(hotspot.retro_subgrid(train(s, d), GRID, 2))
+    for kind in ("same", "diff", "circle"):
+        q[f"prospective_grid_{kind}"] = lambda s, d, kind=kind: risks(hotspot.prospective_grid(train(s, d), GRID, TRAIN_END, DAY, kind))
+    q["prospective_cts_subgrid"] = lambda s, d: risks(hotspot.prospective_subgrid(train(s, d), GRID, TRAIN_END, DAY, 2, 3.0, 8.0))
+    q["kde_gaussian_scott"] = lambda s, d: risks(hotspot.gaussian_kde(two_weeks(s, d), GRID), 12)
+    q["kde_fixed"] = lambda s, d: risks(hotspot.gaussian_kde(two_weeks(s, d), GRID, 120.0), 12)
+    q["kde_time_exp"] = lambda s, d: risks(hotspot.time_weighted_kde(two_weeks(s, d), GRID, TRAIN_END, DAY, "exp", 5.0, 200.0), 12)
+    q["kde_time_quad"] = lambda s, d: risks(hotspot.time_weighted_kde(two_weeks(s, d), GRID, TRAIN_END, DAY, "quad", 5.0), 12)
+    q["kde_knn"] = lambda s, d: risks(hotspot.nearest_neighbour_kde(two_weeks(s, d), GRID, 15), 12)
+    q["knn_distance"] = lambda s, d: rounded(hotspot.knn_distance(two_weeks(s, d), 15, 200.0), "distance")
+    # Surfaces.
+    q["surface_renormalise"] = lambda s, d: risks(prob(s, d), 9)
+    q["surface_percentile"] = lambda s, d: rounded(surface.percentile(base(s, d)), "percentile")
+    q["surface_new_extent"] = lambda s, d: risks(surface.new_extent(base(s, d), GRID, GRID.moved(-300.0, 450.0, 30, 22)))
+    q["surface_mask"] = lambda s, d: surface.mask_with(base(s, d), geometry.mask_by_points(pts(s, d).where("x < 900"), GRID)).select("gx", "gy", "risk", "valid")
+    q["surface_zero_to_constant"] = lambda s, d: risks(surface.zero_to_constant(base(s, d).withColumn("risk", F.lit(0.0))))
+    # Scores.
+    q["top_slice"] = lambda s, d: surface.slice_top(base(s, d), 0.1).where("selected").select("gx", "gy", "risk")
+    q["hit_counts"] = lambda s, d: evaluate.hit_counts(base(s, d), points.between(pts(s, d), TRAIN_END, SCORE_END), GRID, COVERAGES)
+    q["hit_rate"] = lambda s, d: rounded(evaluate.hit_rates(base(s, d), points.between(pts(s, d), TRAIN_END, SCORE_END), GRID, COVERAGES), "rate")
+    q["max_hit_rate"] = lambda s, d: rounded(evaluate.maximum_hit_rates(GRID, score(s, d), COVERAGES), "rate")
+    q["inverse_hit_rate"] = lambda s, d: rounded(evaluate.inverse_hit_rates(base(s, d), score(s, d), GRID), "hit_percent", "coverage_percent")
+    q["likelihood"] = lambda s, d: rounded(evaluate.log_likelihood(prob(s, d), score(s, d), GRID), "likelihood")
+    q["brier"] = lambda s, d: rounded(evaluate.brier(prob(s, d), score(s, d), GRID), "brier", "skill", places=12)
+    q["kl"] = lambda s, d: rounded(evaluate.kl(prob(s, d), score(s, d), GRID), "kl", places=12)
+    q["multiscale_brier"] = lambda s, d: rounded(evaluate.multiscale_brier(prob(s, d), score(s, d), GRID, 3), "brier", "skill", places=12)
+    q["multiscale_kl"] = lambda s, d: rounded(evaluate.multiscale_kl(prob(s, d), score(s, d), GRID, 3), "kl", places=12)
+    q["ranking"] = lambda s, d: rounded(evaluate.ranking(prob(s, d), score(s, d), GRID), "percentile")
+    q["bayes_predictive"] = lambda s, d: rounded(evaluate.bayes_predictive(prob(s, d), score(s, d), GRID), "score")
+    q["bayes_dirichlet"] = lambda s, d: rounded(evaluate.bayes_dirichlet(prob(s, d), score(s, d), GRID), "score", places=4)
+    q["poisson_crps"] = lambda s, d: rounded(evaluate.poisson_crps(prob(s, d), score(s, d), GRID, 400), "crps", places=3)
+    q["beta_posterior"] = lambda s, d: rounded(evaluate.beta_posterior(q["hotspot_backtest"](s, d), ["coverage"]), "mean", "sd")
+    # Interaction and clusters.
+    q["knox_statistic"] = lambda s, d: knox.knox_statistic(pts(s, d), SPACE_BINS, TIME_BINS)
+    q["knox_pvalue"] = lambda s, d: knox.knox_pvalues(points.between(pts(s, d), TRAIN_END, "2024-01-24 00:00:00"), SPACE_BINS, TIME_BINS, 19).drop("distribution")
+    q["scan_best_per_centre"] = lambda s, d: rounded(scan.best_per_centre(scan.scan_candidates(scan_events(s, d), 300.0, 3.0)), "d2", "statistic").select("centre", "d2", "statistic", "space_count", "actual")
+    q["scan_clusters"] = lambda s, d: scan.clusters(scan.scan_candidates(scan_events(s, d), 300.0, 3.0), scan_events(s, d), 5)
+    # Self-exciting processes.
+    q["seppexp_p_matrix"] = lambda s, d: rounded(sepp_p(s, d), "p").select("i", "j", "p")
+    q["seppexp_em_1"] = sepp_em
+    q["seppexp_predict"] = sepp_predict
+    q["sepp_initial_p"] = lambda s, d: rounded(sepp.initial_p(two_weeks(s, d), 2.0, 100.0), "p")
+    q["sepp_decluster"] = lambda s, d: sepp.decluster(sepp.initial_p(two_weeks(s, d), 2.0, 100.0), 5)
+    # Graphs and networks.
+    q["graph_degree"] = lambda s, d: graph.degrees(streets(s)[1])
+    q["graph_derived"] = lambda s, d: graph.derived_graph(streets(s)[1])
+    q["graph_components"] = lambda s, d: graph.connected_components(streets(s)[1].where("edge_id % 3 <> 1"))
+    q["graph_shortest_paths"] = lambda s, d: graph.shortest_paths(streets(s)[1], 303).select("key", "distance")
+    q["graph_simple_paths"] = lambda s, d: graph.simple_paths(streets(s)[1], 303, 750.0, 5).select(F.concat_ws(",", F.transform("path", lambda k: k.cast("string"))).alias("path"), "length")
+    q["graph_walk_degrees"] = lambda s, d: graph.walks_with_degrees(streets(s)[1], 303, 302, 600.0, 50.0)
+    q["graph_segments"] = lambda s, d: graph.segments(streets(s)[1])
+    q["graph_split_edges"] = lambda s, d: graph.split_edges(*streets(s), 60.0)
+    q["network_project"] = lambda s, d: rounded(street_events(s, d), "t")
+    q["network_hotspot"] = lambda s, d: rounded(network.network_hotspot(street_events(s, d), streets(s)[1], 320.0), "risk")
+    q["network_coverage"] = lambda s, d: network.coverage(edge_counts(s, d), streets(s)[1], 0.2)
+    q["network_hit_rate"] = lambda s, d: rounded(network.network_hit_rate(street_events(s, d), network.coverage(edge_counts(s, d), streets(s)[1], 0.2)), "rate")
+    q["grid_risk_to_graph"] = lambda s, d: network.grid_risk_to_edges(base(s, d), GRID, shifted(s), streets(s)[1])
+    # Back-tests and simulation.
+    q["backtest_pivot"] = lambda s, d: bt.wide(q["hotspot_backtest"](s, d).withColumn("predictor", F.lit("naive")), "hits", COVERAGES)
+    q["backtest_predictors"] = lambda s, d: rounded(bt.backtest(pts(s, d), GRID, ["naive", "retro", "prospective"], bt.periods("2024-01-15", SCORE_END, 7), [10, 20]), "rate")
+    q["simulate_self_exciting"] = lambda s, d: simulate.self_exciting(simulate.random_uniform(s, GRID.region(), "2024-01-01 00:00:00", 1e6, 500).withColumn("t", F.col("event_id") * 2000.0), 0.4, 1e-4, 50.0, 1e6)
+    return q
+
+
+def shifted(spark: SparkSession) -> DataFrame:
+    """The street vertices moved off the grid's lines."""
+    return points.translate(streets(spark)[0], 40.0, 55.0)
+
+
+def edge_counts(spark: SparkSession, sf: str) -> DataFrame:
+    counts = street_events(spark, sf).groupBy("edge_id").agg(F.count("*").cast("double").alias("risk"))
+    return streets(spark)[1].select("edge_id").join(counts, "edge_id", "left").fillna(0.0, ["risk"])
+
+
+def scan_events(spark: SparkSession, sf: str) -> DataFrame:
+    return points.between(pts(spark, sf), TRAIN_END, "2024-01-26 00:00:00").where("category = 'error' and x < 1500")
+
+
+SEPP_GRID = GridSpec(1500.0, 1000.0, 0.0, 0.0, 4, 3)
+OMEGA, THETA = 1 / 1440, 0.5
+
+
+def sepp_inputs(spark: SparkSession, sf: str):
+    events = sepp.grid_events(points.between(pts(spark, sf), "2024-01-15 00:00:00", TRAIN_END), SEPP_GRID)
+    pairs = sepp.trigger_pairs(events, 720.0)
+    mu = events.groupBy("gx", "gy").agg((F.count("*") / 10080.0).alias("mu"))
+    return events, pairs, mu
+
+
+def sepp_p(spark: SparkSession, sf: str) -> DataFrame:
+    events, pairs, mu = sepp_inputs(spark, sf)
+    return sepp.p_matrix(events, pairs, OMEGA, THETA, mu)
+
+
+def sepp_em(spark: SparkSession, sf: str) -> DataFrame:
+    events, pairs, mu = sepp_inputs(spark, sf)
+    omega, theta, mu = sepp.em_step(events, pairs, OMEGA, THETA, mu, 10080.0)
+    return mu.select("gx", "gy", F.round("mu", 9).alias("mu"), F.round(F.lit(omega), 9).alias("omega"), F.round(F.lit(theta), 9).alias("theta"))
+
+
+def sepp_predict(spark: SparkSession, sf: str) -> DataFrame:
+    _, _, mu = sepp_inputs(spark, sf)
+    week = points.between(pts(spark, sf), "2024-01-15 00:00:00", TRAIN_END)
+    return risks(sepp.predict_grid(week, SEPP_GRID, TRAIN_END, OMEGA, THETA, mu), 9)
+
+
+def oracle_sql() -> dict[str, str]:
+    from geopulse.plans.oracle import ORACLE
+
+    return dict(ORACLE)
