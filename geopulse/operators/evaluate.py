@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from geopulse.functions.grid import GridSpec
-from geopulse.operators.surface import ALL, slice_top
+from geopulse.operators.surface import slice_top, whole
 
 
 def cell_counts(points: DataFrame, grid: GridSpec) -> DataFrame:
@@ -46,8 +46,8 @@ def maximum_hit_rates(grid: GridSpec, points: DataFrame, coverages: list[int]) -
 def inverse_hit_rates(surface: DataFrame, points: DataFrame, grid: GridSpec) -> DataFrame:
     """(hit_percent, coverage_percent) for each level of risk with events."""
     levels = with_counts(surface, points, grid).groupBy("risk").agg(F.count("*").alias("cells"), F.sum("count").alias("hits"))
-    w = ALL.orderBy(F.desc("risk")).rowsBetween(W.unboundedPreceding, 0)
-    run = levels.select("hits", F.sum("hits").over(w).alias("h"), F.sum("cells").over(w).alias("c"), F.sum("cells").over(ALL).alias("n"))
+    w = whole().orderBy(F.desc("risk")).rowsBetween(W.unboundedPreceding, 0)
+    run = levels.select("hits", F.sum("hits").over(w).alias("h"), F.sum("cells").over(w).alias("c"), F.sum("cells").over(whole()).alias("n"))
     n_events = points.agg(F.count("*").alias("total"))
     return run.where("hits > 0").join(F.broadcast(n_events)).select((F.col("h") * 100 / F.col("total")).alias("hit_percent"), (F.col("c") * 100 / F.col("n")).alias("coverage_percent"))
 
@@ -67,7 +67,7 @@ def log_likelihood(surface: DataFrame, points: DataFrame, grid: GridSpec, minimu
 
 def _fractions(surface: DataFrame, points: DataFrame, grid: GridSpec) -> DataFrame:
     """Valid cells with u, the cell's fraction of the events in valid cells, and p, its risk."""
-    return with_counts(surface, points, grid).select("gx", "gy", F.col("risk").alias("p"), (F.col("count") / F.sum("count").over(ALL)).alias("u"))
+    return with_counts(surface, points, grid).select("gx", "gy", F.col("risk").alias("p"), (F.col("count") / F.sum("count").over(whole())).alias("u"))
 
 
 def brier(surface: DataFrame, points: DataFrame, grid: GridSpec) -> DataFrame:
@@ -99,7 +99,7 @@ def moving_windows(surface: DataFrame, points: DataFrame, grid: GridSpec, size:
     at = spread.select((F.col("gx") - F.col("dx")).alias("gx"), (F.col("gy") - F.col("dy")).alias("gy"), "u", "p")
     inside = at.where(F.col("gx").between(0, grid.xextent - size) & F.col("gy").between(0, grid.yextent - size))
     sums = inside.groupBy("gx", "gy").agg(F.sum("u").alias("u"), F.sum("p").alias("p"), F.count("*").cast("double").alias("c"))
-    return sums.select("gx", "gy", *((F.col(x) / F.sum(x).over(ALL)).alias(x) for x in "upc"))
+    return sums.select("gx", "gy", *((F.col(x) / F.sum(x).over(whole())).alias(x) for x in "upc"))
 
 
 def multiscale_brier(surface: DataFrame, points: DataFrame, grid: GridSpec, size: int) -> DataFrame:
@@ -117,14 +117,14 @@ def multiscale_kl(surface: DataFrame, points: DataFrame, grid: GridSpec, size: i
 
 def ranking(surface: DataFrame, points: DataFrame, grid: GridSpec) -> DataFrame:
     """(event_id, percentile): the fraction of valid cells with at most the risk of the event's cell."""
-    ranks = surface.where("valid").select("gx", "gy", F.cume_dist().over(ALL.orderBy("risk")).alias("percentile"))
+    ranks = surface.where("valid").select("gx", "gy", F.cume_dist().over(whole().orderBy("risk")).alias("percentile"))
     return grid.with_cells(points).join(ranks, ["gx", "gy"]).select("event_id", "percentile")
 
 
 def bayes_predictive(surface: DataFrame, points: DataFrame, grid: GridSpec, bias: float = 10, lower: float = 1e-10) -> DataFrame:
     """Sum of w (ln w + ln bias - ln alpha) with w = (alpha + count) / (bias + n)."""
     c = with_counts(surface, points, grid)
-    prior = c.select("count", (F.col("risk") / F.sum("risk").over(ALL) * bias).alias("a0"), F.sum("count").over(ALL).alias("n"))
+    prior = c.select("count", (F.col("risk") / F.sum("risk").over(whole()) * bias).alias("a0"), F.sum("count").over(whole()).alias("n"))
     prior = prior.select("count", "n", F.when(F.col("a0") <= 0, lower).otherwise(F.col("a0")).alias("alpha"))
     w = (F.col("alpha") + F.col("count")) / (bias + F.col("n"))
     return prior.agg(F.sum(w * (F.ln(w) + F.ln(F.lit(float(bias))) - F.ln("alpha"))).alias("score"))
@@ -149,7 +149,7 @@ def log_gamma(x: Column) -> Column:
 def bayes_dirichlet(surface: DataFrame, points: DataFrame, grid: GridSpec, bias: float = 10, lower: float = 1e-10) -> DataFrame:
     """Divergence of the posterior from the Dirichlet prior of the risks."""
     c = with_counts(surface, points, grid)
-    prior = c.select("count", (F.col("risk") / F.sum("risk").over(ALL) * bias).alias("a0"))
+    prior = c.select("count", (F.col("risk") / F.sum("risk").over(whole()) * bias).alias("a0"))
     prior = prior.select("count", F.when(F.col("a0") <= 0, lower).otherwise(F.col("a0")).alias("a"))
     prior = prior.withColumn("b", F.col("a") + F.col("count"))
     s = prior.agg(
@@ -165,7 +165,7 @@ def poisson_crps(surface: DataFrame, points: DataFrame, grid: GridSpec, terms: i
 
     The distribution function is summed over ``terms`` values, which must exceed the largest count and mean.
     """
-    c = with_counts(surface, points, grid).select("gx", "gy", "count", (F.col("risk") * F.sum("count").over(ALL)).alias("mean"))
+    c = with_counts(surface, points, grid).select("gx", "gy", "count", (F.col("risk") * F.sum("count").over(whole())).alias("mean"))
     each = c.select("*", F.explode(F.sequence(F.lit(0), F.lit(terms - 1))).alias("k"))
     log_p = F.when(F.col("mean") > 0, F.col("k") * F.ln(F.when(F.col("mean") > 0, F.col("mean"))) - F.col("mean") - log_gamma(F.col("k") + 1.0))
     p = F.coalesce(F.exp(log_p), F.when(F.col("k") == 0, 1.0).otherwise(0.0))

@@ -8,7 +8,9 @@ from pyspark.sql import Window as W
 
 from geopulse.functions.grid import GridSpec
 
-ALL = W.partitionBy()  # a surface has a bounded number of cells
+def whole():
+    """All rows in one window: a surface has a bounded number of cells."""
+    return W.partitionBy()
 
 
 def risk_at(points: DataFrame, surface: DataFrame, grid: GridSpec) -> DataFrame:
@@ -43,7 +45,7 @@ def zero_to_constant(surface: DataFrame) -> DataFrame:
 
 def percentile(surface: DataFrame) -> DataFrame:
     """The fraction of valid cells with at most the cell's risk."""
-    return surface.where("valid").select("gx", "gy", F.cume_dist().over(ALL.orderBy("risk")).alias("percentile"))
+    return surface.where("valid").select("gx", "gy", F.cume_dist().over(whole().orderBy("risk")).alias("percentile"))
 
 
 def new_extent(surface: DataFrame, grid: GridSpec, to: GridSpec) -> DataFrame:
@@ -58,7 +60,7 @@ def new_extent(surface: DataFrame, grid: GridSpec, to: GridSpec) -> DataFrame:
 
 def break_ties(surface: DataFrame, seed: int = 0) -> DataFrame:
     """Add noise below a hundredth of the least gap, at most 1e-9, where there are ties."""
-    order = ALL.orderBy("risk")
+    order = whole().orderBy("risk")
     gaps = surface.where("valid").select(F.col("risk"), (F.col("risk") - F.lag("risk").over(order)).alias("gap"))
     noise = gaps.agg(F.min(F.when(F.col("gap") > 0, F.col("gap"))).alias("least"), F.count(F.when(F.col("gap") == 0, 1)).alias("ties"))
     scale = F.when(F.col("ties") > 0, F.least(F.lit(1e-9), F.coalesce(F.col("least"), F.lit(1e-7)) / 100)).otherwise(0.0)
@@ -73,6 +75,6 @@ def cell_edges(surface: DataFrame, grid: GridSpec) -> DataFrame:
 
 def slice_top(surface: DataFrame, fraction: Column | float) -> DataFrame:
     """surface with ``rank`` (1 is the greatest risk) and ``selected``: exactly floor(n * fraction) valid cells; of ties the last in row order."""
-    w = ALL.orderBy(F.desc("risk"), F.desc("gy"), F.desc("gx"))
-    ranked = surface.where("valid").select("*", F.row_number().over(w).alias("rank"), F.count("*").over(ALL).alias("n_cells"))
+    w = whole().orderBy(F.desc("risk"), F.desc("gy"), F.desc("gx"))
+    ranked = surface.where("valid").select("*", F.row_number().over(w).alias("rank"), F.count("*").over(whole()).alias("n_cells"))
     return ranked.withColumn("selected", F.col("rank") <= F.floor(F.col("n_cells") * fraction))
