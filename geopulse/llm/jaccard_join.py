@@ -30,12 +30,12 @@ from pyspark.sql import Window as W
 
 from geopulse.llm.graph import components
 from geopulse.llm.reduction import maybe_in
-from geopulse.llm.text import WordHash, checkpointed, hash_words, map_rows, rolling, signed
+from geopulse.llm.text import WordHash, checkpointed, hash_words, map_rows, rolling, signed, stored
 
 SHINGLE = 4
 PERCENT = 85
 HEAVY_LOCAL = 2
-HEAVY_TOKENS = 1 << 19
+HEAVY_TOKENS = 1 << 17
 FLUSH_TOKENS = 1 << 21
 PAIRS_PER_ENTRY = 4
 MAX_ROUNDS = 12
@@ -77,7 +77,16 @@ def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
             yield from flush()
 
     counts = map_rows(docs.select(F.col("text").cast("binary")), count, "token long, n long")
-    top = counts.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(HEAVY_TOKENS)
+    counts = stored(counts.groupBy("token").agg(F.sum("n").alias("n")))
+    # The least count of which at most HEAVY_TOKENS shingles have as many: from the number of shingles for each quarter of a power of two.
+    sizes = counts.groupBy(F.floor(F.log2("n") * 4).alias("k")).agg(F.count("*").alias("m"), F.min("n").alias("n")).orderBy(F.desc("k")).collect()
+    total, least = 0, None
+    for r in sizes:
+        total += r.m
+        if total > HEAVY_TOKENS:
+            break
+        least = r.n
+    top = counts.where(F.lit(False) if least is None else F.col("n") >= least)
     got = top.toPandas().sort_values("token")
     return got["token"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS = 25  # 4 MB
+BITS = 23  # 1 MB
 
 
 def slot(key: Column) -> Column:
@@ -32,7 +32,7 @@ def membership(keys: DataFrame) -> Callable[[Column], Column]:
     own = slot(F.col(keys.columns[0]))
     bits = F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))")
     words = keys.select(own.alias("s")).groupBy(F.shiftright("s", 6).alias("word")).agg(bits.alias("bits"))
-    got = words.toPandas()  # at most 2 ** 19 rows
+    got = words.toPandas()  # at most 2 ** 17 rows
     bitmap = np.zeros(1 << (BITS - 6), np.int64)
     bitmap[got["word"].to_numpy()] = got["bits"].to_numpy()
     shared = keys.sparkSession.sparkContext.broadcast(bitmap)
