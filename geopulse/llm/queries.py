@@ -46,8 +46,84 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(u) AS component_
 """
 
 
+OP5 = f"""
+WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents),
+win AS (
+  SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ' '))) AS k
+  FROM w WHERE len(w) >= 20),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1 AS again FROM win),
+p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM w),
+g AS (
+  SELECT p.doc_id, p.i, word,
+    max(coalesce(again, false)::INTEGER) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone
+  FROM p LEFT JOIN f ON f.doc_id = p.doc_id AND f.i = p.i)
+SELECT d.doc_id, count(word) AS n_words, CAST(coalesce(sum(gone), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (gone = 0), '')) AS kept_sha256
+FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
+def _only(characters: str) -> str:
+    return f"length(regexp_replace(coalesce(text, ''), '[^{characters}]', '', 'g'))"
+
+
+def _quantiles(level: str, keys: str) -> str:
+    """Fences of one level of groups from the histogram."""
+    by = f"{keys}, measure" if keys else "measure"
+    return f"""{level}_b AS (SELECT {by}, bucket, sum(n) AS n FROM hist GROUP BY ALL),
+{level}_r AS (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}) AS total FROM {level}_b),
+{level}_q AS (SELECT {by}, max(total) AS total, min(bucket) FILTER (upto * 1000 >= total * 500) AS b50, min(bucket) FILTER (upto * 1000 >= total * 750) AS b75 FROM {level}_r GROUP BY ALL),
+{level} AS (SELECT {by}, total, {_top("b50")} + {quality.SPREAD} * ({_top("b75")} - {_top("b50")}) AS fence FROM {level}_q)"""
+
+
+def _top(b: str) -> str:
+    return f"(((({b} - ({b} // 64) * 64) + 1) << ({b} // 64)) - 1)"
+
+
+PUNCTUATION = r"!-/:-@\[-`{-~"
+_FENCES = ", ".join(f"max(fence + {slack}) FILTER (measure = '{m}') AS max_{m}" for m, slack in quality.MEASURES.items())
+_WITHIN = " AND ".join(f"m.{m} <= max_{m}" for m in quality.MEASURES)
+
+OP8 = f"""
+WITH t AS (
+  SELECT doc_id, lang, source, {WORDS} AS w, length(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+    {_only("#*$%&|<>")} AS n_symbols, {_only(PUNCTUATION)} AS n_punct, {_only("A-Z")} AS n_upper,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents),
+tri AS (
+  SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS k
+  FROM t WHERE len(w) >= 3),
+often AS (SELECT doc_id, i FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM often, (SELECT unnest([0, 1, 2]) AS o) GROUP BY doc_id),
+c AS (
+  SELECT t.doc_id, lang, source, len(w) AS n_words, word_chars, n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+    len(l) AS n_lines, n_punct, n_upper
+  FROM t LEFT JOIN rep ON rep.doc_id = t.doc_id),
+m AS (
+  SELECT *, n_symbols * 1000 // greatest(word_chars, 1) AS symbol_pm, n_punct * 1000 // greatest(word_chars, 1) AS punct_pm,
+    n_upper * 1000 // greatest(word_chars, 1) AS upper_pm, n_dup_lines * 1000 // greatest(n_lines, 1) AS dup_line_pm,
+    n_repeat_words * 1000 // greatest(n_words, 1) AS repeat_pm, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+  FROM c),
+v AS (SELECT lang, source, unnest({list(quality.MEASURES)}) AS measure, unnest([{", ".join(quality.MEASURES)}])::BIGINT AS v FROM m),
+e AS (SELECT *, greatest(length(bin(v)) - 6, 0) AS e FROM v),
+hist AS (SELECT lang, source, measure, e * 64 + (v >> e) AS bucket, count(*) AS n FROM e GROUP BY ALL),
+{_quantiles("own", "lang, source")},
+{_quantiles("lng", "lang")},
+{_quantiles("crp", "")},
+chosen AS (
+  SELECT a.lang, a.source, a.measure, CASE WHEN a.total >= {quality.MIN_ROWS} THEN a.fence WHEN b.total >= {quality.MIN_ROWS} THEN b.fence ELSE c.fence END AS fence
+  FROM own a JOIN lng b ON a.lang IS NOT DISTINCT FROM b.lang AND a.measure = b.measure JOIN crp c ON a.measure = c.measure),
+fences AS (SELECT lang, source, {_FENCES} FROM chosen GROUP BY lang, source)
+SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_WITHIN} AS kept,
+  {", ".join(quality.MEASURES)}, {", ".join(f"max_{x}" for x in quality.MEASURES)}
+FROM m JOIN fences f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_jaccard_join": OP3,
+        "op5_substring_dedup": OP5,
+        "op8_quality_rules": OP8,
         "op4_sharding": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents",
     }
