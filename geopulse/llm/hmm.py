@@ -47,28 +47,31 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 7
 
 
-class Classes:
-    """Word -> class: the most frequent words, then endings."""
+class Classes(dict):
+    """Word -> class: the most frequent words, then endings. Words met are kept, up to a limit."""
+
+    LIMIT = 400_000
 
     def __init__(self, top: list[bytes]):
+        super().__init__()
         self.top = {w: i for i, w in enumerate(top)}
         self.n = len(self.top) + ENDINGS
-        self.known: dict[bytes, int] = {}
 
-    def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+    def __reduce__(self):
+        return Classes, (list(self.top),)
 
-    def __call__(self, word: bytes) -> int:
-        k = self.known.get(word)
+    def __missing__(self, word: bytes) -> int:
+        k = self.top.get(word)
         if k is None:
-            k = self.top.get(word)
-            if k is None:
-                k = len(self.top) + xxhash.xxh3_64_intdigest(word[-3:]) % ENDINGS
-            if len(self.known) > 400_000:
-                self.known.clear()
-            self.known[word] = k
+            k = len(self.top) + xxhash.xxh3_64_intdigest(word[-3:]) % ENDINGS
+        if len(self) >= self.LIMIT:
+            self.clear()
+        self[word] = k
         return k
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
 
 def tokens(text: bytes | None) -> list[bytes]:
     words = (text or b"").lower().split()
@@ -134,34 +137,36 @@ def expected(model: Model, sequences: list[np.ndarray], firsts: np.ndarray) -> t
     for i, s in enumerate(sequences):
         grid[: len(s), i] = s
     active = np.searchsorted(-lengths, -np.arange(longest), side="left")  # sequences longer than t
-    emit = model.emit[grid]
-    alpha, scale = np.zeros((longest, many, states)), np.ones((longest, many))
-    a = model.start[1 - firsts[order]] * emit[0]
+    # Single precision within a stretch; sums over stretches are double.
+    emit = model.emit.astype(np.float32)[grid]
+    move = model.trans.astype(np.float32)
+    alpha, scale = np.zeros((longest, many, states), np.float32), np.ones((longest, many), np.float32)
+    a = model.start.astype(np.float32)[1 - firsts[order]] * emit[0]
     for t in range(longest):
         n = active[t]
         if t:
-            a = (a[:n] @ model.trans) * emit[t, :n]
+            a = (a[:n] @ move) * emit[t, :n]
         scale[t, :n] = s = a.sum(axis=1)
         a = a / s[:, None]
         alpha[t, :n] = a
     start, trans = np.zeros_like(model.start), np.zeros_like(model.trans)
     gamma = np.zeros_like(alpha)
-    beta = np.zeros((0, states))
+    beta = np.zeros((0, states), np.float32)
     for t in range(longest - 1, -1, -1):
         n = active[t]
-        later = np.ones((n, states))
+        later = np.ones((n, states), np.float32)
         if len(beta):
             m = len(beta)
             weighted = emit[t + 1, :m] * beta / scale[t + 1, :m, None]
             trans += model.trans * (alpha[t, :m].T @ weighted)
-            later[:m] = weighted @ model.trans.T
+            later[:m] = weighted @ move.T
         beta = later
         gamma[t, :n] = alpha[t, :n] * beta
     np.add.at(start, 1 - firsts[order], gamma[0])
     mask = (np.arange(longest)[:, None] < lengths).ravel()
     flat, g = grid.ravel()[mask], gamma.reshape(-1, states)[mask]
     emissions = np.stack([np.bincount(flat, g[:, k], len(model.emit)) for k in range(states)], axis=1)
-    return start, trans, emissions, float(np.log10(scale).sum())
+    return start, trans, emissions, float(np.log10(scale).sum(dtype=np.float64))
 
 
 def baum_welch_pass(docs: DataFrame, classes: Classes, model: Model) -> tuple[Model, float]:
@@ -180,11 +185,11 @@ def baum_welch_pass(docs: DataFrame, classes: Classes, model: Model) -> tuple[Mo
 
         for (text,) in rows:
             words = tokens(text)
-            ids = np.fromiter(map(classes, words), np.int64, len(words))
+            ids = classes.of(words)
             for i in range(0, len(ids), STRETCH):
                 parts.append(ids[i : i + STRETCH])
                 firsts.append(int(i == 0))
-                if len(parts) == 1024:
+                if len(parts) == 512:
                     total = add(total)
                     parts, firsts = [], []
         if parts:
@@ -214,7 +219,7 @@ def class_totals(counts: DataFrame, classes: Classes) -> tuple[np.ndarray, np.nd
         classes = shared.value
         n, once = np.zeros(classes.n, np.int64), np.zeros(classes.n, np.int64)
         for word, c in rows:
-            k = classes(word)
+            k = classes[word]
             n[k] += c
             once[k] += c == 1
         yield from ((k, int(n[k]), int(once[k])) for k in np.flatnonzero(n))
@@ -282,7 +287,7 @@ def language_model_scores(docs: DataFrame, states: int = STATES, top_words: int
         words = right.column("word").to_pylist()
         place = {w: i for i, w in enumerate(words)}
         c = right.column("c").to_numpy().astype(np.float64)
-        kind = np.fromiter(map(classes, words), np.int64, len(words))
+        kind = classes.of(words)
         base = np.log10((c + 1) / (n + v + 1))
         with np.errstate(divide="ignore"):
             within = np.where(c > 0, np.log10((1 - unseen[kind]) * c / np.maximum(totals[kind], 1)), np.log10(unseen[kind]))
