@@ -15,7 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
     vertex with very many neighbours is no hot task) and then the label's own label, which
     halves the way to go. Rounds are checkpointed; only a count comes to the driver.
     """
-    both = edges.select("a", "b").unionAll(edges.select("b", "a")).where("a <> b").distinct()
+    both = checkpointed(edges.select("a", "b").unionAll(edges.select("b", "a")).where("a <> b").distinct())
     labels = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("n")).select("v", F.least("v", "n").alias("label"))
     while True:
         step = labels.select("v", "label", F.col("label").alias("old"))

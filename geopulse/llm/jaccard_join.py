@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 
 from geopulse.llm.graph import components
 from geopulse.llm.reduction import maybe_in
-from geopulse.llm.text import WordHash, checkpointed, hash_words, map_rows, rolling, signed, stored
+from geopulse.llm.text import WordHash, checkpointed, hash_words, map_rows, release, rolling, signed, stored
 
 SHINGLE = 4
 PERCENT = 85
@@ -190,6 +190,7 @@ class Joiner:
         they share, and what is left behind that prefix, bounds the overlap; whole sets are only made for the rest.
         """
         pairs = checkpointed(pairs)
+        release(pairs.sparkSession)
         sids = pairs.select("a").unionAll(pairs.select("b")).distinct()
         known = checkpointed(self.classes(maybe_in(self.rows, "sid", sids)))
         one = known.select(F.col("sid").alias("a"), F.col("n").alias("m"), F.col("prefix").alias("x"))
@@ -207,6 +208,7 @@ class Joiner:
         # Several documents of one set may have come through the reduction: they say the same.
         new = close.join(one, "a").join(two, "b").select("a", "b", overlap.alias("overlap"), F.size("x").alias("m"), F.size("y").alias("n"))
         new = checkpointed(new.distinct())
+        release(new.sparkSession)
         done = pairs.join(new.select("a", "b", "overlap"), ["a", "b"], "left")
         self.done = done if self.done is None else self.done.unionAll(done)
         links = new.where(f"100 * overlap >= {self.percent} * (m + n - overlap)").select("a", "b")

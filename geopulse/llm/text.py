@@ -7,6 +7,7 @@ the six characters x20 and x09-x0D, so its parts are the words ``[^\\x20\\x09-\\
 
 from __future__ import annotations
 
+import gc
 import sys
 from collections.abc import Callable, Iterator
 
@@ -54,6 +55,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffles and broadcasts that nothing refers to any more.
+
+    The cleaner acts on what the JVM has collected; between the rounds of a long operator this bounds both
+    the disk and the driver's memory.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small in bytes, so that long texts don't pile up in one batch."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
