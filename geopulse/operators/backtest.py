@@ -32,6 +32,15 @@ def periods(first: str, stop_before: str, days: float) -> list[tuple[str, str]]:
     return out
 
 
+def prediction_dates(assess_start: str, assess_end: str, every_days: float, score_days: float) -> list[tuple[str, str]]:
+    """(date, end of scoring): from the first midnight on every ``every_days``, while the scoring ends by ``assess_end``."""
+    at, stop, out = datetime.fromisoformat(assess_start[:10]), datetime.fromisoformat(assess_end), []
+    while at + timedelta(days=score_days) <= stop:
+        out.append((at.isoformat(sep=" "), (at + timedelta(days=score_days)).isoformat(sep=" ")))
+        at += timedelta(days=every_days)
+    return out
+
+
 Predictor = Callable[[DataFrame, GridSpec, str], DataFrame]
 
 PREDICTORS: dict[str, Predictor] = {
@@ -39,6 +48,10 @@ PREDICTORS: dict[str, Predictor] = {
     "retro": lambda p, g, t: hotspot.retro_grid(p, g),
     "prospective": lambda p, g, t: hotspot.prospective_grid(p, g, t, 86_400_000_000),
     "kde": lambda p, g, t: hotspot.gaussian_kde(p, g),
+    "retro_cts": lambda p, g, t: hotspot.retro_subgrid(p, g),
+    "prospective_cts": lambda p, g, t: hotspot.prospective_subgrid(p, g, t, 86_400_000_000),
+    "kde_exp": lambda p, g, t: hotspot.time_weighted_kde(p, g, t, 86_400_000_000, "exp", 7.0),
+    "kde_knn": lambda p, g, t: hotspot.nearest_neighbour_kde(p, g),
 }
 
 

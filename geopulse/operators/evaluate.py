@@ -187,3 +187,26 @@ def means_against_maximum(posterior: DataFrame, keys: list[str]) -> DataFrame:
     """mean over the greatest mean of the key; 0 where that is 0."""
     top = F.max("mean").over(W.partitionBy(*keys))
     return posterior.withColumn("relative", F.when(top == 0, 0.0).otherwise(F.col("mean") / top))
+
+
+def parse_prediction_key(key: str) -> tuple[str, dict]:
+    """("Name", {"a": 1, "b": "D(e=f)"}) of "Name(a=1, b=D(e=f))"; commas in brackets don't separate."""
+    name, _, rest = key.partition("(")
+    parts, depth, start = [], 0, 0
+    body = rest[:-1] if rest.endswith(")") else rest
+    for i, c in enumerate(body):
+        depth += {"(": 1, "[": 1, "{": 1, ")": -1, "]": -1, "}": -1}.get(c, 0)
+        if c == "," and not depth:
+            parts.append(body[start:i])
+            start = i + 1
+    parts.append(body[start:])
+    out = {}
+    for part in filter(None, map(str.strip, parts)):
+        k, _, v = part.partition("=")
+        for kind in (int, float, str):
+            try:
+                out[k.strip()] = kind(v.strip())
+                break
+            except ValueError:
+                continue
+    return name.strip(), out

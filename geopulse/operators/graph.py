@@ -126,3 +126,45 @@ def merge_nodes(nodes: DataFrame, tolerance: float) -> DataFrame:
     """(node_id, key): nodes snapped to a lattice of the tolerance; each lattice place is named by its least node."""
     cell = F.struct(F.round(F.col("x") / tolerance).alias("cx"), F.round(F.col("y") / tolerance).alias("cy"))
     return nodes.select("node_id", F.min("node_id").over(W.partitionBy(cell)).alias("key"))
+
+
+def from_lines(lines: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """Vertices and edges of polylines (line_id, seq, x, y): places within one lattice step of the tolerance are one vertex; loops
+    and repeated edges are dropped."""
+    at = (F.round(F.col("x") / tolerance), F.round(F.col("y") / tolerance))
+    snapped = lines.select("line_id", "seq", at[0].cast("long").alias("cx"), at[1].cast("long").alias("cy"), "x", "y")
+    keyed = snapped.withColumn("key", F.xxhash64("cx", "cy"))
+    vertices = keyed.groupBy("key").agg(F.min(F.struct("line_id", "seq", "x", "y")).alias("m")).select("key", "m.x", "m.y")
+    nxt = F.lead("key").over(W.partitionBy("line_id").orderBy("seq"))
+    steps = keyed.select("key", nxt.alias("next")).where("next is not null and key <> next")
+    ends = steps.select(F.least("key", "next").alias("k1"), F.greatest("key", "next").alias("k2")).distinct()
+    a, b = (vertices.select(F.col("key").alias(k), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}")) for k in ("k1", "k2"))
+    length = F.sqrt((F.col("xk1") - F.col("xk2")) ** 2 + (F.col("yk1") - F.col("yk2")) ** 2)
+    return vertices, ends.join(a, "k1").join(b, "k2").select(F.xxhash64("k1", "k2").alias("edge_id"), "k1", "k2", length.alias("length"))
+
+
+def reduce_chains(edges: DataFrame) -> DataFrame:
+    """(edge_id, k1, k2, length): each chain over vertices of degree 2 as one edge between its ends; chains that close, or that would
+    double an edge, stay as they are."""
+    named = edges.join(segments(edges), "edge_id")
+    ends = both_ways(named.select("edge_id", "k1", "k2", "length")).join(named.select("edge_id", "segment"), "edge_id")
+    outer = ends.groupBy("segment", "a").agg(F.count("*").alias("n")).where("n = 1").groupBy("segment").agg(F.min("a").alias("u"), F.max("a").alias("v"), F.count("*").alias("n"))
+    total = named.groupBy("segment").agg(F.sum("length").alias("length"))
+    merged = outer.where("n = 2").join(total, "segment")
+    same = W.partitionBy("u", "v")
+    merged = merged.withColumn("twins", F.count("*").over(same)).where("twins = 1").select(F.col("segment").alias("edge_id"), F.col("u").alias("k1"), F.col("v").alias("k2"), "length")
+    rest = named.join(merged.select(F.col("edge_id").alias("segment")), "segment", "left_anti").select("edge_id", "k1", "k2", "length")
+    return merged.unionByName(rest)
+
+
+def write_graph(vertices: DataFrame, edges: DataFrame, path: str) -> None:
+    """JSON files of both tables."""
+    vertices.select("key", "x", "y").write.json(f"{path}/vertices")
+    edges.select("edge_id", "k1", "k2", "length").write.json(f"{path}/edges")
+
+
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return (
+        spark.read.schema("key long, x double, y double").json(f"{path}/vertices"),
+        spark.read.schema("edge_id long, k1 long, k2 long, length double").json(f"{path}/edges"),
+    )

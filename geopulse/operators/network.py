@@ -76,3 +76,49 @@ def network_log_likelihood(risks: DataFrame, events: DataFrame) -> DataFrame:
     """Sum of ln risk at the events; -27.6 where it is 0."""
     ln = F.when(F.col("risk") > 0, F.ln(F.when(F.col("risk") > 0, F.col("risk")))).otherwise(-27.6)
     return events.join(risks, "edge_id").agg(F.sum(ln).alias("likelihood"))
+
+
+def network_hotspot_shortest(events: DataFrame, edges: DataFrame, bandwidth: float) -> DataFrame:
+    """(edge_id, risk): as ``network_hotspot``, but along the shortest path to each vertex only, so the work doesn't grow with the number of paths.
+
+    Rounds of relaxation keep one row for each event and vertex: the least distance, and the split on the way there.
+    """
+    start = events.join(edges, "edge_id")
+    there, back = F.col("length") * (1 - F.col("t")), F.col("length") * F.col("t")
+    own = start.select("edge_id", ((triangle_integral(F.lit(0.0), there, bandwidth) + triangle_integral(F.lit(0.0), back, bandwidth)) / F.col("length")).alias("risk"))
+    ways = both_ways(edges).join(degrees(edges).select(F.col("key").alias("a"), F.greatest(F.col("degree") - 1, F.lit(1)).cast("double").alias("split")), "a")
+    ends = start.select("event_id", F.col("edge_id").alias("via"), F.col("k2").alias("at"), there.alias("d")).unionAll(start.select("event_id", F.col("edge_id").alias("via"), F.col("k1").alias("at"), back.alias("d")))
+    row = F.struct("d", "via", "w")
+    known = ends.where(F.col("d") < bandwidth).withColumn("w", F.lit(1.0)).groupBy("event_id", "at").agg(F.min(row).alias("m")).select("event_id", "at", "m.*")
+    known = frontier = written(known)
+    while True:
+        new = frontier.join(ways, (frontier.at == ways.a) & (frontier.via != ways.edge_id))
+        new = new.select("event_id", F.col("b").alias("at"), (F.col("d") + F.col("length")).alias("d"), F.col("edge_id").alias("via"), (F.col("w") / F.col("split")).alias("w")).where(F.col("d") < bandwidth)
+        best = new.groupBy("event_id", "at").agg(F.min(row).alias("m")).select("event_id", "at", "m.*")
+        old = known.select("event_id", "at", F.col("d").alias("old"))
+        frontier = written(best.join(old, ["event_id", "at"], "left").where("old is null or d < old").drop("old"))
+        if not frontier.limit(1).count():
+            break
+        known = written(known.unionByName(frontier).groupBy("event_id", "at").agg(F.min(row).alias("m")).select("event_id", "at", "m.*"))
+    # From each vertex into the edges that its shortest path didn't come by.
+    onward = known.join(ways, (known.at == ways.a) & (known.via != ways.edge_id))
+    v = triangle_integral(F.col("d"), F.col("d") + F.col("length"), bandwidth)
+    parts = own.unionAll(onward.select("edge_id", (F.col("w") / F.col("split") * v / F.col("length")).alias("risk")))
+    return edges.select("edge_id").join(parts.groupBy("edge_id").agg(F.sum("risk").alias("risk")), "edge_id", "left").fillna(0.0, ["risk"])
+
+
+def covered_edges(covered: DataFrame, grid: GridSpec, vertices: DataFrame, edges: DataFrame, least: float | None = None) -> DataFrame:
+    """(edge_id): edges that meet covered cells (gx, gy), with at least the fraction ``least`` of their length in them."""
+    parts = geometry.segment_cells(edge_segments(vertices, edges), grid).join(covered.select("gx", "gy").distinct(), ["gx", "gy"])
+    inside = parts.groupBy(F.col("segment_id").alias("edge_id")).agg(F.sum(F.col("t2") - F.col("t1")).alias("part"))
+    return inside.where(F.col("part") >= (least or 0.0)).select("edge_id")
+
+
+def hit_counts_by_coverage(events: DataFrame, risks: DataFrame, edges: DataFrame, percentages: list[int]) -> DataFrame:
+    """(coverage, hits, total, rate in percent) for network coverages, from one ranking of the edges."""
+    w = W.partitionBy().orderBy(F.desc("risk"), "edge_id")
+    counts = events.groupBy("edge_id").agg(F.count("*").alias("n"))
+    run = risks.join(edges.select("edge_id", "length"), "edge_id").select("edge_id", F.sum("length").over(w).alias("upto"), F.sum("length").over(W.partitionBy()).alias("all"))
+    run = run.join(counts, "edge_id", "left").select("upto", "all", F.coalesce("n", F.lit(0)).alias("n"), F.explode(F.array(*map(F.lit, percentages))).alias("coverage"))
+    hits = run.groupBy("coverage").agg(F.sum(F.when(F.col("upto") <= F.col("all") * (F.col("coverage") / 100), F.col("n")).otherwise(0)).alias("hits"))
+    return hits.join(F.broadcast(events.agg(F.count("*").alias("total")))).select("coverage", "hits", "total", F.try_divide(F.col("hits") * 100, "total").alias("rate"))

@@ -148,6 +148,11 @@ def queries() -> dict[str, Query]:
     q["graph_split_edges"] = lambda s, d: graph.split_edges(*streets(s), 60.0)
     q["network_project"] = lambda s, d: rounded(street_events(s, d), "t")
     q["network_hotspot"] = lambda s, d: rounded(network.network_hotspot(street_events(s, d), streets(s)[1], 320.0), "risk")
+    q["network_approx"] = lambda s, d: rounded(network.network_hotspot_shortest(street_events(s, d), streets(s)[1], 320.0), "risk")
+    q["network_hit_counts"] = lambda s, d: rounded(network.hit_counts_by_coverage(street_events(s, d), edge_counts(s, d), streets(s)[1], [10, 20, 50]), "rate")
+    q["grid_coverage_to_graph"] = lambda s, d: network.covered_edges(surface.slice_top(base(s, d), 0.1).where("selected"), GRID, shifted(s), streets(s)[1], 0.5)
+    q["graph_reduced"] = lambda s, d: graph.reduce_chains(streets(s)[1]).select("k1", "k2", "length")
+    q["sepp_histogram_fit"] = lambda s, d: sepp.histogram_fit(two_weeks(s, d), GRID, [0.0, 0.5, 1.0, 2.0], [0.0, 50.0, 100.0], 14.0, 2)[2]
     q["network_coverage"] = lambda s, d: network.coverage(edge_counts(s, d), streets(s)[1], 0.2)
     q["network_hit_rate"] = lambda s, d: rounded(network.network_hit_rate(street_events(s, d), network.coverage(edge_counts(s, d), streets(s)[1], 0.2)), "rate")
     q["grid_risk_to_graph"] = lambda s, d: network.grid_risk_to_edges(base(s, d), GRID, shifted(s), streets(s)[1])

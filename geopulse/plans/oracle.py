@@ -205,5 +205,8 @@ ORACLE: dict[str, str] = {
       z AS (SELECT edge AS edge_id, sum(w * {TRI.format(a='d0', b='d')}) AS v FROM r GROUP BY edge)
       SELECT edge_id, round(coalesce(v, 0) / length, 6) AS risk FROM edges LEFT JOIN z USING (edge_id)""",
     "network_coverage": f"WITH {STREET_EVENTS}, {NET_COVER} SELECT * FROM cover",
+    "network_hit_counts": f"""WITH {STREET_EVENTS}, {NET_COVER}, z AS (SELECT upto, total, coalesce(n, 0) AS n FROM run LEFT JOIN (SELECT edge_id, count(*) AS n FROM ev GROUP BY edge_id) USING (edge_id))
+      SELECT coverage, CAST(coalesce(sum(n) FILTER (upto <= total * (coverage / 100.0::DOUBLE)), 0) AS BIGINT) AS hits, (SELECT count(*) FROM ev) AS total,
+        round(coalesce(sum(n) FILTER (upto <= total * (coverage / 100.0::DOUBLE)), 0) * 100 / (SELECT count(*) FROM ev), 6) AS rate FROM z, (SELECT unnest([10, 20, 50])::INTEGER AS coverage) GROUP BY coverage""",
     "network_hit_rate": f"WITH {STREET_EVENTS}, {NET_COVER} SELECT count(cover.edge_id) AS hits, count(*) AS total, round(count(cover.edge_id) / count(*), 6) AS rate FROM ev LEFT JOIN cover USING (edge_id)",
 }

@@ -139,3 +139,53 @@ def test_simulation_repeats(spark):
     rows = one.collect()
     assert rows == simulate.random_uniform(spark, (0.0, 0.0, 10.0, 20.0), "2020-01-01 00:00:00", 1000.0, 200, seed=3).collect()
     assert all(0 <= r.x < 10 and 0 <= r.y < 20 for r in rows)
+
+
+def test_prediction_keys():
+    assert evaluate.parse_prediction_key("Retro(weight=Quartic(bandwidth=200), days=60, scale=0.5)") == ("Retro", {"weight": "Quartic(bandwidth=200)", "days": 60, "scale": 0.5})
+    assert evaluate.parse_prediction_key("Naive") == ("Naive", {})
+
+
+def test_prediction_dates():
+    got = backtest.prediction_dates("2017-01-01 10:00:00", "2017-01-04 00:00:00", 1, 1)
+    assert got == [(f"2017-01-0{d} 00:00:00", f"2017-01-0{d + 1} 00:00:00") for d in (1, 2, 3)]
+
+
+def test_lines_to_graph_and_back(spark, tmp_path):
+    rows = [(1, 0, 0.0, 0.0), (1, 1, 1.0, 1.0), (1, 2, 5.1, 1.2), (2, 0, 2.0, 0.0), (2, 1, 1.001, 1.0), (2, 2, 0.0, 5.0), (2, 3, 5.1, 1.2), (3, 0, 0.0, 0.0), (3, 1, 0.0, 5.0)]
+    vertices, edges = graph.from_lines(spark.createDataFrame(rows, "line_id long, seq int, x double, y double"), 0.1)
+    assert vertices.count() == 5 and edges.count() == 6
+    graph.write_graph(vertices, edges, str(tmp_path / "g"))
+    v, e = graph.read_graph(spark, str(tmp_path / "g"))
+    assert sorted(map(str, v.collect())) == sorted(map(str, vertices.collect())) and e.count() == 6
+    reduced = graph.reduce_chains(edges)
+    assert reduced.agg({"length": "sum"}).head()[0] == pytest.approx(edges.agg({"length": "sum"}).head()[0])
+
+
+def test_network_risk_of_one_event(spark):
+    from geopulse.operators import network
+
+    edges = spark.createDataFrame([(1, 0, 1, 4.0), (2, 1, 2, 4.0), (3, 1, 3, 4.0)], "edge_id long, k1 long, k2 long, length double")
+    events = spark.createDataFrame([(7, 1, 0.75)], "event_id long, edge_id long, t double")
+    want = {1: ((1 / 5 + 4 / 25) / 2 + (1 / 5 + 2 / 25) * 3 / 2) / 4, 2: (16 / 50) / 2 / 4, 3: (16 / 50) / 2 / 4}
+    for fn in (network.network_hotspot, network.network_hotspot_shortest):
+        got = {r.edge_id: r.risk for r in fn(events, edges, 5.0).collect()}
+        assert got == pytest.approx(want)
+    covered = network.coverage(spark.createDataFrame([(1, 3.0), (2, 2.0), (3, 1.0)], "edge_id long, risk double"), edges, 0.5)
+    assert [r.edge_id for r in covered.collect()] == [1]
+    crossing = network.coverage(spark.createDataFrame([(1, 3.0), (2, 2.0), (3, 1.0)], "edge_id long, risk double"), edges, 0.5, crossing=True)
+    assert sorted(r.edge_id for r in crossing.collect()) == [1, 2]
+
+
+def test_stream_counts(spark, tmp_path):
+    from geopulse.streaming.counts import windowed_cell_counts
+
+    pts = make_points(spark, [("2017-01-01 05:00:00", 5.0, 5.0), ("2017-01-01 06:00:00", 5.0, 6.0), ("2017-01-03 05:00:00", 15.0, 5.0)])
+    pts.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(pts.schema).parquet(str(tmp_path / "in"))
+    query = windowed_cell_counts(stream, GridSpec(10.0, 10.0, 0.0, 0.0, 2, 1)).writeStream.outputMode("complete").format("memory").queryName("cells").start()
+    try:
+        query.processAllAvailable()
+        assert {(r.gx, r["count"]) for r in spark.table("cells").collect()} == {(0, 2), (1, 1)}
+    finally:
+        query.stop()
