@@ -210,3 +210,12 @@ def parse_prediction_key(key: str) -> tuple[str, dict]:
             except ValueError:
                 continue
     return name.strip(), out
+
+
+def kde_score(surface: DataFrame, points: DataFrame, grid: GridSpec, bandwidth: float) -> DataFrame:
+    """Squared error, times the cell area, of the surface against the normalised edge-corrected KDE of the events at the cells' centres."""
+    from geopulse.operators.hotspot import edge_corrected_kde
+
+    truth = edge_corrected_kde(points, surface, grid, bandwidth).select("gx", "gy", (F.col("risk") / F.sum("risk").over(whole())).alias("q"))
+    joined = surface.where("valid").join(truth, ["gx", "gy"])
+    return joined.agg((F.sum((F.col("risk") - F.col("q")) ** 2) * (grid.xsize * grid.ysize)).alias("score"))

@@ -170,3 +170,29 @@ def nearest_neighbour_kde(points: DataFrame, grid: GridSpec, k: int = 15, radius
     near = near.withColumns({"dx": (grid.centre_x() - F.col("x")) / F.col("sx"), "dy": (grid.centre_y() - F.col("y")) / F.col("sy")})
     density = F.expr("exp(-(dx * dx + dy * dy) / (2 * h * h)) / (h * h)") / (F.col("n") * F.col("sx") * F.col("sy") * (2 * math.pi))
     return surface(grid.cells(points.sparkSession), near.groupBy("gx", "gy").agg(F.sum(density).alias("risk")))
+
+
+RADII, ANGLES = 10, 100
+
+
+def edge_correction(valid: DataFrame, grid: GridSpec, bandwidth: float) -> DataFrame:
+    """(gx, gy, factor): the share of a normal cloud about each valid cell's centre that falls into valid cells.
+
+    The cloud has ``RADII`` rings of equal weight with ``ANGLES`` places each.
+    """
+    cells = valid.where("valid").select("gx", "gy")
+    share = (F.col("i") + 0.5) / RADII
+    radius = bandwidth * F.sqrt(-2 * F.ln(1 - share))
+    angle = F.col("a") * (2 * math.pi / ANGLES)
+    cloud = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(RADII - 1))).alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.lit(ANGLES - 1))).alias("a"))
+    at = cloud.select(F.col("gx").alias("cx"), F.col("gy").alias("cy"), grid.gx(grid.centre_x() + radius * F.cos(angle)).alias("gx"), grid.gy(grid.centre_y() + radius * F.sin(angle)).alias("gy"))
+    # Places of one cell that fall into the same cell are added up before they meet the mask.
+    counts = at.groupBy("cx", "cy", "gx", "gy").agg(F.count("*").alias("n")).join(cells, ["gx", "gy"])
+    return counts.groupBy(F.col("cx").alias("gx"), F.col("cy").alias("gy")).agg((F.sum("n") / (RADII * ANGLES)).alias("factor"))
+
+
+def edge_corrected_kde(points: DataFrame, valid: DataFrame, grid: GridSpec, bandwidth: float) -> DataFrame:
+    """Fixed-bandwidth KDE at the valid cells' centres over the share of the kernel that lies in valid cells."""
+    density = gaussian_kde(points, grid, bandwidth).select("gx", "gy", "risk")
+    joined = density.join(edge_correction(valid, grid, bandwidth), ["gx", "gy"])
+    return joined.select("gx", "gy", (F.col("risk") / F.col("factor")).alias("risk"), F.lit(True).alias("valid"))

@@ -65,6 +65,11 @@ def street_events(spark: SparkSession, sf: str) -> DataFrame:
     return network.network_points(pts(spark, sf).where("x < 1100 and y < 1100"), vertices, edges, 75.0)
 
 
+def masked(spark: SparkSession, sf: str) -> DataFrame:
+    """The base surface, valid where the week's events are."""
+    return surface.mask_with(base(spark, sf), geometry.mask_by_points(two_weeks(spark, sf), GRID))
+
+
 def two_weeks(spark: SparkSession, sf: str) -> DataFrame:
     return points.between(pts(spark, sf), "2024-01-08 00:00:00", TRAIN_END)
 
@@ -103,6 +108,8 @@ def queries() -> dict[str, Query]:
     q["kde_time_exp"] = lambda s, d: risks(hotspot.time_weighted_kde(two_weeks(s, d), GRID, TRAIN_END, DAY, "exp", 5.0, 200.0), 12)
     q["kde_time_quad"] = lambda s, d: risks(hotspot.time_weighted_kde(two_weeks(s, d), GRID, TRAIN_END, DAY, "quad", 5.0), 12)
     q["kde_knn"] = lambda s, d: risks(hotspot.nearest_neighbour_kde(two_weeks(s, d), GRID, 15), 12)
+    q["kde_edge_corrected"] = lambda s, d: risks(hotspot.edge_corrected_kde(two_weeks(s, d), masked(s, d), GRID, 200.0), 12)
+    q["kde_score"] = lambda s, d: rounded(evaluate.kde_score(surface.renormalise(masked(s, d)), score(s, d), GRID, 300.0), "score")
     q["knn_distance"] = lambda s, d: rounded(hotspot.knn_distance(two_weeks(s, d), 15, 200.0), "distance")
     # Surfaces.
     q["surface_renormalise"] = lambda s, d: risks(prob(s, d), 9)

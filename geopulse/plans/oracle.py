@@ -134,6 +134,12 @@ ORACLE: dict[str, str] = {
     "kde_fixed": kde("1.0::DOUBLE", FIXED.format(h=120)),
     "kde_time_exp": kde("exp(-age / 5) / 5", FIXED.format(h=200)),
     "kde_time_quad": kde("2 / (pi() * 5) / (1 + (age / 5) * (age / 5))", SCOTT),
+    "kde_edge_corrected": f"""WITH {PTS}, {WEEKS}, {CELLS}, ok AS (SELECT DISTINCT gx, gy, mx, my FROM cells JOIN weeks ON x >= gx * 150 AND x <= (gx + 1) * 150 AND y >= gy * 150 AND y <= (gy + 1) * 150),
+      d AS (SELECT gx, gy, mx, my, sum(exp(-((mx - x) * (mx - x) + (my - y) * (my - y)) / 80000)) / (count(*) * 2 * pi() * 40000) AS r FROM ok, weeks GROUP BY ALL),
+      cloud AS (SELECT gx AS cx, gy AS cy, CAST(floor((mx + 200 * sqrt(-2 * ln(1 - (i.range + 0.5::DOUBLE) / 10)) * cos(a.range * (2 * pi() / 100))) / 150) AS BIGINT) AS gx,
+        CAST(floor((my + 200 * sqrt(-2 * ln(1 - (i.range + 0.5::DOUBLE) / 10)) * sin(a.range * (2 * pi() / 100))) / 150) AS BIGINT) AS gy FROM ok, range(10) i, range(100) a),
+      f AS (SELECT cx AS gx, cy AS gy, count(*) / 1000.0::DOUBLE AS factor FROM cloud JOIN ok USING (gx, gy) GROUP BY cx, cy)
+      SELECT gx, gy, round(r / factor, 12) AS risk FROM d JOIN f USING (gx, gy)""",
     "knn_distance": f"""WITH {PTS}, {WEEKS}, d AS (SELECT a.event_id, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d, row_number() OVER (PARTITION BY a.event_id ORDER BY pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS k
       FROM weeks a JOIN weeks b ON a.event_id <> b.event_id) SELECT event_id, round(d, 6) AS distance FROM d WHERE k = 15""",
     "surface_renormalise": f"WITH {PTS}, {BASE}, {PROB} SELECT gx, gy, round(risk, 9) AS risk FROM prob",
