@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from geopulse.llm.text import arrow_schema, bounded_batches, map_rows, stored
+from geopulse.llm.text import arrow_schema, bounded_batches, checkpointed, map_rows
 
 STATES = 12
 TOP_WORDS = 1024
@@ -266,7 +266,7 @@ def language_model_scores(docs: DataFrame, states: int = STATES, top_words: int
     n_blocks = max(1, -(-size // BLOCK_BYTES))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks))
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), (fold(F.col("doc_id")) != 2).alias("train"), block.alias("block"))
-    counts = stored(block_counts(rows.repartition("block")))
+    counts = checkpointed(block_counts(rows.repartition("block")))
     known = counts.where("first and c > 0")
     n, v = known.agg(F.sum("c"), F.count("*")).head()
     n, v = n or 0, v or 0

@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 
 from geopulse.llm.graph import components
 from geopulse.llm.reduction import maybe_in
-from geopulse.llm.text import WordHash, checkpointed, hash_words, map_rows, release, rolling, signed, stored
+from geopulse.llm.text import WordHash, checkpointed, hash_words, map_rows, release, rolling, signed
 
 SHINGLE = 4
 PERCENT = 85
@@ -77,7 +77,7 @@ def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
             yield from flush()
 
     counts = map_rows(docs.select(F.col("text").cast("binary")), count, "token long, n long")
-    counts = stored(counts.groupBy("token").agg(F.sum("n").alias("n")))
+    counts = checkpointed(counts.groupBy("token").agg(F.sum("n").alias("n")))
     # The least count of which at most HEAVY_TOKENS shingles have as many: from the number of shingles for each quarter of a power of two.
     sizes = counts.groupBy(F.floor(F.log2("n") * 4).alias("k")).agg(F.count("*").alias("m"), F.min("n").alias("n")).orderBy(F.desc("k")).collect()
     total, least = 0, None

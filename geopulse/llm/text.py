@@ -29,28 +29,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
-
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests on one machine)
-    a folder below the warehouse is taken.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; where it isn't set (tests on one machine), one in the warehouse."""
     return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage by writing Parquet to the shared folder and reading it."""
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table written to the shared folder and read again.
+
+    A written table is smaller than a checkpoint of rows, and carries no claim on how it is partitioned.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stored/{spark.sql('select uuid()').head()[0]}"
+    path = f"{shared_folder(spark)}/tables/{spark.sql('select uuid()').head()[0]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
