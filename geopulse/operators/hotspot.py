@@ -137,8 +137,12 @@ def knn_distance(points: DataFrame, k: int = 15, radius: float = 100.0) -> DataF
     """(event_id, distance) to the k-th nearest other point (the farthest if there are fewer).
 
     Points meet those of neighbouring buckets of one radius; a point with k neighbours within it is
-    done, the others go on with twice the radius. The driver sees counts only.
+    done, the others go on with twice the radius. The first radius is a part of ``radius``, so that points
+    in dense places meet few others. The driver sees counts only.
     """
+    from geopulse.operators.backtest import written
+
+    radius /= 16
     p = points.select("event_id", "x", "y")
     n = p.count()
     k = min(k, n - 1)
@@ -153,9 +157,9 @@ def knn_distance(points: DataFrame, k: int = 15, radius: float = 100.0) -> DataF
         near = own.join(other, ["bx", "by"]).where(F.col("event_id") != F.col("other")).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
         # The k least of a point's neighbours: as many values as one radius holds.
         least = near.groupBy("event_id").agg(F.sort_array(F.collect_list("d2")).alias("d")).where(F.size("d") >= k)
-        done = least.select("event_id", F.sqrt(F.element_at("d", k)).alias("distance"))
+        done = written(least.select("event_id", F.sqrt(F.element_at("d", k)).alias("distance")))
         out = done if out is None else out.unionAll(done)
-        todo = todo.join(least.select("event_id"), "event_id", "left_anti")
+        todo = written(todo.join(done.select("event_id"), "event_id", "left_anti"))
         if not k or todo.limit(1).count() == 0:
             return out
         radius *= 2

@@ -66,12 +66,8 @@ def street_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def masked(spark: SparkSession, sf: str) -> DataFrame:
-    """The base surface, valid where the week's events are."""
-    return surface.mask_with(base(spark, sf), geometry.mask_by_points(two_weeks(spark, sf), GRID))
-
-
-def two_weeks(spark: SparkSession, sf: str) -> DataFrame:
-    return points.between(pts(spark, sf), "2024-01-08 00:00:00", TRAIN_END)
+    """The base surface, valid where the training events are."""
+    return surface.mask_with(base(spark, sf), geometry.mask_by_points(train(spark, sf), GRID))
 
 
 def queries() -> dict[str, Query]:
@@ -103,14 +99,14 @@ def queries() -> dict[str, Query]:
     for kind in ("same", "diff", "circle"):
         q[f"prospective_grid_{kind}"] = lambda s, d, kind=kind: risks(hotspot.prospective_grid(train(s, d), GRID, TRAIN_END, DAY, kind))
     q["prospective_cts_subgrid"] = lambda s, d: risks(hotspot.prospective_subgrid(train(s, d), GRID, TRAIN_END, DAY, 2, 3.0, 8.0))
-    q["kde_gaussian_scott"] = lambda s, d: risks(hotspot.gaussian_kde(two_weeks(s, d), GRID), 12)
-    q["kde_fixed"] = lambda s, d: risks(hotspot.gaussian_kde(two_weeks(s, d), GRID, 120.0), 12)
-    q["kde_time_exp"] = lambda s, d: risks(hotspot.time_weighted_kde(two_weeks(s, d), GRID, TRAIN_END, DAY, "exp", 5.0, 200.0), 12)
-    q["kde_time_quad"] = lambda s, d: risks(hotspot.time_weighted_kde(two_weeks(s, d), GRID, TRAIN_END, DAY, "quad", 5.0), 12)
-    q["kde_knn"] = lambda s, d: risks(hotspot.nearest_neighbour_kde(two_weeks(s, d), GRID, 15), 12)
-    q["kde_edge_corrected"] = lambda s, d: risks(hotspot.edge_corrected_kde(two_weeks(s, d), masked(s, d), GRID, 200.0), 12)
+    q["kde_gaussian_scott"] = lambda s, d: risks(hotspot.gaussian_kde(train(s, d), GRID), 12)
+    q["kde_fixed"] = lambda s, d: risks(hotspot.gaussian_kde(train(s, d), GRID, 120.0), 12)
+    q["kde_time_exp"] = lambda s, d: risks(hotspot.time_weighted_kde(train(s, d), GRID, TRAIN_END, DAY, "exp", 5.0, 200.0), 12)
+    q["kde_time_quad"] = lambda s, d: risks(hotspot.time_weighted_kde(train(s, d), GRID, TRAIN_END, DAY, "quad", 5.0), 12)
+    q["kde_knn"] = lambda s, d: risks(hotspot.nearest_neighbour_kde(train(s, d), GRID, 15), 12)
+    q["kde_edge_corrected"] = lambda s, d: risks(hotspot.edge_corrected_kde(train(s, d), masked(s, d), GRID, 200.0), 12)
     q["kde_score"] = lambda s, d: rounded(evaluate.kde_score(surface.renormalise(masked(s, d)), score(s, d), GRID, 300.0), "score")
-    q["knn_distance"] = lambda s, d: rounded(hotspot.knn_distance(two_weeks(s, d), 15, 200.0), "distance")
+    q["knn_distance"] = lambda s, d: rounded(hotspot.knn_distance(pts(s, d), 15, 200.0), "distance")
     # Surfaces.
     q["surface_renormalise"] = lambda s, d: risks(prob(s, d), 9)
     q["surface_percentile"] = lambda s, d: rounded(surface.percentile(base(s, d)), "percentile")
@@ -135,15 +131,15 @@ def queries() -> dict[str, Query]:
     q["beta_posterior"] = lambda s, d: rounded(evaluate.beta_posterior(q["hotspot_backtest"](s, d), ["coverage"]), "mean", "sd")
     # Interaction and clusters.
     q["knox_statistic"] = lambda s, d: knox.knox_statistic(pts(s, d), SPACE_BINS, TIME_BINS)
-    q["knox_pvalue"] = lambda s, d: knox.knox_pvalues(points.between(pts(s, d), TRAIN_END, "2024-01-24 00:00:00"), SPACE_BINS, TIME_BINS, 19).drop("distribution")
-    q["scan_best_per_centre"] = lambda s, d: rounded(scan.best_per_centre(scan.scan_candidates(scan_events(s, d), 300.0, 3.0)), "d2", "statistic").select("centre", "d2", "statistic", "space_count", "actual")
-    q["scan_clusters"] = lambda s, d: scan.clusters(scan.scan_candidates(scan_events(s, d), 300.0, 3.0), scan_events(s, d), 5)
+    q["knox_pvalue"] = lambda s, d: knox.knox_pvalues(pts(s, d), SPACE_BINS, TIME_BINS, 19).drop("distribution")
+    q["scan_best_per_centre"] = lambda s, d: rounded(scan.best_per_centre(scan.scan_candidates(pts(s, d), 300.0, 3.0)), "d2", "statistic").select("centre", "d2", "statistic", "space_count", "actual")
+    q["scan_clusters"] = lambda s, d: scan.clusters(scan.scan_candidates(pts(s, d), 300.0, 3.0), pts(s, d), 5)
     # Self-exciting processes.
     q["seppexp_p_matrix"] = lambda s, d: rounded(sepp_p(s, d), "p").select("i", "j", "p")
     q["seppexp_em_1"] = sepp_em
     q["seppexp_predict"] = sepp_predict
-    q["sepp_initial_p"] = lambda s, d: rounded(sepp.initial_p(two_weeks(s, d), 2.0, 100.0), "p")
-    q["sepp_decluster"] = lambda s, d: sepp.decluster(sepp.initial_p(two_weeks(s, d), 2.0, 100.0), 5)
+    q["sepp_initial_p"] = lambda s, d: rounded(sepp.initial_p(pts(s, d), 2.0, 100.0), "p")
+    q["sepp_decluster"] = lambda s, d: sepp.decluster(sepp.initial_p(pts(s, d), 2.0, 100.0), 5)
     # Graphs and networks.
     q["graph_degree"] = lambda s, d: graph.degrees(streets(s)[1])
     q["graph_derived"] = lambda s, d: graph.derived_graph(streets(s)[1])
@@ -159,7 +155,7 @@ def queries() -> dict[str, Query]:
     q["network_hit_counts"] = lambda s, d: rounded(network.hit_counts_by_coverage(street_events(s, d), edge_counts(s, d), streets(s)[1], [10, 20, 50]), "rate")
     q["grid_coverage_to_graph"] = lambda s, d: network.covered_edges(surface.slice_top(base(s, d), 0.1).where("selected"), GRID, shifted(s), streets(s)[1], 0.5)
     q["graph_reduced"] = lambda s, d: graph.reduce_chains(streets(s)[1]).select("k1", "k2", "length")
-    q["sepp_histogram_fit"] = lambda s, d: sepp.histogram_fit(two_weeks(s, d), GRID, [0.0, 0.5, 1.0, 2.0], [0.0, 50.0, 100.0], 14.0, 2)[2]
+    q["sepp_histogram_fit"] = lambda s, d: sepp.histogram_fit(pts(s, d), GRID, [0.0, 0.5, 1.0, 2.0], [0.0, 50.0, 100.0], 30.0, 2)[2]
     q["network_coverage"] = lambda s, d: network.coverage(edge_counts(s, d), streets(s)[1], 0.2)
     q["network_hit_rate"] = lambda s, d: rounded(network.network_hit_rate(street_events(s, d), network.coverage(edge_counts(s, d), streets(s)[1], 0.2)), "rate")
     q["grid_risk_to_graph"] = lambda s, d: network.grid_risk_to_edges(base(s, d), GRID, shifted(s), streets(s)[1])
@@ -180,10 +176,6 @@ def edge_counts(spark: SparkSession, sf: str) -> DataFrame:
     return streets(spark)[1].select("edge_id").join(counts, "edge_id", "left").fillna(0.0, ["risk"])
 
 
-def scan_events(spark: SparkSession, sf: str) -> DataFrame:
-    return points.between(pts(spark, sf), TRAIN_END, "2024-01-26 00:00:00").where("category = 'error' and x < 1500")
-
-
 SEPP_GRID = GridSpec(1500.0, 1000.0, 0.0, 0.0, 4, 3)
 OMEGA, THETA = 1 / 1440, 0.5
 
