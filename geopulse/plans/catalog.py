@@ -180,28 +180,30 @@ SEPP_GRID = GridSpec(1500.0, 1000.0, 0.0, 0.0, 4, 3)
 OMEGA, THETA = 1 / 1440, 0.5
 
 
+MINUTES = 21 * 1440.0
+
+
 def sepp_inputs(spark: SparkSession, sf: str):
-    events = sepp.grid_events(points.between(pts(spark, sf), "2024-01-15 00:00:00", TRAIN_END), SEPP_GRID)
-    pairs = sepp.trigger_pairs(events, 720.0)
-    mu = events.groupBy("gx", "gy").agg((F.count("*") / 10080.0).alias("mu"))
-    return events, pairs, mu
+    """All events before TRAIN_END on the cells, and their rates over those ``MINUTES``."""
+    events = sepp.grid_events(train(spark, sf), SEPP_GRID)
+    mu = events.groupBy("gx", "gy").agg((F.count("*") / MINUTES).alias("mu"))
+    return events, mu
 
 
 def sepp_p(spark: SparkSession, sf: str) -> DataFrame:
-    events, pairs, mu = sepp_inputs(spark, sf)
-    return sepp.p_matrix(events, pairs, OMEGA, THETA, mu)
+    events, mu = sepp_inputs(spark, sf)
+    return sepp.p_matrix(events, sepp.trigger_pairs(events), OMEGA, THETA, mu)
 
 
 def sepp_em(spark: SparkSession, sf: str) -> DataFrame:
-    events, pairs, mu = sepp_inputs(spark, sf)
-    omega, theta, mu = sepp.em_step(events, pairs, OMEGA, THETA, mu, 10080.0)
+    events, mu = sepp_inputs(spark, sf)
+    omega, theta, mu = sepp.em_step(events, OMEGA, THETA, mu, MINUTES)
     return mu.select("gx", "gy", F.round("mu", 9).alias("mu"), F.round(F.lit(omega), 9).alias("omega"), F.round(F.lit(theta), 9).alias("theta"))
 
 
 def sepp_predict(spark: SparkSession, sf: str) -> DataFrame:
-    _, _, mu = sepp_inputs(spark, sf)
-    week = points.between(pts(spark, sf), "2024-01-15 00:00:00", TRAIN_END)
-    return risks(sepp.predict_grid(week, SEPP_GRID, TRAIN_END, OMEGA, THETA, mu), 9)
+    _, mu = sepp_inputs(spark, sf)
+    return risks(sepp.predict_grid(train(spark, sf), SEPP_GRID, TRAIN_END, OMEGA, THETA, mu), 9)
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,7 +8,8 @@ import pytest
 from test_catalog import SF, as_rows
 from test_golden import make_points
 
-from geopulse.operators import hotspot, knox, scan
+from geopulse.functions.grid import GridSpec
+from geopulse.operators import hotspot, knox, scan, sepp
 from geopulse.plans import catalog, oracle
 
 EVERY = "weeks AS (SELECT * FROM pts)"
@@ -19,6 +20,14 @@ WITHOUT |= {name: (oracle.WEEKS, EVERY) for name in ("knn_distance", "sepp_initi
 WITHOUT["scan_best_per_centre"] = (SCANNED, "")
 
 
+def uncut(sql):
+    """The self-exciting queries' SQL over all events before the prediction and all earlier parents."""
+    for old, new in ((" AND b.t - a.t <= 720", ""), ("WHERE ts >= TIMESTAMP '2024-01-15' AND ts <", "WHERE ts <"), ("10080.0", "30240.0")):
+        assert old in sql
+        sql = sql.replace(old, new)
+    return sql
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -82,3 +91,36 @@ def test_neighbour_distances_of_any_density(spark):
     got = {r.event_id: r.distance for r in hotspot.knn_distance(make_points(spark, [("2017-01-01", *p) for p in at.tolist()]), 7, 50.0).collect()}
     d = np.sort(np.hypot(*(at[:, None] - at[None]).transpose(2, 0, 1)), axis=1)[:, 7]
     assert got == {i: pytest.approx(x) for i, x in enumerate(d.tolist())}
+
+
+@pytest.mark.parametrize("name", ["seppexp_p_matrix", "seppexp_em_1", "seppexp_predict"])
+def test_self_excitation_takes_all_parents(spark, duck, name):
+    got, want = catalog.queries()[name](spark, SF).toPandas(), duck.sql(uncut(catalog.oracle_sql()[name])).df()
+    assert as_rows(got) == as_rows(want)
+
+
+@pytest.mark.parametrize("omega", [1 / 1440, 0.5, 0.1])
+def test_em_step_against_full_matrix(spark, omega):
+    rng = np.random.default_rng(8)
+    hours = np.sort(np.concatenate([rng.integers(0, 1000, 40), [0, 0, 5, 5, 5]]))
+    pts = make_points(spark, [(f"2017-{1 + h // 672:02d}-{1 + h // 24 % 28:02d} {h % 24:02d}:00:00", 5.0 + 50 * (k % 2), 5.0) for k, h in enumerate(hours.tolist())])
+    events = sepp.grid_events(pts, GridSpec(50.0, 50.0, 0.0, 0.0, 2, 1))
+    start = {(0, 0): 0.001, (1, 0): 0.002}
+    mu = spark.createDataFrame([(*c, m) for c, m in start.items()], "gx long, gy long, mu double")
+    got = sepp.em_step(events, omega, 0.5, mu, 6e4)
+    p = {(r.i, r.j): r.p for r in sepp.p_matrix(events, sepp.trigger_pairs(events), omega, 0.5, mu).collect()}
+    cells, s, st, n = {c: [] for c in start}, 0.0, 0.0, 0
+    for r in events.collect():
+        cells[r.gx, r.gy].append((r.t, r.event_id))
+    for c, times in cells.items():
+        own = 0.0
+        for t, j in times:
+            g = [(t - a, i, 0.5 * omega * math.exp(-omega * (t - a))) for a, i in times if a < t]
+            total = start[c] + sum(x for *_, x in g)
+            assert p.pop((j, j)) == pytest.approx(start[c] / total)
+            for dt, i, x in g:
+                assert p.pop((i, j)) == pytest.approx(x / total, rel=1e-9, abs=1e-300)
+                s, st = s + x / total, st + dt * x / total
+            own, n = own + start[c] / total, n + 1
+        assert {(r.gx, r.gy): r.mu for r in got[2].collect()}[c] == pytest.approx(own / 6e4)
+    assert not p and got[:2] == (pytest.approx(s / st), pytest.approx(s / n))
