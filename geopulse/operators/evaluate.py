@@ -160,13 +160,14 @@ def bayes_dirichlet(surface: DataFrame, points: DataFrame, grid: GridSpec, bias:
     return s.select((log_gamma(F.col("sb")) - log_gamma(F.col("sa")) + F.col("t") - (F.col("sb") - F.col("sa")) * digamma(F.col("sb"))).alias("score"))
 
 
-def poisson_crps(surface: DataFrame, points: DataFrame, grid: GridSpec, terms: int = 200) -> DataFrame:
+def poisson_crps(surface: DataFrame, points: DataFrame, grid: GridSpec) -> DataFrame:
     """Sum over cells of the continuous ranked probability score of a Poisson count with mean risk * events.
 
-    The distribution function is summed over ``terms`` values, which must exceed the largest count and mean.
+    Each cell's distribution function is summed to ten standard deviations above its count and mean.
     """
     c = with_counts(surface, points, grid).select("gx", "gy", "count", (F.col("risk") * F.sum("count").over(whole())).alias("mean"))
-    each = c.select("*", F.explode(F.sequence(F.lit(0), F.lit(terms - 1))).alias("k"))
+    most = F.greatest("count", "mean")
+    each = c.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(most + 10 * F.sqrt(most) + 30).cast("long"))).alias("k"))
     log_p = F.when(F.col("mean") > 0, F.col("k") * F.ln(F.when(F.col("mean") > 0, F.col("mean"))) - F.col("mean") - log_gamma(F.col("k") + 1.0))
     p = F.coalesce(F.exp(log_p), F.when(F.col("k") == 0, 1.0).otherwise(0.0))
     w = W.partitionBy("gx", "gy").orderBy("k").rowsBetween(W.unboundedPreceding, 0)

@@ -127,7 +127,7 @@ def queries() -> dict[str, Query]:
     q["ranking"] = lambda s, d: rounded(evaluate.ranking(prob(s, d), score(s, d), GRID), "percentile")
     q["bayes_predictive"] = lambda s, d: rounded(evaluate.bayes_predictive(prob(s, d), score(s, d), GRID), "score")
     q["bayes_dirichlet"] = lambda s, d: rounded(evaluate.bayes_dirichlet(prob(s, d), score(s, d), GRID), "score", places=4)
-    q["poisson_crps"] = lambda s, d: rounded(evaluate.poisson_crps(prob(s, d), score(s, d), GRID, 400), "crps", places=3)
+    q["poisson_crps"] = lambda s, d: rounded(evaluate.poisson_crps(prob(s, d), score(s, d), GRID), "crps", places=3)
     q["beta_posterior"] = lambda s, d: rounded(evaluate.beta_posterior(q["hotspot_backtest"](s, d), ["coverage"]), "mean", "sd")
     # Interaction and clusters.
     q["knox_statistic"] = lambda s, d: knox.knox_statistic(pts(s, d), SPACE_BINS, TIME_BINS)

@@ -6,10 +6,10 @@ import duckdb
 import numpy as np
 import pytest
 from test_catalog import SF, as_rows
-from test_golden import make_points
+from test_golden import make_points, surface_of
 
 from geopulse.functions.grid import GridSpec
-from geopulse.operators import hotspot, knox, scan, sepp
+from geopulse.operators import evaluate, hotspot, knox, scan, sepp
 from geopulse.plans import catalog, oracle
 
 EVERY = "weeks AS (SELECT * FROM pts)"
@@ -124,3 +124,16 @@ def test_em_step_against_full_matrix(spark, omega):
             own, n = own + start[c] / total, n + 1
         assert {(r.gx, r.gy): r.mu for r in got[2].collect()}[c] == pytest.approx(own / 6e4)
     assert not p and got[:2] == (pytest.approx(s / st), pytest.approx(s / n))
+
+
+def test_poisson_score_of_full_cells(spark):
+    counts, risks = [900, 450, 0], [0.25, 0.74, 0.01]
+    pts = make_points(spark, [("2017-01-01", x + 0.5, 0.5) for x, n in enumerate(counts) for _ in range(n)])
+    want = 0.0
+    for n, p in zip(counts, risks, strict=True):
+        mean, f = p * sum(counts), 0.0
+        for k in range(5000):
+            f += math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))
+            want += f * f if k < n else (1 - f) ** 2
+    got = evaluate.poisson_crps(surface_of(spark, [risks]), pts, GridSpec(1.0, 1.0, 0.0, 0.0, 3, 1)).head().crps
+    assert got == pytest.approx(want, rel=1e-9)
