@@ -33,7 +33,7 @@ ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{32,}")  # shorter maximal runs would be dropped anyway
 IDENTIFIER = re.compile(rb"\b([A-Za-z_][A-Za-z0-9_]{2,40}) ?[=:(]")
-SENSITIVE = re.compile(rb"key|secret|token|passw|pwd|auth(?!or)|bearer|cred|private|signature|session|salt|access")
+SENSITIVE = re.compile(rb"key|secret|token|passw|pwd|auth(?!or(?!i[sz]))|bearer|cred|private|signature|session|salt|access")
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
 AROUND = 256
 BEFORE = 48

@@ -349,6 +349,16 @@ def test_secret_patterns(spark):
     assert new[3][0] == "é <access> é" and new[5] == (None, None) and new[9][0] == texts[9]
 
 
+def test_secrets_of_authorization(spark):
+    value = "zX9qLm2Vt7RbK4wYs8Pd3NcF6hJ1"
+    heads = ["Authorization: Basic ", "authorization_code = ", "authorize ", "AUTHORISED: ", "author ", "authority of "]
+    texts = [h + value for h in heads]
+    got = {r.doc_id: r.spans for r in secret_scan.op9_secret_scans(table(spark, texts)).collect()}
+    assert [got[i] for i in range(6)] == [f"novel:{len(h)}:{len(h) + 28}" for h in heads[:4]] + ["", ""]
+    new = {r.doc_id: r.text for r in secret_scan.redact_secrets(table(spark, texts)).collect()}
+    assert [new[i] for i in range(6)] == [h + "<novel>" for h in heads[:4]] + texts[4:]
+
+
 def test_decontamination_of_edited_passages(spark):
     rng = np.random.default_rng(2)
     items = [passage(100 + k, 40) for k in range(20)] + [None, "", "short"]
