@@ -19,6 +19,8 @@ pieces; an empty table gives no pieces; further columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
+import os
 from collections import deque
 
 import numpy as np
@@ -47,13 +49,18 @@ def vocabulary() -> str:
 
 
 def load_tokenizer(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:
-    """The encoding, and for each id whether a sentence can end with it."""
+    """The encoding, and for each id whether a sentence can end with it.
+
+    Added tokens, which are single ids in texts too, are read from the JSON file beside the ranks.
+    """
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    ends = np.zeros(max(ranks.values()) + 1, bool)
+    with open(os.path.splitext(path)[0] + ".json", encoding="utf-8") as f:
+        added = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+    ends = np.zeros(max(*ranks.values(), *added.values()) + 1, bool)
     for token, i in ranks.items():
         ends[i] = token.rstrip(b"\"')]").endswith((b".", b"!", b"?", b"\n"))
-    return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), ends
+    return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added), ends
 
 
 def cut_points(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +172,7 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, separator: int = SEPAR
         encoding, ends = load_tokenizer(path)
         packer = Packer(window, TaskContext.get().partitionId() << 40)
         for doc_id, text in rows:
-            ids = encoding.encode_to_numpy((text or b"").decode("utf-8", "replace"), disallowed_special=())
+            ids = encoding.encode_to_numpy((text or b"").decode("utf-8", "replace"), allowed_special="all")
             ids = np.append(ids, np.uint32(separator)).astype("<u4")
             yield from packer.add(doc_id, ids, *cut_points(ids, ends))
         yield from packer.flush(closed=True)

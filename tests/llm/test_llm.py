@@ -120,6 +120,21 @@ def test_packing_round_trip(spark, sample):
     assert padding < 0.05 * lengths.sum()
 
 
+def test_packing_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "one.<|endoftext|><|endoftext|>  \n two", "<|endoftext|", passage(1, 900) + "<|endoftext|>" + passage(2, 900)]
+    got = collections.defaultdict(bytes)
+    for p in packing.pack_documents(table(spark, texts)).toPandas().sort_values(["doc_id", "start"]).itertuples():
+        got[p.doc_id] += p.ids
+    want = [[*tok.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert want[0] == [64, 220, 50256, 275, 0]
+    assert [np.frombuffer(got[i], "<u4").tolist() for i in range(len(texts))] == want
+
+
 def test_best_cuts_are_optimal():
     rng = np.random.default_rng(0)
     for _ in range(30):
