@@ -35,6 +35,7 @@ FLUSH = 1 << 20
 INVERSE = np.uint64(pow(int(MULT), -1, 1 << 64))
 OTHER = np.uint64(0xA0761D6478BD642F)
 ROWS = "b long, f long, doc long, pos long, n long"
+ORDERED_ROWS = f"{ROWS}, id long"
 NULL_DOC = -(2**63)
 
 
@@ -109,7 +110,7 @@ def first_groups(units: np.ndarray, window: int, q: int):
 def refined_groups(units: np.ndarray, window: int, step: int, pos: np.ndarray):
     """(b, f, pos) of the parts of open groups."""
     start, count, at = unpacked(pos)
-    inside = start + count - 1 + window <= len(units)  # a row that repeats a doc_id may be shorter
+    inside = start + count - 1 + window <= len(units)  # of another row, if hashes are equal
     start, count, at = start[inside], count[inside], at[inside]
     for offset, s in segments(units, window):
         own = (start >= offset) & (start < offset + SEGMENT)
@@ -130,17 +131,18 @@ def refined_groups(units: np.ndarray, window: int, step: int, pos: np.ndarray):
 
 
 def once_per_task(found, first_only: bool):
-    """Record batches of ROWS of (doc, b, f, pos), each slice of a stretch of rows once.
+    """Record batches of ROWS (with id if first_only) of (doc, id), (b, f, pos), each slice of a stretch of rows once.
 
     n: rows of the slice (1, or 2 for more); 0 for those that are decided: not the first, and so repeated.
     """
     docs, parts, size = [], [], 0
 
     def flush():
-        doc = np.concatenate(docs)
+        of = np.repeat(np.arange(len(docs)), [len(x[0]) for x in parts])
+        doc, row = (np.array(x, np.int64)[of] for x in zip(*docs, strict=True))
         b, f, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((pos, doc, f, b))
-        b, f, pos, doc = b[order], f[order], pos[order], doc[order]
+        order = np.lexsort((pos, doc, row, f, b))
+        b, f, pos, doc, row = b[order], f[order], pos[order], doc[order], row[order]
         new = np.ones(len(b), bool)
         new[1:] = (b[1:] != b[:-1]) | (f[1:] != f[:-1])
         head = np.flatnonzero(new)
@@ -151,12 +153,13 @@ def once_per_task(found, first_only: bool):
             same = ~new & (doc == doc[head][of]) & (pos == pos[head][of])
             n = np.where(same, 1, np.minimum(n, 1))
         b = np.where(n == 0, signed(mix(doc.view(np.uint64) + pos.view(np.uint64))), b)
+        columns = {"b": b, "f": f, "doc": doc, "pos": pos, "n": n} | ({"id": row} if first_only else {})
         for i in range(0, len(b), 1 << 17):
             cut = slice(i, i + (1 << 17))
-            yield pa.RecordBatch.from_arrays([pa.array(x[cut].astype(np.int64)) for x in (b, f, doc, pos, n)], ["b", "f", "doc", "pos", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[cut].astype(np.int64)) for x in columns.values()], list(columns))
 
     for doc, (b, f, pos) in found:
-        docs.append(np.full(len(b), doc, np.int64))
+        docs.append(doc)
         parts.append((b, f, pos))
         size += len(b)
         if size >= FLUSH:
@@ -169,7 +172,7 @@ def once_per_task(found, first_only: bool):
 def decided(rows: DataFrame, first_only: bool) -> DataFrame:
     """doc, pos, removed, open: the rows that are repeated, and those that share a bucket with others.
 
-    first_only: the first place of a slice (least doc, then start) isn't removed.
+    first_only: the first place of a slice (least id, then doc, then start) isn't removed.
     """
     by_bucket, by_slice = W.partitionBy("b"), W.partitionBy("b", "f")
     # Not more rows of a slice come here than tasks have sent.
@@ -177,7 +180,7 @@ def decided(rows: DataFrame, first_only: bool) -> DataFrame:
         "*",
         F.min("f").over(by_bucket).alias("least"),
         F.max("f").over(by_bucket).alias("most"),
-        F.rank().over(by_slice.orderBy("doc", "pos")).alias("rank"),
+        F.rank().over(by_slice.orderBy(*(["id"] if first_only else []), "doc", "pos")).alias("rank"),
         F.sum("n").over(by_slice).alias("times"),
     )
     removed = "n = 0 or rank > 1" if first_only else "n = 0 or times > 1"
@@ -187,16 +190,16 @@ def decided(rows: DataFrame, first_only: bool) -> DataFrame:
 def repeated_windows(docs: DataFrame, units, window: int, q: int, steps: tuple[int, ...], first_only: bool) -> DataFrame:
     """Every row of docs(key, text, ...) with spans: the removed windows' ranges, or null.
 
-    units(text) gives the sequence of unit values.
+    units(text) gives the sequence of unit values. first_only: the places are in order of docs.doc_id, those without one first.
     """
     bounded_batches(docs.sparkSession)
 
     def first(batches):
         def found():
             for batch in batches:
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for doc, row, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                     for x in first_groups(units(text), window, q):
-                        yield doc, x
+                        yield (doc, row), x
 
         return once_per_task(found(), first_only)
 
@@ -204,22 +207,23 @@ def repeated_windows(docs: DataFrame, units, window: int, q: int, steps: tuple[i
         def run(batches):
             def found():
                 for batch in batches:
-                    for doc, text, pos in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    for doc, row, text, pos in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                         for x in refined_groups(units(text), window, step, np.array(pos, np.int64)):
-                            yield doc, x
+                            yield (doc, row), x
 
             return once_per_task(found(), first_only)
 
         return run
 
-    texts = docs.select("key", "text")
-    level = checkpointed(decided(texts.mapInArrow(first, ROWS), first_only))
+    schema = ORDERED_ROWS if first_only else ROWS
+    texts = docs.select("key", (F.coalesce("doc_id", F.lit(NULL_DOC)) if first_only else F.lit(0).cast("long")).alias("id"), "text")
+    level = checkpointed(decided(texts.mapInArrow(first, schema), first_only))
     removed = level.where("removed").select("doc", "pos")
     for step in steps:
         # Starts of one document only: as many as it has, at most.
         todo = level.where("open").groupBy("doc").agg(F.collect_set("pos").alias("todo"))
         some = maybe_in(texts, "key", level.where("open").select("doc"))
-        rows = some.join(todo, some.key == todo.doc).select("key", "text", "todo").mapInArrow(finer(step), ROWS)
+        rows = some.join(todo, some.key == todo.doc).select("key", "id", "text", "todo").mapInArrow(finer(step), schema)
         level = checkpointed(decided(rows, first_only))
         removed = removed.unionAll(level.where("removed").select("doc", "pos"))
     spans = removed.groupBy("doc").agg(F.collect_set("pos").alias("spans"))

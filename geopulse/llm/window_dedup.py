@@ -2,11 +2,13 @@
 
 Windows that share their least q-gram are counted together in Spark (see ``repeats``), windows
 that begin earlier elsewhere are repeated, and repeated windows merge into maximal removal
-intervals. The first place of each word sequence (least doc_id, then start) stays.
+intervals. The first place of each word sequence (least doc_id, then the hash of doc_id and
+text, then start) stays.
 
 Defined results: a null text has no words; texts shorter than a window lose nothing; rows
-without doc_id count as one document before all others; rows that repeat a doc_id count as one
-document; an empty table gives no rows; further columns are ignored.
+without doc_id come before all others; rows that share a doc_id, or have none, are documents of
+their own where their texts differ, and one document where their texts are equal too; an empty
+table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geopulse.llm.repeats import NULL_DOC, removed_units, repeated_windows, runs
+from geopulse.llm.repeats import removed_units, repeated_windows, runs
 from geopulse.llm.text import WordHash, hash_words, map_rows
 
 WINDOW = 20
@@ -31,15 +33,15 @@ def word_units(cache: WordHash):
 
 def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, q: int = Q) -> DataFrame:
     """doc_id, the kept words joined by one space, n_words, n_removed, and the removed word intervals."""
-    keyed = docs.select(F.coalesce("doc_id", F.lit(NULL_DOC)).alias("key"), F.col("text").cast("binary").alias("text"))
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("binary").alias("text"), "doc_id")
     found = repeated_windows(keyed, word_units(WordHash()), window, q, (1,), first_only=True)
 
     def cut(rows):
-        for key, text, spans in rows:
+        for _, text, doc_id, spans in rows:
             words = (text or b"").split()
             gone = removed_units(len(words), spans, window)
             kept = [w for w, x in zip(words, gone.tolist(), strict=True) if not x] if spans else words
-            yield None if key == NULL_DOC else key, b" ".join(kept), len(words), int(gone.sum()), [{"start": a, "end": b} for a, b in runs(gone)]
+            yield doc_id, b" ".join(kept), len(words), int(gone.sum()), [{"start": a, "end": b} for a, b in runs(gone)]
 
     return map_rows(found, cut, RESULT)
 

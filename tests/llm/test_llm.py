@@ -294,6 +294,18 @@ def test_window_dedup(spark):
     assert got == dict(enumerate(brute_windows(texts, 20)))
 
 
+def test_window_dedup_of_rows_without_own_ids(spark):
+    p, q, x, y = (passage(k, 20) for k in (40, 41, 42, 43))
+    for ids in ([None, None, None], [7, 7, 7], [None, 7, 7]):
+        rows = window_dedup.remove_repeated_windows(table(spark, [f"{p} {q}", f"{x} {p}", f"{p} {y}"], ids)).collect()
+        kept = sorted(r.text.decode() for r in rows)
+        assert kept in [sorted([f"{p} {q}", x, y]), sorted([q, f"{x} {p}", y]), sorted([q, x, f"{p} {y}"])]
+        assert sorted(r.doc_id or 0 for r in rows) == [i or 0 for i in ids]
+        assert ids[0] == ids[1] or f"{p} {q}" in kept
+    same = table(spark, [f"{p} {q}", f"{p} {q}", f"{x} {p}"], [3, 3, 3])
+    assert sum(r.n_removed for r in window_dedup.op5_substring_dedup(same).collect()) in (20, 40)
+
+
 def brute_bytes(texts, n):
     bs = [(t or "").encode() for t in texts]
     count = collections.Counter(b[s : s + n] for b in bs for s in range(len(b) - n + 1))
