@@ -7,36 +7,44 @@ their prefixes. An index list (shingle) is divided into blocks by set size, a bl
 covering one factor of 1/t, and a set is only taken to the blocks that it can match; within a block
 the positions of the shared shingle bound the overlap, so entries too far behind are skipped.
 
-Answers are computed from those of similar sets: first each list's sets are compared with one
-centre of the block. Sets in one component need no further comparison, and for a pair of
-different components the overlaps with their common centre bound the overlap of the pair:
-``|B & C| <= min(|A & B|, |A & C|) + min(|B| - |A & B|, |C| - |A & C|)``. Further centres are
-tried while the pairs left are many against the index's size; then all pairs left are verified,
-so no link between different components is lost.
+Answers are computed from those of similar sets: first each list's sets are compared with the
+centres of their block and the blocks beside it. Sets in one component need no further comparison,
+and for a pair of different components the overlaps with their common centre bound the overlap of
+the pair: ``|B & C| <= min(|A & B|, |A & C|) + min(|B| - |A & B|, |C| - |A & C|)``. Further centres
+are tried while the pairs left are many against the index's size; then all pairs left are
+verified, so no link between different components is lost. Of a list, only the entries outside
+its largest component are taken to the others, so a list of near copies costs no square.
+
+Before whole sets are compared, parity bitmaps bound the overlap from above; they leave hardly
+any pair without a link. Sets are compared by 64-bit hashes of shingles.
 
 Defined results: null texts and texts without words have an empty set, linked with nothing; a
 text with fewer words than a shingle has its whole word sequence as one; rows without doc_id get
-no component_id; repeated rows are in the same class; an empty table gives no rows; further
-columns are ignored.
+no component_id and link nothing; repeated rows are in the same class; rows of one doc_id with
+different texts are judged by their texts; an empty table gives no rows; further columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from geopulse.llm.graph import components
-from geopulse.llm.reduction import maybe_in
-from geopulse.llm.text import WordHash, checkpointed, hash_words, map_rows, release, rolling, signed
+from geopulse.llm.reduction import maybe_in, membership
+from geopulse.llm.text import WordHash, checkpointed, drop_table, hash_words, map_rows, release, rolling, signed
 
 SHINGLE = 4
 PERCENT = 85
 HEAVY_LOCAL = 2
 HEAVY_TOKENS = 1 << 17
-FLUSH_TOKENS = 1 << 21
+FLUSH_TOKENS = 1 << 19
+COMMON = 256  # from this count on a shingle's list is no window's business
 PAIRS_PER_ENTRY = 4
 MAX_ROUNDS = 12
 
@@ -95,29 +103,50 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def parity_bits(own: np.ndarray) -> np.ndarray:
+    """A bitmap in which each shingle turns one bit over: at least two bits for each, a power of two of them.
+
+    The bits in which two such bitmaps differ are at most as many as the shingles that only one set has.
+    """
+    width = 1 << max(6, (2 * len(own) - 1).bit_length())
+    turned = np.bincount((own & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(turned.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def differing(x: Column, y: Column, percent: int) -> Column:
+    """Bits in which two parity bitmaps differ; the wider one is folded to the width of the other."""
+    half = lambda c: F.zip_with(F.slice(c, F.lit(1), (F.size(c) / 2).cast("int")), F.slice(c, (F.size(c) / 2 + 1).cast("int"), (F.size(c) / 2).cast("int")), lambda a, b: a.bitwiseXOR(b))
+    for _ in range(max(1, math.ceil(math.log2(100 / percent)))):
+        x, y = F.when(F.size(x) > F.size(y), half(x)).otherwise(x), F.when(F.size(y) > F.size(x), half(y)).otherwise(y)
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, k: n + k)
+
+
 def prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n, sid (id of the set; null if empty), and the prefix in the global order."""
+    """A row for each document: key (of doc_id and text), doc_id, n, sid (id of the set; null if empty), the prefix in the
+    global order, how many of its shingles come before the common ones, and the parity bitmap."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(frequent_shingles(docs, size))
 
     def run(rows):
         tokens, counts = shared.value
         cache = WordHash()
-        for doc_id, text in rows:
+        for key, doc_id, text in rows:
             s = shingle_set(text, size, cache)
             n = len(s)
             if not n:
-                yield doc_id, 0, None, []
+                yield key, doc_id, 0, None, 0, [], []
                 continue
             own = signed(s)
             weight = np.zeros(n, np.int64)
             if len(tokens):
                 at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
                 weight = np.where(tokens[at] == own, counts[at], 0)
-            first = own[np.lexsort((s, weight))[: prefix_length(n, percent)]]
-            yield doc_id, n, set_id(s), first
+            order = np.lexsort((s, weight))[: prefix_length(n, percent)]
+            rare = int(np.searchsorted(weight[order], COMMON))
+            yield key, doc_id, n, set_id(s), rare, own[order], parity_bits(s)
 
-    return map_rows(docs.select("doc_id", F.col("text").cast("binary").alias("text")), run, "doc_id long, n long, sid long, prefix array<long>")
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", F.col("text").cast("binary").alias("text"))
+    return map_rows(keyed, run, "key long, doc_id long, n long, sid long, rare int, prefix array<long>, bits array<long>", flush=1024)
 
 
 def set_table(docs: DataFrame, size: int) -> DataFrame:
@@ -129,7 +158,7 @@ def set_table(docs: DataFrame, size: int) -> DataFrame:
             s = shingle_set(text, size, cache)
             yield set_id(s), signed(s)
 
-    return map_rows(docs.select(F.col("text").cast("binary")), run, "sid long, tokens array<long>")
+    return map_rows(docs.select(F.col("text").cast("binary")), run, "sid long, tokens array<long>", flush=1024)
 
 
 class Joiner:
@@ -138,138 +167,147 @@ class Joiner:
     def __init__(self, docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT):
         self.docs, self.size, self.percent = docs.select("doc_id", "text"), size, percent
         self.rows = checkpointed(prefixes(docs, size, percent))
+        # One row for each set: the one of the least doc_id; copies are added up within tasks first.
+        least = F.min(F.struct("doc_id", "n", "rare", "prefix", "bits")).alias("r")
+        self.classes = checkpointed(self.rows.where("sid is not null and doc_id is not null").groupBy("sid").agg(least).select("sid", "r.*"))
         block = F.floor(F.log("n") / np.log(100 / percent) + 1e-9).cast("int")
-        entries = self.classes(self.rows).select("sid", "n", block.alias("block"), F.posexplode("prefix").alias("pos", "token"))
-        # Lists with one set only link nothing.
+        entries = self.classes.select("sid", "n", "rare", block.alias("block"), F.posexplode("prefix").alias("pos", "token"))
+        # Lists with one set only link nothing. Those of common shingles are known to be longer, so no window holds them.
         whole = W.partitionBy("token")
-        listed = entries.select("*", F.min("sid").over(whole).alias("lo"), F.max("sid").over(whole).alias("hi"))
-        self.live = checkpointed(listed.where("lo <> hi").drop("lo", "hi"))
-        self.labels = None  # v, label; classes without a row are on their own
-        self.done = None  # a, b, overlap (null where the prefixes already tell that it is too small)
-        self.entries = self.live.count()
-
-    @staticmethod
-    def classes(rows: DataFrame) -> DataFrame:
-        """One row for each set: sid, its least doc_id, n and prefix; copies are added up within tasks first."""
-        least = F.min(F.struct("doc_id", "n", "prefix")).alias("r")
-        return rows.where("sid is not null and doc_id is not null").groupBy("sid").agg(least).select("sid", "r.*")
+        listed = entries.where("pos < rare").select("*", F.min("sid").over(whole).alias("lo"), F.max("sid").over(whole).alias("hi"))
+        live = listed.where("lo <> hi").select("sid", "n", "block", "pos", "token")
+        self.live = checkpointed(live.unionAll(entries.where("pos >= rare").select(*live.columns)))
+        self.links: DataFrame | None = None  # a, b of all links found between classes
+        self.labels: DataFrame | None = None  # v, label; classes without a row are on their own
+        self.answers: DataFrame | None = None  # centre, sid, overlap
 
     def needed(self, m: str, n: str) -> str:
         """SQL: the least overlap of sets of m and n shingles."""
         return f"cast(ceil({self.percent} * ({m} + {n}) / {100 + self.percent} - 1e-9) as long)"
 
-    def labelled(self, live: DataFrame) -> DataFrame:
-        if self.labels is None:
-            return live.withColumn("comp", F.col("sid"))
-        labels = self.labels.select(F.col("v").alias("sid"), "label")
-        return live.join(labels, "sid", "left").withColumn("comp", F.coalesce("label", "sid")).drop("label")
-
-    def contested(self, live: DataFrame) -> DataFrame:
-        """Entries of lists that hold several components."""
-        t = live.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-        return live.join(t, "token", "left_semi")
-
-    def pairs(self, probes: DataFrame, others: DataFrame, extra: str = "true") -> DataFrame:
-        """Candidate pairs a < b of probes with the entries of their own and the next block of the list."""
-        p = probes.select(*(F.col(c).alias(f"p_{c}") for c in probes.columns)).withColumn("p_at", F.explode(F.expr("array(p_block, p_block + 1)")))
-        # Blocks whose farthest position and least set rule out any match are skipped as a whole.
-        blocks = others.groupBy(F.col("token").alias("b_token"), F.col("block").alias("b_block")).agg(F.max(F.expr("n - pos")).alias("reach"), F.min("n").alias("least_n"))
-        p = p.join(blocks, F.expr("p_token = b_token and p_at = b_block")).where(f"least(p_n - p_pos, reach) >= {self.needed('p_n', 'least_n')}")
-        both = p.join(others, (F.col("p_token") == F.col("token")) & (F.col("p_at") == F.col("block")))
-        keep = both.where(
-            f"p_comp <> comp and 100 * least(p_n, n) >= {self.percent} * greatest(p_n, n)"
-            f" and least(p_n - p_pos, n - pos) >= {self.needed('p_n', 'n')} and {extra}"
-        )
-        found = keep.select(F.least("p_sid", "sid").alias("a"), F.greatest("p_sid", "sid").alias("b")).distinct()
-        return found if self.done is None else found.join(self.done.select("a", "b"), ["a", "b"], "left_anti")
-
-    def verify(self, pairs: DataFrame) -> None:
-        """Exact overlaps of the pairs; links are added to the components.
-
-        Of two prefixes, the shingles of the one that ends first can only be shared with the other prefix. So what
-        they share, and what is left behind that prefix, bounds the overlap; whole sets are only made for the rest.
+    def lists(self, by: Column) -> DataFrame:
+        """For each block of a list: its centre (the least by ``by``), how far its entries reach, and its least set.
+
+        A block that reaches no further than a probe needs is skipped as a whole.
         """
+        centre = F.min(F.struct(by.alias("k"), "sid", "n", "pos")).alias("c")
+        found = self.live.groupBy("token", "block").agg(centre, F.max(F.expr("n - pos")).alias("reach"), F.min("n").alias("least_n"))
+        return checkpointed(found.select(F.col("token").alias("t"), F.col("block").alias("b"), F.col("c.sid").alias("centre"), F.col("c.n").alias("c_n"), F.col("c.pos").alias("c_pos"), "reach", "least_n"))
+
+    def sizes_allow(self, m: str, n: str, p: str, q: str) -> str:
+        """SQL: sets of m and n shingles, met at positions p and q, may still be a link."""
+        return f"100 * least({m}, {n}) >= {self.percent} * greatest({m}, {n}) and least({m} - {p}, {n} - {q}) >= {self.needed(m, n)}"
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """The exact overlaps (a, b, overlap, m, n) of those of the pairs a < b whose bitmaps allow a link; links are added."""
+        spark = pairs.sparkSession
+        one = self.classes.select(F.col("sid").alias("a"), F.col("doc_id").alias("d"), F.col("n").alias("m"), F.col("bits").alias("x"))
+        two = self.classes.select(F.col("sid").alias("b"), F.col("doc_id").alias("e"), "n", F.col("bits").alias("y"))
+        bound = F.floor((F.col("m") + F.col("n") - differing(F.col("x"), F.col("y"), self.percent)) / 2)
         pairs = checkpointed(pairs)
-        release(pairs.sparkSession)
-        sids = pairs.select("a").unionAll(pairs.select("b")).distinct()
-        known = checkpointed(self.classes(maybe_in(self.rows, "sid", sids)))
-        one = known.select(F.col("sid").alias("a"), F.col("n").alias("m"), F.col("prefix").alias("x"))
-        two = known.select(F.col("sid").alias("b"), "n", F.col("prefix").alias("y"))
-        shared = F.size(F.array_intersect("x", "y"))
-        behind = F.greatest(F.col("m") - F.size("x"), F.col("n") - F.size("y"))
-        close = pairs.join(one, "a").join(two, "b").where(shared + behind >= F.expr(self.needed("m", "n"))).select("a", "b")
-        close = checkpointed(close)
-        sids = close.select("a").unionAll(close.select("b")).distinct()
-        ids = maybe_in(known, "sid", sids).select("doc_id")
-        sets = checkpointed(set_table(maybe_in(self.docs, "doc_id", ids), self.size).join(sids.select(F.col("a").alias("sid")), "sid", "left_semi"))
+        close = checkpointed(pairs.join(one, "a").join(two, "b").where(bound >= F.expr(self.needed("m", "n"))).select("a", "b", "d", "e"))
+        drop_table(pairs)
+        ids = checkpointed(close.select("d").unionAll(close.select("e")).distinct())
+        # Whole sets are made again for the documents in question, and, where the bitmap is full, for some others.
+        sets = checkpointed(set_table(maybe_in(self.docs, "doc_id", ids), self.size).where("tokens[0] is not null"))
         one = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("x"))
         two = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("y"))
         overlap = F.size(F.array_intersect("x", "y")).cast("long")
+        found = close.join(one, "a").join(two, "b").select("a", "b", overlap.alias("overlap"), F.size("x").alias("m"), F.size("y").alias("n"))
         # Several documents of one set may have come through the reduction: they say the same.
-        new = close.join(one, "a").join(two, "b").select("a", "b", overlap.alias("overlap"), F.size("x").alias("m"), F.size("y").alias("n"))
-        new = checkpointed(new.distinct())
-        release(new.sparkSession)
-        done = pairs.join(new.select("a", "b", "overlap"), ["a", "b"], "left")
-        self.done = done if self.done is None else self.done.unionAll(done)
-        links = new.where(f"100 * overlap >= {self.percent} * (m + n - overlap)").select("a", "b")
-        if self.labels is not None:
-            links = links.unionAll(self.labels.select(F.col("v").alias("a"), F.col("label").alias("b")))
-        self.labels = components(links)
-
-    def centres(self, live: DataFrame, key) -> DataFrame:
-        """One entry of each block of a list: the least by key."""
-        each = F.struct(key.alias("k"), "sid", "n", "pos", "comp")
-        return live.groupBy("token", "block").agg(F.min(each).alias("c")).select("token", "block", "c.sid", "c.n", "c.pos", "c.comp")
+        found = checkpointed(found.distinct())
+        for x in (close, ids, sets):
+            drop_table(x)
+        release(spark)
+        links = found.where(f"100 * overlap >= {self.percent} * (m + n - overlap)").select("a", "b")
+        self.links = links if self.links is None else self.links.unionAll(links)
+        return found
+
+    def compare_with_centres(self, lists: DataFrame) -> None:
+        """Each entry against the centres of its own block and those beside it."""
+        entries = self.live.select("sid", "n", "pos", "token", F.explode(F.expr("array(block - 1, block, block + 1)")).alias("at"))
+        met = entries.join(lists, F.expr("token = t and at = b")).where(f"sid <> centre and {self.sizes_allow('n', 'c_n', 'pos', 'c_pos')}")
+        found = self.verify(met.select(F.least("sid", "centre").alias("a"), F.greatest("sid", "centre").alias("b")).distinct())
+        self.answers = found.select(F.col("a").alias("centre"), F.col("b").alias("sid"), "overlap").unionAll(found.select("b", "a", "overlap"))
+        self.labels = components(self.links)
+
+    def contested(self) -> DataFrame:
+        """token and major, the component with most entries, of each list that holds several; rest: entries of the others."""
+        labels = self.labels.select(F.col("v").alias("sid"), "label")
+        self.live = checkpointed(self.live.drop("comp").join(labels, "sid", "left").withColumn("comp", F.coalesce("label", "sid")).drop("label"))
+        each = self.live.groupBy("token", "comp").agg(F.count("*").alias("k"))
+        of_list = each.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("most"), F.sum("k").alias("entries"))
+        return checkpointed(of_list.where("entries > most.k").select(F.col("token").alias("t"), F.col("most.comp").alias("major"), "entries", F.expr("entries - most.k").alias("rest")))
 
     def run(self) -> DataFrame:
         """sid and label of all classes that are linked with others."""
-        live = self.live.withColumn("comp", F.col("sid"))
-        first = self.centres(live, F.xxhash64("sid"))
-        self.verify(self.pairs(live, first).unionAll(self.pairs(first, live)).distinct())
-        # What is known of each entry from its list's first centre.
-        answers = self.done.unionAll(self.done.select(F.col("b").alias("a"), F.col("a").alias("b"), "overlap"))
-        answers = answers.select(F.col("a").alias("centre"), F.col("b").alias("sid"), "overlap")
-        of = first.select("token", "block", F.col("sid").alias("centre"))
-        self.live = checkpointed(
-            self.live.join(of, ["token", "block"])
-            .join(answers, ["centre", "sid"], "left")
-            .withColumn("overlap", F.expr("if(sid = centre, n, overlap)"))
-        )
-        for k in range(1, MAX_ROUNDS):
-            live = checkpointed(self.contested(self.labelled(self.live)))
-            sizes = live.groupBy("token", "comp").count().groupBy("token").agg(F.sum("count").alias("m"), F.expr("sum(count * count)").alias("q"))
-            left = sizes.agg(F.expr("sum((m * m - q) / 2)")).head()[0]
+        entries = self.live.count()
+        for k in range(MAX_ROUNDS):
+            lists = self.lists(F.col("sid") if k == 0 else F.xxhash64("token", "sid", F.lit(k)))
+            self.compare_with_centres(lists)
+            contested = self.contested()
+            left = contested.agg(F.sum(F.expr("rest * entries"))).head()[0]
             if not left:
                 return self.labels
-            if left <= PAIRS_PER_ENTRY * self.entries:
+            # Only lists with several components are looked at from now on.
+            narrowed = self.live.join(contested.select(F.col("t").alias("token"), "major"), "token")
+            before, self.live = self.live, checkpointed(narrowed)
+            drop_table(before)
+            if left <= PAIRS_PER_ENTRY * entries or k == MAX_ROUNDS - 1:
                 break
-            some = self.centres(live, F.xxhash64("token", "sid", F.lit(k)))
-            self.verify(self.pairs(live, some).unionAll(self.pairs(some, live)).distinct())
-        bound = (
-            "coalesce(p_centre <> centre or least(p_overlap, overlap) + least(p_n - p_overlap, n - overlap)"
-            f" >= {self.needed('p_n', 'n')}, true)"
-        )
-        self.verify(self.pairs(live, live, bound))
+            drop_table(lists)
+            self.live = self.live.drop("major")
+        # Pairs of one component need no comparison: so one of a pair is outside its list's largest component.
+        probes = self.live.select("sid", "n", "pos", "token", "comp", "block", F.col("comp").eqNullSafe(F.col("major")).alias("in_major"), F.explode(F.expr("array(block - 1, block, block + 1)")).alias("at"))
+        probes = probes.join(lists, F.expr("token = t and at = b")).where(f"at = block or not in_major and least(n - pos, reach) >= {self.needed('n', 'least_n')}")
+        probes = probes.drop("t", "b", "c_n", "c_pos", "reach", "least_n").join(self.answers, ["centre", "sid"], "left")
+        probes = checkpointed(probes.withColumn("overlap", F.expr("if(sid = centre, n, overlap)")))
+        ours = probes.where("not in_major").select(*(F.col(c).alias(f"p_{c}") for c in ("sid", "n", "pos", "token", "comp", "at", "overlap", "in_major")))
+        others = probes.where("at = block")
+        # What both share with the block's centre bounds what they share with each other.
+        bound = f"coalesce(least(p_overlap, overlap) + least(p_n - p_overlap, n - overlap) >= {self.needed('p_n', 'n')}, true)"
+        both = ours.join(others, F.expr("p_token = token and p_at = block"))
+        met = both.where(f"p_comp <> comp and (in_major or p_sid < sid) and {self.sizes_allow('p_n', 'n', 'p_pos', 'pos')} and {bound}")
+        self.verify(met.select(F.least("p_sid", "sid").alias("a"), F.greatest("p_sid", "sid").alias("b")).distinct())
+        drop_table(probes)
+        drop_table(lists)
+        self.labels = components(self.links)
         return self.labels
 
 
-def similarity_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id: the least doc_id reachable by links of Jaccard >= percent / 100."""
+def with_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """key (of doc_id and text), doc_id, n_shingles and component_id."""
     joiner = Joiner(docs, size, percent)
     labels = joiner.run().select(F.col("v").alias("sid"), "label")
-    rows = joiner.rows.select("doc_id", "n", "sid").join(labels, "sid", "left")
-    rows = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "sid").alias("comp"))
-    least = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    joined = rows.join(least, "comp", "left")
+    known = checkpointed(joiner.classes.select("sid", "doc_id").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid")))
+    least = checkpointed(known.groupBy("label").agg(F.min("doc_id").alias("component_id")))
+    of_set = checkpointed(known.join(least, "label").select("sid", "component_id"))
+    for x in (known, least, joiner.live, joiner.classes):
+        drop_table(x)
+    release(docs.sparkSession)
+    rows = joiner.rows.select("key", "doc_id", F.col("n").alias("n_shingles"), "sid").join(of_set, "sid", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return joined.select("doc_id", "n_shingles", own.alias("component_id"))
+    return rows.select("key", "doc_id", "n_shingles", own.alias("component_id"))
+
+
+def similarity_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id: the least doc_id reachable by links of Jaccard >= percent / 100."""
+    return with_components(docs, size, percent).drop("key")
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs with one document, that of least doc_id, of each component, once; rows without doc_id stay."""
-    gone = similarity_components(docs, size, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    once = docs.join(gone, "doc_id", "left_anti").withColumn("_text_hash", F.xxhash64("text"))
-    return once.dropDuplicates(["doc_id", "_text_hash"]).select(docs.columns)
+    """docs with one document, that of least doc_id, of each component, once; all rows without doc_id stay.
+
+    Only documents that may go, or may occur twice, are shuffled.
+    """
+    found = checkpointed(with_components(docs, size, percent).where("doc_id is not null").select("key", (F.col("doc_id") != F.col("component_id")).alias("gone")))
+    often = found.groupBy("key").agg(F.count("*").alias("n"), F.max("gone").alias("gone")).where("n > 1 or gone")
+    often = checkpointed(often.select(F.col("key").alias("k"), "gone"))
+    keyed = docs.select(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")).alias("key"), F.struct("*").alias("row"))
+    may = F.coalesce(membership(often.select("k"))(F.col("key")), F.lit(False))
+    some = keyed.where(may).join(often, F.expr("key = k"), "left").where("gone is null or not gone")
+    once = some.where("gone is null").select("row").unionAll(some.where("gone is not null").dropDuplicates(["key"]).select("row"))
+    return keyed.where(~may).select("row").unionAll(once).select("row.*")
 
 
 def op3_jaccard_join(docs: DataFrame) -> DataFrame:

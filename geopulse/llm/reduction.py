@@ -1,25 +1,21 @@
-"""Semi-join reduction by a bitmap of fixed size.
+"""Semi-join reduction by a bitmap of bounded size.
 
 A table is cut down to the rows whose key may be in a set, before it is joined with it. The
-bitmap has a fixed number of bits, so what is broadcast doesn't grow with the data; where the
-set is so large that most bits are set, fewer rows are left out, and the join that follows
-still gives the same result.
+bitmap has some ``SLOTS_PER_KEY`` bits for each key and ``MAX_BITS`` at most, so its size is
+bounded whatever the data; where the set is so large that most bits are set, fewer rows are
+left out, and the join that follows still gives the same result. The bitmap is the value of a
+scalar subquery, so it stays in the JVM.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS = 23  # 1 MB
-
-
-def slot(key: Column) -> Column:
-    return F.xxhash64(key).bitwiseAND((1 << BITS) - 1)
+SLOTS_PER_KEY = 16
+MAX_BITS = 25  # 4 MB
 
 
 def maybe_in(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
@@ -28,19 +24,18 @@ def maybe_in(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
 
 
 def membership(keys: DataFrame) -> Callable[[Column], Column]:
-    """The test whether a column may be among the values of the only column of keys."""
-    own = slot(F.col(keys.columns[0]))
-    bits = F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))")
-    words = keys.select(own.alias("s")).groupBy(F.shiftright("s", 6).alias("word")).agg(bits.alias("bits"))
-    got = words.toPandas()  # at most 2 ** 17 rows
-    bitmap = np.zeros(1 << (BITS - 6), np.int64)
-    bitmap[got["word"].to_numpy()] = got["bits"].to_numpy()
-    shared = keys.sparkSession.sparkContext.broadcast(bitmap)
-
-    def test(slots: pa.Array) -> pa.Array:
-        s = slots.to_numpy(zero_copy_only=False)
-        return pa.array((shared.value[s >> 6] >> (s & 63)) & 1 == 1)
-
-    test.__annotations__ = {"slots": pa.Array, "return": pa.Array}
-    udf = F.arrow_udf(test, "boolean")
-    return lambda column: udf(slot(column))
+    """The test whether a column may be among the values of the only column of keys, which should be a written table."""
+    bits = min(MAX_BITS, max(16, (SLOTS_PER_KEY * keys.count()).bit_length()))
+    slot = lambda key: F.xxhash64(key).bitwiseAND((1 << bits) - 1)
+    mask = F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))")
+    words = keys.select(slot(F.col(keys.columns[0])).alias("s")).groupBy(F.shiftright("s", 6).alias("word")).agg(mask.alias("bits"))
+    blank = keys.sparkSession.range(1 << (bits - 6), numPartitions=1).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+    dense = words.unionAll(blank).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    bitmap = dense.agg(F.array_sort(F.collect_list(F.struct("word", "bits")))["bits"].alias("bitmap")).scalar()
+
+    def test(key: Column) -> Column:
+        s = slot(key)
+        at = F.get(bitmap, F.shiftright(s, 6).cast("int"))
+        return F.call_function("shiftright", at, s.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+
+    return test
