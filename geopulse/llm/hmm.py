@@ -6,12 +6,12 @@ within its class (relative frequency, with a Good-Turing share for words never s
 and states are bounded, the word counts are not: they stay a distributed table.
 
 * Counts: documents are dealt into blocks; a block's words are counted once for the block, and
-  added up over blocks by word. The table (block, word, count) holds for each block just the
-  counts that its documents need.
-* Training: each pass reads all training texts, in stretches of ``STRETCH`` tokens; every task
-  returns its expected counts, which Spark adds up, and the driver gets their sum.
-* Scoring: a block's documents meet the block's counts; the scaled forward recursion runs over
-  whole texts and gives the exact likelihood.
+  added up over blocks by word (partial sums, so common words are no hot task).
+* Training: class ids are written once; each pass reads those of all training texts, in
+  stretches of ``STRETCH`` tokens; every task returns its expected counts, which Spark adds up,
+  and the driver gets their sum.
+* Scoring: a block's documents meet the counts of the block's words; the scaled forward
+  recursion runs over whole texts and gives the exact likelihood.
 
 Defined results: a null text is empty, and an empty text is the end token alone; a missing
 doc_id counts as the empty text for the choice of training rows; repeated rows are counted and
@@ -27,15 +27,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from geopulse.llm.text import arrow_schema, bounded_batches, checkpointed, map_rows
+from geopulse.llm.text import arrow_schema, bounded_batches, checkpointed, drop_table, map_rows
 
 STATES = 12
 TOP_WORDS = 1024
 ENDINGS = 512
 PASSES = 3
 STRETCH = 64
+TOGETHER = 512
 BLOCK_BYTES = 24 << 20
 END = b""
 SEED = 17
@@ -80,7 +80,7 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 
 def block_counts(blocks: DataFrame) -> DataFrame:
-    """block, word, c (count in all training texts), first (true once for each word)."""
+    """block, word, n (count in the block's training texts; 0 for words of other texts alone)."""
 
     def count(rows):
         seen: dict[int, Counter] = {}
@@ -100,10 +100,7 @@ def block_counts(blocks: DataFrame) -> DataFrame:
                 seen, held = {}, 0
         yield from ((b, w, n) for b, x in seen.items() for w, n in x.items())
 
-    rows = map_rows(blocks.select("block", "train", "text"), count, "block long, word binary, n long", flush=65536)
-    by = W.partitionBy("word")  # a row for each block, not for each occurrence
-    rows = rows.select("block", "word", F.sum("n").over(by).alias("c"), F.row_number().over(by.orderBy("block")).alias("k"))
-    return rows.select("block", "word", "c", (F.col("k") == 1).alias("first"))
+    return map_rows(blocks.select("block", "train", "text"), count, "block long, word binary, n long", flush=65536)
 
 
 class Model:
@@ -128,53 +125,69 @@ class Model:
 
 
 def expected(model: Model, sequences: list[np.ndarray], firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected counts (start, transitions, emissions) and log-likelihood of sequences, longest first."""
+    """Expected counts (start, transitions, emissions) and log-likelihood of sequences.
+
+    Arrays have a row for each state and a column for each sequence, the longest first. Single
+    precision within a stretch; sums over stretches are double.
+    """
     order = np.argsort([-len(s) for s in sequences], kind="stable")
     sequences = [sequences[i] for i in order]
     lengths = np.array([len(s) for s in sequences])
     longest, many, states = lengths[0], len(sequences), len(model.trans)
-    grid = np.zeros((longest, many), np.int64)
-    for i, s in enumerate(sequences):
-        grid[: len(s), i] = s
-    active = np.searchsorted(-lengths, -np.arange(longest), side="left")  # sequences longer than t
-    # Single precision within a stretch; sums over stretches are double.
-    emit = model.emit.astype(np.float32)[grid]
+    inside = np.arange(longest)[:, None] < lengths
+    grid = np.zeros((many, longest), np.intp)
+    grid[inside.T] = np.concatenate(sequences)
+    grid = np.ascontiguousarray(grid.T)
+    active = inside.sum(axis=1)
+    emissions_of = np.ascontiguousarray(model.emit.T, np.float32)
     move = model.trans.astype(np.float32)
-    alpha, scale = np.zeros((longest, many, states), np.float32), np.ones((longest, many), np.float32)
-    a = model.start.astype(np.float32)[1 - firsts[order]] * emit[0]
+    back = np.ascontiguousarray(move.T)
+    emit = np.zeros((longest, states, many), np.float32)
+    alpha = np.zeros_like(emit)
+    scale = np.ones((longest, many), np.float32)
+    a = model.start.astype(np.float32)[1 - firsts[order]].T
     for t in range(longest):
         n = active[t]
-        if t:
-            a = (a[:n] @ move) * emit[t, :n]
-        scale[t, :n] = s = a.sum(axis=1)
-        a = a / s[:, None]
-        alpha[t, :n] = a
+        emit[t, :, :n] = e = np.take(emissions_of, grid[t, :n], axis=1)
+        a = (back @ a[:, :n] if t else a) * e
+        scale[t, :n] = s = a.sum(axis=0)
+        a /= s
+        alpha[t, :, :n] = a
     start, trans = np.zeros_like(model.start), np.zeros_like(model.trans)
-    gamma = np.zeros_like(alpha)
-    beta = np.zeros((0, states), np.float32)
+    beta = np.ones((states, active[-1]), np.float32)
     for t in range(longest - 1, -1, -1):
-        n = active[t]
-        later = np.ones((n, states), np.float32)
-        if len(beta):
-            m = len(beta)
-            weighted = emit[t + 1, :m] * beta / scale[t + 1, :m, None]
-            trans += model.trans * (alpha[t, :m].T @ weighted)
-            later[:m] = weighted @ move.T
-        beta = later
-        gamma[t, :n] = alpha[t, :n] * beta
-    np.add.at(start, 1 - firsts[order], gamma[0])
-    mask = (np.arange(longest)[:, None] < lengths).ravel()
-    flat, g = grid.ravel()[mask], gamma.reshape(-1, states)[mask]
-    emissions = np.stack([np.bincount(flat, g[:, k], len(model.emit)) for k in range(states)], axis=1)
+        if t < longest - 1:
+            m = active[t + 1]
+            weighted = emit[t + 1, :, :m] * beta
+            weighted /= scale[t + 1, :m]
+            trans += model.trans * (alpha[t, :, :m] @ weighted.T)
+            beta = np.ones((states, active[t]), np.float32)
+            beta[:, :m] = move @ weighted
+        alpha[t, :, : active[t]] *= beta  # from here on what the state's probability is, given the whole stretch
+    np.add.at(start, 1 - firsts[order], alpha[0].T)
+    flat = grid[inside]
+    emissions = np.stack([np.bincount(flat, alpha[:, k][inside], len(model.emit)) for k in range(states)], axis=1)
     return start, trans, emissions, float(np.log10(scale).sum(dtype=np.float64))
 
 
-def baum_welch_pass(docs: DataFrame, classes: Classes, model: Model) -> tuple[Model, float]:
+def class_sequences(docs: DataFrame, classes: Classes) -> DataFrame:
+    """The class ids of the training texts' tokens as 16-bit numbers, written once for all passes."""
+    shared = docs.sparkSession.sparkContext.broadcast(classes)
+
+    def run(rows):
+        for (text,) in rows:
+            yield (shared.value.of(tokens(text)).astype("<u2").tobytes(),)
+
+    return checkpointed(map_rows(docs.where("train").select("text"), run, "ids binary"))
+
+
+def baum_welch_pass(sequences: DataFrame, model: Model) -> tuple[Model, float]:
     """One pass over all training texts: counts of each task, added up in Spark."""
-    shared = docs.sparkSession.sparkContext.broadcast((classes, model))
+    shared = sequences.sparkSession.sparkContext.broadcast(model)
+    states, n_classes = len(model.trans), len(model.emit)
 
     def count(rows):
-        classes, model = shared.value
+        model = shared.value
         parts: list[np.ndarray] = []
         firsts: list[int] = []
         total = None
@@ -183,13 +196,12 @@ def baum_welch_pass(docs: DataFrame, classes: Classes, model: Model) -> tuple[Mo
             new = expected(model, parts, np.array(firsts))
             return new if total is None else tuple(a + b for a, b in zip(total, new, strict=True))
 
-        for (text,) in rows:
-            words = tokens(text)
-            ids = classes.of(words)
+        for (ids,) in rows:
+            ids = np.frombuffer(ids, "<u2")
             for i in range(0, len(ids), STRETCH):
                 parts.append(ids[i : i + STRETCH])
                 firsts.append(int(i == 0))
-                if len(parts) == 512:
+                if len(parts) == TOGETHER:
                     total = add(total)
                     parts, firsts = [], []
         if parts:
@@ -200,20 +212,19 @@ def baum_welch_pass(docs: DataFrame, classes: Classes, model: Model) -> tuple[Mo
             for i in range(0, len(flat), 4096):
                 yield i, flat[i : i + 4096]
 
-    partial = map_rows(docs.where("train").select("text"), count, "at long, x array<double>")
+    partial = map_rows(sequences, count, "at long, x array<double>")
     # Sums of arrays by element: each task gave one array for each place.
     rows = partial.select("at", F.posexplode("x").alias("k", "v")).groupBy((F.col("at") + F.col("k")).alias("i")).agg(F.sum("v").alias("v"))
     got = rows.toPandas()  # as many rows as the model has numbers
-    states = len(model.trans)
-    flat = np.zeros(1 + 2 * states + states * states + classes.n * states)
+    flat = np.zeros(1 + 2 * states + states * states + n_classes * states)
     flat[got["i"].to_numpy(np.int64)] = got["v"].to_numpy()
     cut = np.split(flat[1:], [2 * states, 2 * states + states * states])
     return Model.of(cut[0].reshape(2, states), cut[1].reshape(states, states), cut[2].reshape(-1, states)), float(flat[0])
 
 
-def class_totals(counts: DataFrame, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
+def class_totals(totals: DataFrame, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
     """For each class: training tokens, and tokens of words seen once."""
-    shared = counts.sparkSession.sparkContext.broadcast(classes)
+    shared = totals.sparkSession.sparkContext.broadcast(classes)
 
     def total(rows):
         classes = shared.value
@@ -224,7 +235,7 @@ def class_totals(counts: DataFrame, classes: Classes) -> tuple[np.ndarray, np.nd
             once[k] += c == 1
         yield from ((k, int(n[k]), int(once[k])) for k in np.flatnonzero(n))
 
-    rows = map_rows(counts.where("first and c > 0").select("word", "c"), total, "k long, n long, once long")
+    rows = map_rows(totals.where("c > 0").select("word", "c"), total, "k long, n long, once long")
     got = rows.groupBy("k").agg(F.sum("n").alias("n"), F.sum("once").alias("once")).toPandas()  # at most a row for each class
     n, once = np.zeros(classes.n), np.zeros(classes.n)
     n[got["k"]], once[got["k"]] = got["n"], got["once"]
@@ -235,26 +246,25 @@ def forward(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     """log10 probability of each sequence, by the scaled forward recursion."""
     out = np.zeros(len(sequences))
     order = np.argsort([-len(s) for s in sequences], kind="stable")
-    for i in range(0, len(order), 256):
-        part = order[i : i + 256]
+    emissions_of, back = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.trans.T)
+    for i in range(0, len(order), 512):
+        part = order[i : i + 512]
         lengths = np.array([len(sequences[k]) for k in part])
         active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
-        a = np.repeat(model.start[:1], len(part), axis=0)
-        for lo in range(0, int(lengths[0]), 512):  # bounded memory for long texts
-            grid = np.zeros((min(512, int(lengths[0]) - lo), int(active[lo])), np.int64)
+        a = np.repeat(model.start[:1].T, len(part), axis=1)
+        for lo in range(0, int(lengths[0]), 256):  # bounded memory for long texts
+            grid = np.zeros((min(256, int(lengths[0]) - lo), int(active[lo])), np.intp)
             for j, k in enumerate(part[: active[lo]]):
-                piece = sequences[k][lo : lo + 512]
+                piece = sequences[k][lo : lo + 256]
                 grid[: len(piece), j] = piece
-            logs = np.zeros(grid.shape)
+            scales = np.ones(grid.shape)
             for t in range(len(grid)):
                 n = active[lo + t]
-                a = a[:n] if lo + t == 0 else a[:n] @ model.trans
-                a = a * model.emit[grid[t, :n]]
-                s = a.sum(axis=1)
-                a /= s[:, None]
-                logs[t, :n] = s
-            logs[logs == 0] = 1
-            out[part[: active[lo]]] += np.log10(logs).sum(axis=0)
+                a = a[:, :n] if lo + t == 0 else back @ a[:, :n]
+                a = a * np.take(emissions_of, grid[t, :n], axis=1)
+                scales[t, :n] = s = a.sum(axis=0)
+                a /= s
+            out[part[: active[lo]]] += np.log10(scales).sum(axis=0)
     return out
 
 
@@ -267,34 +277,43 @@ def language_model_scores(docs: DataFrame, states: int = STATES, top_words: int
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks))
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), (fold(F.col("doc_id")) != 2).alias("train"), block.alias("block"))
     counts = checkpointed(block_counts(rows.repartition("block")))
-    known = counts.where("first and c > 0")
+    words = checkpointed(counts.groupBy("word").agg(F.sum("n").alias("c")))
+    known = words.where("c > 0")
     n, v = known.agg(F.sum("c"), F.count("*")).head()
     n, v = n or 0, v or 0
-    top = [bytes(r.word) for r in known.where(F.octet_length("word") > 0).orderBy(F.desc("c"), "word").limit(top_words).collect()]
+    # The end token's count comes with them: it is counted like a word.
+    most = known.orderBy(F.octet_length("word") > 0, F.desc("c"), "word").limit(top_words + 1).collect()
+    top = {bytes(r.word): r.c for r in most if r.word} if top_words else {}
+    ends = sum(r.c for r in most if not r.word)
     classes = Classes([END, *top])
     model = Model(states, classes.n)
+    sequences = class_sequences(rows, classes)
     for _ in range(passes):
-        model, _ = baum_welch_pass(rows, classes, model)
-    totals, once = class_totals(counts, classes)
+        model, _ = baum_welch_pass(sequences, model)
+    drop_table(sequences)
+    totals, once = class_totals(words, classes)
     unseen = (once + 0.5) / (totals + 1.0)
     unseen[: len(classes.top)] = 1e-9  # classes of one word
     unseen[totals == 0] = 1.0
-    shared = spark.sparkContext.broadcast((classes, model, totals, unseen))
+    # Words of their own class are known to every task; each block's other words meet their counts.
+    common = spark.createDataFrame([(w,) for w in classes.top], "word binary")
+    rest = counts.select("block", "word").join(F.broadcast(common), "word", "left_anti").join(words, "word").select("block", "word", "c")
+    shared = spark.sparkContext.broadcast((classes, model, totals, unseen, {END: ends, **top}))
     names, types = arrow_schema(spark, SCORES)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        classes, model, totals, unseen = shared.value
-        words = right.column("word").to_pylist()
+        classes, model, totals, unseen, common = shared.value
+        words = [*common, *right.column("word").to_pylist()]
         place = {w: i for i, w in enumerate(words)}
-        c = right.column("c").to_numpy().astype(np.float64)
+        c = np.concatenate([list(common.values()), right.column("c").to_numpy()]).astype(np.float64)
         kind = classes.of(words)
         base = np.log10((c + 1) / (n + v + 1))
         with np.errstate(divide="ignore"):
             within = np.where(c > 0, np.log10((1 - unseen[kind]) * c / np.maximum(totals[kind], 1)), np.log10(unseen[kind]))
         sequences, stats = [], []
         for text in left.column("text").to_pylist():
-            at = [place[w] for w in tokens(text)]
-            at = np.array(at, np.int64)
+            words = tokens(text)
+            at = np.fromiter(map(place.__getitem__, words), np.intp, len(words))
             sequences.append(kind[at])
             stats.append((len(at), int((c[at] > 0).sum()), base[at].sum(), within[at].sum()))
         logs = forward(model, sequences) if sequences else np.empty(0)
@@ -303,7 +322,7 @@ def language_model_scores(docs: DataFrame, states: int = STATES, top_words: int
         return pa.Table.from_arrays([left.column("doc_id").combine_chunks(), *(pa.array(x, t) for x, t in zip([*columns[:3], whole], types[1:], strict=True))], names)
 
     scored = (
-        rows.select("doc_id", "text", "block").groupBy("block").cogroup(counts.select("block", "word", "c").groupBy("block")).applyInArrow(score, SCORES)
+        rows.select("doc_id", "text", "block").groupBy("block").cogroup(rest.groupBy("block")).applyInArrow(score, SCORES)
     )
     return scored.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
