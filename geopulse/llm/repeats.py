@@ -19,7 +19,7 @@ Positions are kept in one long: start * 2**24 + number of starts * 2**12 + (q-gr
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from geopulse.llm.reduction import maybe_in, membership
-from geopulse.llm.text import MULT, bounded_batches, checkpointed, mix, signed
+from geopulse.llm.text import MULT, bounded_batches, checkpointed, drop_table, mix, release, signed
 
 SEGMENT = 1 << 19
 FLUSH = 1 << 20
@@ -39,11 +39,15 @@ ORDERED_ROWS = f"{ROWS}, id long"
 NULL_DOC = -(2**63)
 
 
-@lru_cache(maxsize=8)
+POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """MULT ** i and MULT ** -i modulo 2**64 for i up to n."""
-    with np.errstate(over="ignore"):
-        return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x)]), dtype=np.uint64) for x in (MULT, INVERSE))
+    """MULT ** i and MULT ** -i modulo 2**64 for i up to n, kept for each power of two n."""
+    if n not in POWERS:
+        with np.errstate(over="ignore"):
+            POWERS[n] = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x)]), dtype=np.uint64) for x in (MULT, INVERSE))
+    return POWERS[n]
 
 
 class Slices:
@@ -94,16 +98,23 @@ def unpacked(pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return pos >> 24, (pos >> 12) & 4095, pos & 4095
 
 
-def first_groups(units: np.ndarray, window: int, q: int):
-    """(b, f, pos) of the groups of all windows."""
-    if len(units) < window:
+def first_groups(units: np.ndarray, window: int, q: int, allowed: np.ndarray | None = None):
+    """(b, f, pos) of the groups of all windows, or of those with allowed starts."""
+    if len(units) < window or allowed is not None and not allowed.any():
         return
     for offset, s in segments(units, window):
         grams = s.grams(q)
         at = least_positions(grams, window - q + 1)
-        change = np.flatnonzero(np.diff(at)) + 1
-        lo = np.concatenate([[0], change])
-        hi = np.concatenate([change, [len(at)]]) - 1
+        if allowed is None:
+            change = np.flatnonzero(np.diff(at)) + 1
+            lo = np.concatenate([[0], change])
+            hi = np.concatenate([change, [len(at)]]) - 1
+        else:
+            group = np.where(allowed[offset : offset + len(at)], at, -1)
+            change = np.flatnonzero(np.diff(group)) + 1
+            lo = np.concatenate([[0], change])
+            hi = np.concatenate([change, [len(at)]]) - 1
+            lo, hi = lo[group[lo] >= 0], hi[group[lo] >= 0]
         yield signed(grams[at[lo]]), signed(mix(s.raw(lo, hi + window))), packed(lo + offset, hi - lo + 1, at[lo] - lo)
 
 
@@ -172,33 +183,64 @@ def once_per_task(found, first_only: bool):
 def decided(rows: DataFrame, first_only: bool) -> DataFrame:
     """doc, pos, removed, open: the rows that are repeated, and those that share a bucket with others.
 
-    first_only: the first place of a slice (least id, then doc, then start) isn't removed.
+    first_only: the first place of a slice (least id, then doc, then start) isn't removed. A bucket may hold very many
+    slices, so what is known of buckets comes from an aggregate with partial sums; buckets of one row go before any
+    row is shuffled.
     """
-    by_bucket, by_slice = W.partitionBy("b"), W.partitionBy("b", "f")
+    rows = checkpointed(rows)
+    buckets = rows.where("n > 0").groupBy("b").agg(F.min("f").alias("least"), F.max("f").alias("most"), F.sum("n").alias("n"))
+    shared = checkpointed(buckets.where("least <> most or n > 1").select(F.col("b").alias("bucket"), F.expr("least <> most").alias("mixed")))
+    some = maybe_in(rows.where("n > 0"), "b", shared.select("bucket"))
     # Not more rows of a slice come here than tasks have sent.
-    seen = rows.select(
-        "*",
-        F.min("f").over(by_bucket).alias("least"),
-        F.max("f").over(by_bucket).alias("most"),
+    by_slice = W.partitionBy("b", "f")
+    seen = some.select(
+        "b", "doc", "pos",
         F.rank().over(by_slice.orderBy(*(["id"] if first_only else []), "doc", "pos")).alias("rank"),
         F.sum("n").over(by_slice).alias("times"),
-    )
-    removed = "n = 0 or rank > 1" if first_only else "n = 0 or times > 1"
-    return seen.select("doc", "pos", F.expr(removed).alias("removed"), F.expr("n > 0 and rank = 1 and least <> most").alias("open")).where("removed or open")
+    )
+    again = F.expr("rank > 1" if first_only else "times > 1")
+    seen = seen.join(shared, F.expr("b = bucket")).select("doc", "pos", again.alias("removed"), F.expr("rank = 1 and mixed").alias("open")).where("removed or open")
+    out = checkpointed(seen.unionAll(rows.where("n = 0").select("doc", "pos", F.lit(True).alias("removed"), F.lit(False).alias("open"))))
+    drop_table(rows)
+    drop_table(shared)
+    return out
+
+
+def repeated_starts(units_n: int, spans: list[int], window: int) -> np.ndarray:
+    """Which starts of windows the spans name."""
+    edge = np.zeros(max(0, units_n - window + 1) + 1, np.int64)
+    start, count, _ = unpacked(np.array(spans, np.int64))
+    inside = start + count <= len(edge) - 1
+    np.add.at(edge, start[inside], 1)
+    np.add.at(edge, (start + count)[inside], -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def longer_starts(units_n: int, spans: list[int], shorter: int, window: int) -> np.ndarray:
+    """Starts of windows all of whose shorter windows are repeated: only those can be repeated themselves."""
+    alone = np.concatenate([[0], np.cumsum(~repeated_starts(units_n, spans, shorter))])
+    n = units_n - window + 1
+    return alone[window - shorter + 1 : window - shorter + 1 + n] == alone[:n] if n > 0 else np.zeros(0, bool)
 
 
-def repeated_windows(docs: DataFrame, units, window: int, q: int, steps: tuple[int, ...], first_only: bool) -> DataFrame:
-    """Every row of docs(key, text, ...) with spans: the removed windows' ranges, or null.
+def repeated_windows(
+    docs: DataFrame, units, window: int, q: int, steps: tuple[int, ...], first_only: bool, shorter: tuple[DataFrame, int] | None = None
+) -> DataFrame:
+    """doc (key of a document) and spans: the repeated windows' ranges, for each of docs(key, text, ...) that has any.
 
-    units(text) gives the sequence of unit values. first_only: the places are in order of docs.doc_id, those without one first.
+    units(text) gives the sequence of unit values. first_only: the places are in order of docs.doc_id, those without one
+    first. shorter: the result for a shorter window and that window; only starts are looked at whose shorter windows,
+    at all later offsets within the window, are repeated.
     """
     bounded_batches(docs.sparkSession)
 
     def first(batches):
         def found():
             for batch in batches:
-                for doc, row, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    for x in first_groups(units(text), window, q):
+                for doc, row, text, *known in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    u = units(text)
+                    allowed = longer_starts(len(u), known[0], short, window) if known else None
+                    for x in first_groups(u, window, q, allowed):
                         yield (doc, row), x
 
         return once_per_task(found(), first_only)
@@ -217,21 +259,36 @@ def repeated_windows(docs: DataFrame, units, window: int, q: int, steps: tuple[i
 
     schema = ORDERED_ROWS if first_only else ROWS
     texts = docs.select("key", (F.coalesce("doc_id", F.lit(NULL_DOC)) if first_only else F.lit(0).cast("long")).alias("id"), "text")
-    level = checkpointed(decided(texts.mapInArrow(first, schema), first_only))
-    removed = level.where("removed").select("doc", "pos")
+    if shorter:
+        known, short = shorter
+        some = maybe_in(texts, "key", known.select("doc"))
+        rows = some.join(known, some.key == known.doc).select("key", "id", "text", "spans")
+    else:
+        rows = texts
+    levels = [decided(rows.mapInArrow(first, schema), first_only)]
     for step in steps:
         # Starts of one document only: as many as it has, at most.
-        todo = level.where("open").groupBy("doc").agg(F.collect_set("pos").alias("todo"))
-        some = maybe_in(texts, "key", level.where("open").select("doc"))
+        todo = levels[-1].where("open").groupBy("doc").agg(F.collect_set("pos").alias("todo"))
+        some = maybe_in(texts, "key", levels[-1].where("open").select("doc"))
         rows = some.join(todo, some.key == todo.doc).select("key", "id", "text", "todo").mapInArrow(finer(step), schema)
-        level = checkpointed(decided(rows, first_only))
-        removed = removed.unionAll(level.where("removed").select("doc", "pos"))
-    spans = removed.groupBy("doc").agg(F.collect_set("pos").alias("spans"))
-    # Texts without any span need no join, and so no shuffle.
-    may = membership(removed.select("doc"))(F.col("key"))
+        levels.append(decided(rows, first_only))
+    removed = reduce(DataFrame.unionAll, (x.where("removed").select("doc", "pos") for x in levels))
+    spans = checkpointed(removed.groupBy("doc").agg(F.collect_set("pos").alias("spans")))
+    for x in levels:
+        drop_table(x)
+    release(docs.sparkSession)
+    return spans
+
+
+def with_spans(docs: DataFrame, **spans: DataFrame) -> DataFrame:
+    """docs with a column of ranges for each result of ``repeated_windows``; texts without any are not shuffled."""
+    keys = reduce(DataFrame.unionAll, (x.select("doc") for x in spans.values()))
+    may = membership(keys)(F.col("key"))
     some, other = docs.where(may), docs.where(~may)
-    joined = some.join(spans, some.key == spans.doc, "left").select(*docs.columns, "spans")
-    return joined.unionAll(other.select("*", F.lit(None).cast("array<long>").alias("spans")))
+    for name, x in spans.items():
+        some = some.join(x.select(F.col("doc").alias("key"), F.col("spans").alias(name)), "key", "left")
+        other = other.withColumn(name, F.lit(None).cast("array<long>"))
+    return some.unionAll(other)
 
 
 def removed_units(n: int, spans: list[int] | None, window: int) -> np.ndarray:

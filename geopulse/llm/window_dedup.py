@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geopulse.llm.repeats import removed_units, repeated_windows, runs
+from geopulse.llm.repeats import removed_units, repeated_windows, runs, with_spans
 from geopulse.llm.text import WordHash, hash_words, map_rows
 
 WINDOW = 20
@@ -34,7 +34,7 @@ def word_units(cache: WordHash):
 def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, q: int = Q) -> DataFrame:
     """doc_id, the kept words joined by one space, n_words, n_removed, and the removed word intervals."""
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("binary").alias("text"), "doc_id")
-    found = repeated_windows(keyed, word_units(WordHash()), window, q, (1,), first_only=True)
+    found = with_spans(keyed, spans=repeated_windows(keyed, word_units(WordHash()), window, q, (1,), first_only=True))
 
     def cut(rows):
         for _, text, doc_id, spans in rows:
