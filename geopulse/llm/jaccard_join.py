@@ -27,6 +27,7 @@ ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -45,8 +46,7 @@ HEAVY_LOCAL = 2
 HEAVY_TOKENS = 1 << 17
 FLUSH_TOKENS = 1 << 19
 COMMON = 256  # from this count on a shingle's list is no window's business
-PAIRS_PER_ENTRY = 4
-MAX_ROUNDS = 12
+PAIRS_PER_ENTRY = 256
 
 
 def shingle_set(text: bytes | None, size: int, cache: WordHash) -> np.ndarray:
@@ -85,7 +85,7 @@ def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
             yield from flush()
 
     counts = map_rows(docs.select(F.col("text").cast("binary")), count, "token long, n long")
-    counts = checkpointed(counts.groupBy("token").agg(F.sum("n").alias("n")))
+    counts = checkpointed(counts.groupBy("token").agg(F.sum("n").alias("n")), 40 * docs.count())
     # The least count of which at most HEAVY_TOKENS shingles have as many: from the number of shingles for each quarter of a power of two.
     sizes = counts.groupBy(F.floor(F.log2("n") * 4).alias("k")).agg(F.count("*").alias("m"), F.min("n").alias("n")).orderBy(F.desc("k")).collect()
     total, least = 0, None
@@ -169,14 +169,17 @@ class Joiner:
         self.rows = checkpointed(prefixes(docs, size, percent))
         # One row for each set: the one of the least doc_id; copies are added up within tasks first.
         least = F.min(F.struct("doc_id", "n", "rare", "prefix", "bits")).alias("r")
-        self.classes = checkpointed(self.rows.where("sid is not null and doc_id is not null").groupBy("sid").agg(least).select("sid", "r.*"))
+        self.n = self.rows.count()
+        # Rows hold arrays: a tenth as many go into a file.
+        self.classes = checkpointed(self.rows.where("sid is not null and doc_id is not null").groupBy("sid").agg(least).select("sid", "r.*"), 10 * self.n)
         block = F.floor(F.log("n") / np.log(100 / percent) + 1e-9).cast("int")
         entries = self.classes.select("sid", "n", "rare", block.alias("block"), F.posexplode("prefix").alias("pos", "token"))
         # Lists with one set only link nothing. Those of common shingles are known to be longer, so no window holds them.
         whole = W.partitionBy("token")
         listed = entries.where("pos < rare").select("*", F.min("sid").over(whole).alias("lo"), F.max("sid").over(whole).alias("hi"))
         live = listed.where("lo <> hi").select("sid", "n", "block", "pos", "token")
-        self.live = checkpointed(live.unionAll(entries.where("pos >= rare").select(*live.columns)))
+        self.live = checkpointed(live.unionAll(entries.where("pos >= rare").select(*live.columns)), 40 * self.n)
+        self.entries = self.live.count()
         self.links: DataFrame | None = None  # a, b of all links found between classes
         self.labels: DataFrame | None = None  # v, label; classes without a row are on their own
         self.answers: DataFrame | None = None  # centre, sid, overlap
@@ -192,7 +195,7 @@ class Joiner:
         """
         centre = F.min(F.struct(by.alias("k"), "sid", "n", "pos")).alias("c")
         found = self.live.groupBy("token", "block").agg(centre, F.max(F.expr("n - pos")).alias("reach"), F.min("n").alias("least_n"))
-        return checkpointed(found.select(F.col("token").alias("t"), F.col("block").alias("b"), F.col("c.sid").alias("centre"), F.col("c.n").alias("c_n"), F.col("c.pos").alias("c_pos"), "reach", "least_n"))
+        return checkpointed(found.select(F.col("token").alias("t"), F.col("block").alias("b"), F.col("c.sid").alias("centre"), F.col("c.n").alias("c_n"), F.col("c.pos").alias("c_pos"), "reach", "least_n"), self.entries)
 
     def sizes_allow(self, m: str, n: str, p: str, q: str) -> str:
         """SQL: sets of m and n shingles, met at positions p and q, may still be a link."""
@@ -204,10 +207,12 @@ class Joiner:
         one = self.classes.select(F.col("sid").alias("a"), F.col("doc_id").alias("d"), F.col("n").alias("m"), F.col("bits").alias("x"))
         two = self.classes.select(F.col("sid").alias("b"), F.col("doc_id").alias("e"), "n", F.col("bits").alias("y"))
         bound = F.floor((F.col("m") + F.col("n") - differing(F.col("x"), F.col("y"), self.percent)) / 2)
-        pairs = checkpointed(pairs)
-        close = checkpointed(pairs.join(one, "a").join(two, "b").where(bound >= F.expr(self.needed("m", "n"))).select("a", "b", "d", "e"))
+        pairs = checkpointed(pairs, self.entries)
+        count = pairs.count()
+        close = checkpointed(pairs.join(one, "a").join(two, "b").where(bound >= F.expr(self.needed("m", "n"))).select("a", "b", "d", "e"), 4 * count)
         drop_table(pairs)
-        ids = checkpointed(close.select("d").unionAll(close.select("e")).distinct())
+        count = close.count()
+        ids = checkpointed(close.select("d").unionAll(close.select("e")).distinct(), 2 * count)
         # Whole sets are made again for the documents in question, and, where the bitmap is full, for some others.
         sets = checkpointed(set_table(maybe_in(self.docs, "doc_id", ids), self.size).where("tokens[0] is not null"))
         one = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("x"))
@@ -215,7 +220,7 @@ class Joiner:
         overlap = F.size(F.array_intersect("x", "y")).cast("long")
         found = close.join(one, "a").join(two, "b").select("a", "b", overlap.alias("overlap"), F.size("x").alias("m"), F.size("y").alias("n"))
         # Several documents of one set may have come through the reduction: they say the same.
-        found = checkpointed(found.distinct())
+        found = checkpointed(found.distinct(), 40 * count)
         for x in (close, ids, sets):
             drop_table(x)
         release(spark)
@@ -229,20 +234,20 @@ class Joiner:
         met = entries.join(lists, F.expr("token = t and at = b")).where(f"sid <> centre and {self.sizes_allow('n', 'c_n', 'pos', 'c_pos')}")
         found = self.verify(met.select(F.least("sid", "centre").alias("a"), F.greatest("sid", "centre").alias("b")).distinct())
         self.answers = found.select(F.col("a").alias("centre"), F.col("b").alias("sid"), "overlap").unionAll(found.select("b", "a", "overlap"))
-        self.labels = components(self.links)
+        self.labels = components(self.links, self.n)
 
     def contested(self) -> DataFrame:
         """token and major, the component with most entries, of each list that holds several; rest: entries of the others."""
         labels = self.labels.select(F.col("v").alias("sid"), "label")
-        self.live = checkpointed(self.live.drop("comp").join(labels, "sid", "left").withColumn("comp", F.coalesce("label", "sid")).drop("label"))
+        self.live = checkpointed(self.live.drop("comp", "major").join(labels, "sid", "left").withColumn("comp", F.coalesce("label", "sid")).drop("label"), self.entries)
         each = self.live.groupBy("token", "comp").agg(F.count("*").alias("k"))
         of_list = each.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("most"), F.sum("k").alias("entries"))
-        return checkpointed(of_list.where("entries > most.k").select(F.col("token").alias("t"), F.col("most.comp").alias("major"), "entries", F.expr("entries - most.k").alias("rest")))
+        return checkpointed(of_list.where("entries > most.k").select(F.col("token").alias("t"), F.col("most.comp").alias("major"), "entries", F.expr("entries - most.k").alias("rest")), self.entries)
 
     def run(self) -> DataFrame:
         """sid and label of all classes that are linked with others."""
-        entries = self.live.count()
-        for k in range(MAX_ROUNDS):
+        before = math.inf
+        for k in itertools.count():
             lists = self.lists(F.col("sid") if k == 0 else F.xxhash64("token", "sid", F.lit(k)))
             self.compare_with_centres(lists)
             contested = self.contested()
@@ -251,17 +256,18 @@ class Joiner:
                 return self.labels
             # Only lists with several components are looked at from now on.
             narrowed = self.live.join(contested.select(F.col("t").alias("token"), "major"), "token")
-            before, self.live = self.live, checkpointed(narrowed)
-            drop_table(before)
-            if left <= PAIRS_PER_ENTRY * entries or k == MAX_ROUNDS - 1:
+            wide, self.live = self.live, checkpointed(narrowed, self.entries)
+            drop_table(wide)
+            # Further centres are of use only while they join components.
+            if left <= PAIRS_PER_ENTRY * self.entries or left > 0.5 * before:
                 break
+            before = left
             drop_table(lists)
-            self.live = self.live.drop("major")
         # Pairs of one component need no comparison: so one of a pair is outside its list's largest component.
         probes = self.live.select("sid", "n", "pos", "token", "comp", "block", F.col("comp").eqNullSafe(F.col("major")).alias("in_major"), F.explode(F.expr("array(block - 1, block, block + 1)")).alias("at"))
         probes = probes.join(lists, F.expr("token = t and at = b")).where(f"at = block or not in_major and least(n - pos, reach) >= {self.needed('n', 'least_n')}")
         probes = probes.drop("t", "b", "c_n", "c_pos", "reach", "least_n").join(self.answers, ["centre", "sid"], "left")
-        probes = checkpointed(probes.withColumn("overlap", F.expr("if(sid = centre, n, overlap)")))
+        probes = checkpointed(probes.withColumn("overlap", F.expr("if(sid = centre, n, overlap)")), 3 * self.entries)
         ours = probes.where("not in_major").select(*(F.col(c).alias(f"p_{c}") for c in ("sid", "n", "pos", "token", "comp", "at", "overlap", "in_major")))
         others = probes.where("at = block")
         # What both share with the block's centre bounds what they share with each other.
@@ -271,7 +277,7 @@ class Joiner:
         self.verify(met.select(F.least("p_sid", "sid").alias("a"), F.greatest("p_sid", "sid").alias("b")).distinct())
         drop_table(probes)
         drop_table(lists)
-        self.labels = components(self.links)
+        self.labels = components(self.links, self.n)
         return self.labels
 
 
@@ -279,9 +285,9 @@ def with_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """key (of doc_id and text), doc_id, n_shingles and component_id."""
     joiner = Joiner(docs, size, percent)
     labels = joiner.run().select(F.col("v").alias("sid"), "label")
-    known = checkpointed(joiner.classes.select("sid", "doc_id").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid")))
-    least = checkpointed(known.groupBy("label").agg(F.min("doc_id").alias("component_id")))
-    of_set = checkpointed(known.join(least, "label").select("sid", "component_id"))
+    known = checkpointed(joiner.classes.select("sid", "doc_id").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid")), joiner.n)
+    least = checkpointed(known.groupBy("label").agg(F.min("doc_id").alias("component_id")), joiner.n)
+    of_set = checkpointed(known.join(least, "label").select("sid", "component_id"), joiner.n)
     for x in (known, least, joiner.live, joiner.classes):
         drop_table(x)
     release(docs.sparkSession)
@@ -300,9 +306,9 @@ def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PE
 
     Only documents that may go, or may occur twice, are shuffled.
     """
-    found = checkpointed(with_components(docs, size, percent).where("doc_id is not null").select("key", (F.col("doc_id") != F.col("component_id")).alias("gone")))
+    found = checkpointed(with_components(docs, size, percent).where("doc_id is not null").select("key", (F.col("doc_id") != F.col("component_id")).alias("gone")), docs.count())
     often = found.groupBy("key").agg(F.count("*").alias("n"), F.max("gone").alias("gone")).where("n > 1 or gone")
-    often = checkpointed(often.select(F.col("key").alias("k"), "gone"))
+    often = checkpointed(often.select(F.col("key").alias("k"), "gone"), found.count())
     keyed = docs.select(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")).alias("key"), F.struct("*").alias("row"))
     may = F.coalesce(membership(often.select("k"))(F.col("key")), F.lit(False))
     some = keyed.where(may).join(often, F.expr("key = k"), "left").where("gone is null or not gone")

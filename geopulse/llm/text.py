@@ -10,6 +10,7 @@ from __future__ import annotations
 import gc
 import sys
 from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +40,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+ROWS_PER_FILE = 250_000
+
+
+def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Cut the lineage by a table written to the shared folder and read again.
 
     A written table is smaller than a checkpoint of rows, and carries no claim on how it is partitioned.
+    rows: about how many rows it has at most, so that small tables don't get a file for each shuffle partition.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{spark.sql('select uuid()').head()[0]}"
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, rows // ROWS_PER_FILE))
+    path = f"{shared_folder(spark)}/tables/{uuid4()}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
