@@ -10,13 +10,14 @@ the positions of the shared shingle bound the overlap, so entries too far behind
 Answers are computed from those of similar sets: first each list's sets are compared with the
 centres of their block and the blocks beside it. Sets in one component need no further comparison,
 and for a pair of different components the overlaps with their common centre bound the overlap of
-the pair: ``|B & C| <= min(|A & B|, |A & C|) + min(|B| - |A & B|, |C| - |A & C|)``. Further centres
+the pair: ``|B & C| <= min(|A & B|, |A & C|) + |C| - |A & C|``, where an upper bound may stand for
+the first of the overlaps. Further centres
 are tried while the pairs left are many against the index's size; then all pairs left are
 verified, so no link between different components is lost. Of a list, only the entries outside
 its largest component are taken to the others, so a list of near copies costs no square.
 
-Before whole sets are compared, parity bitmaps bound the overlap from above; they leave hardly
-any pair without a link. Sets are compared by 64-bit hashes of shingles.
+Before pairs leave a list, and again before whole sets are compared, parity bitmaps bound the
+overlap from above; they leave hardly any pair without a link. Sets are compared by 64-bit hashes of shingles.
 
 Defined results: null texts and texts without words have an empty set, linked with nothing; a
 text with fewer words than a shingle has its whole word sequence as one; rows without doc_id get
@@ -46,7 +47,8 @@ HEAVY_LOCAL = 2
 HEAVY_TOKENS = 1 << 17
 FLUSH_TOKENS = 1 << 19
 COMMON = 256  # from this count on a shingle's list is no window's business
-PAIRS_PER_ENTRY = 256
+PAIRS_PER_ENTRY = 16
+CENTRES = 32
 
 
 def shingle_set(text: bytes | None, size: int, cache: WordHash) -> np.ndarray:
@@ -103,16 +105,22 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def parity_bits(own: np.ndarray) -> np.ndarray:
-    """A bitmap in which each shingle turns one bit over: at least two bits for each, a power of two of them.
+SKETCH = 8  # words of 64 bits
+
+
+def parity_bits(own: np.ndarray, width: int | None = None) -> np.ndarray:
+    """A bitmap in which each shingle turns one bit over: at least two bits for each, a power of two of them, or ``width``.
 
     The bits in which two such bitmaps differ are at most as many as the shingles that only one set has.
     """
-    width = 1 << max(6, (2 * len(own) - 1).bit_length())
+    width = width or 1 << max(6, (2 * len(own) - 1).bit_length())
     turned = np.bincount((own & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(turned.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+SKETCHES = [f"sketch_{i}" for i in range(SKETCH)]
+
+
 def differing(x: Column, y: Column, percent: int) -> Column:
     """Bits in which two parity bitmaps differ; the wider one is folded to the width of the other."""
     half = lambda c: F.zip_with(F.slice(c, F.lit(1), (F.size(c) / 2).cast("int")), F.slice(c, (F.size(c) / 2 + 1).cast("int"), (F.size(c) / 2).cast("int")), lambda a, b: a.bitwiseXOR(b))
@@ -123,7 +131,7 @@ def differing(x: Column, y: Column, percent: int) -> Column:
 
 def prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """A row for each document: key (of doc_id and text), doc_id, n, sid (id of the set; null if empty), the prefix in the
-    global order, how many of its shingles come before the common ones, and the parity bitmap."""
+    global order, how many of its shingles come before the common ones, and the parity bitmap, also in a fixed width."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(frequent_shingles(docs, size))
 
@@ -134,7 +142,7 @@ def prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
             s = shingle_set(text, size, cache)
             n = len(s)
             if not n:
-                yield key, doc_id, 0, None, 0, [], []
+                yield key, doc_id, 0, None, 0, [], [], []
                 continue
             own = signed(s)
             weight = np.zeros(n, np.int64)
@@ -143,10 +151,10 @@ def prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 weight = np.where(tokens[at] == own, counts[at], 0)
             order = np.lexsort((s, weight))[: prefix_length(n, percent)]
             rare = int(np.searchsorted(weight[order], COMMON))
-            yield key, doc_id, n, set_id(s), rare, own[order], parity_bits(s)
+            yield key, doc_id, n, set_id(s), rare, own[order], parity_bits(s), parity_bits(s, 64 * SKETCH)
 
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", F.col("text").cast("binary").alias("text"))
-    return map_rows(keyed, run, "key long, doc_id long, n long, sid long, rare int, prefix array<long>, bits array<long>", flush=1024)
+    return map_rows(keyed, run, "key long, doc_id long, n long, sid long, rare int, prefix array<long>, bits array<long>, sketch array<long>", flush=1024)
 
 
 def set_table(docs: DataFrame, size: int) -> DataFrame:
@@ -168,18 +176,20 @@ class Joiner:
         self.docs, self.size, self.percent = docs.select("doc_id", "text"), size, percent
         self.rows = checkpointed(prefixes(docs, size, percent))
         # One row for each set: the one of the least doc_id; copies are added up within tasks first.
-        least = F.min(F.struct("doc_id", "n", "rare", "prefix", "bits")).alias("r")
+        least = F.min(F.struct("doc_id", "n", "rare", "prefix", "bits", "sketch")).alias("r")
         self.n = self.rows.count()
         # Rows hold arrays: a tenth as many go into a file.
         self.classes = checkpointed(self.rows.where("sid is not null and doc_id is not null").groupBy("sid").agg(least).select("sid", "r.*"), 10 * self.n)
         block = F.floor(F.log("n") / np.log(100 / percent) + 1e-9).cast("int")
-        entries = self.classes.select("sid", "n", "rare", block.alias("block"), F.posexplode("prefix").alias("pos", "token"))
+        release(docs.sparkSession)
+        entries = self.classes.select("sid", "n", "rare", F.posexplode("prefix").alias("pos", "token"))
         # Lists with one set only link nothing. Those of common shingles are known to be longer, so no window holds them.
         whole = W.partitionBy("token")
-        listed = entries.where("pos < rare").select("*", F.min("sid").over(whole).alias("lo"), F.max("sid").over(whole).alias("hi"))
-        live = listed.where("lo <> hi").select("sid", "n", "block", "pos", "token")
-        self.live = checkpointed(live.unionAll(entries.where("pos >= rare").select(*live.columns)), 40 * self.n)
+        listed = entries.where("pos < rare").select("sid", "n", "pos", "token", F.min("sid").over(whole).alias("lo"), F.max("sid").over(whole).alias("hi"))
+        live = listed.where("lo <> hi").select("sid", "n", "pos", "token").unionAll(entries.where("pos >= rare").select("sid", "n", "pos", "token"))
+        self.live = checkpointed(live.withColumn("block", block), 40 * self.n)
         self.entries = self.live.count()
+        release(docs.sparkSession)
         self.links: DataFrame | None = None  # a, b of all links found between classes
         self.labels: DataFrame | None = None  # v, label; classes without a row are on their own
         self.answers: DataFrame | None = None  # centre, sid, overlap
@@ -188,29 +198,34 @@ class Joiner:
         """SQL: the least overlap of sets of m and n shingles."""
         return f"cast(ceil({self.percent} * ({m} + {n}) / {100 + self.percent} - 1e-9) as long)"
 
-    def lists(self, by: Column) -> DataFrame:
-        """For each block of a list: its centre (the least by ``by``), how far its entries reach, and its least set.
-
-        A block that reaches no further than a probe needs is skipped as a whole.
+    def lists(self, k: int) -> DataFrame:
+        """Of each block of a list up to ``CENTRES`` centres (the least of as many parts of it, other ones in each round k), and how
+        far its entries reach, and its least set: a block that reaches no further than a probe needs is skipped as a whole.
         """
+        by = F.col("sid") if k == 0 else F.xxhash64("sid", F.lit(k))
+        part = F.pmod(F.xxhash64("sid", F.lit(-k)), F.lit(CENTRES)).cast("int")
         centre = F.min(F.struct(by.alias("k"), "sid", "n", "pos")).alias("c")
-        found = self.live.groupBy("token", "block").agg(centre, F.max(F.expr("n - pos")).alias("reach"), F.min("n").alias("least_n"))
-        return checkpointed(found.select(F.col("token").alias("t"), F.col("block").alias("b"), F.col("c.sid").alias("centre"), F.col("c.n").alias("c_n"), F.col("c.pos").alias("c_pos"), "reach", "least_n"), self.entries)
+        found = self.live.groupBy("token", "block", part.alias("part")).agg(centre, F.max(F.expr("n - pos")).alias("reach"), F.min("n").alias("least_n"))
+        found = found.select(F.col("token").alias("t"), F.col("block").alias("b"), F.col("c.k").alias("by"), F.col("c.sid").alias("centre"), F.col("c.n").alias("c_n"), F.col("c.pos").alias("c_pos"), "reach", "least_n")
+        return checkpointed(found, self.entries)
 
     def sizes_allow(self, m: str, n: str, p: str, q: str) -> str:
         """SQL: sets of m and n shingles, met at positions p and q, may still be a link."""
         return f"100 * least({m}, {n}) >= {self.percent} * greatest({m}, {n}) and least({m} - {p}, {n} - {q}) >= {self.needed(m, n)}"
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """The exact overlaps (a, b, overlap, m, n) of those of the pairs a < b whose bitmaps allow a link; links are added."""
+    def verify(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """For the pairs a < b, (a, b, most, near): what the bitmaps say of the overlap, and whether it allows a link; and the exact
+        overlaps (a, b, overlap, m, n) of those that are near. Links are added."""
         spark = pairs.sparkSession
         one = self.classes.select(F.col("sid").alias("a"), F.col("doc_id").alias("d"), F.col("n").alias("m"), F.col("bits").alias("x"))
         two = self.classes.select(F.col("sid").alias("b"), F.col("doc_id").alias("e"), "n", F.col("bits").alias("y"))
         bound = F.floor((F.col("m") + F.col("n") - differing(F.col("x"), F.col("y"), self.percent)) / 2)
         pairs = checkpointed(pairs, self.entries)
         count = pairs.count()
-        close = checkpointed(pairs.join(one, "a").join(two, "b").where(bound >= F.expr(self.needed("m", "n"))).select("a", "b", "d", "e"), 4 * count)
+        scored = pairs.join(one, "a").join(two, "b").select("a", "b", "d", "e", bound.alias("most"), (bound >= F.expr(self.needed("m", "n"))).alias("near"))
+        scored = checkpointed(scored, 4 * count)
         drop_table(pairs)
+        close = scored.where("near")
         count = close.count()
         ids = checkpointed(close.select("d").unionAll(close.select("e")).distinct(), 2 * count)
         # Whole sets are made again for the documents in question, and, where the bitmap is full, for some others.
@@ -220,20 +235,21 @@ class Joiner:
         overlap = F.size(F.array_intersect("x", "y")).cast("long")
         found = close.join(one, "a").join(two, "b").select("a", "b", overlap.alias("overlap"), F.size("x").alias("m"), F.size("y").alias("n"))
         # Several documents of one set may have come through the reduction: they say the same.
-        found = checkpointed(found.distinct(), 40 * count)
-        for x in (close, ids, sets):
+        found = checkpointed(found.distinct(), 160 * count)
+        for x in (ids, sets):
             drop_table(x)
         release(spark)
         links = found.where(f"100 * overlap >= {self.percent} * (m + n - overlap)").select("a", "b")
         self.links = links if self.links is None else self.links.unionAll(links)
-        return found
+        return scored, found
 
     def compare_with_centres(self, lists: DataFrame) -> None:
         """Each entry against the centres of its own block and those beside it."""
         entries = self.live.select("sid", "n", "pos", "token", F.explode(F.expr("array(block - 1, block, block + 1)")).alias("at"))
         met = entries.join(lists, F.expr("token = t and at = b")).where(f"sid <> centre and {self.sizes_allow('n', 'c_n', 'pos', 'c_pos')}")
-        found = self.verify(met.select(F.least("sid", "centre").alias("a"), F.greatest("sid", "centre").alias("b")).distinct())
-        self.answers = found.select(F.col("a").alias("centre"), F.col("b").alias("sid"), "overlap").unionAll(found.select("b", "a", "overlap"))
+        scored, found = self.verify(met.select(F.least("sid", "centre").alias("a"), F.greatest("sid", "centre").alias("b")).distinct())
+        known = found.select("a", "b", "overlap", F.col("overlap").alias("most")).unionAll(scored.where("not near").select("a", "b", F.lit(None).cast("long"), "most"))
+        self.answers = known.select(F.col("a").alias("centre"), F.col("b").alias("sid"), "overlap", "most").unionAll(known.select("b", "a", "overlap", "most"))
         self.labels = components(self.links, self.n)
 
     def contested(self) -> DataFrame:
@@ -248,35 +264,42 @@ class Joiner:
         """sid and label of all classes that are linked with others."""
         before = math.inf
         for k in itertools.count():
-            lists = self.lists(F.col("sid") if k == 0 else F.xxhash64("token", "sid", F.lit(k)))
+            lists = self.lists(k)
             self.compare_with_centres(lists)
             contested = self.contested()
             left = contested.agg(F.sum(F.expr("rest * entries"))).head()[0]
             if not left:
                 return self.labels
             # Only lists with several components are looked at from now on.
-            narrowed = self.live.join(contested.select(F.col("t").alias("token"), "major"), "token")
+            narrowed = self.live.join(contested.select(F.col("t").alias("token"), "major"), "token").drop(*SKETCHES)
+            narrowed = narrowed.join(self.classes.select("sid", *(F.col("sketch")[i].alias(c) for i, c in enumerate(SKETCHES))), "sid")
             wide, self.live = self.live, checkpointed(narrowed, self.entries)
             drop_table(wide)
             # Further centres are of use only while they join components.
-            if left <= PAIRS_PER_ENTRY * self.entries or left > 0.5 * before:
+            if left <= PAIRS_PER_ENTRY * self.entries or left > 0.7 * before:
                 break
             before = left
             drop_table(lists)
         # Pairs of one component need no comparison: so one of a pair is outside its list's largest component.
-        probes = self.live.select("sid", "n", "pos", "token", "comp", "block", F.col("comp").eqNullSafe(F.col("major")).alias("in_major"), F.explode(F.expr("array(block - 1, block, block + 1)")).alias("at"))
-        probes = probes.join(lists, F.expr("token = t and at = b")).where(f"at = block or not in_major and least(n - pos, reach) >= {self.needed('n', 'least_n')}")
-        probes = probes.drop("t", "b", "c_n", "c_pos", "reach", "least_n").join(self.answers, ["centre", "sid"], "left")
-        probes = checkpointed(probes.withColumn("overlap", F.expr("if(sid = centre, n, overlap)")), 3 * self.entries)
-        ours = probes.where("not in_major").select(*(F.col(c).alias(f"p_{c}") for c in ("sid", "n", "pos", "token", "comp", "at", "overlap", "in_major")))
+        blocks = F.expr("if(comp <=> major, array(block), array(block - 1, block, block + 1))")
+        probes = self.live.select("sid", "n", "pos", "token", "comp", "block", *SKETCHES, F.expr("comp <=> major").alias("in_major"), F.explode(blocks).alias("at"))
+        known = lists.groupBy("t", "b").agg(F.min(F.struct("by", "centre")).alias("c"), F.max("reach").alias("reach"), F.min("least_n").alias("least_n"))
+        known = checkpointed(known.select("t", "b", "c.centre", "reach", "least_n"), self.entries)
+        probes = probes.join(known, F.expr("token = t and at = b")).where(f"at = block or not in_major and least(n - pos, reach) >= {self.needed('n', 'least_n')}")
+        probes = probes.drop("t", "b", "reach", "least_n").join(self.answers, ["centre", "sid"], "left")
+        probes = probes.withColumns({"overlap": F.expr("if(sid = centre, n, overlap)"), "most": F.expr("if(sid = centre, n, coalesce(most, n))")})
+        probes = checkpointed(probes, 3 * self.entries)
+        ours = probes.where("not in_major").select(*(F.col(c).alias(f"p_{c}") for c in ("sid", "n", "pos", "token", "comp", "at", "overlap", "most", *SKETCHES)))
         others = probes.where("at = block")
         # What both share with the block's centre bounds what they share with each other.
-        bound = f"coalesce(least(p_overlap, overlap) + least(p_n - p_overlap, n - overlap) >= {self.needed('p_n', 'n')}, true)"
+        needed = self.needed("p_n", "n")
+        bound = f"coalesce(least(p_most, overlap) + n - overlap >= {needed}, true) and coalesce(least(most, p_overlap) + p_n - p_overlap >= {needed}, true)"
+        apart = " + ".join(f"bit_count(p_{c} ^ {c})" for c in SKETCHES)
         both = ours.join(others, F.expr("p_token = token and p_at = block"))
-        met = both.where(f"p_comp <> comp and (in_major or p_sid < sid) and {self.sizes_allow('p_n', 'n', 'p_pos', 'pos')} and {bound}")
+        met = both.where(f"p_comp <> comp and (in_major or p_sid < sid) and {self.sizes_allow('p_n', 'n', 'p_pos', 'pos')} and {bound} and p_n + n - ({apart}) >= 2 * {needed}")
         self.verify(met.select(F.least("p_sid", "sid").alias("a"), F.greatest("p_sid", "sid").alias("b")).distinct())
-        drop_table(probes)
-        drop_table(lists)
+        for x in (probes, lists, known):
+            drop_table(x)
         self.labels = components(self.links, self.n)
         return self.labels
 

@@ -234,6 +234,48 @@ def test_jaccard_join_of_copies_and_chains(spark):
     assert got == dict(enumerate(want))
 
 
+@pytest.mark.parametrize("per_entry", [0, 16])
+def test_jaccard_join_of_a_large_family(spark, monkeypatch, per_entry):
+    """Copies of one text with edits at random, most pairs of which are no link; a passage in very different texts; with and without further rounds."""
+    monkeypatch.setattr(jaccard_join, "PAIRS_PER_ENTRY", per_entry)
+    monkeypatch.setattr(jaccard_join, "CENTRES", 2)
+    rng = np.random.default_rng(8)
+    base, texts = passage(70, 120).split(), []
+    for k in range(260):
+        words = list(base)
+        for i in rng.integers(0, len(words), int(rng.integers(1, 5))):
+            words[i] = f"e{k}x{i}"
+        texts.append(" ".join(words))
+    texts += [passage(71, 60) + " " + passage(400 + k, int(rng.integers(2, 12))) for k in range(40)] + [texts[3], texts[3], passage(72, 3)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.op3_jaccard_join(table(spark, texts)).collect()}
+    assert got == dict(enumerate(brute_components(texts, 4, 85)))
+
+
+def test_near_duplicates_of_shared_and_missing_ids(spark):
+    a, b, near = passage(80, 60), passage(81, 60), passage(80, 60) + " more"
+    rows = [(3, a), (7, near), (7, b), (9, b), (9, b), (None, a), (None, a), (12, None), (12, None), (13, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x", 5) for i, t in rows], COLUMNS + ", _text_hash int")
+    got = sorted(((r.doc_id, r.text) for r in jaccard_join.drop_near_duplicates(docs, 5, 80).collect()), key=str)
+    want = [(3, a), (7, b), (None, a), (None, a), (12, None), (13, "")]
+    assert got == sorted(want, key=str)
+    assert {r._text_hash for r in jaccard_join.drop_near_duplicates(docs, 5, 80).collect()} == {5}
+
+
+def test_parity_bitmaps_bound_the_difference(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    rows, want = [], []
+    for n, m in [(1, 1), (40, 41), (127, 129), (128, 128), (300, 260), (5, 9)]:
+        pool = rng.integers(0, 2**63, n + m, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        x, y = pool[:n], np.concatenate([pool[: n // 2], pool[n : n + m - n // 2]])
+        rows.append((jaccard_join.parity_bits(x).tolist(), jaccard_join.parity_bits(y).tolist()))
+        want.append(len(set(x.tolist()) ^ set(y.tolist())))
+    for percent in (85, 40):
+        got = spark.createDataFrame(rows, "x array<long>, y array<long>").coalesce(1).select(jaccard_join.differing(F.col("x"), F.col("y"), percent).alias("d")).collect()
+        assert all(r.d <= w and (w - r.d) % 2 == 0 for r, w in zip(got, want, strict=True))
+
+
 def test_near_duplicates_keep_one(spark, sample):
     kept = jaccard_join.drop_near_duplicates(sample, 5, 80)
     assert kept.columns == sample.columns
