@@ -10,19 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from geopulse.functions.grid import GridSpec
+from geopulse.functions.tables import written
 from geopulse.operators import evaluate, hotspot, surface
 from geopulse.operators.points import between
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage by Parquet in the cluster's shared folder (below the warehouse where none is set)."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
-    path = f"{base}/written/{spark.sql('select uuid()').head()[0]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def periods(first: str, stop_before: str, days: float) -> list[tuple[str, str]]:
     """Adjoining [start, end) while end is not after ``stop_before``."""
     start, stop, step, out = datetime.fromisoformat(first), datetime.fromisoformat(stop_before), timedelta(days=days), []

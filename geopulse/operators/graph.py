@@ -84,7 +84,7 @@ def simple_paths(edges: DataFrame, start: int, most: float, steps: int) -> DataF
     return out.select("path", "at", "length")
 
 
-def walks_with_degrees(edges: DataFrame, start: int, avoid: int, most: float, max_degree: float, steps: int = 64) -> DataFrame:
+def walks_with_degrees(edges: DataFrame, start: int, avoid: int, most: float, max_degree: float) -> DataFrame:
     """(k1, k2, length, degree): walks from ``start`` not over ``avoid``; each row enters an edge at distance ``length`` with the
     product of max(degree - 1, 1) so far. A walk ends where its length reaches ``most`` or its degree exceeds ``max_degree``."""
     both = both_ways(edges).select("a", "b", F.col("length").alias("step"))
@@ -92,7 +92,7 @@ def walks_with_degrees(edges: DataFrame, start: int, avoid: int, most: float, ma
     both = both.join(deg, "a")
     at = edges.sparkSession.createDataFrame([([avoid, start], start, 0.0, 1.0)], "path array<long>, at long, length double, degree double")
     out = None
-    for _ in range(steps):
+    while True:  # walks pass no vertex twice, so they end
         grown = at.join(both, at.at == both.a).where(~F.array_contains("path", F.col("b")))
         grown = grown.withColumn("degree", F.col("degree") * F.col("split")).where(F.col("degree") <= max_degree)
         rows = grown.select(F.col("a").alias("k1"), F.col("b").alias("k2"), "length", "degree")
@@ -123,17 +123,21 @@ def split_edges(vertices: DataFrame, edges: DataFrame, most: float) -> DataFrame
 
 
 def merge_nodes(nodes: DataFrame, tolerance: float) -> DataFrame:
-    """(node_id, key): nodes snapped to a lattice of the tolerance; each lattice place is named by its least node."""
-    cell = F.struct(F.round(F.col("x") / tolerance).alias("cx"), F.round(F.col("y") / tolerance).alias("cy"))
-    return nodes.select("node_id", F.min("node_id").over(W.partitionBy(cell)).alias("key"))
+    """(node_id, key): nodes within the tolerance of each other, or of nodes between them, share their least node as key."""
+    from geopulse.operators.knox import close_pairs
+
+    near = close_pairs(nodes.select(F.col("node_id").alias("event_id"), "x", "y", F.lit(None).cast("timestamp_ntz").alias("ts")), tolerance)
+    linked = connected_components(near.select(F.xxhash64("i", "j").alias("edge_id"), F.col("i").alias("k1"), F.col("j").alias("k2"), F.lit(0.0).alias("length")))
+    return nodes.select("node_id").join(linked, nodes.node_id == linked.key, "left").select("node_id", F.coalesce("component", "node_id").alias("key"))
 
 
 def from_lines(lines: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame]:
-    """Vertices and edges of polylines (line_id, seq, x, y): places within one lattice step of the tolerance are one vertex; loops
-    and repeated edges are dropped."""
-    at = (F.round(F.col("x") / tolerance), F.round(F.col("y") / tolerance))
-    snapped = lines.select("line_id", "seq", at[0].cast("long").alias("cx"), at[1].cast("long").alias("cy"), "x", "y")
-    keyed = snapped.withColumn("key", F.xxhash64("cx", "cy"))
+    """Vertices and edges of polylines (line_id, seq, x, y): places within the tolerance are one vertex (``merge_nodes``), which
+    stands at its least line's place; loops and repeated edges are dropped."""
+    nodes = written(lines.select("line_id", "seq", "x", "y", F.xxhash64("line_id", "seq").alias("node_id")))
+    places = nodes.groupBy("x", "y").agg(F.min("node_id").alias("node_id"))  # equal places need no search
+    keys = written(places.join(merge_nodes(places, tolerance), "node_id").select("x", "y", "key"))
+    keyed = nodes.join(keys, ["x", "y"])
     vertices = keyed.groupBy("key").agg(F.min(F.struct("line_id", "seq", "x", "y")).alias("m")).select("key", "m.x", "m.y")
     nxt = F.lead("key").over(W.partitionBy("line_id").orderBy("seq"))
     steps = keyed.select("key", nxt.alias("next")).where("next is not null and key <> next")

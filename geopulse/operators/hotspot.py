@@ -133,43 +133,66 @@ def time_weighted_kde(points: DataFrame, grid: GridSpec, end: str, unit_micros:
     return gaussian_kde(past, grid, bandwidth, w)
 
 
-def knn_distance(points: DataFrame, k: int = 15, radius: float = 100.0) -> DataFrame:
+NEIGHBOURHOOD = 4  # 3 x 3 cells should hold so many times k points
+
+
+def knn_distance(points: DataFrame, k: int = 15) -> DataFrame:
     """(event_id, distance) to the k-th nearest other point (the farthest if there are fewer).
 
-    Points meet those of neighbouring buckets of one radius; a point with k neighbours within it is
-    done, the others go on with twice the radius. The first radius is a part of ``radius``, so that points
-    in dense places meet few others. The driver sees counts only.
+    Points at one place are one row with a count. Cells are halved from the whole extent on; each
+    finest cell takes the level at which 3 x 3 cells hold enough points, so dense and sparse
+    places meet about as many others. A distance within one cell's size is exact; the other
+    places meet once more at a level whose cells are as large as the distance found. Levels are
+    found from counts of cells; the driver sees the extent only.
     """
     from geopulse.operators.backtest import written
 
-    radius /= 16
-    p = points.select("event_id", "x", "y")
-    n = p.count()
-    k = min(k, n - 1)
-    todo, out = p, None
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    while True:
-        bucket = lambda c, r=radius: F.floor(F.col(c) / r)
-        own = todo.select("*", F.explode(around).alias("ox")).select("*", F.explode(around).alias("oy"))
-        own = own.select("event_id", "x", "y", (bucket("x") + F.col("ox")).alias("bx"), (bucket("y") + F.col("oy")).alias("by"))
-        other = p.select(F.col("event_id").alias("other"), F.col("x").alias("u"), F.col("y").alias("v"), bucket("x").alias("bx"), bucket("y").alias("by"))
+    places = written(points.groupBy("x", "y").agg(F.count("*").alias("m")))
+    box = places.agg(F.sum("m").alias("n"), F.count("*").alias("places"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).head()
+    k = min(k, (box.n or 0) - 1)
+    if k < 1:
+        return points.select("event_id", F.lit(0.0).alias("distance")).where("false")
+    side = max(box.x1 - box.x0, box.y1 - box.y0) or 1.0
+    deepest = min(26, math.ceil(math.log(max(1.0, box.places / k), 4)) + 4)
+    most = (1 << deepest) - 1
+    number = lambda c, low: F.least(F.floor((F.col(c) - low) / side * (1 << deepest)), F.lit(most))
+    at = written(places.select("x", "y", "m", number("x", box.x0).alias("fx"), number("y", box.y0).alias("fy")))
+    cells = written(at.groupBy("fx", "fy").agg(F.sum("m").alias("n")))
+    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    own = [F.call_function("shiftright", c, (F.lit(deepest) - F.col("level")).cast("int")).alias(name) for c, name in (("fx", "cx"), ("fy", "cy"))]
+    up = cells.select("fx", "fy", "n", F.explode(F.sequence(F.lit(0), F.lit(deepest))).alias("level")).select("fx", "fy", "n", "level", *own)
+    beside = lambda df: df.select("*", around.alias("o")).withColumns({"cx": F.col("cx") + F.col("o.i"), "cy": F.col("cy") + F.col("o.j")}).drop("o")
+    held = beside(up.groupBy("level", "cx", "cy").agg(F.sum("n").alias("n"))).groupBy("level", "cx", "cy").agg(F.sum("n").alias("held"))
+    enough = held.where((F.col("held") > NEIGHBOURHOOD * k) | (F.col("level") == 0)).select("level", "cx", "cy")
+    chosen = written(up.join(enough, ["level", "cx", "cy"]).groupBy("fx", "fy").agg(F.max("level").alias("level")))
+
+    def meet(probes: DataFrame) -> DataFrame:
+        """probes(x, y, fx, fy, level) with d2: the k-th least over the cells around, each place as often as it has points."""
+        probes = probes.select("x", "y", "level", *own, "fx", "fy")
+        needed = beside(probes.select("level", "cx", "cy").distinct()).distinct()
+        levels = up.join(needed, ["level", "cx", "cy"], "left_semi").select("fx", "fy", "level", "cx", "cy")
+        others = at.select(F.col("x").alias("u"), F.col("y").alias("v"), "m", "fx", "fy").join(levels, ["fx", "fy"]).drop("fx", "fy")
+        met = beside(probes).join(others, ["level", "cx", "cy"])
         d2 = (F.col("x") - F.col("u")) ** 2 + (F.col("y") - F.col("v")) ** 2
-        near = own.join(other, ["bx", "by"]).where(F.col("event_id") != F.col("other")).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
-        # The k least of a point's neighbours: as many values as one radius holds.
-        least = near.groupBy("event_id").agg(F.sort_array(F.collect_list("d2")).alias("d")).where(F.size("d") >= k)
-        done = written(least.select("event_id", F.sqrt(F.element_at("d", k)).alias("distance")))
-        out = done if out is None else out.unionAll(done)
-        todo = written(todo.join(done.select("event_id"), "event_id", "left_anti"))
-        if not k or todo.limit(1).count() == 0:
-            return out
-        radius *= 2
-
-
-def nearest_neighbour_kde(points: DataFrame, grid: GridSpec, k: int = 15, radius: float = 0.25) -> DataFrame:
+        near = met.select("x", "y", "fx", "fy", "level", F.struct(d2.alias("d2"), F.col("m").alias("m")).alias("e"))
+        near = near.groupBy("x", "y", "fx", "fy", "level").agg(F.sort_array(F.collect_list("e")).alias("e"))
+        # The place itself comes first, with one point less.
+        start = F.struct(F.lit(-1).cast("long").alias("c"), F.lit(0.0).alias("d2"))
+        kth = F.aggregate("e", start, lambda acc, e: F.when(acc["c"] >= k, acc).otherwise(F.struct((acc["c"] + e["m"]).alias("c"), e["d2"].alias("d2"))))
+        return near.select("x", "y", "fx", "fy", "level", kth["d2"].alias("d2"))
+
+    first = written(meet(at.join(chosen, ["fx", "fy"])).withColumn("done", (F.col("level") == 0) | (F.sqrt("d2") <= side * F.pow(F.lit(2.0), -F.col("level")))))
+    wider = F.greatest(F.lit(0), F.least(F.col("level") - 1, F.floor(F.log2(side / F.sqrt("d2")) - 1e-9))).cast("int")
+    rest = meet(first.where("not done").withColumn("level", wider))
+    found = first.where("done").select("x", "y", "d2").unionAll(rest.select("x", "y", "d2"))
+    return points.select("event_id", "x", "y").join(found, ["x", "y"]).select("event_id", F.sqrt("d2").alias("distance"))
+
+
+def nearest_neighbour_kde(points: DataFrame, grid: GridSpec, k: int = 15) -> DataFrame:
     """KDE whose bandwidth at each event is its normalised k-th neighbour distance (0 becomes 1)."""
     m = points.agg(F.count("*").alias("n"), F.stddev_samp("x").alias("sx"), F.stddev_samp("y").alias("sy"))
     scaled = points.join(F.broadcast(m)).select("event_id", (F.col("x") / F.col("sx")).alias("x"), (F.col("y") / F.col("sy")).alias("y"))
-    h = knn_distance(scaled, k, radius).select("event_id", F.when(F.col("distance") == 0, 1.0).otherwise(F.col("distance")).alias("h"))
+    h = knn_distance(scaled, k).select("event_id", F.when(F.col("distance") == 0, 1.0).otherwise(F.col("distance")).alias("h"))
     near = near_cells(points.select("event_id", "x", "y").join(h, "event_id"), grid).join(F.broadcast(m))
     near = near.withColumns({"dx": (grid.centre_x() - F.col("x")) / F.col("sx"), "dy": (grid.centre_y() - F.col("y")) / F.col("sy")})
     density = F.expr("exp(-(dx * dx + dy * dy) / (2 * h * h)) / (h * h)") / (F.col("n") * F.col("sx") * F.col("sy") * (2 * math.pi))

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from geopulse.functions.grid import GridSpec
 from geopulse.functions.kernels import triangle_integral
+from geopulse.functions.tables import running, written
 from geopulse.operators import geometry
-from geopulse.operators.backtest import written
 from geopulse.operators.graph import both_ways, degrees
 
 
@@ -51,10 +50,15 @@ def network_hotspot(events: DataFrame, edges: DataFrame, bandwidth: float, weigh
     return edges.select("edge_id").join(parts.groupBy("edge_id").agg(F.sum("risk").alias("risk")), "edge_id", "left").fillna(0.0, ["risk"])
 
 
+def ranked_lengths(risks: DataFrame, edges: DataFrame) -> DataFrame:
+    """(edge_id, length, upto, all): the length of the edges up to each, by falling risk and id, and of all."""
+    joined = risks.select("edge_id", "risk").join(edges.select("edge_id", "length"), "edge_id")
+    return running(joined, [F.desc("risk"), "edge_id"], "upto", "length").drop("risk").join(F.broadcast(joined.agg(F.sum("length").alias("all"))))
+
+
 def coverage(risks: DataFrame, edges: DataFrame, fraction: float, crossing: bool = False) -> DataFrame:
     """(edge_id): edges by falling risk, ties by id, up to the fraction of the total length; ``crossing`` keeps the edge that crosses it."""
-    w = W.partitionBy().orderBy(F.desc("risk"), "edge_id")
-    run = risks.join(edges.select("edge_id", "length"), "edge_id").select("edge_id", "length", F.sum("length").over(w).alias("upto"), F.sum("length").over(W.partitionBy()).alias("all"))
+    run = ranked_lengths(risks, edges)
     before = F.col("upto") - F.col("length") if crossing else F.col("upto")
     return run.where((before < F.col("all") * fraction) if crossing else (before <= F.col("all") * fraction)).select("edge_id")
 
@@ -116,9 +120,7 @@ def covered_edges(covered: DataFrame, grid: GridSpec, vertices: DataFrame, edges
 
 def hit_counts_by_coverage(events: DataFrame, risks: DataFrame, edges: DataFrame, percentages: list[int]) -> DataFrame:
     """(coverage, hits, total, rate in percent) for network coverages, from one ranking of the edges."""
-    w = W.partitionBy().orderBy(F.desc("risk"), "edge_id")
     counts = events.groupBy("edge_id").agg(F.count("*").alias("n"))
-    run = risks.join(edges.select("edge_id", "length"), "edge_id").select("edge_id", F.sum("length").over(w).alias("upto"), F.sum("length").over(W.partitionBy()).alias("all"))
-    run = run.join(counts, "edge_id", "left").select("upto", "all", F.coalesce("n", F.lit(0)).alias("n"), F.explode(F.array(*map(F.lit, percentages))).alias("coverage"))
+    run = ranked_lengths(risks, edges).join(counts, "edge_id", "left").select("upto", "all", F.coalesce("n", F.lit(0)).alias("n"), F.explode(F.array(*map(F.lit, percentages))).alias("coverage"))
     hits = run.groupBy("coverage").agg(F.sum(F.when(F.col("upto") <= F.col("all") * (F.col("coverage") / 100), F.col("n")).otherwise(0)).alias("hits"))
     return hits.join(F.broadcast(events.agg(F.count("*").alias("total")))).select("coverage", "hits", "total", F.try_divide(F.col("hits") * 100, "total").alias("rate"))

@@ -64,7 +64,7 @@ def break_ties(surface: DataFrame, seed: int = 0) -> DataFrame:
     gaps = surface.where("valid").select(F.col("risk"), (F.col("risk") - F.lag("risk").over(order)).alias("gap"))
     noise = gaps.agg(F.min(F.when(F.col("gap") > 0, F.col("gap"))).alias("least"), F.count(F.when(F.col("gap") == 0, 1)).alias("ties"))
     scale = F.when(F.col("ties") > 0, F.least(F.lit(1e-9), F.coalesce(F.col("least"), F.lit(1e-7)) / 100)).otherwise(0.0)
-    return surface.join(F.broadcast(noise)).withColumn("risk", F.col("risk") + scale * (2 * F.rand(seed) - 1)).drop("least", "ties")
+    return surface.join(F.broadcast(noise)).withColumn("risk", F.col("risk") + scale * F.xxhash64("gx", "gy", F.lit(seed)) / 2.0**63).drop("least", "ties")
 
 
 def cell_edges(surface: DataFrame, grid: GridSpec) -> DataFrame:

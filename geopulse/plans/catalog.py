@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from geopulse.functions.grid import GridSpec
 from geopulse.operators import backtest as bt
-from geopulse.operators import evaluate, geometry, graph, hotspot, knox, network, points, scan, sepp, simulate, surface
+from geopulse.operators import evaluate, geometry, graph, hotspot, knox, network, points, scan, sepp, surface
 
 GRID = GridSpec(150.0, 150.0, 0.0, 0.0, 33, 20)
 TRAIN_END, SCORE_END = "2024-01-22 00:00:00", "2024-01-29 00:00:00"
@@ -106,7 +106,7 @@ def queries() -> dict[str, Query]:
     q["kde_knn"] = lambda s, d: risks(hotspot.nearest_neighbour_kde(train(s, d), GRID, 15), 12)
     q["kde_edge_corrected"] = lambda s, d: risks(hotspot.edge_corrected_kde(train(s, d), masked(s, d), GRID, 200.0), 12)
     q["kde_score"] = lambda s, d: rounded(evaluate.kde_score(surface.renormalise(masked(s, d)), score(s, d), GRID, 300.0), "score")
-    q["knn_distance"] = lambda s, d: rounded(hotspot.knn_distance(pts(s, d), 15, 200.0), "distance")
+    q["knn_distance"] = lambda s, d: rounded(hotspot.knn_distance(pts(s, d), 15), "distance")
     # Surfaces.
     q["surface_renormalise"] = lambda s, d: risks(prob(s, d), 9)
     q["surface_percentile"] = lambda s, d: rounded(surface.percentile(base(s, d)), "percentile")
@@ -133,9 +133,9 @@ def queries() -> dict[str, Query]:
     q["knox_statistic"] = lambda s, d: knox.knox_statistic(pts(s, d), SPACE_BINS, TIME_BINS)
     q["knox_pvalue"] = lambda s, d: knox.knox_pvalues(pts(s, d), SPACE_BINS, TIME_BINS, 19).drop("distribution")
     q["scan_best_per_centre"] = lambda s, d: rounded(scan.best_per_centre(scan.scan_candidates(pts(s, d), 300.0, 3.0)), "d2", "statistic").select("centre", "d2", "statistic", "space_count", "actual")
-    q["scan_clusters"] = lambda s, d: scan.clusters(scan.scan_candidates(pts(s, d), 300.0, 3.0), pts(s, d), 5)
+    q["scan_clusters"] = lambda s, d: scan.clusters(scan.scan_candidates(pts(s, d), 300.0, 3.0), pts(s, d))
     # Self-exciting processes.
-    q["seppexp_p_matrix"] = lambda s, d: rounded(sepp_p(s, d), "p").select("i", "j", "p")
+    q["seppexp_p_matrix"] = lambda s, d: p_columns(sepp_p(s, d))
     q["seppexp_em_1"] = sepp_em
     q["seppexp_predict"] = sepp_predict
     q["sepp_initial_p"] = lambda s, d: rounded(sepp.initial_p(pts(s, d), 2.0, 100.0), "p")
@@ -159,10 +159,9 @@ def queries() -> dict[str, Query]:
     q["network_coverage"] = lambda s, d: network.coverage(edge_counts(s, d), streets(s)[1], 0.2)
     q["network_hit_rate"] = lambda s, d: rounded(network.network_hit_rate(street_events(s, d), network.coverage(edge_counts(s, d), streets(s)[1], 0.2)), "rate")
     q["grid_risk_to_graph"] = lambda s, d: network.grid_risk_to_edges(base(s, d), GRID, shifted(s), streets(s)[1])
-    # Back-tests and simulation.
+    # Back-tests.
     q["backtest_pivot"] = lambda s, d: bt.wide(q["hotspot_backtest"](s, d).withColumn("predictor", F.lit("naive")), "hits", COVERAGES)
     q["backtest_predictors"] = lambda s, d: rounded(bt.backtest(pts(s, d), GRID, ["naive", "retro", "prospective"], bt.periods("2024-01-15", SCORE_END, 7), [10, 20]), "rate")
-    q["simulate_self_exciting"] = lambda s, d: simulate.self_exciting(simulate.random_uniform(s, GRID.region(), "2024-01-01 00:00:00", 1e6, 500).withColumn("t", F.col("event_id") * 2000.0), 0.4, 1e-4, 50.0, 1e6)
     return q
 
 
@@ -195,6 +194,14 @@ def sepp_p(spark: SparkSession, sf: str) -> DataFrame:
     return sepp.p_matrix(events, sepp.trigger_pairs(events), OMEGA, THETA, mu)
 
 
+def p_columns(p: DataFrame) -> DataFrame:
+    """Of each column of a p matrix: its background, the number and sum of its triggers, and the latest of them (of equals the least)."""
+    own = F.col("i") == F.col("j")
+    latest = F.min(F.when(~own, F.struct("dt", "i"))).alias("latest")
+    columns = p.groupBy("j").agg(F.sum(F.when(own, F.col("p"))).alias("background"), F.count_if(~own).alias("triggers"), F.coalesce(F.sum(F.when(~own, F.col("p"))), F.lit(0.0)).alias("triggered"), latest)
+    return rounded(columns, "background", "triggered").select("j", "background", "triggers", "triggered", F.coalesce("latest.i", F.lit(-1)).alias("latest"))
+
+
 def sepp_em(spark: SparkSession, sf: str) -> DataFrame:
     events, mu = sepp_inputs(spark, sf)
     omega, theta, mu = sepp.em_step(events, OMEGA, THETA, mu, MINUTES)

@@ -7,7 +7,6 @@ PTS = """pts AS (SELECT event_id, ts, value * 10 AS x,
 CELL = "CAST(floor(x / 150) AS BIGINT) AS gx, CAST(floor(y / 150) AS BIGINT) AS gy"
 CELLS = "cells AS (SELECT a.range AS gx, b.range AS gy, (a.range + 0.5::DOUBLE) * 150 AS mx, (b.range + 0.5::DOUBLE) * 150 AS my FROM range(33) a, range(20) b)"
 TRAIN = "train AS (SELECT * FROM pts WHERE ts < TIMESTAMP '2024-01-22')"
-WEEKS = "weeks AS (SELECT * FROM pts WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-22')"
 NEXT = "nxt AS (SELECT * FROM pts WHERE ts >= TIMESTAMP '2024-01-22' AND ts < TIMESTAMP '2024-01-29')"
 COUNTS = f"counts AS (SELECT {CELL}, count(*) AS n FROM train GROUP BY ALL)"
 BASE = f"{CELLS}, {TRAIN}, {NEXT}, {COUNTS}, base AS (SELECT gx, gy, coalesce(n, 0) + 1.0::DOUBLE AS risk FROM cells LEFT JOIN counts USING (gx, gy))"
@@ -44,8 +43,8 @@ def subgrid(weight: str, reach: str, extra: str = "") -> str:
 
 
 def kde(weight: str, moments: str) -> str:
-    return f"""WITH {PTS}, {WEEKS}, {CELLS},
-    e AS (SELECT x, y, {weight} AS w FROM (SELECT *, (epoch_us(TIMESTAMP '2024-01-22') - epoch_us(ts)) / 86400000000.0::DOUBLE AS age FROM weeks)),
+    return f"""WITH {PTS}, {TRAIN}, {CELLS},
+    e AS (SELECT x, y, {weight} AS w FROM (SELECT *, (epoch_us(TIMESTAMP '2024-01-22') - epoch_us(ts)) / 86400000000.0::DOUBLE AS age FROM train)),
     m AS (SELECT {moments}, sum(w) AS sw FROM e), k AS (SELECT *, sxx * syy - sxy * sxy AS det FROM m)
     SELECT gx, gy, round(sum(w * exp(-((mx - x) * (mx - x) * syy - 2 * (mx - x) * (my - y) * sxy + (my - y) * (my - y) * sxx) / det / (2 * h * h))
       / (sw * sqrt(det) * 2 * pi() * h * h)), 12) AS risk FROM cells, e, k GROUP BY gx, gy"""
@@ -79,22 +78,12 @@ BACKTEST = f"""{PTS}, {CELLS}, {PERIODS}, seen AS (SELECT start, gx, gy, count(*
  bt AS (SELECT start, end_ AS "end", coverage, CAST(sum(count) FILTER (rank <= floor(660 * (coverage / 100.0::DOUBLE))) AS BIGINT) AS hits, CAST(any_value(total) AS BIGINT) AS total
    FROM ranked JOIN total USING (start), {LEVELS} GROUP BY start, end_, coverage)"""
 POLY = "poly(x1, y1, x2, y2) AS (VALUES (310.0::DOUBLE, 205.0::DOUBLE, 2905.0::DOUBLE, 410.0::DOUBLE), (2905.0, 410.0, 2505.0, 2610.0), (2505.0, 2610.0, 1105.0, 2210.0), (1105.0, 2210.0, 310.0, 205.0))"
-SEPP = f"""{PTS}, week AS (SELECT * FROM pts WHERE ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-22'),
+SEPP = f"""{PTS}, week AS (SELECT * FROM pts WHERE ts < TIMESTAMP '2024-01-22'),
  ev AS (SELECT CAST(floor(x / 1500) AS BIGINT) AS gx, CAST(floor(y / 1000) AS BIGINT) AS gy, event_id, (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM week)) / 60000000.0::DOUBLE AS t FROM week WHERE x >= 0 AND x < 6000 AND y >= 0 AND y < 3000),
- mu AS (SELECT gx, gy, count(*) / 10080.0::DOUBLE AS mu FROM ev GROUP BY ALL),
+ mu AS (SELECT gx, gy, count(*) / 30240.0::DOUBLE AS mu FROM ev GROUP BY ALL),
  raw AS (SELECT gx, gy, event_id AS i, event_id AS j, 0.0::DOUBLE AS dt, mu AS p FROM ev JOIN mu USING (gx, gy)
-   UNION ALL SELECT a.gx, a.gy, a.event_id, b.event_id, b.t - a.t, 0.5::DOUBLE * (1 / 1440.0::DOUBLE) * exp(-(1 / 1440.0::DOUBLE) * (b.t - a.t)) FROM ev a JOIN ev b ON a.gx = b.gx AND a.gy = b.gy AND b.t > a.t AND b.t - a.t <= 720),
+   UNION ALL SELECT a.gx, a.gy, a.event_id, b.event_id, b.t - a.t, 0.5::DOUBLE * (1 / 1440.0::DOUBLE) * exp(-(1 / 1440.0::DOUBLE) * (b.t - a.t)) FROM ev a JOIN ev b ON a.gx = b.gx AND a.gy = b.gy AND b.t > a.t),
  pm AS (SELECT gx, gy, i, j, dt, p / sum(p) OVER (PARTITION BY j) AS p FROM raw)"""
-SCAN = f"""{PTS}, e AS (SELECT event_id, x, y, (max(epoch_us(ts)) OVER () - epoch_us(ts)) / 86400000000.0::DOUBLE AS age, count(*) OVER () AS n
-   FROM pts WHERE ts >= TIMESTAMP '2024-01-22' AND ts < TIMESTAMP '2024-01-26' AND category = 'error' AND x < 1500),
- ages AS (SELECT age, time_count FROM (SELECT DISTINCT age, n, count(*) OVER (ORDER BY age) AS time_count FROM e) WHERE age <= 3 AND time_count <= 0.5 * n),
- near AS (SELECT a.event_id AS centre, a.n, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2, b.age AS age FROM e a, e b),
- discs AS (SELECT DISTINCT centre, n, d2, count(*) OVER (PARTITION BY centre ORDER BY d2) AS space_count FROM near WHERE d2 <= 90000),
- cand AS (SELECT d.centre, d.d2, d.n, d.space_count, g.age, g.time_count, count(*) AS actual FROM discs d, ages g JOIN near m ON m.centre = d.centre AND m.d2 <= d.d2 AND m.age <= g.age
-   WHERE d.space_count > 1 AND d.space_count <= 0.5 * d.n GROUP BY ALL),
- llr AS (SELECT *, actual * ln(actual * n / (space_count * time_count)::DOUBLE) + CASE WHEN n > actual THEN (n - actual) * ln((n - actual) / (n - space_count * time_count / n::DOUBLE)) ELSE 0 END AS statistic
-   FROM cand WHERE actual > 1 AND actual * n > space_count * time_count)"""
-
 ORACLE: dict[str, str] = {
     "hotspot_backtest": f"WITH {BACKTEST} SELECT * FROM bt",
     "backtest_pivot": f"""WITH {BACKTEST} SELECT 'naive' AS predictor, start, "end", total, max(hits) FILTER (coverage = 1) AS "1%", max(hits) FILTER (coverage = 5) AS "5%",
@@ -134,14 +123,18 @@ ORACLE: dict[str, str] = {
     "kde_fixed": kde("1.0::DOUBLE", FIXED.format(h=120)),
     "kde_time_exp": kde("exp(-age / 5) / 5", FIXED.format(h=200)),
     "kde_time_quad": kde("2 / (pi() * 5) / (1 + (age / 5) * (age / 5))", SCOTT),
-    "kde_edge_corrected": f"""WITH {PTS}, {WEEKS}, {CELLS}, ok AS (SELECT DISTINCT gx, gy, mx, my FROM cells JOIN weeks ON x >= gx * 150 AND x <= (gx + 1) * 150 AND y >= gy * 150 AND y <= (gy + 1) * 150),
-      d AS (SELECT gx, gy, mx, my, sum(exp(-((mx - x) * (mx - x) + (my - y) * (my - y)) / 80000)) / (count(*) * 2 * pi() * 40000) AS r FROM ok, weeks GROUP BY ALL),
+    "kde_edge_corrected": f"""WITH {PTS}, {TRAIN}, {CELLS}, ok AS (SELECT DISTINCT gx, gy, mx, my FROM cells JOIN train ON x >= gx * 150 AND x <= (gx + 1) * 150 AND y >= gy * 150 AND y <= (gy + 1) * 150),
+      d AS (SELECT gx, gy, mx, my, sum(exp(-((mx - x) * (mx - x) + (my - y) * (my - y)) / 80000)) / (count(*) * 2 * pi() * 40000) AS r FROM ok, train GROUP BY ALL),
       cloud AS (SELECT gx AS cx, gy AS cy, CAST(floor((mx + 200 * sqrt(-2 * ln(1 - (i.range + 0.5::DOUBLE) / 10)) * cos(a.range * (2 * pi() / 100))) / 150) AS BIGINT) AS gx,
         CAST(floor((my + 200 * sqrt(-2 * ln(1 - (i.range + 0.5::DOUBLE) / 10)) * sin(a.range * (2 * pi() / 100))) / 150) AS BIGINT) AS gy FROM ok, range(10) i, range(100) a),
       f AS (SELECT cx AS gx, cy AS gy, count(*) / 1000.0::DOUBLE AS factor FROM cloud JOIN ok USING (gx, gy) GROUP BY cx, cy)
       SELECT gx, gy, round(r / factor, 12) AS risk FROM d JOIN f USING (gx, gy)""",
-    "knn_distance": f"""WITH {PTS}, {WEEKS}, d AS (SELECT a.event_id, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d, row_number() OVER (PARTITION BY a.event_id ORDER BY pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS k
-      FROM weeks a JOIN weeks b ON a.event_id <> b.event_id) SELECT event_id, round(d, 6) AS distance FROM d WHERE k = 15""",
+    "knn_distance": f"""WITH {PTS}, d AS (SELECT a.event_id, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d, row_number() OVER (PARTITION BY a.event_id ORDER BY pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS k
+      FROM pts a JOIN pts b ON a.event_id <> b.event_id AND abs(a.x - b.x) <= 600 AND abs(a.y - b.y) <= 600),
+      far AS (SELECT event_id FROM pts EXCEPT SELECT event_id FROM d WHERE k = 15 AND d <= 600),
+      e AS (SELECT a.event_id, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d, row_number() OVER (PARTITION BY a.event_id ORDER BY pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS k
+      FROM (SELECT * FROM pts SEMI JOIN far USING (event_id)) a JOIN pts b ON a.event_id <> b.event_id)
+      SELECT event_id, round(d, 6) AS distance FROM d WHERE k = 15 AND d <= 600 UNION ALL SELECT event_id, round(d, 6) AS distance FROM e WHERE k = 15""",
     "surface_renormalise": f"WITH {PTS}, {BASE}, {PROB} SELECT gx, gy, round(risk, 9) AS risk FROM prob",
     "surface_percentile": f"WITH {PTS}, {BASE} SELECT gx, gy, round(cume_dist() OVER (ORDER BY risk), 6) AS percentile FROM base",
     "surface_new_extent": f"WITH {PTS}, {BASE} SELECT a.range AS gx, b.range AS gy, coalesce(risk, 0) AS risk FROM range(30) a CROSS JOIN range(22) b LEFT JOIN base ON base.gx = a.range - 2 AND base.gy = b.range + 3",
@@ -176,14 +169,14 @@ ORACLE: dict[str, str] = {
     "knox_statistic": f"""WITH {PTS}, p AS (SELECT sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d, abs(epoch_us(a.ts) - epoch_us(b.ts)) AS dt FROM pts a JOIN pts b ON a.event_id < b.event_id AND abs(a.x - b.x) <= 100 AND abs(a.y - b.y) <= 100),
       s(space_bin, s0, s1) AS (VALUES (0, 0, 50), (1, 50, 100), (2, 0, 100)), t(time_bin, t0, t1) AS (VALUES (0, 0, 86400000000), (1, 86400000000, 259200000000), (2, 0, 604800000000))
       SELECT space_bin::INTEGER AS space_bin, time_bin::INTEGER AS time_bin, count(d) AS statistic FROM s CROSS JOIN t LEFT JOIN p ON d BETWEEN s0 AND s1 AND dt BETWEEN t0 AND t1 GROUP BY ALL""",
-    "scan_best_per_centre": f"WITH {SCAN} SELECT centre, round(d2, 6) AS d2, round(statistic, 6) AS statistic, space_count, actual FROM llr QUALIFY row_number() OVER (PARTITION BY centre ORDER BY round(statistic, 9) DESC, d2, age) = 1",
-    "seppexp_p_matrix": f"WITH {SEPP} SELECT i, j, round(p, 6) AS p FROM pm",
+    "seppexp_p_matrix": f"""WITH {SEPP} SELECT j, round(sum(p) FILTER (i = j), 6) AS background, count(*) FILTER (i <> j) AS triggers, round(coalesce(sum(p) FILTER (i <> j), 0), 6) AS triggered,
+      coalesce(arg_min(i, {{'dt': dt, 'i': i}}) FILTER (i <> j), -1) AS latest FROM pm GROUP BY j""",
     "seppexp_em_1": f"""WITH {SEPP}, o AS (SELECT sum(p) AS s, sum(p * dt) AS st FROM pm WHERE i <> j)
-      SELECT gx, gy, round(sum(p) / 10080.0::DOUBLE, 9) AS mu, round(any_value(s / st), 9) AS omega, round(any_value(s) / (SELECT count(*) FROM ev), 9) AS theta FROM pm, o WHERE i = j GROUP BY gx, gy""",
+      SELECT gx, gy, round(sum(p) / 30240.0::DOUBLE, 9) AS mu, round(any_value(s / st), 9) AS omega, round(any_value(s) / (SELECT count(*) FROM ev), 9) AS theta FROM pm, o WHERE i = j GROUP BY gx, gy""",
     "seppexp_predict": f"""WITH {SEPP}, tr AS (SELECT gx, gy, sum(0.5::DOUBLE * (1 / 1440.0::DOUBLE) * exp(-(1 / 1440.0::DOUBLE) * ((epoch_us(TIMESTAMP '2024-01-22') - (SELECT min(epoch_us(ts)) FROM week)) / 60000000.0::DOUBLE - t))) AS r FROM ev GROUP BY ALL),
       c AS (SELECT a.range AS gx, b.range AS gy FROM range(4) a, range(3) b) SELECT gx, gy, round(coalesce(mu, 0) + coalesce(r, 0), 9) AS risk FROM c LEFT JOIN mu USING (gx, gy) LEFT JOIN tr USING (gx, gy)""",
-    "sepp_initial_p": f"""WITH {PTS}, {WEEKS}, raw AS (SELECT event_id AS i, event_id AS j, 1.0::DOUBLE AS p FROM weeks UNION ALL
-      SELECT a.event_id, b.event_id, exp(-((epoch_us(b.ts) - epoch_us(a.ts)) / 86400000000.0::DOUBLE) / 0.1::DOUBLE) * exp(-(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) / 5000) FROM weeks a JOIN weeks b
+    "sepp_initial_p": f"""WITH {PTS}, raw AS (SELECT event_id AS i, event_id AS j, 1.0::DOUBLE AS p FROM pts UNION ALL
+      SELECT a.event_id, b.event_id, exp(-((epoch_us(b.ts) - epoch_us(a.ts)) / 86400000000.0::DOUBLE) / 0.1::DOUBLE) * exp(-(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) / 5000) FROM pts a JOIN pts b
       ON (a.ts < b.ts OR (a.ts = b.ts AND a.event_id < b.event_id)) AND epoch_us(b.ts) - epoch_us(a.ts) <= 172800000000 AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 10000)
       SELECT i, j, round(p / sum(p) OVER (PARTITION BY j), 6) AS p FROM raw""",
     "graph_degree": f"WITH {STREETS} SELECT * FROM deg",

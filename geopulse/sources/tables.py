@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geopulse.functions.tables import running
+
 # Column names (type, x, y, time) of the known layouts, and their time formats.
 LAYOUTS = {
     "snapshot": (" PRIMARY DESCRIPTION", "X COORDINATE", "Y COORDINATE", "DATE  OF OCCURRENCE"),
     "all": ("Primary Type", "X Coordinate", "Y Coordinate", "Date"),
     "gen": ("CRIME", "X", "Y", "TIMESTAMP"),
 }
-TIMES = {"snapshot": "MM/dd/yyyy hh:mm:ss a", "all": "MM/dd/yyyy hh:mm:ss a", "gen": "yyyy-MM-dd'T'HH:mm:ss"}
+LAYOUTS["all_other"] = LAYOUTS["all"]
+TIMES = {"snapshot": "M/d/yyyy h:m:s a", "all": "M/d/yyyy h:m:s a", "gen": "M/d/yyyy h:m:s a", "all_other": "M/d/yy H:m"}
 FEET_TO_METRES = 1200 / 3937  # US survey feet
 
 
 def csv_events(spark: SparkSession, path: str, types: set[str], layout: str = "snapshot", metres: bool = True) -> DataFrame:
-    """(ts, x, y, category) of a CSV in one of the layouts; rows without a place are left out; ordered by time."""
+    """(ts, x, y, category) of a CSV in one of the layouts; rows without a place are left out, and a time that can't be read is an error."""
     rows = spark.read.option("header", True).csv(path)
     kind, x, y, t = LAYOUTS[layout]
     missing = {kind, x, y, t} - set(rows.columns)
@@ -24,15 +27,17 @@ def csv_events(spark: SparkSession, path: str, types: set[str], layout: str = "s
         raise ValueError(f"columns are missing: {sorted(missing)}")
     scale = FEET_TO_METRES if metres else 1.0
     place = lambda c: F.col(f"`{c}`").try_cast("double") * scale
-    out = rows.select(F.try_to_timestamp(F.col(f"`{t}`"), F.lit(TIMES[layout])).cast("timestamp_ntz").alias("ts"), place(x).alias("x"), place(y).alias("y"), F.trim(F.col(f"`{kind}`")).alias("category"))
-    return out.where(F.col("category").isin(list(types)) & F.col("x").isNotNull() & F.col("y").isNotNull()).orderBy("ts")
+    stamp = F.try_to_timestamp(F.col(f"`{t}`"), F.lit(TIMES[layout])).cast("timestamp_ntz")
+    stamp = F.coalesce(stamp, F.raise_error(F.concat(F.lit("unreadable time: "), F.coalesce(F.col(f"`{t}`"), F.lit("none")))).cast("timestamp_ntz"))
+    out = rows.select(stamp.alias("ts"), place(x).alias("x"), place(y).alias("y"), F.trim(F.col(f"`{kind}`")).alias("category"))
+    return out.where(F.col("category").isin(list(types)) & F.col("x").isNotNull() & F.col("y").isNotNull())
 
 
 def monthly_csv(spark: SparkSession, path: str, types: set[str]) -> DataFrame:
     """(ts, x, y, category) of a CSV of months and degrees; no types means all of them."""
     rows = spark.read.option("header", True).csv(path)
     out = rows.select(F.try_to_timestamp("Month", F.lit("yyyy-MM")).cast("timestamp_ntz").alias("ts"), F.col("Longitude").try_cast("double").alias("x"), F.col("Latitude").try_cast("double").alias("y"), F.col("`Crime type`").alias("category"))
-    return (out.where(F.col("category").isin(list(types))) if types else out).where("x is not null and y is not null").orderBy("ts")
+    return (out.where(F.col("category").isin(list(types))) if types else out).where("x is not null and y is not null")
 
 
 def configured_csv(spark: SparkSession, path: str, time: int, x: int, y: int, time_format: str | None = None, scale: float = 1.0, types: tuple[int, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -61,12 +66,10 @@ def scan_files(spark: SparkSession, stem: str, time_end: float) -> DataFrame:
 
 def write_scan_files(points: DataFrame, stem: str) -> None:
     """Such files of (x, y, t): places numbered from 1 in order, and counts for each place and time."""
-    from pyspark.sql import Window as W
-
-    places = points.select("x", "y").distinct().withColumn("id", F.row_number().over(W.orderBy("x", "y")))
-    places.select(F.concat_ws(" ", "id", "x", "y").alias("value")).coalesce(1).write.text(f"{stem}.geo")
+    places = running(points.select("x", "y").distinct(), ["x", "y"], "id")
+    places.select(F.concat_ws(" ", "id", "x", "y").alias("value")).write.text(f"{stem}.geo")
     counts = points.join(places, ["x", "y"]).groupBy("id", "t").agg(F.count("*").alias("n"))
-    counts.select(F.concat_ws(" ", "id", "n", "t").alias("value")).coalesce(1).write.text(f"{stem}.cas")
+    counts.select(F.concat_ws(" ", "id", "n", "t").alias("value")).write.text(f"{stem}.cas")
 
 
 def geojson_features(events: DataFrame) -> DataFrame:

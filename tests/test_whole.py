@@ -1,32 +1,17 @@
-"""Queries over all events: against the catalogue's SQL without its filters, and against brute force."""
+"""Queries over all events against brute force."""
 
 import math
 
 import duckdb
 import numpy as np
 import pytest
-from test_catalog import SF, as_rows
+from test_catalog import SF
 from test_golden import make_points, surface_of
 
 from geopulse.functions.grid import GridSpec
-from geopulse.operators import evaluate, hotspot, knox, scan, sepp
-from geopulse.plans import catalog, oracle
-
-EVERY = "weeks AS (SELECT * FROM pts)"
-PAST = "weeks AS (SELECT * FROM pts WHERE ts < TIMESTAMP '2024-01-22')"
-SCANNED = "WHERE ts >= TIMESTAMP '2024-01-22' AND ts < TIMESTAMP '2024-01-26' AND category = 'error' AND x < 1500"
-WITHOUT = {name: (oracle.WEEKS, PAST) for name in ("kde_gaussian_scott", "kde_fixed", "kde_time_exp", "kde_time_quad", "kde_edge_corrected")}
-WITHOUT |= {name: (oracle.WEEKS, EVERY) for name in ("knn_distance", "sepp_initial_p")}
-WITHOUT["scan_best_per_centre"] = (SCANNED, "")
-
-
-def uncut(sql):
-    """The self-exciting queries' SQL over all events before the prediction and all earlier parents."""
-    for old, new in ((" AND b.t - a.t <= 720", ""), ("WHERE ts >= TIMESTAMP '2024-01-15' AND ts <", "WHERE ts <"), ("10080.0", "30240.0")):
-        assert old in sql
-        sql = sql.replace(old, new)
-    return sql
-
+from geopulse.operators import evaluate, graph, hotspot, knox, network, scan, sepp, surface
+from geopulse.plans import catalog
+from geopulse.sources import tables
 
 @pytest.fixture(scope="module")
 def duck():
@@ -35,15 +20,6 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(WITHOUT))
-def test_query_covers_all_events(spark, duck, name):
-    old, new = WITHOUT[name]
-    sql = catalog.oracle_sql()[name]
-    assert old in sql
-    got, want = catalog.queries()[name](spark, SF).toPandas(), duck.sql(sql.replace(old, new)).df()
-    assert len(got) and as_rows(got) == as_rows(want)
-
-
 def test_knox_pvalue_covers_all_events(spark, duck):
     got = {(r.space_bin, r.time_bin): (r.statistic, r.pvalue) for r in catalog.queries()["knox_pvalue"](spark, SF).collect()}
     want = {(a, b): n for a, b, n in duck.sql(catalog.oracle_sql()["knox_statistic"]).fetchall()}
@@ -85,20 +61,103 @@ def test_scan_against_brute_force(spark, monkeypatch, block):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_clusters_take_all_discs(spark):
+    """Against the greedy choice over all candidates."""
+    rng = np.random.default_rng(11)
+    at = np.concatenate([rng.normal((a, b), 1.5, (9, 2)) for a, b in rng.integers(0, 30, (9, 2))])
+    pts = make_points(spark, [(f"2017-01-{1 + int(d):02d}", float(x), float(y)) for (x, y), d in zip(at, rng.integers(0, 28, len(at)), strict=True)])
+    found = scan.scan_candidates(pts, 6.0, 12.0)
+    left = sorted(((-round(r.statistic, 9), math.sqrt(r.d2), r.age, r.centre) for r in found.collect()))
+    want = []
+    while left:
+        best = left[0]
+        want.append(best)
+        x, y = at[best[3]]
+        left = [c for c in left if (at[c[3]][0] - x) ** 2 + (at[c[3]][1] - y) ** 2 > (c[1] + best[1]) ** 2]
+    got = scan.clusters(found, pts)
+    assert [(r.rank, r.centre) for r in got.orderBy("rank").collect()] == [(k + 1, c[3]) for k, c in enumerate(want)] and len(want) > 3
+    aged = scan.with_age(pts, None, 86_400_000_000)
+    ages = {r.event_id: r.age for r in aged.collect()}
+    for r in scan.maximal(got, aged).collect():
+        d = np.hypot(at[:, 0] - r.cx, at[:, 1] - r.cy)
+        radius = want[r["rank"] - 1][1]
+        free = [x for i, x in enumerate(d.tolist()) if x > radius * (1 + 1e-9) and ages[i] <= r.age]
+        assert r.radius == pytest.approx(min(free, default=radius))
+
+
+def test_scan_risk_falls_from_cluster_to_cluster_and_to_the_edge(spark):
+    grid = GridSpec(1.0, 1.0, 0.0, 0.0, 8, 3)
+    found = spark.createDataFrame([(1, 9, 1.5, 1.5, 1.0, 2.0, 5.0), (2, 8, 5.5, 0.5, 1.0, 2.0, 3.0)], "rank int, centre long, cx double, cy double, radius double, age double, statistic double")
+    got = {(r.gx, r.gy): r.risk for r in scan.scan_surface(found, grid.cells(spark), grid).collect()}
+    want = {(1, 1): 2.0, (1, 0): 1.2, (0, 1): 1.4, (2, 1): 1.6, (1, 2): 1.8, (5, 0): 1.0, (4, 0): 0.25, (6, 0): 0.5, (5, 1): 0.75}
+    assert got == {(x, y): pytest.approx(want.get((x, y), 0.0)) for x in range(8) for y in range(3)}
+    places = spark.createDataFrame([(0, 1.5, 1.5), (1, 1.5, 2.6), (2, 5.5, 0.5), (3, 2.0, 1.5)], "place_id long, x double, y double")
+    risk = {r.place_id: r.risk for r in scan.continuous_risk(found, places).collect()}
+    assert risk[1] == 0 and risk[0] > risk[3] > risk[2] > 0
+
+
+def test_scan_p_values_of_permutations(spark):
+    pts = make_points(spark, [(f"2017-01-{1 + k:02d}", 0.1 * k if k > 15 else 50.0 * k, 0.0) for k in range(20)])
+    row = scan.scan_monte_carlo(pts, 3, radius=3.0, max_age=5.0).head()
+    assert row.statistic > 0 and row.pvalue in (0.0, 0.25, 0.5, 0.75)
+
+
+def test_nodes_across_a_cell_border_are_merged(spark):
+    nodes = spark.createDataFrame([(5, 0.049, 0.0), (3, 0.051, 0.0), (9, 3.0, 3.0), (7, 0.13, 0.0), (8, 0.3, 0.0)], "node_id long, x double, y double")
+    assert {r.node_id: r.key for r in graph.merge_nodes(nodes, 0.1).collect()} == {5: 3, 3: 3, 7: 3, 8: 8, 9: 9}
+
+
+def test_long_walks_go_on(spark):
+    edges = spark.createDataFrame([(k, k, k + 1, 1.0) for k in range(12)], "edge_id long, k1 long, k2 long, length double")
+    got = graph.walks_with_degrees(edges, 1, 0, 100.0, 50.0).collect()
+    assert sorted(r.length for r in got) == [float(k) for k in range(11)]
+
+
+def test_broken_ties_are_the_same_in_any_partitions(spark):
+    s = surface_of(spark, [[1.0, 1.0, 2.0], [2.0, 2.0, 1.0]])
+    one, two = ({(r.gx, r.gy): r.risk for r in surface.break_ties(x, 3).collect()} for x in (s.coalesce(1), s.repartition(5)))
+    assert one == two and len(set(one.values())) == 6 and max(one.values()) < 2 + 1e-8
+
+
+def test_coverage_runs_over_ranges(spark):
+    edges = spark.createDataFrame([(k, k, k + 1, float(1 + k % 3)) for k in range(50)], "edge_id long, k1 long, k2 long, length double")
+    risks = spark.createDataFrame([(k, float(k * 7 % 10)) for k in range(50)], "edge_id long, risk double")
+    order, total, want = sorted(range(50), key=lambda k: (-(k * 7 % 10), k)), sum(1 + k % 3 for k in range(50)), set()
+    upto = 0
+    for k in order:
+        upto += 1 + k % 3
+        if upto <= total * 0.4:
+            want.add(k)
+    assert {r.edge_id for r in network.coverage(risks, edges, 0.4).collect()} == want
+
+
+@pytest.mark.parametrize(("layout", "stamp", "hour"), [("snapshot", "03/09/2014 01:05:00 PM", 13), ("gen", "3/9/2014 11:05:00 AM", 11), ("all_other", "3/9/14 5:05", 5)])
+def test_times_of_the_layouts(spark, tmp_path, layout, stamp, hour):
+    kind, x, y, t = tables.LAYOUTS[layout]
+    path = tmp_path / "events.csv"
+    path.write_text(f"{kind},{x},{y},{t}\nTHEFT,10,20,{stamp}\nTHEFT,,20,{stamp}\nOTHER,1,2,{stamp}\n")
+    (row,) = tables.csv_events(spark, str(path), {"THEFT"}, layout, metres=False).collect()
+    assert (row.ts.year, row.ts.month, row.ts.day, row.ts.hour, row.ts.minute, row.x, row.y) == (2014, 3, 9, hour, 5, 10.0, 20.0)
+    path.write_text(f"{kind},{x},{y},{t}\nTHEFT,10,20,yesterday\n")
+    with pytest.raises(Exception, match="unreadable time"):
+        tables.csv_events(spark, str(path), {"THEFT"}, layout).collect()
+
+
+def test_scan_files_round_trip(spark, tmp_path):
+    pts = spark.createDataFrame([(1.0, 2.0, 3.0), (1.0, 2.0, 3.0), (4.0, 5.0, 1.0)], "x double, y double, t double")
+    tables.write_scan_files(pts, str(tmp_path / "s"))
+    got = sorted((r.x, r.y, r.age) for r in tables.scan_files(spark, str(tmp_path / "s"), 10.0).collect())
+    assert got == [(1.0, 2.0, 7.0), (1.0, 2.0, 7.0), (4.0, 5.0, 9.0)]
+
+
 def test_neighbour_distances_of_any_density(spark):
     rng = np.random.default_rng(6)
     at = np.concatenate([rng.random((60, 2)), 1000 * rng.random((20, 2)), [[5e4, 5e4]]])
-    got = {r.event_id: r.distance for r in hotspot.knn_distance(make_points(spark, [("2017-01-01", *p) for p in at.tolist()]), 7, 50.0).collect()}
+    got = {r.event_id: r.distance for r in hotspot.knn_distance(make_points(spark, [("2017-01-01", *p) for p in at.tolist()]), 7).collect()}
     d = np.sort(np.hypot(*(at[:, None] - at[None]).transpose(2, 0, 1)), axis=1)[:, 7]
     assert got == {i: pytest.approx(x) for i, x in enumerate(d.tolist())}
 
 
-@pytest.mark.parametrize("name", ["seppexp_p_matrix", "seppexp_em_1", "seppexp_predict"])
-def test_self_excitation_takes_all_parents(spark, duck, name):
-    got, want = catalog.queries()[name](spark, SF).toPandas(), duck.sql(uncut(catalog.oracle_sql()[name])).df()
-    assert as_rows(got) == as_rows(want)
-
-
 @pytest.mark.parametrize("omega", [1 / 1440, 0.5, 0.1])
 def test_em_step_against_full_matrix(spark, omega):
     rng = np.random.default_rng(8)
