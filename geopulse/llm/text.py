@@ -40,7 +40,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-ROWS_PER_FILE = 250_000
+ROWS_PER_FILE = 50_000
 
 
 def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
