@@ -29,6 +29,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from geopulse.llm.text import map_rows
 
@@ -48,19 +49,34 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def load_tokenizer(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:
-    """The encoding, and for each id whether a sentence can end with it.
+class Encoder:
+    """text -> ids. Runs of white space that are too long for the fast encoder's pattern matching go to the slower one."""
+
+    def __init__(self, encoding: tiktoken.Encoding, slow_path: str):
+        self.encoding, self.slow_path, self.slow = encoding, slow_path, None
+
+    def __call__(self, text: str) -> np.ndarray:
+        try:
+            return self.encoding.encode_to_numpy(text, allowed_special="all")
+        except ValueError:
+            self.slow = self.slow or Tokenizer.from_file(self.slow_path)
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
+
+
+def load_tokenizer(path: str) -> tuple[Encoder, np.ndarray]:
+    """The encoder, and for each id whether a sentence can end with it.
 
     Added tokens, which are single ids in texts too, are read from the JSON file beside the ranks.
     """
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    with open(os.path.splitext(path)[0] + ".json", encoding="utf-8") as f:
+    slow_path = os.path.splitext(path)[0] + ".json"
+    with open(slow_path, encoding="utf-8") as f:
         added = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
     ends = np.zeros(max(*ranks.values(), *added.values()) + 1, bool)
     for token, i in ranks.items():
         ends[i] = token.rstrip(b"\"')]").endswith((b".", b"!", b"?", b"\n"))
-    return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added), ends
+    return Encoder(tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added), slow_path), ends
 
 
 def cut_points(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,10 +185,10 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, separator: int = SEPAR
     path = path or vocabulary()
 
     def pack(rows):
-        encoding, ends = load_tokenizer(path)
+        encode, ends = load_tokenizer(path)
         packer = Packer(window, TaskContext.get().partitionId() << 40)
         for doc_id, text in rows:
-            ids = encoding.encode_to_numpy((text or b"").decode("utf-8", "replace"), allowed_special="all")
+            ids = encode((text or b"").decode("utf-8", "replace"))
             ids = np.append(ids, np.uint32(separator)).astype("<u4")
             yield from packer.add(doc_id, ids, *cut_points(ids, ends))
         yield from packer.flush(closed=True)
