@@ -8,11 +8,12 @@ one of the overlapping bands of 2 * (e + 1) diagonals. So a document's q-grams a
 among the benchmark's, windows with too few hits are left out, hits are counted in bands, and
 each band that meets the bound is verified by a banded alignment.
 
-The documents are read once for each block of the benchmark; a block has a bounded size, so
-what is sent to the executors doesn't grow with either table. There is no shuffle.
+The documents are read once for each block of the benchmark. A block has a bounded size, comes
+through the driver, is broadcast, and goes before the next one comes; so neither the driver nor the executors hold more
+than one block. There is no shuffle.
 
-Defined results: null and empty texts match nothing; items with fewer than 2 * q characters are
-not searched for; repeated documents are reported each, as often as they occur; repeated items
+Defined results: null and empty texts match nothing, and empty items match nothing; items with
+fewer than 2 * q characters are searched for as whole words without edits; repeated documents are reported each, as often as they occur; repeated items
 are reported under each id; an empty table gives no rows.
 """
 
@@ -21,11 +22,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import partial
 
+import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geopulse.llm.text import MULT, map_rows, mix, struct_udf
+from geopulse.llm.text import MULT, checkpointed, map_rows, mix, struct_udf
 
 Q = 10
 SEGMENT = 100
@@ -40,6 +42,10 @@ def normal(text: bytes | None) -> np.ndarray:
     return np.frombuffer(b" ".join((text or b"").lower().split()).decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
 
 
+def as_text(points: np.ndarray) -> str:
+    return points.tobytes().decode("utf-32-le", "replace")
+
+
 def grams(points: np.ndarray, q: int) -> np.ndarray:
     """64-bit hashes of all q-grams."""
     if len(points) < q:
@@ -53,13 +59,16 @@ def grams(points: np.ndarray, q: int) -> np.ndarray:
 
 
 class Index:
-    """The q-grams of one block of the benchmark."""
+    """The q-grams of one block of the benchmark, and its short items."""
 
     def __init__(self, items: list[tuple[int, bytes]], q: int, segment: int, edit_rate: float):
         self.q, self.segments, self.made = q, [], {}  # item, points, budget, bound
+        short: dict[str, list[int]] = {}
         for item, text in items:
             points = normal(text)
             if len(points) < 2 * q:
+                if len(points):
+                    short.setdefault(f" {as_text(points)} ", []).append(item)
                 continue
             step = segment // 2
             last = max(0, len(points) - segment)
@@ -74,6 +83,11 @@ class Index:
         self.segment = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])[order]
         self.place = np.concatenate([np.empty(0, np.int64), *(np.arange(len(x)) for x in hashes)])[order]
         self.hashes, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
+        self.short = ahocorasick.Automaton()
+        for pattern, ids in short.items():
+            self.short.add_word(pattern, (len(pattern) - 2, ids))
+        if short:
+            self.short.make_automaton()
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[self.hashes >> np.uint64(64 - TABLE_BITS)] = True
         self.bound = min((x[3] for x in self.segments), default=1)
@@ -93,6 +107,17 @@ class Index:
     def search(self, text: bytes | None) -> list[tuple[int, int, int, int, int]]:
         """(item, start, end, edits, matched characters) for each item found; offsets in the normal form."""
         points = normal(text)
+        return self.search_long(points) + (self.search_short(points) if len(self.short) else [])
+
+    def search_short(self, points: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """Items of fewer than 2 * q characters: the first place of each as whole words, without edits."""
+        found: dict[int, tuple[int, int, int, int]] = {}
+        for end, (n, ids) in self.short.iter(f" {as_text(points)} "):
+            for item in ids:
+                found.setdefault(item, (end - 1 - n, end - 1, 0, n))
+        return [(item, *x) for item, x in found.items()]
+
+    def search_long(self, points: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         h = grams(points, self.q)
         at = np.flatnonzero(self.table[h >> np.uint64(64 - TABLE_BITS)])
         if len(at) < self.bound:
@@ -227,9 +252,17 @@ class Searcher:
         return self.index.search(text)
 
 
-def searchers(benchmark: DataFrame, q: int, segment: int, edit_rate: float, block_chars: int) -> list[Searcher]:
-    sc = benchmark.sparkSession.sparkContext
-    return [Searcher(sc.broadcast(b), q, segment, edit_rate) for b in blocks(benchmark, block_chars)]
+def searchers(benchmark: DataFrame, q: int, segment: int, edit_rate: float, block_chars: int) -> Iterator[tuple[Searcher, bool]]:
+    """A searcher for each block, and whether it is the last; a block's broadcast goes when the next one is asked for."""
+    sc, rest = benchmark.sparkSession.sparkContext, blocks(benchmark, block_chars)
+    block = next(rest, None)
+    while block is not None:
+        following = next(rest, None)
+        shared = sc.broadcast(block)
+        yield Searcher(shared, q, segment, edit_rate), following is None
+        if following is not None:
+            shared.destroy()
+        block = following
 
 
 def contamination(
@@ -238,14 +271,15 @@ def contamination(
     """A row for each document and benchmark item found in it."""
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     out = docs.sparkSession.createDataFrame([], MATCHES)
-    for search in searchers(benchmark, q, segment, edit_rate, block_chars):
+    for search, last in searchers(benchmark, q, segment, edit_rate, block_chars):
 
         def run(it, search=search):
             for doc_id, text in it:
                 for found in search(text):
                     yield doc_id, *found
 
-        out = out.unionAll(map_rows(rows, run, MATCHES))
+        found = map_rows(rows, run, MATCHES)
+        out = out.unionAll(found if last else checkpointed(found))
     return out
 
 
@@ -253,9 +287,10 @@ def decontaminate(
     docs: DataFrame, benchmark: DataFrame, q: int = Q, segment: int = SEGMENT, edit_rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS
 ) -> DataFrame:
     """docs without the documents in which an item is found."""
-    for search in searchers(benchmark, q, segment, edit_rate, block_chars):
+    for search, last in searchers(benchmark, q, segment, edit_rate, block_chars):
         udf = struct_udf(docs.sparkSession, partial(count_found, search=search), "n long")
-        docs = docs.where(udf(F.col("text").cast("binary")).n == 0)
+        kept = docs.where(udf(F.col("text").cast("binary")).n == 0)
+        docs = kept if last else checkpointed(kept)
     return docs
 
 
