@@ -9,12 +9,14 @@ training rows say: by the share of toxic ones among the texts with exact hits, o
 that are misspelled only.
 
 A hit's context window separates quotation from abuse: within quotation marks, or beside a
-reporting word, it counts for ``QUOTED`` of its weight. The score is
+reporting word, it counts for ``QUOTED`` of its weight. Reporting words are learned in every
+language: those that stand beside hits in several training texts, hardly any of them toxic. The score is
 ``1 - product(1 - weight * context)`` over the hits.
 
 Defined results: null and empty texts score 0; without labelled toxic rows the lexicon is empty
 and all scores are 0; a document with contrary labels counts as toxic; labels of documents that
-don't exist, and null labels, are ignored; repeated rows get the same score.
+don't exist, and null labels, are ignored; repeated rows get the same score; a missing doc_id
+counts as the empty text for the choice of training rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geopulse.llm.text import map_rows, struct_udf
+from geopulse.llm.text import checkpointed, map_rows, struct_udf
 
 MAX_LABELLED = 20_000
 LEXICON_SIZE = 512
@@ -37,9 +39,12 @@ CONTEXT = 8
 QUOTED = 0.25
 THRESHOLD = 0.3
 PRIOR_MISSPELLED = 0.6
-# Marks and words around quotations.
+BESIDE = 3
+REPORTING_SIZE = 256
+MIN_REPORTS = 5
+MOST_TOXIC = 0.1
+# Marks around quotations.
 QUOTES = "\"'“”„«»‘’‹›"
-REPORTING = frozenset("said says saying wrote writes written quote quoted quotes quoting called word term phrase cited reported".split())
 EDGE = "".join(map(chr, range(33, 48))) + "0123456789" + ":;<=>?@[\\]^_`{|}~" + QUOTES + "…–—¡¿"
 
 
@@ -49,7 +54,7 @@ def plain(word: bytes) -> str:
 
 
 def in_training(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string")) % 4 != 2
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 != 2
 
 
 class Automaton:
@@ -170,8 +175,11 @@ def labelled(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(rows), "doc_id").select("text", "toxic")
 
 
-def learn_lexicon(rows: DataFrame, size: int = LEXICON_SIZE) -> list[tuple[str, bool, float, float]]:
-    """Entries (letters, is a stem, weight of an exact hit, weight of a misspelled hit)."""
+Lexicon = tuple[list[tuple[str, bool, float, float]], frozenset]
+
+
+def learn_lexicon(rows: DataFrame, size: int = LEXICON_SIZE) -> Lexicon:
+    """Entries (letters, is a stem, weight of an exact hit, weight of a misspelled hit), and the reporting words."""
 
     def count(it):
         seen: Counter = Counter()
@@ -195,9 +203,10 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON_SIZE) -> list[tuple[str,
     counts = map_rows(rows, count, "feature string, toxic int, n long").groupBy("feature").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("n0")
     )
+    counts = checkpointed(counts)
     total = counts.where("feature = ''").head()
     if total is None or not total.n1:
-        return []
+        return [], frozenset()
     ratio = (F.col("n1") / total.n1) / ((F.col("n0") + 0.5) / max(total.n0, 1))
     marked = counts.where((F.col("feature") != "") & (F.col("n1") >= max(MIN_TOXIC, MIN_SHARE * total.n1)) & (ratio >= MIN_RATIO))
     # At most a few features for each entry come to the driver.
@@ -220,29 +229,38 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON_SIZE) -> list[tuple[str,
     return weighed(rows, entries)
 
 
-def weighed(rows: DataFrame, entries: list[tuple[str, bool]]) -> list[tuple[str, bool, float, float]]:
-    """The entries with weights from the labelled rows' exact hits, and from those hit by misspellings only."""
+def weighed(rows: DataFrame, entries: list[tuple[str, bool]]) -> Lexicon:
+    """The entries with weights from the labelled rows' exact hits, and from those hit by misspellings only; the words beside hits."""
 
     def count(it):
         matcher, seen = Matcher(entries), Counter()
         for text, toxic in it:
-            hits = {h for h in map(matcher, set((text or b"").lower().split())) if h}
-            exact = {i for e, i in hits if e == 0}
-            seen.update((i, e, int(bool(toxic))) for e, i in hits if e == 0 or not exact)
+            words = (text or b"").lower().split()
+            at = [(i, h) for i, h in enumerate(map(matcher, words)) if h]
+            exact = {i for _, (e, i) in at if e == 0}
+            seen.update({(i, e, int(bool(toxic)), "") for _, (e, i) in at if e == 0 or not exact})
+            near = {plain(words[k]) for i, _ in at for k in range(max(0, i - BESIDE), min(len(words), i + BESIDE + 1)) if not matcher(words[k])}
+            seen.update((-1, 0, int(bool(toxic)), w) for w in near if w)
+            if len(seen) > 300_000:
+                yield from ((*k, n) for k, n in seen.items())
+                seen.clear()
         yield from ((*k, n) for k, n in seen.items())
 
-    got = map_rows(rows, count, "entry int, edits int, toxic int, n long").groupBy("entry", "edits", "toxic").agg(F.sum("n").alias("n")).collect()
-    n = {(r.entry, r.edits, r.toxic): r.n for r in got}
+    counts = map_rows(rows, count, "entry int, edits int, toxic int, word string, n long").groupBy("entry", "edits", "toxic", "word").agg(F.sum("n").alias("n"))
+    counts = checkpointed(counts)
+    n = {(r.entry, r.edits, r.toxic): r.n for r in counts.where("entry >= 0").collect()}
+    beside = counts.where("entry < 0").groupBy("word").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("toxic")).alias("n1"))
+    beside = beside.where((F.col("n") >= MIN_REPORTS) & (F.col("n1") <= MOST_TOXIC * F.col("n"))).orderBy(F.desc("n"), "word").limit(REPORTING_SIZE)
 
     def share(i: int, edits: int, prior: float) -> float:
         toxic, other = n.get((i, edits, 1), 0), n.get((i, edits, 0), 0)
         weight = (toxic + 2 * prior) / (toxic + other + 2)
         return weight if weight >= 0.5 else 0.0  # many weak hits don't make a strong one
 
-    return [(e, stem, share(i, 0, 0.9), share(i, 1, PRIOR_MISSPELLED)) for i, (e, stem) in enumerate(entries)]
+    return [(e, stem, share(i, 0, 0.9), share(i, 1, PRIOR_MISSPELLED)) for i, (e, stem) in enumerate(entries)], frozenset(r.word for r in beside.collect())
 
 
-def quoted(words: list[bytes], i: int) -> bool:
+def quoted(words: list[bytes], i: int, reporting: frozenset) -> bool:
     """Whether the word stands in quotation marks that open and close near it, or beside a reporting word."""
     before = [w.decode("utf-8", "replace") for w in words[max(0, i - CONTEXT) : i]]
     after = [w.decode("utf-8", "replace") for w in words[i + 1 : i + 1 + CONTEXT]]
@@ -257,30 +275,31 @@ def quoted(words: list[bytes], i: int) -> bool:
         if closes or w[0] in QUOTES:
             break
         closes = w.rstrip(".,;:!?")[-1:] in tuple(QUOTES)
-    return opens and closes or any(w.strip(EDGE) in REPORTING for w in before[-3:] + after[:3])
+    return opens and closes or any(w.strip(EDGE) in reporting for w in before[-BESIDE:] + after[:BESIDE])
 
 
-def score(text: bytes | None, matcher, weights: list[tuple[float, float]]) -> tuple[float, int]:
+def score(text: bytes | None, matcher, weights: list[tuple[float, float]], reporting: frozenset) -> tuple[float, int]:
     """Score and number of hits."""
     words = (text or b"").lower().split()
     left, hits = 1.0, 0
     for i, hit in enumerate(map(matcher, words)):
         if hit:
             hits += 1
-            left *= 1 - weights[hit[1]][hit[0]] * (QUOTED if quoted(words, i) else 1)
+            left *= 1 - weights[hit[1]][hit[0]] * (QUOTED if quoted(words, i, reporting) else 1)
     return 1 - left, hits
 
 
-def scorer(lexicon: list[tuple[str, bool, float, float]]):
+def scorer(learned: Lexicon):
     """score(text) with the automaton made once in each Python worker."""
     made = []
+    lexicon, reporting = learned
 
     def run(text: bytes | None) -> tuple[float, int]:
         if not lexicon:
             return 0.0, 0
         if not made:
             made.append(Matcher([x[:2] for x in lexicon]))
-        return score(text, made[0], [x[2:] for x in lexicon])
+        return score(text, made[0], [x[2:] for x in lexicon], reporting)
 
     return run
 
