@@ -7,7 +7,8 @@ adding counts, so it is an ordinary partial aggregation: one row for each (langu
 measure, bucket) leaves a task, however large a group is, and the result does not depend on
 the order of merging. Groups with few rows use the merged sketch of their language, and then
 that of the whole corpus. A text is rejected if a measure lies above the fence
-``q50 + spread * (q75 - q50) + slack`` of its group.
+``q50 + spread * (q75 - q50) + slack`` of its group. Texts are measured once; sketches and verdicts
+read the written measures.
 
 Defined results: a null text has no words (and fails the base rule); null languages and
 sources form groups of their own; repeated rows count as often as they occur; an empty table
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from geopulse.llm.text import struct_udf
+from geopulse.llm.text import checkpointed, struct_udf
 
 SYMBOLS = b"#*$%&|<>"
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -149,12 +150,13 @@ def verdicts(stats: DataFrame, measures: dict[str, int] = MEASURES, spread: int
 
 def quality_filter(docs: DataFrame, **options) -> DataFrame:
     """The documents that pass, with all their own columns and no others."""
-    return verdicts(measured(docs), **options).where("kept").select("row.*")
+    return verdicts(checkpointed(measured(docs)), **options).where("kept").select("row.*")
 
 
 def op8_quality_rules(docs: DataFrame) -> DataFrame:
     """Digest: doc_id, counts, base_failed, kept, then the measures and the fences."""
-    return verdicts(measured(docs.select("doc_id", "lang", "source", "text"))).select(
+    stats = measured(docs.select("doc_id", "lang", "source", "text")).withColumn("row", F.struct("row.doc_id"))
+    return verdicts(checkpointed(stats)).select(
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         *MEASURES, *(f"max_{m}" for m in MEASURES),
     )
