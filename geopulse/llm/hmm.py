@@ -21,6 +21,7 @@ scored each; without training rows N and V are 0; an empty table gives no rows.
 from __future__ import annotations
 
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -268,8 +269,23 @@ def forward(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def language_model_scores(docs: DataFrame, states: int = STATES, top_words: int = TOP_WORDS, passes: int = PASSES) -> DataFrame:
-    """Scores of all documents, with held_out and train_tokens."""
+class Trained(NamedTuple):
+    """What scoring needs: classes, the model, each class's training tokens and share of unseen words, the counts of the words
+    that have classes of their own; and training tokens and distinct ones, and the tables of words."""
+
+    classes: Classes
+    model: Model
+    totals: np.ndarray
+    unseen: np.ndarray
+    common: dict[bytes, int]
+    n: int
+    v: int
+    blocks: DataFrame  # doc_id, text, train, block
+    rest: DataFrame  # block, word, c: the words of each block without a class of their own
+
+
+def train(docs: DataFrame, states: int = STATES, top_words: int = TOP_WORDS, passes: int = PASSES) -> Trained:
+    """The model of the training rows."""
     spark = docs.sparkSession
     bounded_batches(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
@@ -298,7 +314,15 @@ def language_model_scores(docs: DataFrame, states: int = STATES, top_words: int
     # Words of their own class are known to every task; each block's other words meet their counts.
     common = spark.createDataFrame([(w,) for w in classes.top], "word binary")
     rest = counts.select("block", "word").join(F.broadcast(common), "word", "left_anti").join(words, "word").select("block", "word", "c")
-    shared = spark.sparkContext.broadcast((classes, model, totals, unseen, {END: ends, **top}))
+    return Trained(classes, model, totals, unseen, {END: ends, **top}, n, v, rows, rest)
+
+
+def language_model_scores(docs: DataFrame, states: int = STATES, top_words: int = TOP_WORDS, passes: int = PASSES) -> DataFrame:
+    """Scores of all documents, with held_out and train_tokens."""
+    spark = docs.sparkSession
+    trained = train(docs, states, top_words, passes)
+    n, v, rows, rest = trained[5:]
+    shared = spark.sparkContext.broadcast(trained[:5])
     names, types = arrow_schema(spark, SCORES)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -42,6 +42,43 @@ def mixed_texts():
     return out
 
 
+def test_toxicity_against_a_slow_version(spark):
+    """The query's scores over all texts, by edit distances to every entry in place of automata."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))  # sf0.001 has too few labels to learn from
+    entries, reporting = toxicity.learn_lexicon(toxicity.labelled(docs, labels, toxicity.MAX_LABELLED))
+    got = {r.doc_id: r.score for r in toxicity.op6_toxicity(docs, labels).collect()}
+    known = {}
+
+    def near(a, b):
+        """0, 1 or 2: edits, a swap counting as one, if at most one."""
+        if a == b:
+            return 0
+        if abs(len(a) - len(b)) > 1:
+            return 2
+        i = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        return 1 if a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:] or a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :] else 2
+
+    def match(word):
+        if word not in known:
+            w, best = toxicity.plain(word), None
+            for i, (e, stem, *_) in enumerate(entries):
+                heads = [w[:k] for k in range(max(1, len(e) - 1), len(e) + 2) if k <= len(w)] if stem else [w]
+                d = min((near(h, e) for h in heads), default=2)
+                if d <= (1 if len(e) >= 5 else 0):
+                    best = min(best, (d, i)) if best else (d, i)
+            known[word] = best
+        return known[word]
+
+    for r in docs.collect():
+        words, left = (r.text or "").encode().lower().split(), 1.0
+        for i, w in enumerate(words):
+            hit = match(w)
+            if hit:
+                left *= 1 - entries[hit[1]][2 + hit[0]] * (toxicity.QUOTED if toxicity.quoted(words, i, reporting) else 1)
+        assert got[r.doc_id] == pytest.approx(1 - left), r.doc_id
+    assert sum(s > 0.3 for s in got.values()) > 3
+
+
 @pytest.fixture(scope="module")
 def sample(spark):
     """Texts of every kind, the last row twice."""
@@ -58,7 +95,9 @@ EDGES = {
     "suffix_dedup": (suffix_dedup.op7_suffix_dedup, 0),
     "quality": (quality.op8_quality_rules, 0),
     "secrets": (secret_scan.op9_secret_scans, 0),
+    "toxicity": (lambda docs: toxicity.op6_toxicity(docs, LABELS(docs)), 0),
 }
+LABELS = lambda docs: docs.sparkSession.createDataFrame([(1, 1, 1), (2, 0, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
 
 
 @pytest.mark.parametrize("name", sorted(EDGES))
@@ -92,7 +131,6 @@ def test_packing_round_trip(spark, sample):
     import public_tokenizers
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     special = table(spark, ["a <|endoftext|> b", " " * 3000 + "x", "   tab\t\n\n end", "𝒳😀" * 50])
     docs = sample.unionByName(special.withColumn("doc_id", special.doc_id + 100)).unionByName(spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id + 1000 as doc_id", "text", "lang", "source", "n_chars", "'x' as kept"))
     pieces = packing.pack_documents(docs).toPandas()
@@ -135,6 +173,19 @@ def test_packing_of_added_tokens(spark):
     assert [np.frombuffer(got[i], "<u4").tolist() for i in range(len(texts))] == want
 
 
+def test_packing_of_very_long_white_space(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [passage(1, 50) + " " * 1_500_000 + "end", "\n" * 1_200_000, "a b"]
+    got = collections.defaultdict(bytes)
+    for p in packing.pack_documents(table(spark, texts)).toPandas().sort_values(["doc_id", "start"]).itertuples():
+        got[p.doc_id] += p.ids
+    assert [np.frombuffer(got[i], "<u4").tolist() for i in range(3)] == [[*tok.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+
+
 def test_best_cuts_are_optimal():
     rng = np.random.default_rng(0)
     for _ in range(30):
@@ -172,6 +223,32 @@ def test_hmm_counts_and_likelihood(spark):
     assert held_out.score.sum() > held_out.base_score.sum()
 
 
+def test_score_of_the_query_against_a_plain_recursion(spark):
+    docs = table(spark, [*mixed_texts(), *(passage(500 + k, 60) for k in range(40)), passage(3, 30_000)])
+    options = {"states": 3, "top_words": 40, "passes": 2}
+    t = hmm.train(docs, **options)
+    got = {r.doc_id: r for r in hmm.language_model_scores(docs, **options).collect()}
+    words = {r.doc_id: (r.text or "").encode().lower().split() + [b""] for r in docs.collect()}
+    counts = collections.Counter(w for i, x in words.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in x)
+    members = collections.defaultdict(collections.Counter)
+    for w, c in counts.items():
+        members[t.classes[w]][w] = c
+    assert (t.n, t.v) == (sum(counts.values()), len(counts))
+    for i, x in words.items():
+        total, a = 0.0, list(t.model.start[0])
+        for k, w in enumerate(x):
+            c = t.classes[w]
+            if k:
+                a = [sum(a[p] * t.model.trans[p, s] for p in range(3)) for s in range(3)]
+            a = [a[s] * t.model.emit[c, s] for s in range(3)]
+            scale = sum(a)
+            a = [v / scale for v in a]
+            own = sum(members[c].values())
+            within = (1 - t.unseen[c]) * counts[w] / own if counts[w] else t.unseen[c]
+            total += math.log10(scale) + math.log10(within)
+        assert got[i].score == pytest.approx(total, rel=1e-5), i
+
+
 def test_forward_recursion_is_exact():
     model = hmm.Model(3, 5)
     model.emit = model.emit / model.emit.sum(axis=0)
@@ -418,6 +495,28 @@ def test_secret_patterns(spark):
     assert new[3][0] == "é <access> é" and new[5] == (None, None) and new[9][0] == texts[9]
 
 
+def test_base_spans_against_plain_patterns(spark):
+    """Over all texts, with patterns over characters in place of bytes."""
+    import re
+
+    letters = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
+    assign = re.compile("(" + "|".join(map(letters, ("password", "passwd", "secret", "token"))) + "|" + letters("api") + "_?" + letters("key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(table(spark, [*mixed_texts(), "token=abcdefgh token=short " * 30_000]).selectExpr("doc_id + 90000 as doc_id", "text", "lang", "source", "n_chars"))
+    got = {r.doc_id: r for r in secret_scan.op9_secret_scans(docs).collect()}
+    for r in docs.collect():
+        t, found = r.text or "", []
+        found += [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 8]
+        found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        base = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(found))
+        g = got[r.doc_id]
+        assert [g.n_assign, g.n_access, g.n_hex] == [sum(k == i for _, k, _ in found) for i in range(3)]
+        assert g.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert set(base.split(",")) - {""} <= set(g.spans.split(","))
+    rows = table(spark, ["token=abcdefgh"] * 2, [1, 1])
+    assert [r.spans for r in secret_scan.op9_secret_scans(rows).collect()] == ["assign:0:14"] * 2
+
+
 def test_secrets_of_authorization(spark):
     value = "zX9qLm2Vt7RbK4wYs8Pd3NcF6hJ1"
     heads = ["Authorization: Basic ", "authorization_code = ", "authorize ", "AUTHORISED: ", "author ", "authority of "]
@@ -452,6 +551,36 @@ def test_decontamination_of_edited_passages(spark):
     assert decontamination.op10_decontamination(docs, bench.where("false")).count() == 0
 
 
+def test_decontamination_of_short_items(spark):
+    items = ["short", "Two  words", "é", "", None, "exactly nineteen ch", "exactly twenty chars"]
+    bench = spark.createDataFrame([*enumerate(items), (20, "short")], "item_id long, text string")
+    texts = ["a SHORT text", "shorter", "two\nwords here, two words", "ité é", "an exactly nineteen ch", "exactly nineteen chx", "so exactly twenty chars", "words two", None, ""]
+    got = decontamination.op10_decontamination(table(spark, texts), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(0, 0), (0, 20), (2, 1), (3, 2), (4, 5), (6, 6)}
+    assert {(r.start, r.end, r.edits) for r in got if r.doc_id == 2} == {(0, 9, 0)}
+
+
+def test_decontamination_against_all_pairs(spark):
+    """Every segment of some items against every place of all documents, by full dynamic programming."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").where("item_id % 3 = 0")
+    got = {(r.doc_id, r.item_id) for r in decontamination.op10_decontamination(docs, bench).collect()}
+    rows = [(r.doc_id, decontamination.normal((r.text or "").encode())) for r in docs.collect()]
+    gap = np.array([0xFFFFFFFF], np.uint32)  # matches nothing
+    text = np.concatenate([np.concatenate([p, np.repeat(gap, 60)]) for _, p in rows])
+    ends = np.cumsum([len(p) + 60 for _, p in rows])
+    index = decontamination.Index([(r.item_id, r.text.encode()) for r in bench.collect()], decontamination.Q, decontamination.SEGMENT, decontamination.EDIT_RATE)
+    want, at = set(), np.arange(len(text) + 1, dtype=np.int32)
+    for item, part, budget, _ in index.segments:
+        cost = np.zeros(len(text) + 1, np.int32)
+        for c in part:
+            new = np.concatenate([[cost[0] + 1], np.minimum(cost[:-1] + (text != c), cost[1:] + 1)]).astype(np.int32)
+            cost = np.minimum.accumulate(new - at) + at  # text characters left out
+        for e in np.flatnonzero(cost <= budget):
+            want.add((rows[int(np.searchsorted(ends, max(0, e - 1), side="right"))][0], item))
+    assert got == want and want
+
+
 def edit_distance(a, b):
     prev = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -509,6 +638,28 @@ def test_toxicity_learns_and_reads_context(spark):
     assert toxicity.op6_toxicity(docs.where("false"), known).count() == 0
 
 
+def test_toxicity_of_rows_without_ids(spark):
+    got = toxicity.op6_toxicity(table(spark, ["a b", None], [None, None]), LABELS(spark.range(1))).collect()
+    assert [(r.held_out, r.score, r.predicted) for r in got] == [(False, 0.0, 0)] * 2
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, rows without ids and further columns go through every stage."""
+    import corpus_pipeline
+
+    texts = [passage(k, 90) for k in range(6)] + [None, "", passage(0, 90), passage(20, 9000)]
+    ids = [0, 1, 2, 3, 4, None, 6, 7, 0, 9]
+    docs = spark.createDataFrame([(i, t, None if k == 3 else "en", None, None, "x", k) for k, (i, t) in enumerate(zip(ids, texts, strict=True))], COLUMNS + ", _text_hash int")
+    spark.createDataFrame([(1, passage(2, 90)), (2, None), (None, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for rows, many in ((docs, 6), (docs.where("false"), 0)):
+        current = rows
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            current = stage(spark, current, str(tmp_path))
+            assert current.columns == docs.columns, name
+        assert current.count() == many  # without the null, empty, repeated and contaminated ones
+        assert corpus_pipeline.pack(spark, current, str(tmp_path)).select("doc_id").distinct().count() == many
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
