@@ -116,11 +116,11 @@ def test_csv_sources(spark, tmp_path):
     (tmp_path / "a.csv").write_text(
         "case, PRIMARY DESCRIPTION,DATE  OF OCCURRENCE,X COORDINATE,Y COORDINATE\n1,THEFT,01/01/2017 10:30:23 PM,789,1012\n2,ASSAULT,01/01/2017 10:30:23 PM,1,2\n3,THEFT ,03/13/2016 02:53:30 AM,123,456\n4,THEFT,03/13/2016 02:53:30 AM,,456\n"
     )
-    got = tables.csv_events(spark, str(tmp_path / "a.csv"), {"THEFT"}).collect()
-    assert sorted(str(r.ts) for r in got) == ["2016-03-13 02:53:30", "2017-01-01 22:30:23"]
+    got = sorted(tables.csv_events(spark, str(tmp_path / "a.csv"), {"THEFT"}).collect())
+    assert [str(r.ts) for r in got] == ["2016-03-13 02:53:30", "2017-01-01 22:30:23"]
     assert got[0].x == pytest.approx(123 * 1200 / 3937)
     (tmp_path / "b.csv").write_text("Month,Longitude,Latitude,Crime type\n2017-01,1.5,53,A\n2016-03,1.6,54,B\n")
-    assert [str(r.ts)[:7] for r in tables.monthly_csv(spark, str(tmp_path / "b.csv"), set()).collect()] == ["2016-03", "2017-01"]
+    assert sorted(str(r.ts)[:7] for r in tables.monthly_csv(spark, str(tmp_path / "b.csv"), set()).collect()) == ["2016-03", "2017-01"]
     events, problems = tables.configured_csv(spark, str(tmp_path / "a.csv"), 2, 3, 4, "MM/dd/yyyy hh:mm:ss a")
     assert events.count() == 3 and {r.problem: r.n for r in problems.collect()} == {"empty": 1}
 
