@@ -84,7 +84,76 @@ SEPP = f"""{PTS}, week AS (SELECT * FROM pts WHERE ts < TIMESTAMP '2024-01-22'),
  raw AS (SELECT gx, gy, event_id AS i, event_id AS j, 0.0::DOUBLE AS dt, mu AS p FROM ev JOIN mu USING (gx, gy)
    UNION ALL SELECT a.gx, a.gy, a.event_id, b.event_id, b.t - a.t, 0.5::DOUBLE * (1 / 1440.0::DOUBLE) * exp(-(1 / 1440.0::DOUBLE) * (b.t - a.t)) FROM ev a JOIN ev b ON a.gx = b.gx AND a.gy = b.gy AND b.t > a.t),
  pm AS (SELECT gx, gy, i, j, dt, p / sum(p) OVER (PARTITION BY j) AS p FROM raw)"""
+DIGAMMA = "(ln({x} + 6) - 1 / (2 * ({x} + 6)) - 1 / (12 * pow({x} + 6, 2)) + 1 / (120 * pow({x} + 6, 4)) - 1 / (252 * pow({x} + 6, 6)) - 1 / {x} - 1 / ({x} + 1) - 1 / ({x} + 2) - 1 / ({x} + 3) - 1 / ({x} + 4) - 1 / ({x} + 5))"
+#: The parts of the shifted streets in the grid's cells.
+STREET_PARTS = """ends AS (SELECT e.edge_id, a.x + 40 AS x1, a.y + 55 AS y1, b.x + 40 AS x2, b.y + 55 AS y2, b.x - a.x AS dx, b.y - a.y AS dy FROM edges e JOIN v a ON a.key = k1 JOIN v b ON b.key = k2),
+ cut AS (SELECT edge_id, gx, gy, greatest(0, CASE WHEN dx = 0 THEN 0 ELSE least((gx * 150 - x1) / dx, (gx * 150 + 150 - x1) / dx) END, CASE WHEN dy = 0 THEN 0 ELSE least((gy * 150 - y1) / dy, (gy * 150 + 150 - y1) / dy) END) AS t1,
+   least(1, CASE WHEN dx = 0 THEN 1 ELSE greatest((gx * 150 - x1) / dx, (gx * 150 + 150 - x1) / dx) END, CASE WHEN dy = 0 THEN 1 ELSE greatest((gy * 150 - y1) / dy, (gy * 150 + 150 - y1) / dy) END) AS t2
+   FROM ends, cells WHERE (dx <> 0 OR (x1 >= gx * 150 AND x1 < gx * 150 + 150)) AND (dy <> 0 OR (y1 >= gy * 150 AND y1 < gy * 150 + 150))),
+ part AS (SELECT * FROM cut WHERE t1 < t2)"""
+OK_CELLS = "ok AS (SELECT DISTINCT gx, gy, mx, my FROM cells JOIN train ON x >= gx * 150 AND x <= (gx + 1) * 150 AND y >= gy * 150 AND y <= (gy + 1) * 150)"
+
+
+def edge_corrected(events: str, h: int) -> str:
+    """(gx, gy, risk) of the valid cells."""
+    return f"""d AS (SELECT ok.gx AS gx, ok.gy AS gy, mx, my, sum(exp(-((mx - x) * (mx - x) + (my - y) * (my - y)) / {2 * h * h})) / (count(*) * 2 * pi() * {h * h}) AS r FROM ok, {events} GROUP BY ALL),
+      cloud AS (SELECT gx AS cx, gy AS cy, CAST(floor((mx + {h} * sqrt(-2 * ln(1 - (i.range + 0.5::DOUBLE) / 10)) * cos(a.range * (2 * pi() / 100))) / 150) AS BIGINT) AS gx,
+        CAST(floor((my + {h} * sqrt(-2 * ln(1 - (i.range + 0.5::DOUBLE) / 10)) * sin(a.range * (2 * pi() / 100))) / 150) AS BIGINT) AS gy FROM ok, range(10) i, range(100) a),
+      f AS (SELECT cx AS gx, cy AS gy, count(*) / 1000.0::DOUBLE AS factor FROM cloud JOIN ok USING (gx, gy) GROUP BY cx, cy),
+      corrected AS (SELECT gx, gy, r / factor AS risk FROM d JOIN f USING (gx, gy))"""
+
+
+def relaxed(k: int) -> str:
+    """Rounds of shortest distances from the events to vertices: the least (distance, last edge, share) of each."""
+    ext = "SELECT event_id, w.b AS vtx, {{'d': s.d + length, 'via': edge_id, 'w': s.w / split}} AS s FROM k{0} JOIN w ON w.a = k{0}.vtx AND w.edge_id <> s.via WHERE s.d + length < 320"
+    return ", ".join(f"k{i + 1} AS (SELECT event_id, vtx, min(s) AS s FROM (SELECT * FROM k{i} UNION ALL {ext.format(i)}) GROUP BY ALL)" for i in range(k))
+
+
 ORACLE: dict[str, str] = {
+    "graph_reduced": f"""WITH RECURSIVE {STREETS}, two AS (SELECT s.edge_id AS e, t.edge_id AS f FROM both_ways s JOIN both_ways t ON s.a = t.a AND s.edge_id <> t.edge_id JOIN deg ON deg.key = s.a AND degree = 2),
+      r AS (SELECT edge_id, edge_id AS c FROM edges UNION SELECT f, c FROM r JOIN two ON r.edge_id = two.e), seg AS (SELECT edge_id, min(c) AS segment FROM r GROUP BY edge_id),
+      tips AS (SELECT segment, a FROM both_ways JOIN seg USING (edge_id) GROUP BY ALL HAVING count(*) = 1), bounds AS (SELECT segment, min(a) AS k1, max(a) AS k2 FROM tips GROUP BY segment HAVING count(*) = 2),
+      whole AS (SELECT segment, sum(length) AS length FROM edges JOIN seg USING (edge_id) GROUP BY segment),
+      merged AS (SELECT segment, k1, k2, length FROM bounds JOIN whole USING (segment) QUALIFY count(*) OVER (PARTITION BY k1, k2) = 1)
+      SELECT k1, k2, length FROM merged UNION ALL SELECT k1, k2, length FROM edges JOIN seg USING (edge_id) WHERE segment NOT IN (SELECT segment FROM merged)""",
+    "network_approx": f"""WITH {STREET_EVENTS}, w AS (SELECT b.*, greatest(degree - 1, 1)::DOUBLE AS split FROM both_ways b JOIN deg ON deg.key = b.a), st AS (SELECT e.*, k1, k2, length FROM ev e JOIN edges USING (edge_id)),
+      k0 AS (SELECT event_id, vtx, min(s) AS s FROM (SELECT event_id, k2 AS vtx, {{'d': length * (1 - t), 'via': edge_id, 'w': 1.0::DOUBLE}} AS s FROM st UNION ALL SELECT event_id, k1, {{'d': length * t, 'via': edge_id, 'w': 1.0::DOUBLE}} FROM st) WHERE s.d < 320 GROUP BY ALL),
+      {relaxed(3)},
+      z AS (SELECT edge_id, ({TRI.format(a='0.0', b='length * (1 - t)')} + {TRI.format(a='0.0', b='length * t')}) / length AS v FROM st
+        UNION ALL SELECT edge_id, s.w / split * {TRI.format(a='s.d', b='(s.d + length)')} / length FROM k3 JOIN w ON w.a = k3.vtx AND w.edge_id <> s.via)
+      SELECT edge_id, round(coalesce(sum(v), 0), 6) AS risk FROM edges LEFT JOIN z USING (edge_id) GROUP BY edge_id""",
+    "grid_mask_polygon": f"""WITH {CELLS}, {POLY}, corner AS (SELECT gx, gy, (gx + i.range) * 150.0::DOUBLE AS x, (gy + j.range) * 150.0::DOUBLE AS y FROM cells, range(2) i, range(2) j),
+      inside AS (SELECT gx, gy FROM corner JOIN poly ON (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY gx, gy, x, y HAVING count(*) % 2 = 1),
+      crossed AS (SELECT gx, gy FROM cells, poly WHERE greatest(0, least((gx * 150 - x1) / (x2 - x1), (gx * 150 + 150 - x1) / (x2 - x1)), least((gy * 150 - y1) / (y2 - y1), (gy * 150 + 150 - y1) / (y2 - y1)))
+        <= least(1, greatest((gx * 150 - x1) / (x2 - x1), (gx * 150 + 150 - x1) / (x2 - x1)), greatest((gy * 150 - y1) / (y2 - y1), (gy * 150 + 150 - y1) / (y2 - y1))))
+      SELECT gx, gy FROM inside UNION SELECT gx, gy FROM crossed""",
+    "grid_coverage_to_graph": f"""WITH {PTS}, {BASE}, {STREETS}, {STREET_PARTS}, top AS (SELECT gx, gy FROM base QUALIFY row_number() OVER (ORDER BY risk DESC, gy DESC, gx DESC) <= 66)
+      SELECT edge_id FROM part JOIN top USING (gx, gy) GROUP BY edge_id HAVING sum(t2 - t1) >= 0.5""",
+    "grid_risk_to_graph": f"""WITH {PTS}, {BASE}, {STREETS}, {STREET_PARTS}, main AS (SELECT * FROM part QUALIFY row_number() OVER (PARTITION BY edge_id ORDER BY round(t2 - t1, 9) DESC, t1, gx, gy) = 1)
+      SELECT edge_id, coalesce(risk, 0) AS risk FROM main LEFT JOIN base USING (gx, gy)""",
+    "bayes_dirichlet": f"""{SCORED}, a AS (SELECT count, CASE WHEN p <= 0 THEN 1e-10 ELSE p * 10 END AS a FROM f),
+      s AS (SELECT sum(a) AS sa, sum(a + count) AS sb, sum(lgamma(a) - lgamma(a + count) + count * {DIGAMMA.format(x='(a + count)')}) AS t FROM a)
+      SELECT round(lgamma(sb) - lgamma(sa) + t - (sb - sa) * {DIGAMMA.format(x='sb')}, 4) AS score FROM s""",
+    "kde_score": f"""WITH {PTS}, {BASE}, {SCORE}, {OK_CELLS}, m AS (SELECT gx, gy, risk / sum(risk) OVER () AS p FROM base JOIN ok USING (gx, gy)), {edge_corrected("score", 300)},
+      t AS (SELECT gx, gy, risk / sum(risk) OVER () AS q FROM corrected) SELECT round(sum((p - q) * (p - q)) * 22500, 6) AS score FROM m JOIN t USING (gx, gy)""",
+    "kde_knn": f"""WITH {PTS}, {TRAIN}, {CELLS}, m AS (SELECT count(*) AS n, stddev_samp(x) AS sx, stddev_samp(y) AS sy FROM train),
+      u AS (SELECT event_id, x / sx AS u, y / sy AS v FROM train, m),
+      d AS (SELECT a.event_id, pow(a.u - b.u, 2) + pow(a.v - b.v, 2) AS d2, row_number() OVER (PARTITION BY a.event_id ORDER BY pow(a.u - b.u, 2) + pow(a.v - b.v, 2)) AS k FROM u a JOIN u b ON a.event_id <> b.event_id AND abs(a.u - b.u) <= 0.6 AND abs(a.v - b.v) <= 0.6),
+      far AS (SELECT event_id FROM u EXCEPT SELECT event_id FROM d WHERE k = 15 AND d2 <= 0.36),
+      e AS (SELECT a.event_id, pow(a.u - b.u, 2) + pow(a.v - b.v, 2) AS d2, row_number() OVER (PARTITION BY a.event_id ORDER BY pow(a.u - b.u, 2) + pow(a.v - b.v, 2)) AS k FROM (SELECT * FROM u SEMI JOIN far USING (event_id)) a JOIN u b ON a.event_id <> b.event_id),
+      h AS (SELECT event_id, CASE WHEN d2 = 0 THEN 1 ELSE d2 END AS h2 FROM (SELECT event_id, d2 FROM d WHERE k = 15 AND d2 <= 0.36 UNION ALL SELECT event_id, d2 FROM e WHERE k = 15))
+      SELECT gx, gy, round(sum(exp(-(pow((mx - x) / sx, 2) + pow((my - y) / sy, 2)) / (2 * h2)) / h2) / any_value(n * sx * sy * 2 * pi()), 12) AS risk FROM cells, m, train JOIN h USING (event_id) GROUP BY gx, gy""",
+    "backtest_predictors": f"""WITH {PTS}, {CELLS}, r AS (SELECT strftime(a, '%Y-%m-%d %H:%M:%S') AS start, strftime(a + INTERVAL 7 DAY, '%Y-%m-%d %H:%M:%S') AS end_, a, a + INTERVAL 7 DAY AS b FROM (SELECT unnest([TIMESTAMP '2024-01-15', TIMESTAMP '2024-01-22']) AS a)),
+      naive AS (SELECT start, {CELL}, count(*)::DOUBLE AS w FROM pts JOIN r ON ts < a GROUP BY ALL),
+      retro AS (SELECT start, gx, gy, sum(pow(1 - {D2} / 40000, 2)) AS w FROM r JOIN pts ON ts < a AND ts >= a - INTERVAL 60 DAY JOIN cells ON {D2} <= 40000 GROUP BY ALL),
+      aged AS (SELECT start, {CELL}, (epoch_us(a) - epoch_us(ts)) // 86400000000 AS age FROM pts JOIN r ON ts < a),
+      pro AS (SELECT start, c.gx, c.gy, sum(1 / ((1 + greatest(abs(c.gx - e.gx), abs(c.gy - e.gy))::DOUBLE) * (1 + age::DOUBLE))) AS w FROM cells c JOIN aged e ON abs(c.gx - e.gx) < 8 AND abs(c.gy - e.gy) < 8 AND age < 8 GROUP BY ALL),
+      every AS (SELECT 'naive' AS predictor, * FROM naive UNION ALL SELECT 'retro', * FROM retro UNION ALL SELECT 'prospective', * FROM pro),
+      hit AS (SELECT start, {CELL}, count(*) AS count FROM pts JOIN r ON ts >= a AND ts < b GROUP BY ALL), total AS (SELECT start, sum(count) AS total FROM hit GROUP BY start),
+      k AS (SELECT p.predictor, r.start, r.end_, coalesce(count, 0) AS count, row_number() OVER (PARTITION BY p.predictor, r.start ORDER BY coalesce(w, 0) DESC, cells.gy DESC, cells.gx DESC) AS rank
+        FROM (SELECT unnest(['naive', 'retro', 'prospective']) AS predictor) p CROSS JOIN r CROSS JOIN cells LEFT JOIN every USING (predictor, start, gx, gy) LEFT JOIN hit USING (start, gx, gy))
+      SELECT predictor, start, end_ AS "end", coverage, CAST(sum(count) FILTER (rank <= floor(660 * (coverage / 100.0::DOUBLE))) AS BIGINT) AS hits, CAST(any_value(total) AS BIGINT) AS total,
+        round(sum(count) FILTER (rank <= floor(660 * (coverage / 100.0::DOUBLE))) / any_value(total), 6) AS rate FROM k JOIN total USING (start), (SELECT unnest([10, 20])::INTEGER AS coverage) GROUP BY predictor, start, end_, coverage""",
     "hotspot_backtest": f"WITH {BACKTEST} SELECT * FROM bt",
     "backtest_pivot": f"""WITH {BACKTEST} SELECT 'naive' AS predictor, start, "end", total, max(hits) FILTER (coverage = 1) AS "1%", max(hits) FILTER (coverage = 5) AS "5%",
       max(hits) FILTER (coverage = 10) AS "10%", max(hits) FILTER (coverage = 20) AS "20%", max(hits) FILTER (coverage = 50) AS "50%" FROM bt GROUP BY start, "end", total""",
@@ -123,12 +192,7 @@ ORACLE: dict[str, str] = {
     "kde_fixed": kde("1.0::DOUBLE", FIXED.format(h=120)),
     "kde_time_exp": kde("exp(-age / 5) / 5", FIXED.format(h=200)),
     "kde_time_quad": kde("2 / (pi() * 5) / (1 + (age / 5) * (age / 5))", SCOTT),
-    "kde_edge_corrected": f"""WITH {PTS}, {TRAIN}, {CELLS}, ok AS (SELECT DISTINCT gx, gy, mx, my FROM cells JOIN train ON x >= gx * 150 AND x <= (gx + 1) * 150 AND y >= gy * 150 AND y <= (gy + 1) * 150),
-      d AS (SELECT gx, gy, mx, my, sum(exp(-((mx - x) * (mx - x) + (my - y) * (my - y)) / 80000)) / (count(*) * 2 * pi() * 40000) AS r FROM ok, train GROUP BY ALL),
-      cloud AS (SELECT gx AS cx, gy AS cy, CAST(floor((mx + 200 * sqrt(-2 * ln(1 - (i.range + 0.5::DOUBLE) / 10)) * cos(a.range * (2 * pi() / 100))) / 150) AS BIGINT) AS gx,
-        CAST(floor((my + 200 * sqrt(-2 * ln(1 - (i.range + 0.5::DOUBLE) / 10)) * sin(a.range * (2 * pi() / 100))) / 150) AS BIGINT) AS gy FROM ok, range(10) i, range(100) a),
-      f AS (SELECT cx AS gx, cy AS gy, count(*) / 1000.0::DOUBLE AS factor FROM cloud JOIN ok USING (gx, gy) GROUP BY cx, cy)
-      SELECT gx, gy, round(r / factor, 12) AS risk FROM d JOIN f USING (gx, gy)""",
+    "kde_edge_corrected": f"WITH {PTS}, {TRAIN}, {CELLS}, {OK_CELLS}, {edge_corrected('train', 200)} SELECT gx, gy, round(risk, 12) AS risk FROM corrected",
     "knn_distance": f"""WITH {PTS}, d AS (SELECT a.event_id, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d, row_number() OVER (PARTITION BY a.event_id ORDER BY pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS k
       FROM pts a JOIN pts b ON a.event_id <> b.event_id AND abs(a.x - b.x) <= 600 AND abs(a.y - b.y) <= 600),
       far AS (SELECT event_id FROM pts EXCEPT SELECT event_id FROM d WHERE k = 15 AND d <= 600),
