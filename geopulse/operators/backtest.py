@@ -96,6 +96,17 @@ def write_hit_counts(results: DataFrame, path: str, coverages: list[int]) -> Non
     wide(results, "hits", coverages).withColumnsRenamed(names).write.option("header", True).csv(path)
 
 
+def write_hit_rates(results: DataFrame, path: str, coverages: list[int] | None = None) -> None:
+    """CSV files: Predictor, Start time, End time, then the rates of the coverages (1 to 100 where they aren't given)."""
+    names = {"predictor": "Predictor", "start": "Start time", "end": "End time"}
+    wide(results, "rate", coverages or list(range(1, 101))).drop("total").withColumnsRenamed(names).write.option("header", True).csv(path)
+
+
+def write_comparison(results: DataFrame, path: str, keys: list[str], score: str = "score") -> None:
+    """CSV files: a column for each part of the prediction's and the comparison's keys, then Score."""
+    results.select(*keys, F.col(score).alias("Score")).write.option("header", True).csv(path)
+
+
 def read_hit_counts(spark: SparkSession, path: str, coverages: list[int]) -> DataFrame:
     """The long form of such files: predictor, start, end, coverage, hits, total."""
     rows = spark.read.option("header", True).csv(path)

@@ -96,6 +96,38 @@ def mask_by_polygon(cells: DataFrame, grid: GridSpec, polygon: Polygon) -> DataF
     return cells.where(meets)
 
 
+def cells_by_area(cells: DataFrame, grid: GridSpec, polygon: Polygon) -> DataFrame:
+    """cells that share more than a border with the polygon: an edge runs through their inside, or their centre lies in it."""
+    x0, y0 = grid.xoffset + F.col("gx") * grid.xsize, grid.yoffset + F.col("gy") * grid.ysize
+    x1, y1 = x0 + grid.xsize, y0 + grid.ysize
+    shares = in_polygon(x0 + grid.xsize / 2, y0 + grid.ysize / 2, polygon)
+    for a, b, c, d in edges_of(polygon):
+        t1, t2 = clip(F.lit(a), F.lit(b), F.lit(c), F.lit(d), (x0, y0, x1, y1))
+        along = (F.lit(a == c) & (x0 == a)) | (F.lit(b == d) & (y0 == b))  # on the cell's border
+        shares = shares | ((t1 < t2) & ~along)
+    return cells.where(shares)
+
+
+def segments_meeting(segments: DataFrame, polygon: Polygon) -> DataFrame:
+    """The segments (x1, y1, x2, y2) that have a point in the polygon or on its border."""
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    side = lambda px, py, qx, qy, rx, ry: (qx - px) * (ry - py) - (qy - py) * (rx - px)
+    meets = in_polygon(x1, y1, polygon) | in_polygon(x2, y2, polygon)
+    for a, b, c, d in edges_of(polygon):
+        a, b, c, d = (F.lit(float(v)) for v in (a, b, c, d))
+        boxes = (F.greatest(x1, x2) >= F.least(a, c)) & (F.least(x1, x2) <= F.greatest(a, c)) & (F.greatest(y1, y2) >= F.least(b, d)) & (F.least(y1, y2) <= F.greatest(b, d))
+        apart = side(x1, y1, x2, y2, a, b) * side(x1, y1, x2, y2, c, d) <= 0
+        meets = meets | (boxes & apart & (side(a, b, c, d, x1, y1) * side(a, b, c, d, x2, y2) <= 0))
+    return segments.where(meets)
+
+
+def crop_surface(surface: DataFrame, grid: GridSpec, polygon: Polygon) -> DataFrame:
+    """The surface with only those cells valid that share area with the polygon."""
+    inside = cells_by_area(surface.select("gx", "gy"), grid, polygon).withColumn("inside", F.lit(True))
+    joined = surface.join(inside, ["gx", "gy"], "left")
+    return joined.withColumn("valid", F.col("valid") & F.coalesce("inside", F.lit(False))).drop("inside")
+
+
 def snap_to_centres(points: DataFrame, size: float, xoffset: float = 0.0, yoffset: float = 0.0) -> DataFrame:
     snap = lambda c, off: (F.floor((F.col(c) - off) / size) + 0.5) * size + off
     return points.withColumns({"x": snap("x", xoffset), "y": snap("y", yoffset)})

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from geopulse.operators.backtest import written
+from geopulse.functions.tables import written
 
 
 def lattice(spark: SparkSession, nx: int, ny: int, size: float = 150.0) -> tuple[DataFrame, DataFrame]:
@@ -53,9 +55,42 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 def shortest_paths(edges: DataFrame, start: int, most: float | None = None) -> DataFrame:
     """(key, distance, previous) from a vertex, -1 where it can't be reached: rounds of relaxation over the changed frontier."""
-    spark = edges.sparkSession
+    known = edges.sparkSession.createDataFrame([(start, 0.0, None)], "key long, distance double, previous long")
     both = both_ways(edges).select("a", "b", "length")
-    known = spark.createDataFrame([(start, 0.0, None)], "key long, distance double, previous long")
+    known = relaxed(both, known, most)
+    vertices = both.select(F.col("a").alias("key")).distinct()
+    return vertices.join(known, "key", "left").select("key", F.coalesce("distance", F.lit(-1.0)).alias("distance"), "previous")
+
+
+def shortest_edge_paths(edges: DataFrame, edge_id: int, position: float = 0.5) -> DataFrame:
+    """(key, distance, previous) of the vertices that a place on an edge reaches; the edge's own ends are their own previous."""
+    on = edges.where(F.col("edge_id") == edge_id)
+    ends = [(F.col("k1"), F.col("length") * position), (F.col("k2"), F.col("length") * (1 - position))]
+    known = reduce(DataFrame.unionAll, (on.select(k.alias("key"), d.alias("distance"), k.alias("previous")) for k, d in ends))
+    return relaxed(both_ways(edges).select("a", "b", "length"), known)
+
+
+def edge_distances(edges: DataFrame, edge_id: int) -> DataFrame:
+    """(edge_id, distance): from the middle of an edge to the middle of each other that it reaches; 0 for itself."""
+    found = shortest_edge_paths(edges, edge_id).select("key", "distance")
+    near = both_ways(edges).join(found, F.col("a") == F.col("key")).groupBy("edge_id").agg(F.min(F.col("distance") + F.col("length") / 2).alias("d"))
+    return near.select("edge_id", F.when(F.col("edge_id") == edge_id, 0.0).otherwise(F.col("d")).alias("distance"))
+
+
+def edge_places(vertices: DataFrame, edges: DataFrame, on: DataFrame) -> DataFrame:
+    """on(event_id, edge_id, t) with the place (x, y) at the share t of the edge from k1 to k2."""
+    a, b = (vertices.select(F.col("key").alias(k), F.col("x").alias(f"x{k[1]}"), F.col("y").alias(f"y{k[1]}")) for k in ("k1", "k2"))
+    at = lambda c: (F.col(f"{c}1") * (1 - F.col("t")) + F.col(f"{c}2") * F.col("t")).alias(c)
+    return on.join(edges, "edge_id").join(a, "k1").join(b, "k2").select("event_id", "edge_id", "t", at("x"), at("y"))
+
+
+def bounds(vertices: DataFrame) -> DataFrame:
+    """One row: xmin, ymin, xmax, ymax."""
+    return vertices.agg(F.min("x").alias("xmin"), F.min("y").alias("ymin"), F.max("x").alias("xmax"), F.max("y").alias("ymax"))
+
+
+def relaxed(both: DataFrame, known: DataFrame, most: float | None = None) -> DataFrame:
+    """(key, distance, previous): the least distances from those known, by rounds over the vertices that changed."""
     frontier = known
     while True:
         reach = frontier.join(both, frontier.key == both.a).select(F.col("b").alias("key"), (F.col("distance") + F.col("length")).alias("distance"), F.col("a").alias("previous"))
@@ -68,8 +103,7 @@ def shortest_paths(edges: DataFrame, start: int, most: float | None = None) -> D
         if not frontier.limit(1).count():
             break
         known = written(known.unionByName(frontier).groupBy("key").agg(best).select("key", "m.distance", "m.previous"))
-    vertices = both.select(F.col("a").alias("key")).distinct()
-    return vertices.join(known, "key", "left").select("key", F.coalesce("distance", F.lit(-1.0)).alias("distance"), "previous")
+    return known
 
 
 def simple_paths(edges: DataFrame, start: int, most: float, steps: int) -> DataFrame:

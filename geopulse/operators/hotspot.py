@@ -6,13 +6,17 @@ partial aggregate, no join between events and cells.
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geopulse.functions import kernels
 from geopulse.functions.grid import GridSpec, dense, near_cells
+from geopulse.functions.tables import written
 from geopulse.operators.points import micros
 
 
@@ -136,56 +140,57 @@ def time_weighted_kde(points: DataFrame, grid: GridSpec, end: str, unit_micros:
 NEIGHBOURHOOD = 4  # 3 x 3 cells should hold so many times k points
 
 
-def knn_distance(points: DataFrame, k: int = 15) -> DataFrame:
+def knn_distance(points: DataFrame, k: int = 15, dims: Sequence[str] = ("x", "y")) -> DataFrame:
     """(event_id, distance) to the k-th nearest other point (the farthest if there are fewer).
 
     Points at one place are one row with a count. Cells are halved from the whole extent on; each
-    finest cell takes the level at which 3 x 3 cells hold enough points, so dense and sparse
+    finest cell takes the level at which the cell and those beside it hold enough points, so dense and sparse
     places meet about as many others. A distance within one cell's size is exact; the other
     places meet once more at a level whose cells are as large as the distance found. Levels are
     found from counts of cells; the driver sees the extent only.
     """
-    from geopulse.operators.backtest import written
-
-    places = written(points.groupBy("x", "y").agg(F.count("*").alias("m")))
-    box = places.agg(F.sum("m").alias("n"), F.count("*").alias("places"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).head()
+    at, fine, cell, other = ([f"{p}{i}" for i in range(len(dims))] for p in ("at", "f", "c", "o"))
+    points = points.select("event_id", *(F.col(c).cast("double").alias(a) for c, a in zip(dims, at, strict=True)))
+    places = written(points.groupBy(*at).agg(F.count("*").alias("m")))
+    box = places.agg(F.sum("m").alias("n"), F.count("*").alias("places"), *(f(c).alias(f"{name}_{c}") for c in at for name, f in (("low", F.min), ("high", F.max)))).head()
     k = min(k, (box.n or 0) - 1)
     if k < 1:
         return points.select("event_id", F.lit(0.0).alias("distance")).where("false")
-    side = max(box.x1 - box.x0, box.y1 - box.y0) or 1.0
-    deepest = min(26, math.ceil(math.log(max(1.0, box.places / k), 4)) + 4)
+    side = max(box[f"high_{c}"] - box[f"low_{c}"] for c in at) or 1.0
+    deepest = min(26, math.ceil(math.log(max(1.0, box.places / k), 2 ** len(at))) + 4)
     most = (1 << deepest) - 1
-    number = lambda c, low: F.least(F.floor((F.col(c) - low) / side * (1 << deepest)), F.lit(most))
-    at = written(places.select("x", "y", "m", number("x", box.x0).alias("fx"), number("y", box.y0).alias("fy")))
-    cells = written(at.groupBy("fx", "fy").agg(F.sum("m").alias("n")))
-    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    own = [F.call_function("shiftright", c, (F.lit(deepest) - F.col("level")).cast("int")).alias(name) for c, name in (("fx", "cx"), ("fy", "cy"))]
-    up = cells.select("fx", "fy", "n", F.explode(F.sequence(F.lit(0), F.lit(deepest))).alias("level")).select("fx", "fy", "n", "level", *own)
-    beside = lambda df: df.select("*", around.alias("o")).withColumns({"cx": F.col("cx") + F.col("o.i"), "cy": F.col("cy") + F.col("o.j")}).drop("o")
-    held = beside(up.groupBy("level", "cx", "cy").agg(F.sum("n").alias("n"))).groupBy("level", "cx", "cy").agg(F.sum("n").alias("held"))
-    enough = held.where((F.col("held") > NEIGHBOURHOOD * k) | (F.col("level") == 0)).select("level", "cx", "cy")
-    chosen = written(up.join(enough, ["level", "cx", "cy"]).groupBy("fx", "fy").agg(F.max("level").alias("level")))
+    number = lambda c: F.least(F.floor((F.col(c) - box[f"low_{c}"]) / side * (1 << deepest)), F.lit(most))
+    numbered = written(places.select(*at, "m", *(number(c).alias(f) for c, f in zip(at, fine, strict=True))))
+    cells = written(numbered.groupBy(*fine).agg(F.sum("m").alias("n")))
+    offsets = list(itertools.product((-1, 0, 1), repeat=len(at)))
+    around = F.explode(F.array(*(F.struct(*(F.lit(v).alias(o) for v, o in zip(x, other, strict=True))) for x in offsets)))
+    own = [F.call_function("shiftright", f, (F.lit(deepest) - F.col("level")).cast("int")).alias(c) for f, c in zip(fine, cell, strict=True)]
+    up = cells.select(*fine, "n", F.explode(F.sequence(F.lit(0), F.lit(deepest))).alias("level")).select(*fine, "n", "level", *own)
+    beside = lambda df: df.select("*", around.alias("o")).withColumns({c: F.col(c) + F.col(f"o.{o}") for c, o in zip(cell, other, strict=True)}).drop("o")
+    held = beside(up.groupBy("level", *cell).agg(F.sum("n").alias("n"))).groupBy("level", *cell).agg(F.sum("n").alias("held"))
+    enough = held.where((F.col("held") > NEIGHBOURHOOD * k) | (F.col("level") == 0)).select("level", *cell)
+    chosen = written(up.join(enough, ["level", *cell]).groupBy(*fine).agg(F.max("level").alias("level")))
 
     def meet(probes: DataFrame) -> DataFrame:
-        """probes(x, y, fx, fy, level) with d2: the k-th least over the cells around, each place as often as it has points."""
-        probes = probes.select("x", "y", "level", *own, "fx", "fy")
-        needed = beside(probes.select("level", "cx", "cy").distinct()).distinct()
-        levels = up.join(needed, ["level", "cx", "cy"], "left_semi").select("fx", "fy", "level", "cx", "cy")
-        others = at.select(F.col("x").alias("u"), F.col("y").alias("v"), "m", "fx", "fy").join(levels, ["fx", "fy"]).drop("fx", "fy")
-        met = beside(probes).join(others, ["level", "cx", "cy"])
-        d2 = (F.col("x") - F.col("u")) ** 2 + (F.col("y") - F.col("v")) ** 2
-        near = met.select("x", "y", "fx", "fy", "level", F.struct(d2.alias("d2"), F.col("m").alias("m")).alias("e"))
-        near = near.groupBy("x", "y", "fx", "fy", "level").agg(F.sort_array(F.collect_list("e")).alias("e"))
+        """probes(place, fine cell, level) with d2: the k-th least over the cells around, each place as often as it has points."""
+        probes = probes.select(*at, "level", *own, *fine)
+        needed = beside(probes.select("level", *cell).distinct()).distinct()
+        levels = up.join(needed, ["level", *cell], "left_semi").select(*fine, "level", *cell)
+        others = numbered.select(*(F.col(c).alias(f"to_{c}") for c in at), "m", *fine).join(levels, fine).drop(*fine)
+        met = beside(probes).join(others, ["level", *cell])
+        d2 = reduce(lambda a, b: a + b, ((F.col(c) - F.col(f"to_{c}")) ** 2 for c in at))
+        near = met.select(*at, *fine, "level", F.struct(d2.alias("d2"), F.col("m").alias("m")).alias("e"))
+        near = near.groupBy(*at, *fine, "level").agg(F.sort_array(F.collect_list("e")).alias("e"))
         # The place itself comes first, with one point less.
         start = F.struct(F.lit(-1).cast("long").alias("c"), F.lit(0.0).alias("d2"))
         kth = F.aggregate("e", start, lambda acc, e: F.when(acc["c"] >= k, acc).otherwise(F.struct((acc["c"] + e["m"]).alias("c"), e["d2"].alias("d2"))))
-        return near.select("x", "y", "fx", "fy", "level", kth["d2"].alias("d2"))
+        return near.select(*at, *fine, "level", kth["d2"].alias("d2"))
 
-    first = written(meet(at.join(chosen, ["fx", "fy"])).withColumn("done", (F.col("level") == 0) | (F.sqrt("d2") <= side * F.pow(F.lit(2.0), -F.col("level")))))
+    first = written(meet(numbered.join(chosen, fine)).withColumn("done", (F.col("level") == 0) | (F.sqrt("d2") <= side * F.pow(F.lit(2.0), -F.col("level")))))
     wider = F.greatest(F.lit(0), F.least(F.col("level") - 1, F.floor(F.log2(side / F.sqrt("d2")) - 1e-9))).cast("int")
     rest = meet(first.where("not done").withColumn("level", wider))
-    found = first.where("done").select("x", "y", "d2").unionAll(rest.select("x", "y", "d2"))
-    return points.select("event_id", "x", "y").join(found, ["x", "y"]).select("event_id", F.sqrt("d2").alias("distance"))
+    found = first.where("done").select(*at, "d2").unionAll(rest.select(*at, "d2"))
+    return points.join(found, at).select("event_id", F.sqrt("d2").alias("distance"))
 
 
 def nearest_neighbour_kde(points: DataFrame, grid: GridSpec, k: int = 15) -> DataFrame:

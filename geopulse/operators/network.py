@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from geopulse.functions.grid import GridSpec
 from geopulse.functions.kernels import triangle_integral
@@ -76,6 +77,18 @@ def grid_risk_to_edges(surface: DataFrame, grid: GridSpec, vertices: DataFrame,
     return main.join(surface.select("gx", "gy", "risk"), ["gx", "gy"], "left").select(F.col("segment_id").alias("edge_id"), F.coalesce("risk", F.lit(0.0)).alias("risk"))
 
 
+def grid_risk_subdivided(surface: DataFrame, grid: GridSpec, vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(edge_id, part, x1, y1, x2, y2, length, risk): each edge cut where it goes from cell to cell, each part with its cell's risk, 0 off the grid."""
+    segments = edge_segments(vertices, edges)
+    parts = geometry.segment_cells(segments, grid).join(surface.select("gx", "gy", "risk"), ["gx", "gy"], "left").join(segments, "segment_id")
+    order = W.partitionBy("segment_id").orderBy("t1", "gx", "gy")
+    at = lambda c, t: F.col(f"{c}1") + (F.col(f"{c}2") - F.col(f"{c}1")) * F.col(t)
+    return parts.select(
+        F.col("segment_id").alias("edge_id"), F.row_number().over(order).alias("part"), at("x", "t1").alias("x1"), at("y", "t1").alias("y1"),
+        at("x", "t2").alias("x2"), at("y", "t2").alias("y2"), ((F.col("t2") - F.col("t1")) * F.col("length")).alias("length"), F.coalesce("risk", F.lit(0.0)).alias("risk"),
+    )
+
+
 def network_log_likelihood(risks: DataFrame, events: DataFrame) -> DataFrame:
     """Sum of ln risk at the events; -27.6 where it is 0."""
     ln = F.when(F.col("risk") > 0, F.ln(F.when(F.col("risk") > 0, F.col("risk")))).otherwise(-27.6)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geopulse.functions.grid import GridSpec
 from geopulse.operators import backtest as bt
-from geopulse.operators import evaluate, geometry, graph, hotspot, knox, network, points, scan, sepp, surface
+from geopulse.operators import evaluate, geometry, graph, hotspot, kernels_nd, knox, network, points, scan, sepp, surface
 
 GRID = GridSpec(150.0, 150.0, 0.0, 0.0, 33, 20)
 TRAIN_END, SCORE_END = "2024-01-22 00:00:00", "2024-01-29 00:00:00"
@@ -20,6 +20,8 @@ DAY = 86_400_000_000
 SPACE_BINS = [(0.0, 50.0), (50.0, 100.0), (0.0, 100.0)]
 TIME_BINS = [(0, DAY), (DAY, 3 * DAY), (0, 7 * DAY)]
 
+EVERY_COVERAGE = list(range(1, 101))
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -54,6 +56,20 @@ def risks(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select("gx", "gy", F.round("risk", places).alias("risk"))
 
 
+def with_days(spark: SparkSession, sf: str) -> DataFrame:
+    """The training events with their time t in days since the year's begin."""
+    return train(spark, sf).withColumn("t", (points.micros("ts") - points.micros(F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))) / DAY)
+
+
+def density(df: DataFrame, places: int) -> DataFrame:
+    return rounded(df, "density", places=places).where("density > 0")
+
+
+def waves(x: Column, y: Column) -> Column:
+    """A kernel of places for the predictions from kernels."""
+    return (1 + F.sin(x / 300)) * F.exp(-y / 2000)
+
+
 def streets(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """A lattice without some of its edges, so that vertices of degree 1 and 2 occur."""
     vertices, edges = graph.lattice(spark, 8, 8)
@@ -107,6 +123,14 @@ def queries() -> dict[str, Query]:
     q["kde_edge_corrected"] = lambda s, d: risks(hotspot.edge_corrected_kde(train(s, d), masked(s, d), GRID, 200.0), 12)
     q["kde_score"] = lambda s, d: rounded(evaluate.kde_score(surface.renormalise(masked(s, d)), score(s, d), GRID, 300.0), "score")
     q["knn_distance"] = lambda s, d: rounded(hotspot.knn_distance(pts(s, d), 15), "distance")
+    q["kde_mixture_3d"] = lambda s, d: density(kernels_nd.on_lattice(kernels_nd.mixture(with_days(s, d), ["t", "x", "y"], 15), [(3.0, 6.0, 4), (400.0, 700.0, 5), (300.0, 500.0, 5)]), 15)
+    q["kde_mixture_marginal"] = lambda s, d: density(kernels_nd.on_lattice(kernels_nd.marginal(kernels_nd.mixture(with_days(s, d), ["t", "x", "y"], 15), 1), [(0.0, 250.0, 16)]), 12)
+    q["kde_reflected_time"] = lambda s, d: density(kernels_nd.on_lattice(kernels_nd.reflected(kernels_nd.mixture(with_days(s, d), ["t"], 100)), [(0.0, 0.5, 40)]), 9)
+    q["prediction_from_kernel"] = lambda s, d: risks(kernels_nd.from_kernel(GRID.cells(s), GRID, waves, 4), 9)
+    q["prediction_masked"] = lambda s, d: risks(kernels_nd.from_kernel(masked(s, d).where("valid"), GRID, waves, 3), 9)
+    q["grid_mask_area"] = lambda s, d: geometry.cells_by_area(GRID.cells(s), GRID, POLYGON)
+    q["segments_meeting_polygon"] = lambda s, d: geometry.segments_meeting(network.edge_segments(*streets(s)), POLYGON).select("segment_id")
+    q["surface_cropped"] = lambda s, d: geometry.crop_surface(base(s, d), GRID, POLYGON).select("gx", "gy", "risk", "valid")
     # Surfaces.
     q["surface_renormalise"] = lambda s, d: risks(prob(s, d), 9)
     q["surface_percentile"] = lambda s, d: rounded(surface.percentile(base(s, d)), "percentile")
@@ -138,6 +162,7 @@ def queries() -> dict[str, Query]:
     q["seppexp_p_matrix"] = lambda s, d: p_columns(sepp_p(s, d))
     q["seppexp_em_1"] = sepp_em
     q["seppexp_predict"] = sepp_predict
+    q["seppexp_em_corrected"] = lambda s, d: sepp_em(s, d, corrected=True)
     q["sepp_initial_p"] = lambda s, d: rounded(sepp.initial_p(pts(s, d), 2.0, 100.0), "p")
     q["sepp_decluster"] = lambda s, d: sepp.decluster(sepp.initial_p(pts(s, d), 2.0, 100.0), 5)
     # Graphs and networks.
@@ -159,7 +184,12 @@ def queries() -> dict[str, Query]:
     q["network_coverage"] = lambda s, d: network.coverage(edge_counts(s, d), streets(s)[1], 0.2)
     q["network_hit_rate"] = lambda s, d: rounded(network.network_hit_rate(street_events(s, d), network.coverage(edge_counts(s, d), streets(s)[1], 0.2)), "rate")
     q["grid_risk_to_graph"] = lambda s, d: network.grid_risk_to_edges(base(s, d), GRID, shifted(s), streets(s)[1])
+    q["graph_edge_paths"] = lambda s, d: graph.shortest_edge_paths(streets(s)[1], 604, 0.25).select("key", "distance")
+    q["graph_edge_distances"] = lambda s, d: graph.edge_distances(streets(s)[1], 604)
+    q["network_places"] = lambda s, d: rounded(graph.edge_places(*streets(s), street_events(s, d)), "t", "x", "y").select("event_id", "x", "y")
+    q["grid_risk_subdivided"] = lambda s, d: rounded(network.grid_risk_subdivided(base(s, d), GRID, shifted(s), streets(s)[1]), "x1", "y1", "x2", "y2", "length")
     # Back-tests.
+    q["backtest_rates"] = lambda s, d: bt.wide(rounded(bt.backtest(pts(s, d), GRID, ["naive"], bt.periods("2024-01-15", SCORE_END, 7), EVERY_COVERAGE), "rate"), "rate", EVERY_COVERAGE).drop("total")
     q["backtest_pivot"] = lambda s, d: bt.wide(q["hotspot_backtest"](s, d).withColumn("predictor", F.lit("naive")), "hits", COVERAGES)
     q["backtest_predictors"] = lambda s, d: rounded(bt.backtest(pts(s, d), GRID, ["naive", "retro", "prospective"], bt.periods("2024-01-15", SCORE_END, 7), [10, 20]), "rate")
     return q
@@ -202,9 +232,9 @@ def p_columns(p: DataFrame) -> DataFrame:
     return rounded(columns, "background", "triggered").select("j", "background", "triggers", "triggered", F.coalesce("latest.i", F.lit(-1)).alias("latest"))
 
 
-def sepp_em(spark: SparkSession, sf: str) -> DataFrame:
+def sepp_em(spark: SparkSession, sf: str, corrected: bool = False) -> DataFrame:
     events, mu = sepp_inputs(spark, sf)
-    omega, theta, mu = sepp.em_step(events, OMEGA, THETA, mu, MINUTES)
+    omega, theta, mu = sepp.em_step(events, OMEGA, THETA, mu, MINUTES, corrected)
     return mu.select("gx", "gy", F.round("mu", 9).alias("mu"), F.round(F.lit(omega), 9).alias("omega"), F.round(F.lit(theta), 9).alias("theta"))
 
 

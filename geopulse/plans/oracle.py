@@ -87,7 +87,7 @@ SEPP = f"""{PTS}, week AS (SELECT * FROM pts WHERE ts < TIMESTAMP '2024-01-22'),
 DIGAMMA = "(ln({x} + 6) - 1 / (2 * ({x} + 6)) - 1 / (12 * pow({x} + 6, 2)) + 1 / (120 * pow({x} + 6, 4)) - 1 / (252 * pow({x} + 6, 6)) - 1 / {x} - 1 / ({x} + 1) - 1 / ({x} + 2) - 1 / ({x} + 3) - 1 / ({x} + 4) - 1 / ({x} + 5))"
 #: The parts of the shifted streets in the grid's cells.
 STREET_PARTS = """ends AS (SELECT e.edge_id, a.x + 40 AS x1, a.y + 55 AS y1, b.x + 40 AS x2, b.y + 55 AS y2, b.x - a.x AS dx, b.y - a.y AS dy FROM edges e JOIN v a ON a.key = k1 JOIN v b ON b.key = k2),
- cut AS (SELECT edge_id, gx, gy, greatest(0, CASE WHEN dx = 0 THEN 0 ELSE least((gx * 150 - x1) / dx, (gx * 150 + 150 - x1) / dx) END, CASE WHEN dy = 0 THEN 0 ELSE least((gy * 150 - y1) / dy, (gy * 150 + 150 - y1) / dy) END) AS t1,
+ cut AS (SELECT edge_id, gx, gy, x1, y1, dx, dy, greatest(0, CASE WHEN dx = 0 THEN 0 ELSE least((gx * 150 - x1) / dx, (gx * 150 + 150 - x1) / dx) END, CASE WHEN dy = 0 THEN 0 ELSE least((gy * 150 - y1) / dy, (gy * 150 + 150 - y1) / dy) END) AS t1,
    least(1, CASE WHEN dx = 0 THEN 1 ELSE greatest((gx * 150 - x1) / dx, (gx * 150 + 150 - x1) / dx) END, CASE WHEN dy = 0 THEN 1 ELSE greatest((gy * 150 - y1) / dy, (gy * 150 + 150 - y1) / dy) END) AS t2
    FROM ends, cells WHERE (dx <> 0 OR (x1 >= gx * 150 AND x1 < gx * 150 + 150)) AND (dy <> 0 OR (y1 >= gy * 150 AND y1 < gy * 150 + 150))),
  part AS (SELECT * FROM cut WHERE t1 < t2)"""
@@ -109,7 +109,69 @@ def relaxed(k: int) -> str:
     return ", ".join(f"k{i + 1} AS (SELECT event_id, vtx, min(s) AS s FROM (SELECT * FROM k{i} UNION ALL {ext.format(i)}) GROUP BY ALL)" for i in range(k))
 
 
+DAYS = f"{PTS}, days AS (SELECT *, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 86400000000.0::DOUBLE AS t FROM pts WHERE ts < TIMESTAMP '2024-01-22')"
+
+
+def bandwidths(dims: str, k: int, near: float) -> str:
+    """h (event_id, h2): squared distance to the k-th neighbour in coordinates of unit variance, looked for within ``near`` first; m: the deviations."""
+    u = ", ".join(f"{c} / s{c} AS u{c}" for c in dims)
+    d2 = " + ".join(f"pow(a.u{c} - b.u{c}, 2)" for c in dims)
+    box = " AND ".join(f"abs(a.u{c} - b.u{c}) <= {near}" for c in dims)
+    ranked = "SELECT a.event_id, {d2} AS d2, row_number() OVER (PARTITION BY a.event_id ORDER BY {d2}) AS k FROM {a} a JOIN u b ON a.event_id <> b.event_id"
+    return f"""m AS (SELECT count(*) AS n, {", ".join(f"stddev_samp({c}) AS s{c}" for c in dims)} FROM days), u AS (SELECT event_id, {u} FROM days, m),
+      d AS ({ranked.format(d2=d2, a="u")} AND {box}), far AS (SELECT event_id FROM u EXCEPT SELECT event_id FROM d WHERE k = {k} AND d2 <= {near * near}),
+      e AS ({ranked.format(d2=d2, a="(SELECT * FROM u SEMI JOIN far USING (event_id))")}),
+      h AS (SELECT event_id, CASE WHEN d2 = 0 THEN 1 ELSE d2 END AS h2 FROM (SELECT event_id, d2 FROM d WHERE k = {k} AND d2 <= {near * near} UNION ALL SELECT event_id, d2 FROM e WHERE k = {k}))"""
+
+
+INSIDE = "(SELECT {id} FROM {at} JOIN poly ON (poly.y1 > py) <> (poly.y2 > py) AND px < (poly.x2 - poly.x1) * (py - poly.y1) / (poly.y2 - poly.y1) + poly.x1 GROUP BY ALL HAVING count(*) % 2 = 1)"
+AREA = f"""centre AS (SELECT gx, gy, mx AS px, my AS py FROM cells),
+      crossed AS (SELECT gx, gy FROM cells, poly WHERE greatest(0, least((gx * 150 - x1) / (x2 - x1), (gx * 150 + 150 - x1) / (x2 - x1)), least((gy * 150 - y1) / (y2 - y1), (gy * 150 + 150 - y1) / (y2 - y1)))
+        < least(1, greatest((gx * 150 - x1) / (x2 - x1), (gx * 150 + 150 - x1) / (x2 - x1)), greatest((gy * 150 - y1) / (y2 - y1), (gy * 150 + 150 - y1) / (y2 - y1)))),
+      area AS (SELECT * FROM {INSIDE.format(id="gx, gy", at="centre")} UNION SELECT gx, gy FROM crossed)"""
+WAVES = "(1 + sin(x / 300)) * exp(-y / 2000)"
+
+
+def sampled(cells: str, samples: int) -> str:
+    return f"""SELECT gx, gy, round(avg({WAVES}), 9) AS risk FROM (SELECT gx, gy, (gx + (i.range + 0.5::DOUBLE) / {samples}) * 150 AS x, (gy + (j.range + 0.5::DOUBLE) / {samples}) * 150 AS y
+      FROM {cells}, range({samples}) i, range({samples}) j) GROUP BY gx, gy"""
+
+
+def side(p: str, q: str, r: str) -> str:
+    return f"(({q}x - {p}x) * ({r}y - {p}y) - ({q}y - {p}y) * ({r}x - {p}x))"
+
+
+EDGE_STEPS = """r AS (SELECT k1 AS key, {d1}::DOUBLE AS d, 0 AS steps FROM edges WHERE edge_id = 604 UNION SELECT k2, {d2}::DOUBLE, 0 FROM edges WHERE edge_id = 604
+      UNION SELECT b.b, r.d + 150, steps + 1 FROM r JOIN both_ways b ON r.key = b.a WHERE steps < 40), best AS (SELECT key, min(d) AS distance FROM r GROUP BY key)"""
+
 ORACLE: dict[str, str] = {
+    "kde_mixture_3d": f"""WITH {DAYS}, {bandwidths("txy", 15, 0.9)}, p AS (SELECT a.range AS i0, b.range AS i1, c.range AS i2, 3 + 6.0::DOUBLE * a.range AS pt, 400 + 700.0::DOUBLE * b.range AS px, 300 + 500.0::DOUBLE * c.range AS py FROM range(4) a, range(5) b, range(5) c),
+      v AS (SELECT i0, i1, i2, round(sum(exp(-(pow((pt - t) / st, 2) + pow((px - x) / sx, 2) + pow((py - y) / sy, 2)) / (2 * h2)) / pow(2 * pi() * h2, 1.5) / (n * st * sx * sy)), 15) AS density FROM p, m, days JOIN h USING (event_id) GROUP BY ALL)
+      SELECT i0::INTEGER AS i0, i1::INTEGER AS i1, i2::INTEGER AS i2, density FROM v WHERE density > 0""",
+    "kde_mixture_marginal": f"""WITH {DAYS}, {bandwidths("txy", 15, 0.9)}, v AS (SELECT range AS i0, round(sum(exp(-pow((250.0::DOUBLE * range - x) / sx, 2) / (2 * h2)) / sqrt(2 * pi() * h2) / (n * sx)), 12) AS density FROM range(16), m, days JOIN h USING (event_id) GROUP BY ALL)
+      SELECT i0::INTEGER AS i0, density FROM v WHERE density > 0""",
+    "kde_reflected_time": f"""WITH {DAYS}, {bandwidths("t", 100, 0.2)}, v AS (SELECT range AS i0, round(sum((exp(-pow((range / 2.0::DOUBLE - t) / st, 2) / (2 * h2)) + exp(-pow((range / 2.0::DOUBLE + t) / st, 2) / (2 * h2))) / sqrt(2 * pi() * h2) / (n * st)), 9) AS density FROM range(40), m, days JOIN h USING (event_id) GROUP BY ALL)
+      SELECT i0::INTEGER AS i0, density FROM v WHERE density > 0""",
+    "prediction_from_kernel": f"WITH {CELLS} {sampled('cells', 4)}",
+    "prediction_masked": f"WITH {PTS}, {TRAIN}, {CELLS}, {OK_CELLS} {sampled('ok', 3)}",
+    "grid_mask_area": f"WITH {CELLS}, {POLY}, {AREA} SELECT gx, gy FROM area",
+    "surface_cropped": f"WITH {PTS}, {BASE}, {POLY}, {AREA} SELECT base.gx, base.gy, risk, area.gx IS NOT NULL AS valid FROM base LEFT JOIN area USING (gx, gy)",
+    "segments_meeting_polygon": f"""WITH {STREETS}, {POLY}, e AS (SELECT edge_id, a.x AS ux, a.y AS uy, b.x AS wx, b.y AS wy FROM edges JOIN v a ON a.key = k1 JOIN v b ON b.key = k2),
+      q AS (SELECT x1 AS cx, y1 AS cy, x2 AS dx, y2 AS dy FROM poly), tips AS (SELECT edge_id, ux AS px, uy AS py FROM e UNION SELECT edge_id, wx, wy FROM e)
+      SELECT edge_id AS segment_id FROM {INSIDE.format(id="edge_id, px, py", at="tips")} UNION SELECT edge_id FROM e, q WHERE {side("u", "w", "c")} * {side("u", "w", "d")} <= 0 AND {side("c", "d", "u")} * {side("c", "d", "w")} <= 0
+        AND greatest(ux, wx) >= least(cx, dx) AND least(ux, wx) <= greatest(cx, dx) AND greatest(uy, wy) >= least(cy, dy) AND least(uy, wy) <= greatest(cy, dy)""",
+    "graph_edge_paths": f"WITH RECURSIVE {STREETS}, {EDGE_STEPS.format(d1=37.5, d2=112.5)} SELECT key, distance FROM best",
+    "graph_edge_distances": f"WITH RECURSIVE {STREETS}, {EDGE_STEPS.format(d1=75, d2=75)} SELECT edge_id, CASE WHEN edge_id = 604 THEN 0 ELSE min(distance) + 75 END AS distance FROM both_ways JOIN best ON a = key GROUP BY edge_id",
+    "network_places": f"WITH {STREET_EVENTS} SELECT event_id, round(x1 * (1 - t) + x2 * t, 6) AS x, round(y1 * (1 - t) + y2 * t, 6) AS y FROM ev JOIN seg ON segment_id = edge_id",
+    "grid_risk_subdivided": f"""WITH {PTS}, {BASE}, {STREETS}, {STREET_PARTS} SELECT edge_id, row_number() OVER (PARTITION BY edge_id ORDER BY t1, gx, gy)::INTEGER AS part, round(part.x1 + dx * t1, 6) AS x1, round(part.y1 + dy * t1, 6) AS y1,
+      round(part.x1 + dx * t2, 6) AS x2, round(part.y1 + dy * t2, 6) AS y2, round((t2 - t1) * 150, 6) AS length, coalesce(risk, 0) AS risk FROM part LEFT JOIN base USING (gx, gy)""",
+    "backtest_rates": f"""WITH {PTS}, {CELLS}, {PERIODS}, seen AS (SELECT start, gx, gy, count(*) FILTER (ts < a) AS risk, count(*) FILTER (ts >= a) AS count FROM (SELECT ts, {CELL} FROM pts) JOIN r ON ts < b GROUP BY ALL),
+      ranked AS (SELECT r.start, r.end_, coalesce(count, 0) AS count, row_number() OVER (PARTITION BY r.start ORDER BY coalesce(risk, 0) DESC, gy DESC, gx DESC) AS rank FROM r CROSS JOIN cells LEFT JOIN seen USING (start, gx, gy)),
+      total AS (SELECT start, sum(count) AS total FROM seen GROUP BY start)
+      SELECT 'naive' AS predictor, start, end_ AS "end", {", ".join(f'round(coalesce(sum(count) FILTER (rank <= floor(660 * ({c} / 100.0::DOUBLE))), 0) / any_value(total), 6) AS "{c}%"' for c in range(1, 101))}
+      FROM ranked JOIN total USING (start) WHERE start >= '2024-01-15' GROUP BY start, end_""",
+    "seppexp_em_corrected": f"""WITH {SEPP}, o AS (SELECT sum(p) AS s, sum(p * dt) AS st FROM pm WHERE i <> j), late AS (SELECT count(*) AS n, sum(exp(-(30240 - t) / 1440)) AS s, sum((30240 - t) * exp(-(30240 - t) / 1440)) AS st FROM ev)
+      SELECT gx, gy, round(sum(p) / 30240.0::DOUBLE, 9) AS mu, round(any_value(o.s / (o.st + 0.5 * late.st)), 9) AS omega, round(any_value(o.s / (late.n - late.s)), 9) AS theta FROM pm, o, late WHERE i = j GROUP BY gx, gy""",
     "graph_reduced": f"""WITH RECURSIVE {STREETS}, two AS (SELECT s.edge_id AS e, t.edge_id AS f FROM both_ways s JOIN both_ways t ON s.a = t.a AND s.edge_id <> t.edge_id JOIN deg ON deg.key = s.a AND degree = 2),
       r AS (SELECT edge_id, edge_id AS c FROM edges UNION SELECT f, c FROM r JOIN two ON r.edge_id = two.e), seg AS (SELECT edge_id, min(c) AS segment FROM r GROUP BY edge_id),
       tips AS (SELECT segment, a FROM both_ways JOIN seg USING (edge_id) GROUP BY ALL HAVING count(*) = 1), bounds AS (SELECT segment, min(a) AS k1, max(a) AS k2 FROM tips GROUP BY segment HAVING count(*) = 2),
