@@ -187,10 +187,10 @@ class Joiner:
         whole = W.partitionBy("token")
         listed = entries.where("pos < rare").select("sid", "n", "pos", "token", F.min("sid").over(whole).alias("lo"), F.max("sid").over(whole).alias("hi"))
         live = listed.where("lo <> hi").select("sid", "n", "pos", "token").unionAll(entries.where("pos >= rare").select("sid", "n", "pos", "token"))
-        self.live = checkpointed(live.withColumn("block", block), 40 * self.n)
+        self.live = checkpointed(live.withColumns({"block": block, "comp": F.col("sid")}), 40 * self.n)
         self.entries = self.live.count()
         release(docs.sparkSession)
-        self.links: DataFrame | None = None  # a, b of all links found between classes
+        self.links: DataFrame | None = None  # a, b: links between classes, or such that join the same components
         self.labels: DataFrame | None = None  # v, label; classes without a row are on their own
         self.answers: DataFrame | None = None  # centre, sid, overlap
 
@@ -204,9 +204,9 @@ class Joiner:
         """
         by = F.col("sid") if k == 0 else F.xxhash64("sid", F.lit(k))
         part = F.pmod(F.xxhash64("sid", F.lit(-k)), F.lit(CENTRES)).cast("int")
-        centre = F.min(F.struct(by.alias("k"), "sid", "n", "pos")).alias("c")
+        centre = F.min(F.struct(by.alias("k"), "sid", "n", "pos", "comp")).alias("c")
         found = self.live.groupBy("token", "block", part.alias("part")).agg(centre, F.max(F.expr("n - pos")).alias("reach"), F.min("n").alias("least_n"))
-        found = found.select(F.col("token").alias("t"), F.col("block").alias("b"), F.col("c.k").alias("by"), F.col("c.sid").alias("centre"), F.col("c.n").alias("c_n"), F.col("c.pos").alias("c_pos"), "reach", "least_n")
+        found = found.select(F.col("token").alias("t"), F.col("block").alias("b"), F.col("c.k").alias("by"), F.col("c.sid").alias("centre"), F.col("c.n").alias("c_n"), F.col("c.pos").alias("c_pos"), F.col("c.comp").alias("c_comp"), "reach", "least_n")
         return checkpointed(found, self.entries)
 
     def sizes_allow(self, m: str, n: str, p: str, q: str) -> str:
@@ -244,13 +244,18 @@ class Joiner:
         return scored, found
 
     def compare_with_centres(self, lists: DataFrame) -> None:
-        """Each entry against the centres of its own block and those beside it."""
-        entries = self.live.select("sid", "n", "pos", "token", F.explode(F.expr("array(block - 1, block, block + 1)")).alias("at"))
-        met = entries.join(lists, F.expr("token = t and at = b")).where(f"sid <> centre and {self.sizes_allow('n', 'c_n', 'pos', 'c_pos')}")
+        """Each entry against the centres of its own block and those beside it that are of other components."""
+        entries = self.live.select("sid", "n", "pos", "token", "comp", F.explode(F.expr("array(block - 1, block, block + 1)")).alias("at"))
+        met = entries.join(lists, F.expr("token = t and at = b")).where(f"comp <> c_comp and {self.sizes_allow('n', 'c_n', 'pos', 'c_pos')}")
         scored, found = self.verify(met.select(F.least("sid", "centre").alias("a"), F.greatest("sid", "centre").alias("b")).distinct())
         known = found.select("a", "b", "overlap", F.col("overlap").alias("most")).unionAll(scored.where("not near").select("a", "b", F.lit(None).cast("long"), "most"))
         self.answers = known.select(F.col("a").alias("centre"), F.col("b").alias("sid"), "overlap", "most").unionAll(known.select("b", "a", "overlap", "most"))
+        self.join_links()
+
+    def join_links(self) -> None:
+        """Links found so far become components, which then stand for them."""
         self.labels = components(self.links, self.n)
+        self.links = self.labels.select(F.col("v").alias("a"), F.col("label").alias("b"))
 
     def contested(self) -> DataFrame:
         """token and major, the component with most entries, of each list that holds several; rest: entries of the others."""
@@ -300,7 +305,7 @@ class Joiner:
         self.verify(met.select(F.least("p_sid", "sid").alias("a"), F.greatest("p_sid", "sid").alias("b")).distinct())
         for x in (probes, lists, known):
             drop_table(x)
-        self.labels = components(self.links, self.n)
+        self.join_links()
         return self.labels
 
 

@@ -311,10 +311,9 @@ def test_jaccard_join_of_copies_and_chains(spark):
     assert got == dict(enumerate(want))
 
 
-@pytest.mark.parametrize("per_entry", [0, 16])
-def test_jaccard_join_of_a_large_family(spark, monkeypatch, per_entry):
-    """Copies of one text with edits at random, most pairs of which are no link; a passage in very different texts; with and without further rounds."""
-    monkeypatch.setattr(jaccard_join, "PAIRS_PER_ENTRY", per_entry)
+def test_jaccard_join_of_a_large_family(spark, monkeypatch):
+    """Copies of one text with edits at random, most pairs of which are no link; a passage in very different texts; with further rounds of centres."""
+    monkeypatch.setattr(jaccard_join, "PAIRS_PER_ENTRY", 0)
     monkeypatch.setattr(jaccard_join, "CENTRES", 2)
     rng = np.random.default_rng(8)
     base, texts = passage(70, 120).split(), []
