@@ -290,7 +290,8 @@ ORACLE: dict[str, str] = {
     "ranking": f"{SCORED}, r AS (SELECT gx, gy, cume_dist() OVER (ORDER BY risk) AS c FROM prob) SELECT event_id, round(c, 6) AS percentile FROM score JOIN r USING (gx, gy)",
     "bayes_predictive": f"{SCORED}, a AS (SELECT count, CASE WHEN p <= 0 THEN 1e-10 ELSE p * 10 END AS al, sum(count) OVER () AS n FROM f), w AS (SELECT *, (al + count) / (10 + n) AS w FROM a) SELECT round(sum(w * (ln(w) + ln(10) - ln(al))), 6) AS score FROM w",
     "poisson_crps": f"""{SCORED}, c AS (SELECT gx, gy, count, p * sum(count) OVER () AS mean FROM f),
-      k AS (SELECT gx, gy, count, range AS k, sum(exp(range * ln(mean) - mean - lgamma(range + 1))) OVER (PARTITION BY gx, gy ORDER BY range) AS cdf FROM c, range(400))
+      e AS (SELECT *, unnest(range(0, CAST(ceil(greatest(count, mean) + 10 * sqrt(greatest(count, mean)) + 30) AS BIGINT) + 1)) AS k FROM c),
+      k AS (SELECT gx, gy, count, k, sum(exp(k * ln(mean) - mean - lgamma(k + 1))) OVER (PARTITION BY gx, gy ORDER BY k) AS cdf FROM e)
       SELECT round(sum(CASE WHEN k < count THEN cdf * cdf ELSE (1 - cdf) * (1 - cdf) END), 3) AS crps FROM k""",
     "knox_statistic": f"""WITH {PTS}, p AS (SELECT sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d, abs(epoch_us(a.ts) - epoch_us(b.ts)) AS dt FROM pts a JOIN pts b ON a.event_id < b.event_id AND abs(a.x - b.x) <= 100 AND abs(a.y - b.y) <= 100),
       s(space_bin, s0, s1) AS (VALUES (0, 0, 50), (1, 50, 100), (2, 0, 100)), t(time_bin, t0, t1) AS (VALUES (0, 0, 86400000000), (1, 86400000000, 259200000000), (2, 0, 604800000000))
