@@ -192,6 +192,7 @@ class Joiner:
         release(docs.sparkSession)
         self.links: DataFrame | None = None  # a, b: links between classes, or such that join the same components
         self.labels: DataFrame | None = None  # v, label; classes without a row are on their own
+        self.spent: list[DataFrame] = []  # written tables that nothing needs once the components are known
         self.answers: DataFrame | None = None  # centre, sid, overlap
 
     def needed(self, m: str, n: str) -> str:
@@ -241,6 +242,7 @@ class Joiner:
         release(spark)
         links = found.where(f"100 * overlap >= {self.percent} * (m + n - overlap)").select("a", "b")
         self.links = links if self.links is None else self.links.unionAll(links)
+        self.spent += [scored, found]
         return scored, found
 
     def compare_with_centres(self, lists: DataFrame) -> None:
@@ -260,7 +262,9 @@ class Joiner:
     def contested(self) -> DataFrame:
         """token and major, the component with most entries, of each list that holds several; rest: entries of the others."""
         labels = self.labels.select(F.col("v").alias("sid"), "label")
+        before = self.live
         self.live = checkpointed(self.live.drop("comp", "major").join(labels, "sid", "left").withColumn("comp", F.coalesce("label", "sid")).drop("label"), self.entries)
+        drop_table(before)
         each = self.live.groupBy("token", "comp").agg(F.count("*").alias("k"))
         of_list = each.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("most"), F.sum("k").alias("entries"))
         return checkpointed(of_list.where("entries > most.k").select(F.col("token").alias("t"), F.col("most.comp").alias("major"), "entries", F.expr("entries - most.k").alias("rest")), self.entries)
@@ -316,7 +320,7 @@ def with_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     known = checkpointed(joiner.classes.select("sid", "doc_id").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid")), joiner.n)
     least = checkpointed(known.groupBy("label").agg(F.min("doc_id").alias("component_id")), joiner.n)
     of_set = checkpointed(known.join(least, "label").select("sid", "component_id"), joiner.n)
-    for x in (known, least, joiner.live, joiner.classes):
+    for x in (known, least, joiner.live, joiner.classes, *joiner.spent):
         drop_table(x)
     release(docs.sparkSession)
     rows = joiner.rows.select("key", "doc_id", F.col("n").alias("n_shingles"), "sid").join(of_set, "sid", "left")
