@@ -19,7 +19,16 @@ def written(df: DataFrame) -> DataFrame:
         base = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
     path = f"{base}/written/{uuid4()}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table of ``written`` that nothing reads any more."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df.written_path)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def running(df: DataFrame, order: list[Column | str], name: str, value: Column | str | None = None) -> DataFrame:
