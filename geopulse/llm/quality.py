@@ -7,8 +7,8 @@ adding counts, so it is an ordinary partial aggregation: one row for each (langu
 measure, bucket) leaves a task, however large a group is, and the result does not depend on
 the order of merging. Groups with few rows use the merged sketch of their language, and then
 that of the whole corpus. A text is rejected if a measure lies above the fence
-``q50 + spread * (q75 - q50) + slack`` of its group. Texts are measured once; sketches and verdicts
-read the written measures.
+``q50 + spread * (q75 - q50) + slack`` of its group. For the digest, texts are measured once;
+sketches and verdicts read the written measures.
 
 Defined results: a null text has no words (and fails the base rule); null languages and
 sources form groups of their own; repeated rows count as often as they occur; an empty table
@@ -149,8 +149,8 @@ def verdicts(stats: DataFrame, measures: dict[str, int] = MEASURES, spread: int
 
 
 def quality_filter(docs: DataFrame, **options) -> DataFrame:
-    """The documents that pass, with all their own columns and no others."""
-    return verdicts(checkpointed(measured(docs)), **options).where("kept").select("row.*")
+    """The documents that pass, with all their own columns and no others. Texts are measured twice rather than written once more."""
+    return verdicts(measured(docs), **options).where("kept").select("row.*")
 
 
 def op8_quality_rules(docs: DataFrame) -> DataFrame:
