@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geopulse.llm import compaction, decontamination, hmm, jaccard_join, packing, quality, secret_scan, suffix_dedup, toxicity, window_dedup
+from geopulse.llm import compaction, decontamination, hmm, importance, jaccard_join, packing, quality, secret_scan, suffix_dedup, toxicity, window_dedup
 from geopulse.llm.text import documents
 
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_decontamination": lambda spark, sf: decontamination.op10_decontamination(
             documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet")
         ),
+        "op13_importance": lambda spark, sf: importance.op13_importance(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet")),
     }
 
 
@@ -120,10 +121,53 @@ FROM m JOIN fences f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT D
 """
 
 
+def _runs(table: str, key: str) -> str:
+    """A row for each run of one to three words."""
+    words = f"regexp_extract_all(coalesce({LOWER}, ''), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    run = lambda n: f"list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))"
+    return f"""(SELECT key, unnest(list_concat({run(1)}, {run(2)}, {run(3)})) AS f FROM (SELECT {key} AS key, {words} AS w FROM {table}))"""
+
+
+def _nibbles() -> list[int]:
+    """Steps of the reflected CRC-32 by four bits."""
+    out = []
+    for c in range(16):
+        for _ in range(4):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+OP13 = f"""
+WITH d AS MATERIALIZED (SELECT * FROM {_runs("documents", "doc_id")}), b AS MATERIALIZED (SELECT * FROM {_runs("benchmark", "item_id")}),
+x AS (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM d UNION SELECT f FROM b)),
+k AS MATERIALIZED (
+  SELECT f, xor(list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(range(0, len(x)), lambda i: instr('0123456789ABCDEF', x[xor(i, 1) + 1])::BIGINT - 1)),
+    lambda r, n: xor(list_extract({_nibbles()}::BIGINT[], (xor(r, n) & 15) + 1), r >> 4)), 4294967295) % {importance.BUCKETS} AS bucket
+  FROM x),
+s AS (SELECT bucket, count(*) AS s FROM d JOIN k USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN k USING (f) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM d) + {importance.BUCKETS} AS s, (SELECT count(*) FROM b) + {importance.BUCKETS} AS t),
+g AS (SELECT bucket, floor(1000 * ln(((coalesce(t.t, 0) + 1)::DOUBLE * n.s) / ((s.s + 1)::DOUBLE * n.t)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), n),
+w AS (SELECT key AS doc_id, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM d JOIN k USING (f) JOIN g USING (bucket) GROUP BY key),
+c AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    ('0x' || substr(sha256('{importance.SEED}:' || doc_id), 1, 8))::BIGINT::DOUBLE AS h
+  FROM documents LEFT JOIN w USING (doc_id)),
+r AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM c),
+-- n words have 3 * n - 3 runs from two words on
+e AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM r WHERE n_features >= 3 * {importance.MIN_WORDS} - 3)
+SELECT r.doc_id, n_features, weight, score, CASE WHEN place <= {importance.PERCENT} * n // 100 THEN place END AS rank
+FROM r LEFT JOIN e USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_jaccard_join": OP3,
         "op5_substring_dedup": OP5,
         "op8_quality_rules": OP8,
+        "op13_importance": OP13,
         "op4_sharding": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents",
     }
