@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geopulse.llm import compaction, decontamination, hmm, importance, jaccard_join, language_id, packing, quality, secret_scan, suffix_dedup, toxicity, window_dedup
+from geopulse.llm import compaction, decontamination, hmm, importance, jaccard_join, language_id, packing, quality, secret_scan, suffix_dedup, token_alignment, toxicity, window_dedup
 from geopulse.llm.text import documents
 
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_decontamination": lambda spark, sf: decontamination.op10_decontamination(
             documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet")
         ),
+        "op11_token_alignment": lambda spark, sf: token_alignment.op11_token_alignment(documents(spark, sf)),
         "op12_language_id": lambda spark, sf: language_id.op12_language_id(documents(spark, sf)),
         "op13_importance": lambda spark, sf: importance.op13_importance(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet")),
     }
