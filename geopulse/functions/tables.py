@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +11,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+_scratches: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written inside are deleted at the end, but for those that ``outlive`` it."""
+    _scratches.append([])
+    try:
+        yield
+    finally:
+        for table in _scratches.pop():
+            forget(table)
+
+
+def outlive(*tables: DataFrame) -> None:
+    """The tables stay when the innermost scratch ends, and go with the one around it, if there is any."""
+    if _scratches:
+        _scratches[-1] = [t for t in _scratches[-1] if all(t is not x for x in tables)]
+        if len(_scratches) > 1:
+            _scratches[-2].extend(tables)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage by Parquet in the cluster's shared folder (below the warehouse where none is set, on one machine only)."""
     spark = df.sparkSession
@@ -21,6 +45,8 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
+    if _scratches:
+        _scratches[-1].append(out)
     return out
 
 

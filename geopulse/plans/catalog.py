@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from geopulse.functions.grid import GridSpec
 from geopulse.operators import backtest as bt
-from geopulse.operators import evaluate, geometry, graph, hotspot, kernels_nd, knox, network, points, scan, sepp, surface
+from geopulse.operators import evaluate, geometry, graph, hotspot, kernels_nd, knox, network, points, scan, sepp, sepp_kernels, surface
 
 GRID = GridSpec(150.0, 150.0, 0.0, 0.0, 33, 20)
 TRAIN_END, SCORE_END = "2024-01-22 00:00:00", "2024-01-29 00:00:00"
@@ -165,6 +165,15 @@ def queries() -> dict[str, Query]:
     q["seppexp_em_corrected"] = lambda s, d: sepp_em(s, d, corrected=True)
     q["sepp_initial_p"] = lambda s, d: rounded(sepp.initial_p(pts(s, d), 2.0, 100.0), "p")
     q["sepp_decluster"] = lambda s, d: sepp.decluster(sepp.initial_p(pts(s, d), 2.0, 100.0), 5)
+    q["sepp_declustered"] = sepp_declustered
+    q["sepp_fitted_predict"] = sepp_fitted_predict
+    q["sepp_background_predict"] = lambda s, d: sepp_surface(sepp_kernels.background_predict(SEPP_MODEL, sepp_places(s), SEPP_AT), 9)
+    q["sepp_point_predict"] = lambda s, d: sepp_surface(sepp_kernels.point_predict(SEPP_MODEL, sepp_events(s, d), sepp_places(s), SEPP_AT), 9)
+    q["sepp_range_predict"] = lambda s, d: sepp_surface(sepp_kernels.range_predict(SEPP_MODEL, sepp_events(s, d), sepp_places(s), sepp_kernels.times_between(SEPP_AT, SEPP_AT + 7, 20)), 9)
+    q["sepp_separable_predict"] = lambda s, d: sepp_surface(sepp_kernels.separable_predict(SEPP_SEPARABLE, sepp_events(s, d), sepp_places(s), sepp_kernels.times_between(SEPP_AT, SEPP_AT + 7, 5)), 9)
+    q["sepp_tabulated_predict"] = sepp_tabulated
+    q["sepp_log_likelihood"] = lambda s, d: rounded(sepp_kernels.log_likelihood(SEPP_MODEL, sepp_events(s, d)), "likelihood", places=3)
+    q["sepp_grid_predict"] = lambda s, d: risks(sepp_kernels.on_grid(sepp_kernels.point_predict(SEPP_MODEL, sepp_events(s, d), sepp_places(s), SEPP_AT), GRID, 2, masked(s, d).where("valid")).where("valid"), 9)
     # Graphs and networks.
     q["graph_degree"] = lambda s, d: graph.degrees(streets(s)[1])
     q["graph_derived"] = lambda s, d: graph.derived_graph(streets(s)[1])
@@ -243,6 +252,50 @@ def sepp_predict(spark: SparkSession, sf: str) -> DataFrame:
     return risks(sepp.predict_grid(train(spark, sf), SEPP_GRID, TRAIN_END, OMEGA, THETA, mu), 9)
 
 
+#: Kernels of the predictors: days and metres.
+SEPP_AT = 21.5
+SEPP_MODEL = sepp_kernels.Model(
+    lambda t, x, y: (1 + x / 5000) * F.exp(-y / 2000) * (1 + t / 100) / 1e6,
+    lambda dt, dx, dy: F.exp(-dt / 2 - (dx * dx + dy * dy) / 12_800) / 1e5, 300.0, 10.0,
+)
+SEPP_SEPARABLE = sepp_kernels.Separable(
+    lambda x, y: (1 + x / 5000) * F.exp(-y / 2000) / 1e6, lambda dt: F.exp(-dt / 2) / 2, lambda dx, dy: F.exp(-(dx * dx + dy * dy) / 12_800) / 4e4, 300.0, 10.0
+)
+
+
+def sepp_events(spark: SparkSession, sf: str) -> DataFrame:
+    return sepp_kernels.time_space(pts(spark, sf))[0]
+
+
+def sepp_places(spark: SparkSession) -> DataFrame:
+    return sepp_kernels.grid_places(spark, GRID, 2)
+
+
+def sepp_surface(risk: DataFrame, places: int) -> DataFrame:
+    """Risks in units of 1e-6 at the places."""
+    return risk.select("place_id", F.round(F.col("risk") * 1e6, places).alias("risk"))
+
+
+def sepp_fit(spark: SparkSession, sf: str, iterations: int) -> sepp_kernels.Declustered:
+    return sepp_kernels.fit(pts(spark, sf), iterations, time_cutoff=2.0, space_cutoff=150.0, time_bandwidth=1.0, space_bandwidth=60.0, seed=5)
+
+
+def sepp_declustered(spark: SparkSession, sf: str) -> DataFrame:
+    """Each event's probability of being background after a round."""
+    return sepp_fit(spark, sf, 1).p.where("i = j").select(F.col("i").alias("event_id"), F.col("p").alias("background"))
+
+
+def sepp_fitted_predict(spark: SparkSession, sf: str) -> DataFrame:
+    found = sepp_fit(spark, sf, 1)
+    events, _ = sepp_kernels.time_space(pts(spark, sf))
+    return risks(sepp_kernels.on_grid(sepp_kernels.fitted_predict(found, events, sepp_kernels.grid_places(spark, GRID), found.duration), GRID), 12)
+
+
+def sepp_tabulated(spark: SparkSession, sf: str) -> DataFrame:
+    tables = sepp_kernels.tabulate(spark, SEPP_SEPARABLE, GRID, 0.25, 25.0)
+    return sepp_surface(sepp_kernels.tabulated_predict(tables, sepp_events(spark, sf), sepp_places(spark), sepp_kernels.times_between(SEPP_AT, SEPP_AT + 7, 5)), 9)
+
+
 def oracle_sql() -> dict[str, str]:
     from geopulse.plans.oracle import ORACLE
 

@@ -144,7 +144,57 @@ def side(p: str, q: str, r: str) -> str:
 EDGE_STEPS = """r AS (SELECT k1 AS key, {d1}::DOUBLE AS d, 0 AS steps FROM edges WHERE edge_id = 604 UNION SELECT k2, {d2}::DOUBLE, 0 FROM edges WHERE edge_id = 604
       UNION SELECT b.b, r.d + 150, steps + 1 FROM r JOIN both_ways b ON r.key = b.a WHERE steps < 40), best AS (SELECT key, min(d) AS distance FROM r GROUP BY key)"""
 
+#: Events in days since the first one, and 2 x 2 places in each cell.
+PAST = f"""{PTS}, {CELLS}, ev AS (SELECT event_id, (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM pts)) / 86400000000.0::DOUBLE AS t, x, y FROM pts),
+ places AS (SELECT b.range * 66 + a.range AS place_id, (a.range + 0.5::DOUBLE) * 75 AS px, (b.range + 0.5::DOUBLE) * 75 AS py FROM range(66) a, range(40) b)"""
+OWN = "(1 + px / 5000) * exp(-py / 2000) * (1 + {t} / 100) / 1e6::DOUBLE"
+TRIGGER = "exp(-{dt} / 2 - d2 / 12800) / 1e5::DOUBLE"
+MET = "met AS (SELECT place_id, t, pow(px - x, 2) + pow(py - y, 2) AS d2, px - x AS dx, py - y AS dy FROM places, ev WHERE abs(px - x) <= {r} AND abs(py - y) <= {r})"
+
+
+def at_times(samples: int) -> str:
+    return f"clock AS (SELECT 21.5::DOUBLE + 7.0::DOUBLE * range / {samples - 1} AS u FROM range({samples}))"
+
+
+def at_places(background: str, rates: str) -> str:
+    return f"SELECT place_id, round(({background} + coalesce(rate, 0)) * 1000000, 9) AS risk FROM places LEFT JOIN (SELECT place_id, sum(rate) AS rate FROM {rates} GROUP BY place_id) USING (place_id)"
+
+
+def least(table: str) -> str:
+    """The largest of the least heights that make up a thousandth."""
+    return f"(SELECT max(height) FROM (SELECT height, sum(height) OVER (ORDER BY height ROWS UNBOUNDED PRECEDING) AS upto, sum(height) OVER () AS total FROM {table}) WHERE upto <= total * 0.001::DOUBLE)"
+
+
+POINT = f"pt AS (SELECT place_id, {TRIGGER.format(dt='(21.5::DOUBLE - t)')} AS rate FROM met WHERE d2 <= 90000 AND t < 21.5::DOUBLE AND t >= 11.5::DOUBLE)"
+
 ORACLE: dict[str, str] = {
+    "sepp_background_predict": f"WITH {PAST} SELECT place_id, round({OWN.format(t='21.5::DOUBLE')} * 1000000, 9) AS risk FROM places",
+    "sepp_point_predict": f"WITH {PAST}, {MET.format(r=300)}, {POINT} {at_places(OWN.format(t='21.5::DOUBLE'), 'pt')}",
+    "sepp_range_predict": f"""WITH {PAST}, {MET.format(r=300)}, {at_times(20)},
+      rt AS (SELECT place_id, {TRIGGER.format(dt='(u - t)')} / 20 AS rate FROM met, clock WHERE d2 <= 90000 AND t < u AND u - t <= 10)
+      {at_places(OWN.format(t='25.0::DOUBLE'), 'rt')}""",
+    "sepp_separable_predict": f"""WITH {PAST}, {MET.format(r=300)}, {at_times(5)},
+      rt AS (SELECT place_id, exp(-(u - t) / 2) / 2 * exp(-d2 / 12800) / 4e4::DOUBLE / 5 AS rate FROM met, clock WHERE d2 <= 90000 AND t < 21.5::DOUBLE AND u - t <= 10)
+      {at_places(OWN.format(t='0'), 'rt')}""",
+    "sepp_tabulated_predict": f"""WITH {PAST}, {MET.format(r=1200)}, {at_times(5)},
+      tt AS (SELECT range AS band, exp(-0.25::DOUBLE * range / 2) / 2 AS height FROM range(100)),
+      tk AS (SELECT * FROM tt WHERE band <= (SELECT max(band) FROM tt WHERE height > {least('tt')})),
+      st AS (SELECT n.range AS n, a.range - n.range AS ox, b.range - n.range AS oy, avg(exp(-(pow((a.range - n.range + (i.range + 0.5::DOUBLE) / 5) * 25, 2) + pow((b.range - n.range + (j.range + 0.5::DOUBLE) / 5) * 25, 2)) / 12800) / 4e4::DOUBLE) AS height
+        FROM (SELECT unnest([10, 20, 40]) AS range) n, range(80) a, range(80) b, range(5) i, range(5) j WHERE a.range < 2 * n.range AND b.range < 2 * n.range GROUP BY ALL),
+      least_mass AS (SELECT n, max(height) AS cut FROM (SELECT n, height, sum(height) OVER (PARTITION BY n ORDER BY height ROWS UNBOUNDED PRECEDING) AS upto, sum(height) OVER (PARTITION BY n) AS total FROM st) WHERE upto <= total * 0.001::DOUBLE GROUP BY n),
+      -- the least size beyond whose rim nothing but the least mass is
+      sized AS (SELECT min(n) AS n FROM least_mass WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.n = least_mass.n AND sqrt(ox * ox + oy * oy) >= st.n * 80 // 100 AND height > cut)),
+      sk AS (SELECT ox, oy, height FROM st JOIN sized USING (n)),
+      e AS (SELECT place_id, dx, dy, u - t AS dt FROM met, clock WHERE t < 21.5::DOUBLE),
+      rt AS (SELECT place_id, tk.height * sk.height / 5 AS rate FROM e JOIN tk ON band = floor(dt / 0.25::DOUBLE) JOIN sk ON ox = floor(dx / 25) AND oy = floor(dy / 25)),
+      bg AS (SELECT gx, gy, avg((1 + (gx + (i.range + 0.5::DOUBLE) / 5) * 150 / 5000) * exp(-(gy + (j.range + 0.5::DOUBLE) / 5) * 150 / 2000) / 1e6::DOUBLE) AS own FROM cells, range(5) i, range(5) j GROUP BY gx, gy)
+      {at_places('own', 'rt').replace('FROM places', 'FROM (SELECT * FROM places JOIN bg ON gx = floor(px / 150) AND gy = floor(py / 150)) places', 1)}""",
+    "sepp_log_likelihood": f"""WITH {PAST}, pair AS (SELECT b.event_id, sum(exp(-(b.t - a.t) / 2 - (pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) / 12800) / 1e5::DOUBLE) AS rate FROM ev a JOIN ev b
+        ON b.t > a.t AND b.t - a.t <= 10 AND abs(a.x - b.x) <= 300 AND pow(b.x - a.x, 2) + pow(b.y - a.y, 2) <= 90000 GROUP BY b.event_id)
+      SELECT round(sum(ln((1 + x / 5000) * exp(-y / 2000) * (1 + t / 100) / 1e6::DOUBLE + coalesce(rate, 0))), 3) AS likelihood FROM ev LEFT JOIN pair USING (event_id)""",
+    "sepp_grid_predict": f"""WITH {PAST}, {TRAIN}, {MET.format(r=300)}, {POINT}, {OK_CELLS},
+      p AS (SELECT CAST(floor(px / 150) AS BIGINT) AS gx, CAST(floor(py / 150) AS BIGINT) AS gy, {OWN.format(t='21.5::DOUBLE')} + coalesce(rate, 0) AS risk FROM places LEFT JOIN (SELECT place_id, sum(rate) AS rate FROM pt GROUP BY place_id) USING (place_id)),
+      m AS (SELECT gx, gy, avg(risk) AS risk FROM p JOIN ok USING (gx, gy) GROUP BY gx, gy) SELECT gx, gy, round(risk / sum(risk) OVER (), 9) AS risk FROM m""",
     "kde_mixture_3d": f"""WITH {DAYS}, {bandwidths("txy", 15, 0.9)}, p AS (SELECT a.range AS i0, b.range AS i1, c.range AS i2, 3 + 6.0::DOUBLE * a.range AS pt, 400 + 700.0::DOUBLE * b.range AS px, 300 + 500.0::DOUBLE * c.range AS py FROM range(4) a, range(5) b, range(5) c),
       v AS (SELECT i0, i1, i2, round(sum(exp(-(pow((pt - t) / st, 2) + pow((px - x) / sx, 2) + pow((py - y) / sy, 2)) / (2 * h2)) / pow(2 * pi() * h2, 1.5) / (n * st * sx * sy)), 15) AS density FROM p, m, days JOIN h USING (event_id) GROUP BY ALL)
       SELECT i0::INTEGER AS i0, i1::INTEGER AS i1, i2::INTEGER AS i2, density FROM v WHERE density > 0""",
