@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from functools import partial
+from itertools import accumulate
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -60,7 +62,10 @@ def novelty(text: bytes, start: int, end: int, size) -> float:
 
 def novel_spans(text: bytes, base: list[Span], size, threshold: float) -> list[Span]:
     """Incompressible candidates in a sensitive context, outside the base spans."""
-    lower, found, after = None, [], 0
+    found, after = [], 0
+    starts = [s for s, *_ in sorted(base)]
+    # How far the spans reach that begin up to each of them.
+    reached = list(accumulate((e for _, _, e, _ in sorted(base)), max))
     # A candidate needs a sensitive word before it, so only what follows such words is looked at.
     lower = text.lower()
     for word in SENSITIVE.finditer(lower):
@@ -73,7 +78,10 @@ def novel_spans(text: bytes, base: list[Span], size, threshold: float) -> list[S
             after = end
             value = text[start:end]
             digits = sum(48 <= c < 58 for c in value)
-            if digits < 2 or digits == len(value) or any(s < end and start < e for s, _, e, _ in base):
+            if digits < 2 or digits == len(value):
+                continue
+            k = bisect_left(starts, end)
+            if k and reached[k - 1] > start:
                 continue
             if novelty(text, start, end, size) >= threshold:
                 found.append((start, 3, end, start))

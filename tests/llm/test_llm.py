@@ -570,16 +570,99 @@ def test_decontamination_against_all_pairs(spark):
     ends = np.cumsum([len(p) + 60 for _, p in rows])
     index = decontamination.Index([(r.item_id, r.text.encode()) for r in bench.collect()], decontamination.Q, decontamination.SEGMENT, decontamination.EDIT_RATE)
     want, at = set(), np.arange(len(text) + 1, dtype=np.int32)
-    for item, part, budget, _ in index.segments:
+    for part, budget, items in zip(index.segments, index.budgets, index.items, strict=True):
         cost = np.zeros(len(text) + 1, np.int32)
         for c in part:
             new = np.concatenate([[cost[0] + 1], np.minimum(cost[:-1] + (text != c), cost[1:] + 1)]).astype(np.int32)
             cost = np.minimum.accumulate(new - at) + at  # text characters left out
         for e in np.flatnonzero(cost <= budget):
-            want.add((rows[int(np.searchsorted(ends, max(0, e - 1), side="right"))][0], item))
+            want.update((rows[int(np.searchsorted(ends, max(0, e - 1), side="right"))][0], item) for item in items)
     assert got == want and want
 
 
+def test_decontamination_of_templates():
+    """Repeated sentences in items and in a long text: equal to the search of each segment over the text, and bounded in time."""
+    import time
+
+    rng = np.random.default_rng(3)
+    sentence = "which of the following statements about the process is the most accurate one. "
+    tail = lambda: " ".join("".join(map(chr, rng.integers(97, 123, rng.integers(3, 8)))) for _ in range(10))
+    items = [(i, (sentence + tail()).encode()) for i in range(40)] + [(40 + i, (sentence * 2).encode()) for i in range(3)]
+    text = sentence * 20 + items[7][1].decode() + " " + sentence * 3 + items[8][1].decode().replace("following", "folowing") + sentence * 5
+    index = decontamination.Index(items, decontamination.Q, decontamination.SEGMENT, decontamination.EDIT_RATE)
+    got = {x[0]: x for x in index.search(text.encode())}
+    points, at = decontamination.normal(text.encode()), None
+    at = np.arange(len(points) + 1)
+    want: dict[int, int] = {}
+    for part, budget, of in zip(index.segments, index.budgets, index.items, strict=True):
+        cost = np.zeros(len(points) + 1, np.int64)
+        for c in part:
+            cost = np.minimum.accumulate(np.concatenate([[cost[0] + 1], np.minimum(cost[:-1] + (points != c), cost[1:] + 1)]) - at) + at
+        if cost.min() <= budget:
+            for item in of:
+                want[item] = want.get(item, 0) + int(cost.min())
+    assert {i: x[3] for i, x in got.items()} == want and {7, 8, 40, 41, 42} <= set(want)
+    assert index.finds(text.encode()) and not index.finds(b"nothing of all this") and not index.finds(None)
+    many = decontamination.Index([(i, (sentence + tail()).encode()) for i in range(1000)], decontamination.Q, decontamination.SEGMENT, decontamination.EDIT_RATE)
+    began = time.time()
+    many.search((sentence * 2500).encode())
+    assert time.time() - began < 30
+
+
+def test_decontamination_without_ids(spark):
+    """Null ids of documents and items, repeated rows, and columns with the result's names."""
+    item = passage(500, 40)
+    docs = spark.createDataFrame([(None, item, 1), (None, item, 1), (3, None, 1), (3, "x " + item, 2)], "doc_id long, text string, edits int")
+    bench = spark.createDataFrame([(None, item, "a"), (1, item, "b")], "item_id long, text string, start string")
+    got = decontamination.op10_decontamination(docs, bench).collect()
+    assert sorted(((r.doc_id, r.item_id) for r in got), key=str) == sorted([(None, None), (None, 1)] * 2 + [(3, None), (3, 1)], key=str)
+    assert [tuple(r) for r in decontamination.decontaminate(docs, bench).collect()] == [(3, None, 1)]
+
+
+def test_novel_secrets_against_a_plain_version(spark):
+    """All candidates of all texts by a double loop, with the compressor of the code."""
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    value = "zX9qLm2Vt7RbK4wYs8Pd3NcF6hJ1"
+    docs = docs.unionByName(table(spark, [f"auth {value} key {value}x token = {value} session {value}"], [10**6]).drop("kept"))
+    size = secret_scan.compressed_size(secret_scan.identifier_dictionary(docs))
+    got = {r.doc_id: r.spans for r in secret_scan.op9_secret_scans(docs).collect()}
+    found = 0
+    for r in docs.collect():
+        text = (r.text or "").encode()
+        base, after, want = secret_scan.base_spans(text), 0, []
+        words = list(re.finditer(secret_scan.SENSITIVE, text.lower()))
+        runs = list(re.finditer(rb"[A-Za-z0-9+/_=-]{16,}", text))
+        for w in words:
+            # A run counts from the word's begin on, where the word is inside of it.
+            for m in runs:
+                start, end = max(m.start(), after, w.start()), m.end()
+                if end - start < 16 or start > w.end() + secret_scan.BEFORE - 16 or m.end() <= w.start():
+                    continue
+                after, v = end, text[start:end]
+                digits = sum(48 <= c < 58 for c in v)
+                if digits < 2 or digits == len(v) or any(s < end and start < e for s, _, e, _ in base):
+                    continue
+                if secret_scan.novelty(text, start, end, size) >= secret_scan.NOVELTY:
+                    want.append((start, 3, end, start))
+        found += len(want)
+        assert got[r.doc_id] == secret_scan.joined(secret_scan.code_points(text, sorted(base + want))), r.doc_id
+    assert found >= 2
+
+
+def test_secrets_of_a_long_log():
+    import time
+
+    rng = np.random.default_rng(1)
+    letters = np.frombuffer(b"ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789", np.uint8)
+    lines = [b'api_key = "' + letters[rng.integers(len(letters), size=24)].tobytes() + b'" auth session ' + letters[rng.integers(len(letters), size=32)].tobytes() for _ in range(50_000)]
+    text = b"\n".join(lines)
+    began = time.time()
+    found = secret_scan.spans(text, secret_scan.compressed_size([b"key"]), secret_scan.NOVELTY)
+    assert sum(k == 0 for _, k, _, _ in found) == 50_000 and time.time() - began < 30
+
+
 def edit_distance(a, b):
     prev = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
