@@ -89,7 +89,9 @@ def grams(points: np.ndarray, known: int) -> list[np.ndarray]:
     with np.errstate(over="ignore"):
         for n in range(1, LONGEST + 1):
             h = h[:-1] * MULT + points[n - 1 :] if len(points) >= n else h[:0]
-            out.append(mix(h[max(0, known - n + 1) :]))
+            new = slice(max(0, known - n + 1), None)
+            # A blank alone is no n-gram.
+            out.append(mix(h[new] if n > 1 else h[new][points[new] > 1]))
     return out
 
 
@@ -205,7 +207,7 @@ BITS = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.int64)
 
 def popcounts(masks: np.ndarray, languages: int) -> np.ndarray:
     """How many of the masks (n-grams x words) have each language's bit."""
-    parts = np.ascontiguousarray(masks).view(np.uint8).reshape(len(masks), -1)
+    parts = np.ascontiguousarray(masks).view(np.uint8).reshape(len(masks), masks.shape[1] * masks.itemsize)
     counts = [np.bincount(parts[:, k], minlength=256) @ BITS for k in range(-(-languages // 8))]
     return np.concatenate(counts)[:languages]
 

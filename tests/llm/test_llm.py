@@ -624,8 +624,9 @@ def test_novel_secrets_against_a_plain_version(spark):
     import re
 
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    value = "zX9qLm2Vt7RbK4wYs8Pd3NcF6hJ1"
-    docs = docs.unionByName(table(spark, [f"auth {value} key {value}x token = {value} session {value}"], [10**6]).drop("kept"))
+    values = ["zX9qLm2Vt7RbK4wYs8Pd3NcF6hJ1", "Qw8eRt5yUi3oPa7sDf1gHj4kLz6x", "internationalization2counterproductive2"]
+    texts = [f"auth header {a} end, key {b} token = {c} session {a}" for a in values for b in values for c in values] + [f"key{values[0]}key auth {values[1]}"]
+    docs = docs.unionByName(table(spark, texts, range(10**6, 10**6 + len(texts))).drop("kept"))
     size = secret_scan.compressed_size(secret_scan.identifier_dictionary(docs))
     got = {r.doc_id: r.spans for r in secret_scan.op9_secret_scans(docs).collect()}
     found = 0
