@@ -11,18 +11,6 @@ from pyspark.sql import Window as W
 from geopulse.functions.tables import written
 
 
-def lattice(spark: SparkSession, nx: int, ny: int, size: float = 150.0) -> tuple[DataFrame, DataFrame]:
-    """Vertices (key = 100 j + i) and edges of a street lattice."""
-    v = spark.range(nx * ny).select((F.col("id") % nx).alias("i"), F.floor(F.col("id") / nx).alias("j"))
-    vertices = v.select((100 * F.col("j") + F.col("i")).alias("key"), (F.col("i") * size).alias("x"), (F.col("j") * size).alias("y"))
-    steps = F.explode(F.array(F.struct(F.lit(1).alias("a"), F.lit(0).alias("b")), F.struct(F.lit(0).alias("a"), F.lit(1).alias("b"))))
-    e = v.select("i", "j", steps.alias("s")).select("i", "j", (F.col("i") + F.col("s.a")).alias("u"), (F.col("j") + F.col("s.b")).alias("w"), F.col("s.b").alias("up"))
-    e = e.where((F.col("u") < nx) & (F.col("w") < ny))
-    key = lambda a, b: 100 * F.col(b) + F.col(a)
-    edges = e.select((2 * key("i", "j") + F.col("up")).alias("edge_id"), key("i", "j").alias("k1"), key("u", "w").alias("k2"), F.lit(float(size)).alias("length"))
-    return vertices, edges
-
-
 def both_ways(edges: DataFrame) -> DataFrame:
     """(edge_id, a, b, length) in both directions."""
     return edges.select("edge_id", F.col("k1").alias("a"), F.col("k2").alias("b"), "length").unionAll(edges.select("edge_id", F.col("k2").alias("a"), F.col("k1").alias("b"), "length"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geopulse.functions.grid import GridSpec
+from geopulse.functions.tables import written
 from geopulse.operators import backtest as bt
 from geopulse.operators import evaluate, geometry, graph, hotspot, kernels_nd, knox, network, points, scan, sepp, sepp_kernels, surface
 
@@ -70,15 +71,32 @@ def waves(x: Column, y: Column) -> Column:
     return (1 + F.sin(x / 300)) * F.exp(-y / 2000)
 
 
-def streets(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """A lattice without some of its edges, so that vertices of degree 1 and 2 occur."""
-    vertices, edges = graph.lattice(spark, 8, 8)
-    return vertices, edges.where((F.col("k1") % 100 * 7 + F.floor(F.col("k1") / 100) * 3) % 5 != 0)
+def occupied(spark: SparkSession, sf: str) -> DataFrame:
+    """The grid's cells that hold events, with the number n of events."""
+    return GRID.with_cells(pts(spark, sf)).where(GRID.inside()).groupBy("gx", "gy").agg(F.count("*").alias("n"))
 
 
-def street_events(spark: SparkSession, sf: str) -> DataFrame:
-    vertices, edges = streets(spark)
-    return network.network_points(pts(spark, sf).where("x < 1100 and y < 1100"), vertices, edges, 75.0)
+def streets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Streets where events are: each cell with events is a vertex (key = 100 gy + gx) at its corner, and neighbouring ones are joined,
+    unless their events together are a multiple of 5, so that vertices of every degree occur. Written, as graphs are read in many rounds."""
+    cells = written(occupied(spark, sf))
+    other = cells.select(F.col("gx").alias("ux"), F.col("gy").alias("uy"), F.col("n").alias("m"))
+    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((1, 0), (0, 1))))
+    near = cells.select("*", F.explode(steps).alias("s")).join(other, F.expr("ux = gx + s.a and uy = gy + s.b")).where("(n + m) % 5 <> 0")
+    key = lambda x, y: 100 * F.col(y) + F.col(x)
+    edges = near.select((2 * key("gx", "gy") + F.col("s.b")).alias("edge_id"), key("gx", "gy").alias("k1"), key("ux", "uy").alias("k2"), F.lit(150.0).alias("length"))
+    return cells.select(key("gx", "gy").alias("key"), (F.col("gx") * 150.0).alias("x"), (F.col("gy") * 150.0).alias("y")), written(edges)
+
+
+def an_edge(edges: DataFrame) -> tuple[int, int, int]:
+    """(edge_id, k1, k2) of the first street along x from 604 on."""
+    return tuple(edges.where("edge_id >= 604 and edge_id % 2 = 0").orderBy("edge_id").select("edge_id", "k1", "k2").head())
+
+
+def on_streets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vertices and edges of the streets, and all events near one of them (event_id, edge_id, t)."""
+    vertices, edges = streets(spark, sf)
+    return vertices, edges, written(network.network_points(pts(spark, sf), vertices, edges, 75.0))
 
 
 def masked(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,10 +120,10 @@ def queries() -> dict[str, Query]:
     # Grids and geometry.
     q["grid_coord"] = lambda s, d: GRID.with_cells(pts(s, d)).select("event_id", "gx", "gy")
     q["grid_snap_centre"] = lambda s, d: geometry.snap_to_centres(pts(s, d), 250.0, 20.0, 30.0).select("event_id", "x", "y")
-    q["grid_mask_points"] = lambda s, d: geometry.mask_by_points(pts(s, d).where("x < 1500"), GRID)
-    q["grid_mask_polygon"] = lambda s, d: geometry.mask_by_polygon(GRID.cells(s), GRID, POLYGON)
+    q["grid_mask_points"] = lambda s, d: geometry.mask_by_points(pts(s, d), GRID)
+    q["grid_mask_polygon"] = lambda s, d: geometry.mask_by_polygon(occupied(s, d).select("gx", "gy"), GRID, POLYGON)
     q["points_in_polygon"] = lambda s, d: geometry.points_in_polygon(pts(s, d), POLYGON).select("event_id")
-    q["segment_grid_split"] = lambda s, d: rounded(geometry.segment_cells(s.createDataFrame(SEGMENTS, "segment_id long, x1 double, y1 double, x2 double, y2 double"), GRID), "t1", "t2")
+    q["segment_grid_split"] = lambda s, d: rounded(geometry.segment_cells(network.edge_segments(*shifted(*streets(s, d))), GRID), "t1", "t2")
     q["project_point_to_segments"] = lambda s, d: rounded(geometry.project(pts(s, d), s.createDataFrame(SEGMENTS, "segment_id long, x1 double, y1 double, x2 double, y2 double"), 300.0), "t", "distance")
     # Predictors.
     q["naive_count_grid"] = lambda s, d: risks(hotspot.count_grid(train(s, d), GRID))
@@ -126,17 +144,17 @@ def queries() -> dict[str, Query]:
     q["kde_mixture_3d"] = lambda s, d: density(kernels_nd.on_lattice(kernels_nd.mixture(with_days(s, d), ["t", "x", "y"], 15), [(3.0, 6.0, 4), (400.0, 700.0, 5), (300.0, 500.0, 5)]), 15)
     q["kde_mixture_marginal"] = lambda s, d: density(kernels_nd.on_lattice(kernels_nd.marginal(kernels_nd.mixture(with_days(s, d), ["t", "x", "y"], 15), 1), [(0.0, 250.0, 16)]), 12)
     q["kde_reflected_time"] = lambda s, d: density(kernels_nd.on_lattice(kernels_nd.reflected(kernels_nd.mixture(with_days(s, d), ["t"], 100)), [(0.0, 0.5, 40)]), 9)
-    q["prediction_from_kernel"] = lambda s, d: risks(kernels_nd.from_kernel(GRID.cells(s), GRID, waves, 4), 9)
+    q["prediction_from_kernel"] = lambda s, d: risks(kernels_nd.from_kernel(occupied(s, d).select("gx", "gy"), GRID, waves, 4), 9)
     q["prediction_masked"] = lambda s, d: risks(kernels_nd.from_kernel(masked(s, d).where("valid"), GRID, waves, 3), 9)
-    q["grid_mask_area"] = lambda s, d: geometry.cells_by_area(GRID.cells(s), GRID, POLYGON)
-    q["segments_meeting_polygon"] = lambda s, d: geometry.segments_meeting(network.edge_segments(*streets(s)), POLYGON).select("segment_id")
+    q["grid_mask_area"] = lambda s, d: geometry.cells_by_area(occupied(s, d).select("gx", "gy"), GRID, POLYGON)
+    q["segments_meeting_polygon"] = lambda s, d: geometry.segments_meeting(network.edge_segments(*streets(s, d)), POLYGON).select("segment_id")
     q["surface_cropped"] = lambda s, d: geometry.crop_surface(base(s, d), GRID, POLYGON).select("gx", "gy", "risk", "valid")
     # Surfaces.
     q["surface_renormalise"] = lambda s, d: risks(prob(s, d), 9)
     q["surface_percentile"] = lambda s, d: rounded(surface.percentile(base(s, d)), "percentile")
     q["surface_new_extent"] = lambda s, d: risks(surface.new_extent(base(s, d), GRID, GRID.moved(-300.0, 450.0, 30, 22)))
-    q["surface_mask"] = lambda s, d: surface.mask_with(base(s, d), geometry.mask_by_points(pts(s, d).where("x < 900"), GRID)).select("gx", "gy", "risk", "valid")
-    q["surface_zero_to_constant"] = lambda s, d: risks(surface.zero_to_constant(base(s, d).withColumn("risk", F.lit(0.0))))
+    q["surface_mask"] = lambda s, d: surface.mask_with(base(s, d), geometry.mask_by_points(points.between(pts(s, d), TRAIN_END, SCORE_END), GRID)).select("gx", "gy", "risk", "valid")
+    q["surface_zero_to_constant"] = lambda s, d: risks(surface.zero_to_constant(hotspot.count_grid(pts(s, d).where("category = 'error'"), GRID)))
     # Scores.
     q["top_slice"] = lambda s, d: surface.slice_top(base(s, d), 0.1).where("selected").select("gx", "gy", "risk")
     q["hit_counts"] = lambda s, d: evaluate.hit_counts(base(s, d), points.between(pts(s, d), TRAIN_END, SCORE_END), GRID, COVERAGES)
@@ -175,28 +193,28 @@ def queries() -> dict[str, Query]:
     q["sepp_log_likelihood"] = lambda s, d: rounded(sepp_kernels.log_likelihood(SEPP_MODEL, sepp_events(s, d)), "likelihood", places=3)
     q["sepp_grid_predict"] = lambda s, d: risks(sepp_kernels.on_grid(sepp_kernels.point_predict(SEPP_MODEL, sepp_events(s, d), sepp_places(s), SEPP_AT), GRID, 2, masked(s, d).where("valid")).where("valid"), 9)
     # Graphs and networks.
-    q["graph_degree"] = lambda s, d: graph.degrees(streets(s)[1])
-    q["graph_derived"] = lambda s, d: graph.derived_graph(streets(s)[1])
-    q["graph_components"] = lambda s, d: graph.connected_components(streets(s)[1].where("edge_id % 3 <> 1"))
-    q["graph_shortest_paths"] = lambda s, d: graph.shortest_paths(streets(s)[1], 303).select("key", "distance")
-    q["graph_simple_paths"] = lambda s, d: graph.simple_paths(streets(s)[1], 303, 750.0, 5).select(F.concat_ws(",", F.transform("path", lambda k: k.cast("string"))).alias("path"), "length")
-    q["graph_walk_degrees"] = lambda s, d: graph.walks_with_degrees(streets(s)[1], 303, 302, 600.0, 50.0)
-    q["graph_segments"] = lambda s, d: graph.segments(streets(s)[1])
-    q["graph_split_edges"] = lambda s, d: graph.split_edges(*streets(s), 60.0)
-    q["network_project"] = lambda s, d: rounded(street_events(s, d), "t")
-    q["network_hotspot"] = lambda s, d: rounded(network.network_hotspot(street_events(s, d), streets(s)[1], 320.0), "risk")
-    q["network_approx"] = lambda s, d: rounded(network.network_hotspot_shortest(street_events(s, d), streets(s)[1], 320.0), "risk")
-    q["network_hit_counts"] = lambda s, d: rounded(network.hit_counts_by_coverage(street_events(s, d), edge_counts(s, d), streets(s)[1], [10, 20, 50]), "rate")
-    q["grid_coverage_to_graph"] = lambda s, d: network.covered_edges(surface.slice_top(base(s, d), 0.1).where("selected"), GRID, shifted(s), streets(s)[1], 0.5)
-    q["graph_reduced"] = lambda s, d: graph.reduce_chains(streets(s)[1]).select("k1", "k2", "length")
+    q["graph_degree"] = lambda s, d: graph.degrees(streets(s, d)[1])
+    q["graph_derived"] = lambda s, d: graph.derived_graph(streets(s, d)[1])
+    q["graph_components"] = lambda s, d: graph.connected_components(streets(s, d)[1].where("edge_id % 3 <> 1"))
+    q["graph_shortest_paths"] = lambda s, d: from_an_edge(s, d, lambda e, _, a, b: graph.shortest_paths(e, b).select("key", "distance"))
+    q["graph_simple_paths"] = lambda s, d: from_an_edge(s, d, lambda e, _, a, b: graph.simple_paths(e, b, 750.0, 5).select(F.concat_ws(",", F.transform("path", lambda k: k.cast("string"))).alias("path"), "length"))
+    q["graph_walk_degrees"] = lambda s, d: from_an_edge(s, d, lambda e, _, a, b: graph.walks_with_degrees(e, b, a, 600.0, 50.0))
+    q["graph_segments"] = lambda s, d: graph.segments(streets(s, d)[1])
+    q["graph_split_edges"] = lambda s, d: graph.split_edges(*streets(s, d), 60.0)
+    q["network_project"] = lambda s, d: rounded(on_streets(s, d)[2], "t")
+    q["network_hotspot"] = lambda s, d: rounded((lambda v, e, p: network.network_hotspot(p, e, 320.0))(*on_streets(s, d)), "risk")
+    q["network_approx"] = lambda s, d: rounded((lambda v, e, p: network.network_hotspot_shortest(p, e, 320.0))(*on_streets(s, d)), "risk")
+    q["network_hit_counts"] = lambda s, d: rounded((lambda v, e, p: network.hit_counts_by_coverage(p, edge_counts(e, p), e, [10, 20, 50]))(*on_streets(s, d)), "rate")
+    q["grid_coverage_to_graph"] = lambda s, d: network.covered_edges(surface.slice_top(base(s, d), 0.1).where("selected"), GRID, *shifted(*streets(s, d)), 0.5)
+    q["graph_reduced"] = lambda s, d: graph.reduce_chains(streets(s, d)[1]).select("k1", "k2", "length")
     q["sepp_histogram_fit"] = lambda s, d: sepp.histogram_fit(pts(s, d), GRID, [0.0, 0.5, 1.0, 2.0], [0.0, 50.0, 100.0], 30.0, 2)[2]
-    q["network_coverage"] = lambda s, d: network.coverage(edge_counts(s, d), streets(s)[1], 0.2)
-    q["network_hit_rate"] = lambda s, d: rounded(network.network_hit_rate(street_events(s, d), network.coverage(edge_counts(s, d), streets(s)[1], 0.2)), "rate")
-    q["grid_risk_to_graph"] = lambda s, d: network.grid_risk_to_edges(base(s, d), GRID, shifted(s), streets(s)[1])
-    q["graph_edge_paths"] = lambda s, d: graph.shortest_edge_paths(streets(s)[1], 604, 0.25).select("key", "distance")
-    q["graph_edge_distances"] = lambda s, d: graph.edge_distances(streets(s)[1], 604)
-    q["network_places"] = lambda s, d: rounded(graph.edge_places(*streets(s), street_events(s, d)), "t", "x", "y").select("event_id", "x", "y")
-    q["grid_risk_subdivided"] = lambda s, d: rounded(network.grid_risk_subdivided(base(s, d), GRID, shifted(s), streets(s)[1]), "x1", "y1", "x2", "y2", "length")
+    q["network_coverage"] = lambda s, d: (lambda v, e, p: network.coverage(edge_counts(e, p), e, 0.2))(*on_streets(s, d))
+    q["network_hit_rate"] = lambda s, d: rounded((lambda v, e, p: network.network_hit_rate(p, network.coverage(edge_counts(e, p), e, 0.2)))(*on_streets(s, d)), "rate")
+    q["grid_risk_to_graph"] = lambda s, d: network.grid_risk_to_edges(base(s, d), GRID, *shifted(*streets(s, d)))
+    q["graph_edge_paths"] = lambda s, d: from_an_edge(s, d, lambda e, k, *_: graph.shortest_edge_paths(e, k, 0.25).select("key", "distance"))
+    q["graph_edge_distances"] = lambda s, d: from_an_edge(s, d, lambda e, k, *_: graph.edge_distances(e, k))
+    q["network_places"] = lambda s, d: rounded(graph.edge_places(*on_streets(s, d)), "t", "x", "y").select("event_id", "x", "y")
+    q["grid_risk_subdivided"] = lambda s, d: rounded(network.grid_risk_subdivided(base(s, d), GRID, *shifted(*streets(s, d))), "x1", "y1", "x2", "y2", "length")
     # Back-tests.
     q["backtest_rates"] = lambda s, d: bt.wide(rounded(bt.backtest(pts(s, d), GRID, ["naive"], bt.periods("2024-01-15", SCORE_END, 7), EVERY_COVERAGE), "rate"), "rate", EVERY_COVERAGE).drop("total")
     q["backtest_pivot"] = lambda s, d: bt.wide(q["hotspot_backtest"](s, d).withColumn("predictor", F.lit("naive")), "hits", COVERAGES)
@@ -204,14 +222,20 @@ def queries() -> dict[str, Query]:
     return q
 
 
-def shifted(spark: SparkSession) -> DataFrame:
-    """The street vertices moved off the grid's lines."""
-    return points.translate(streets(spark)[0], 40.0, 55.0)
+def shifted(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The streets with their vertices moved off the grid's lines."""
+    return points.translate(vertices, 40.0, 55.0), edges
+
+
+def edge_counts(edges: DataFrame, events: DataFrame) -> DataFrame:
+    counts = events.groupBy("edge_id").agg(F.count("*").cast("double").alias("risk"))
+    return edges.select("edge_id").join(counts, "edge_id", "left").fillna(0.0, ["risk"])
 
 
-def edge_counts(spark: SparkSession, sf: str) -> DataFrame:
-    counts = street_events(spark, sf).groupBy("edge_id").agg(F.count("*").cast("double").alias("risk"))
-    return streets(spark)[1].select("edge_id").join(counts, "edge_id", "left").fillna(0.0, ["risk"])
+def from_an_edge(spark: SparkSession, sf: str, run: Callable[..., DataFrame]) -> DataFrame:
+    """run(edges, edge_id, k1, k2) with ``an_edge``."""
+    _, edges = streets(spark, sf)
+    return run(edges, *an_edge(edges))
 
 
 SEPP_GRID = GridSpec(1500.0, 1000.0, 0.0, 0.0, 4, 3)

@@ -52,19 +52,22 @@ def kde(weight: str, moments: str) -> str:
 
 SCOTT = "var_samp(x) AS sxx, var_samp(y) AS syy, covar_samp(x, y) AS sxy, pow(count(*), -1 / 6.0::DOUBLE) AS h"
 FIXED = "1.0::DOUBLE AS sxx, 1.0::DOUBLE AS syy, 0.0::DOUBLE AS sxy, {h}::DOUBLE AS h"
-STREETS = """v AS (SELECT 100 * b.range + a.range AS key, a.range * 150.0::DOUBLE AS x, b.range * 150.0::DOUBLE AS y, a.range AS i, b.range AS j FROM range(8) a, range(8) b),
- alle AS (SELECT 2 * key AS edge_id, key AS k1, key + 1 AS k2, 150.0::DOUBLE AS length, i, j FROM v WHERE i < 7
-   UNION ALL SELECT 2 * key + 1, key, key + 100, 150.0::DOUBLE, i, j FROM v WHERE j < 7),
- edges AS (SELECT edge_id, k1, k2, length FROM alle WHERE (7 * i + 3 * j) % 5 <> 0),
+STREETS = f"""{PTS.replace("pts AS", "all_pts AS", 1)},
+ v AS (SELECT 100 * j + i AS key, i * 150.0::DOUBLE AS x, j * 150.0::DOUBLE AS y, i, j, n FROM (SELECT CAST(floor(x / 150) AS BIGINT) AS i, CAST(floor(y / 150) AS BIGINT) AS j, count(*) AS n FROM all_pts GROUP BY ALL)
+   WHERE i BETWEEN 0 AND 32 AND j BETWEEN 0 AND 19),
+ edges AS (SELECT 2 * a.key + (b.j - a.j) AS edge_id, a.key AS k1, b.key AS k2, 150.0::DOUBLE AS length FROM v a JOIN v b ON (b.i = a.i + 1 AND b.j = a.j OR b.i = a.i AND b.j = a.j + 1) AND (a.n + b.n) % 5 <> 0),
  both_ways AS (SELECT edge_id, k1 AS a, k2 AS b, length FROM edges UNION ALL SELECT edge_id, k2, k1, length FROM edges),
- deg AS (SELECT a AS key, count(*) AS degree FROM both_ways GROUP BY a)"""
+ deg AS (SELECT a AS key, count(*) AS degree FROM both_ways GROUP BY a),
+ own AS (SELECT edge_id, k1, k2 FROM edges WHERE edge_id >= 604 AND edge_id % 2 = 0 ORDER BY edge_id LIMIT 1)"""
+#: The cells that hold events, in place of all cells.
+OCCUPIED = f"{PTS}, cells AS (SELECT DISTINCT {CELL}, (floor(x / 150) + 0.5::DOUBLE) * 150 AS mx, (floor(y / 150) + 0.5::DOUBLE) * 150 AS my FROM pts WHERE x >= 0 AND x < 4950 AND y >= 0 AND y < 3000)"
 SEGMENTS = "s(segment_id, x1, y1, x2, y2) AS (VALUES (1, 100.0::DOUBLE, 120.0::DOUBLE, 940.0::DOUBLE, 610.0::DOUBLE), (2, 1000.0, 330.0, 1000.0, 990.0), (3, 2000.0, 1210.0, 1430.0, 1210.0), (4, 505.0, 2405.0, 1210.0, 1705.0))"
 NEAREST = """c AS (SELECT event_id, segment_id, x, y, x1, y1, x2, y2, greatest(0, least(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS t FROM {p}, {s}),
  n AS (SELECT *, pow(x - x1 - t * (x2 - x1), 2) + pow(y - y1 - t * (y2 - y1), 2) AS d2 FROM c),
  k AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(d2, 9), segment_id) AS k FROM n WHERE d2 <= {r} * {r}::DOUBLE)"""
-STREET_EVENTS = f"""{PTS}, {STREETS}, p AS (SELECT * FROM pts WHERE x < 1100 AND y < 1100),
+STREET_EVENTS = f"""{PTS}, {STREETS},
  seg AS (SELECT e.edge_id AS segment_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM edges e JOIN v a ON a.key = e.k1 JOIN v b ON b.key = e.k2),
- {NEAREST.format(p="p", s="seg", r=75)}, ev AS (SELECT event_id, segment_id AS edge_id, t FROM k WHERE k = 1)"""
+ {NEAREST.format(p="pts", s="seg", r=75)}, ev AS (SELECT event_id, segment_id AS edge_id, t FROM k WHERE k = 1)"""
 TRI = "((least({b}, 320.0) - least({a}, 320.0)) * (2 * 320.0 - least({a}, 320.0) - least({b}, 320.0)) / (2 * 320.0 * 320.0))::DOUBLE"
 NET_COVER = """risks AS (SELECT edge_id, length, coalesce(n, 0) AS risk FROM edges LEFT JOIN (SELECT edge_id, count(*) AS n FROM ev GROUP BY edge_id) USING (edge_id)),
  run AS (SELECT edge_id, sum(length) OVER (ORDER BY risk DESC, edge_id) AS upto, sum(length) OVER () AS total FROM risks),
@@ -141,8 +144,8 @@ def side(p: str, q: str, r: str) -> str:
     return f"(({q}x - {p}x) * ({r}y - {p}y) - ({q}y - {p}y) * ({r}x - {p}x))"
 
 
-EDGE_STEPS = """r AS (SELECT k1 AS key, {d1}::DOUBLE AS d, 0 AS steps FROM edges WHERE edge_id = 604 UNION SELECT k2, {d2}::DOUBLE, 0 FROM edges WHERE edge_id = 604
-      UNION SELECT b.b, r.d + 150, steps + 1 FROM r JOIN both_ways b ON r.key = b.a WHERE steps < 40), best AS (SELECT key, min(d) AS distance FROM r GROUP BY key)"""
+EDGE_STEPS = """r AS (SELECT k1 AS key, {d1}::DOUBLE AS d, 0 AS steps FROM own UNION SELECT k2, {d2}::DOUBLE, 0 FROM own
+      UNION SELECT b.b, r.d + 150, steps + 1 FROM r JOIN both_ways b ON r.key = b.a WHERE steps < 150), best AS (SELECT key, min(d) AS distance FROM r GROUP BY key)"""
 
 #: Events in days since the first one, and 2 x 2 places in each cell.
 PAST = f"""{PTS}, {CELLS}, ev AS (SELECT event_id, (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM pts)) / 86400000000.0::DOUBLE AS t, x, y FROM pts),
@@ -202,16 +205,16 @@ ORACLE: dict[str, str] = {
       SELECT i0::INTEGER AS i0, density FROM v WHERE density > 0""",
     "kde_reflected_time": f"""WITH {DAYS}, {bandwidths("t", 100, 0.2)}, v AS (SELECT range AS i0, round(sum((exp(-pow((range / 2.0::DOUBLE - t) / st, 2) / (2 * h2)) + exp(-pow((range / 2.0::DOUBLE + t) / st, 2) / (2 * h2))) / sqrt(2 * pi() * h2) / (n * st)), 9) AS density FROM range(40), m, days JOIN h USING (event_id) GROUP BY ALL)
       SELECT i0::INTEGER AS i0, density FROM v WHERE density > 0""",
-    "prediction_from_kernel": f"WITH {CELLS} {sampled('cells', 4)}",
+    "prediction_from_kernel": f"WITH {OCCUPIED} {sampled('cells', 4)}",
     "prediction_masked": f"WITH {PTS}, {TRAIN}, {CELLS}, {OK_CELLS} {sampled('ok', 3)}",
-    "grid_mask_area": f"WITH {CELLS}, {POLY}, {AREA} SELECT gx, gy FROM area",
+    "grid_mask_area": f"WITH {OCCUPIED}, {POLY}, {AREA} SELECT gx, gy FROM area",
     "surface_cropped": f"WITH {PTS}, {BASE}, {POLY}, {AREA} SELECT base.gx, base.gy, risk, area.gx IS NOT NULL AS valid FROM base LEFT JOIN area USING (gx, gy)",
     "segments_meeting_polygon": f"""WITH {STREETS}, {POLY}, e AS (SELECT edge_id, a.x AS ux, a.y AS uy, b.x AS wx, b.y AS wy FROM edges JOIN v a ON a.key = k1 JOIN v b ON b.key = k2),
       q AS (SELECT x1 AS cx, y1 AS cy, x2 AS dx, y2 AS dy FROM poly), tips AS (SELECT edge_id, ux AS px, uy AS py FROM e UNION SELECT edge_id, wx, wy FROM e)
       SELECT edge_id AS segment_id FROM {INSIDE.format(id="edge_id, px, py", at="tips")} UNION SELECT edge_id FROM e, q WHERE {side("u", "w", "c")} * {side("u", "w", "d")} <= 0 AND {side("c", "d", "u")} * {side("c", "d", "w")} <= 0
         AND greatest(ux, wx) >= least(cx, dx) AND least(ux, wx) <= greatest(cx, dx) AND greatest(uy, wy) >= least(cy, dy) AND least(uy, wy) <= greatest(cy, dy)""",
     "graph_edge_paths": f"WITH RECURSIVE {STREETS}, {EDGE_STEPS.format(d1=37.5, d2=112.5)} SELECT key, distance FROM best",
-    "graph_edge_distances": f"WITH RECURSIVE {STREETS}, {EDGE_STEPS.format(d1=75, d2=75)} SELECT edge_id, CASE WHEN edge_id = 604 THEN 0 ELSE min(distance) + 75 END AS distance FROM both_ways JOIN best ON a = key GROUP BY edge_id",
+    "graph_edge_distances": f"WITH RECURSIVE {STREETS}, {EDGE_STEPS.format(d1=75, d2=75)} SELECT edge_id, CASE WHEN edge_id = (SELECT edge_id FROM own) THEN 0 ELSE min(distance) + 75 END AS distance FROM both_ways JOIN best ON a = key GROUP BY edge_id",
     "network_places": f"WITH {STREET_EVENTS} SELECT event_id, round(x1 * (1 - t) + x2 * t, 6) AS x, round(y1 * (1 - t) + y2 * t, 6) AS y FROM ev JOIN seg ON segment_id = edge_id",
     "grid_risk_subdivided": f"""WITH {PTS}, {BASE}, {STREETS}, {STREET_PARTS} SELECT edge_id, row_number() OVER (PARTITION BY edge_id ORDER BY t1, gx, gy)::INTEGER AS part, round(part.x1 + dx * t1, 6) AS x1, round(part.y1 + dy * t1, 6) AS y1,
       round(part.x1 + dx * t2, 6) AS x2, round(part.y1 + dy * t2, 6) AS y2, round((t2 - t1) * 150, 6) AS length, coalesce(risk, 0) AS risk FROM part LEFT JOIN base USING (gx, gy)""",
@@ -234,7 +237,7 @@ ORACLE: dict[str, str] = {
       z AS (SELECT edge_id, ({TRI.format(a='0.0', b='length * (1 - t)')} + {TRI.format(a='0.0', b='length * t')}) / length AS v FROM st
         UNION ALL SELECT edge_id, s.w / split * {TRI.format(a='s.d', b='(s.d + length)')} / length FROM k3 JOIN w ON w.a = k3.vtx AND w.edge_id <> s.via)
       SELECT edge_id, round(coalesce(sum(v), 0), 6) AS risk FROM edges LEFT JOIN z USING (edge_id) GROUP BY edge_id""",
-    "grid_mask_polygon": f"""WITH {CELLS}, {POLY}, corner AS (SELECT gx, gy, (gx + i.range) * 150.0::DOUBLE AS x, (gy + j.range) * 150.0::DOUBLE AS y FROM cells, range(2) i, range(2) j),
+    "grid_mask_polygon": f"""WITH {OCCUPIED}, {POLY}, corner AS (SELECT gx, gy, (gx + i.range) * 150.0::DOUBLE AS x, (gy + j.range) * 150.0::DOUBLE AS y FROM cells, range(2) i, range(2) j),
       inside AS (SELECT gx, gy FROM corner JOIN poly ON (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY gx, gy, x, y HAVING count(*) % 2 = 1),
       crossed AS (SELECT gx, gy FROM cells, poly WHERE greatest(0, least((gx * 150 - x1) / (x2 - x1), (gx * 150 + 150 - x1) / (x2 - x1)), least((gy * 150 - y1) / (y2 - y1), (gy * 150 + 150 - y1) / (y2 - y1)))
         <= least(1, greatest((gx * 150 - x1) / (x2 - x1), (gx * 150 + 150 - x1) / (x2 - x1)), greatest((gy * 150 - y1) / (y2 - y1), (gy * 150 + 150 - y1) / (y2 - y1))))
@@ -284,14 +287,10 @@ ORACLE: dict[str, str] = {
       SELECT event_id, round(x * (111412.84::DOUBLE * cos(phi) - 93.5::DOUBLE * cos(3 * phi)), 3) AS x, round(y * (111132.92::DOUBLE - 559.82::DOUBLE * cos(2 * phi) + 1.175::DOUBLE * cos(4 * phi)), 3) AS y FROM q, m""",
     "grid_coord": f"WITH {PTS} SELECT event_id, {CELL} FROM pts",
     "grid_snap_centre": f"WITH {PTS} SELECT event_id, (floor((x - 20) / 250) + 0.5::DOUBLE) * 250 + 20 AS x, (floor((y - 30) / 250) + 0.5::DOUBLE) * 250 + 30 AS y FROM pts",
-    "grid_mask_points": f"WITH {PTS}, {CELLS} SELECT DISTINCT gx, gy FROM cells JOIN pts ON x < 1500 AND x >= gx * 150 AND x <= (gx + 1) * 150 AND y >= gy * 150 AND y <= (gy + 1) * 150",
+    "grid_mask_points": f"WITH {PTS}, {CELLS} SELECT DISTINCT gx, gy FROM cells JOIN pts ON x >= gx * 150 AND x <= (gx + 1) * 150 AND y >= gy * 150 AND y <= (gy + 1) * 150",
     "points_in_polygon": f"WITH {PTS}, {POLY} SELECT event_id FROM pts JOIN poly ON (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY event_id HAVING count(*) % 2 = 1",
     "project_point_to_segments": f"WITH {PTS}, {SEGMENTS}, {NEAREST.format(p='pts', s='s', r=300)} SELECT event_id, CAST(segment_id AS BIGINT) AS segment_id, round(t, 6) AS t, round(sqrt(d2), 6) AS distance FROM k WHERE k = 1",
-    "segment_grid_split": f"""WITH {CELLS}, {SEGMENTS}, c AS (SELECT *, x2 - x1 AS dx, y2 - y1 AS dy, gx * 150.0::DOUBLE AS bx, gy * 150.0::DOUBLE AS b2 FROM s, cells),
-      t AS (SELECT segment_id, gx, gy, greatest(0, CASE WHEN dx = 0 THEN 0 ELSE least((bx - x1) / dx, (bx + 150 - x1) / dx) END, CASE WHEN dy = 0 THEN 0 ELSE least((b2 - y1) / dy, (b2 + 150 - y1) / dy) END) AS t1,
-        least(1, CASE WHEN dx = 0 THEN 1 ELSE greatest((bx - x1) / dx, (bx + 150 - x1) / dx) END, CASE WHEN dy = 0 THEN 1 ELSE greatest((b2 - y1) / dy, (b2 + 150 - y1) / dy) END) AS t2
-        FROM c WHERE (dx <> 0 OR (x1 >= bx AND x1 < bx + 150)) AND (dy <> 0 OR (y1 >= b2 AND y1 < b2 + 150)))
-      SELECT CAST(segment_id AS BIGINT) AS segment_id, gx, gy, round(t1, 6) AS t1, round(t2, 6) AS t2 FROM t WHERE t1 < t2""",
+    "segment_grid_split": f"WITH {CELLS}, {STREETS}, {STREET_PARTS} SELECT edge_id AS segment_id, gx, gy, round(t1, 6) AS t1, round(t2, 6) AS t2 FROM part",
     "naive_count_grid": f"WITH {PTS}, {TRAIN}, {CELLS}, {COUNTS} SELECT gx, gy, coalesce(n, 0)::DOUBLE AS risk FROM cells LEFT JOIN counts USING (gx, gy)",
     "retro_grid_quartic": weighed(f"pow(1 - {D2} / 40000, 2)", f"{D2} <= 40000"),
     "retro_grid_gauss": weighed(f"exp(-{D2} / 90000 * 9 / 2)", f"{D2} <= 90000"),
@@ -314,9 +313,10 @@ ORACLE: dict[str, str] = {
     "surface_renormalise": f"WITH {PTS}, {BASE}, {PROB} SELECT gx, gy, round(risk, 9) AS risk FROM prob",
     "surface_percentile": f"WITH {PTS}, {BASE} SELECT gx, gy, round(cume_dist() OVER (ORDER BY risk), 6) AS percentile FROM base",
     "surface_new_extent": f"WITH {PTS}, {BASE} SELECT a.range AS gx, b.range AS gy, coalesce(risk, 0) AS risk FROM range(30) a CROSS JOIN range(22) b LEFT JOIN base ON base.gx = a.range - 2 AND base.gy = b.range + 3",
-    "surface_mask": f"""WITH {PTS}, {BASE}, m AS (SELECT DISTINCT gx, gy FROM cells JOIN pts ON x < 900 AND x >= gx * 150 AND x <= (gx + 1) * 150 AND y >= gy * 150 AND y <= (gy + 1) * 150)
+    "surface_mask": f"""WITH {PTS}, {BASE}, m AS (SELECT DISTINCT gx, gy FROM cells JOIN nxt ON x >= gx * 150 AND x <= (gx + 1) * 150 AND y >= gy * 150 AND y <= (gy + 1) * 150)
       SELECT gx, gy, risk, m.gx IS NOT NULL AS valid FROM base LEFT JOIN m USING (gx, gy)""",
-    "surface_zero_to_constant": f"WITH {CELLS} SELECT gx, gy, 1.0::DOUBLE AS risk FROM cells",
+    "surface_zero_to_constant": f"""WITH {PTS}, {CELLS}, n AS (SELECT {CELL}, count(*) AS n FROM pts WHERE category = 'error' GROUP BY ALL), r AS (SELECT gx, gy, coalesce(n, 0)::DOUBLE AS risk FROM cells LEFT JOIN n USING (gx, gy))
+      SELECT gx, gy, CASE WHEN sum(risk) OVER () > 0 THEN risk ELSE 1 END AS risk FROM r""",
     "top_slice": f"WITH {PTS}, {BASE} SELECT gx, gy, risk FROM base QUALIFY row_number() OVER (ORDER BY risk DESC, gy DESC, gx DESC) <= 66",
     "hit_counts": f"""WITH {PTS}, {BASE}, h AS (SELECT {CELL}, count(*) AS count FROM nxt GROUP BY ALL),
       k AS (SELECT coalesce(count, 0) AS count, row_number() OVER (ORDER BY risk DESC, gy DESC, gx DESC) AS rank FROM base LEFT JOIN h USING (gx, gy))
@@ -360,13 +360,13 @@ ORACLE: dict[str, str] = {
     "graph_derived": f"WITH {STREETS} SELECT DISTINCT s.edge_id AS e1, t.edge_id AS e2, (s.length + t.length) / 2 AS length FROM both_ways s JOIN both_ways t ON s.a = t.a AND s.edge_id < t.edge_id",
     "graph_components": f"""WITH RECURSIVE {STREETS}, b AS (SELECT a, b FROM both_ways WHERE edge_id % 3 <> 1), r AS (SELECT DISTINCT a AS key, a AS c FROM b UNION SELECT b.b, r.c FROM r JOIN b ON r.key = b.a)
       SELECT key, min(c) AS component FROM r GROUP BY key""",
-    "graph_shortest_paths": f"""WITH RECURSIVE {STREETS}, r AS (SELECT 303::BIGINT AS key, 0 AS steps UNION SELECT b.b, r.steps + 1 FROM r JOIN both_ways b ON r.key = b.a WHERE steps < 64),
+    "graph_shortest_paths": f"""WITH RECURSIVE {STREETS}, r AS (SELECT k2 AS key, 0 AS steps FROM own UNION SELECT b.b, r.steps + 1 FROM r JOIN both_ways b ON r.key = b.a WHERE steps < 150),
       m AS (SELECT key, min(steps) * 150.0::DOUBLE AS d FROM r GROUP BY key) SELECT deg.key, coalesce(d, -1) AS distance FROM deg LEFT JOIN m USING (key)""",
-    "graph_simple_paths": f"""WITH RECURSIVE {STREETS}, r AS (SELECT [303::BIGINT] AS path, 303::BIGINT AS at, 0.0::DOUBLE AS length UNION ALL
+    "graph_simple_paths": f"""WITH RECURSIVE {STREETS}, r AS (SELECT [k2] AS path, k2 AS at, 0.0::DOUBLE AS length FROM own UNION ALL
       SELECT list_append(path, b.b), b.b, r.length + b.length FROM r JOIN both_ways b ON r.at = b.a WHERE NOT list_contains(path, b.b) AND r.length + b.length <= 750 AND len(path) <= 5)
       SELECT array_to_string(path, ',') AS path, length FROM r""",
     "graph_walk_degrees": f"""WITH RECURSIVE {STREETS}, w AS (SELECT b.*, greatest(degree - 1, 1)::DOUBLE AS split FROM both_ways b JOIN deg ON deg.key = b.a),
-      r AS (SELECT 302::BIGINT AS k1, 303::BIGINT AS k2, [302::BIGINT, 303] AS path, 0.0::DOUBLE AS enter, 0.0::DOUBLE AS leave, 1.0::DOUBLE AS degree UNION ALL
+      r AS (SELECT k1, k2, [k1, k2] AS path, 0.0::DOUBLE AS enter, 0.0::DOUBLE AS leave, 1.0::DOUBLE AS degree FROM own UNION ALL
       SELECT w.a, w.b, list_append(path, w.b), r.leave, r.leave + w.length, r.degree * split FROM r JOIN w ON r.k2 = w.a WHERE NOT list_contains(path, w.b) AND r.degree * split <= 50 AND r.leave < 600)
       SELECT k1, k2, enter AS length, degree FROM r WHERE len(path) > 2""",
     "graph_split_edges": f"""WITH {STREETS} SELECT edge_id, range::INTEGER AS part, a.x + (b.x - a.x) * range / 3 AS x1, a.y + (b.y - a.y) * range / 3 AS y1, a.x + (b.x - a.x) * (range + 1) / 3 AS x2, a.y + (b.y - a.y) * (range + 1) / 3 AS y2, length / 3 AS length
