@@ -22,6 +22,7 @@ import base64
 import json
 import os
 from collections import deque
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -63,6 +64,7 @@ class Encoder:
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
+@cache
 def load_tokenizer(path: str) -> tuple[Encoder, np.ndarray]:
     """The encoder, and for each id whether a sentence can end with it.
 

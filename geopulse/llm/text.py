@@ -7,9 +7,11 @@ the six characters x20 and x09-x0D, so its parts are the words ``[^\\x20\\x09-\\
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 from uuid import uuid4
 
 import numpy as np
@@ -81,6 +83,13 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Return what is freed to the machine: a Python worker serves many tasks one after the other, and what it holds counts beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Rows], schema: str, flush: int = 4096) -> DataFrame:
     """``mapInArrow`` for a generator over row tuples: fn(rows) yields output tuples."""
     bounded_batches(df.sparkSession)
@@ -101,6 +110,8 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Rows], schema: str,
                 out, size = [], 0
         if out:
             yield pack(out, names, types)
+        out = []
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -112,7 +123,9 @@ def struct_udf(spark: SparkSession, fn: Callable, schema: str) -> Callable:
 
     def run(texts: pa.Array) -> pa.Array:
         columns = zip(*map(fn, texts.to_pylist()), strict=True) if len(texts) else [[] for _ in names]
-        return pa.StructArray.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
+        found = pa.StructArray.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
+        give_back()
+        return found
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, schema)
