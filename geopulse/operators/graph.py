@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from geopulse.functions.tables import written
+from geopulse.functions.tables import forget, running, written
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -134,6 +134,36 @@ def segments(edges: DataFrame) -> DataFrame:
     return edges.select("edge_id").join(linked, edges.edge_id == linked.key, "left").select("edge_id", F.coalesce("component", "edge_id").alias("segment"))
 
 
+def ordered_segments(edges: DataFrame) -> DataFrame:
+    """(edge_id, segment, place, k_from, k_to): each edge's place in its chain, from 0 on, and the direction in which the chain runs through it.
+
+    A chain runs from the lesser of its ends; one that ends where it began (a cycle begins at its least vertex), from the end with the lesser edge.
+    Places are found by pointer doubling: each directed edge knows how far back it has looked, and how far that one has in turn, so a
+    chain of n edges takes log2(n) rounds.
+    """
+    both = both_ways(edges).select("edge_id", "a", "b")
+    named = written(both.join(segments(edges), "edge_id"))
+    inner = degrees(edges).where("degree = 2").select(F.col("key").alias("a"))
+    # A cycle has no end: its least vertex becomes one.
+    closed = named.join(inner.withColumn("two", F.lit(1)), "a", "left").groupBy("segment").agg(F.min("a").alias("a"), F.count_if(F.col("two").isNull()).alias("ends")).where("ends = 0")
+    inner = inner.join(closed.select("a"), "a", "left_anti")
+    arc = F.struct("edge_id", "a")
+    back = named.select(F.col("b").alias("a"), F.col("edge_id").alias("before"), F.col("a").alias("before_a")).join(inner, "a")
+    start = named.join(back, "a", "left").where("before is null or before <> edge_id")
+    at = written(start.select(arc.alias("arc"), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("edge_id"), F.col("before_a").alias("a"))).alias("jump"), F.when(F.col("before").isNotNull(), 1).otherwise(0).alias("place"), arc.alias("first")))
+    while not at.where("jump is not null").isEmpty():
+        far = at.select(F.col("arc").alias("jump"), F.col("jump").alias("next"), F.col("place").alias("more"), F.col("first").alias("its_first"))
+        step = at.join(far, "jump", "left")
+        moved = F.col("jump").isNotNull()
+        # Where the one looked at has come to the chain's begin, so has this one.
+        new = step.select("arc", F.when(moved, F.col("next")).alias("jump"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"), F.when(moved, F.col("its_first")).otherwise(F.col("first")).alias("first"))
+        before, at = at, written(new)
+        forget(before)
+    ranked = named.select(arc.alias("arc"), "edge_id", "a", "b", "segment").join(at, "arc")
+    best = F.min(F.struct("first.a", "first.edge_id", "place", F.col("a").alias("k_from"), F.col("b").alias("k_to"))).alias("m")
+    return ranked.groupBy("edge_id", "segment").agg(best).select("edge_id", "segment", "m.place", "m.k_from", "m.k_to")
+
+
 def split_edges(vertices: DataFrame, edges: DataFrame, most: float) -> DataFrame:
     """(edge_id, part, x1, y1, x2, y2, length): each edge in equal parts of at most ``most``."""
     a, b = (vertices.select(F.col("key").alias(k), F.col("x").alias(f"x{k[1]}"), F.col("y").alias(f"y{k[1]}")) for k in ("k1", "k2"))
@@ -145,22 +175,40 @@ def split_edges(vertices: DataFrame, edges: DataFrame, most: float) -> DataFrame
 
 
 def merge_nodes(nodes: DataFrame, tolerance: float) -> DataFrame:
-    """(node_id, key): nodes within the tolerance of each other, or of nodes between them, share their least node as key."""
+    """(node_id, key): going through the nodes by id, each that is still free becomes a key and takes the free nodes within the tolerance.
+
+    So keys are the first maximal set of nodes in order that are farther apart, and a node belongs to its first key. In a round, every free node that
+    comes before all free nodes near it becomes a key at once, and those near it are taken; as many rounds are needed as choices depend on one another.
+    """
     from geopulse.operators.knox import close_pairs
 
-    near = close_pairs(nodes.select(F.col("node_id").alias("event_id"), "x", "y", F.lit(None).cast("timestamp_ntz").alias("ts")), tolerance)
-    linked = connected_components(near.select(F.xxhash64("i", "j").alias("edge_id"), F.col("i").alias("k1"), F.col("j").alias("k2"), F.lit(0.0).alias("length")))
-    return nodes.select("node_id").join(linked, nodes.node_id == linked.key, "left").select("node_id", F.coalesce("component", "node_id").alias("key"))
+    near = close_pairs(nodes.select(F.col("node_id").alias("event_id"), "x", "y", F.lit(None).cast("timestamp_ntz").alias("ts")), tolerance).select("i", "j")
+    pairs = written(near.select(F.col("i").alias("u"), F.col("j").alias("v")).unionAll(near.select(F.col("j").alias("u"), F.col("i").alias("v"))))
+    free, keys = pairs, None
+    while not free.isEmpty():
+        new = written(free.groupBy("u").agg(F.min("v").alias("least")).where("u < least").select("u"))
+        keys = new if keys is None else keys.unionAll(new)
+        gone = new.unionAll(free.join(new, "u").select(F.col("v").alias("u"))).distinct()
+        rest = free.join(gone, "u", "left_anti").join(gone.select(F.col("u").alias("v")), "v", "left_anti").select("u", "v")
+        left, free = free, written(rest)
+        if left is not pairs:
+            forget(left)
+    if keys is None:
+        return nodes.select("node_id", F.col("node_id").alias("key"))
+    # Nodes without a key near them are keys themselves.
+    taken = pairs.join(keys.select(F.col("u").alias("v")), "v").groupBy("u").agg(F.min("v").alias("key")).join(keys, "u", "left_anti")
+    return nodes.select("node_id").join(taken, nodes.node_id == taken.u, "left").select("node_id", F.coalesce("key", "node_id").alias("key"))
 
 
 def from_lines(lines: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame]:
-    """Vertices and edges of polylines (line_id, seq, x, y): places within the tolerance are one vertex (``merge_nodes``), which
-    stands at its least line's place; loops and repeated edges are dropped."""
-    nodes = written(lines.select("line_id", "seq", "x", "y", F.xxhash64("line_id", "seq").alias("node_id")))
-    places = nodes.groupBy("x", "y").agg(F.min("node_id").alias("node_id"))  # equal places need no search
-    keys = written(places.join(merge_nodes(places, tolerance), "node_id").select("x", "y", "key"))
-    keyed = nodes.join(keys, ["x", "y"])
-    vertices = keyed.groupBy("key").agg(F.min(F.struct("line_id", "seq", "x", "y")).alias("m")).select("key", "m.x", "m.y")
+    """Vertices and edges of polylines (line_id, seq, x, y): places within the tolerance are one vertex (``merge_nodes`` in the order in which they
+    are first seen), which stands at its first place; loops and repeated edges are dropped."""
+    nodes = written(lines.select("line_id", "seq", "x", "y"))
+    places = nodes.groupBy("x", "y").agg(F.min(F.struct("line_id", "seq")).alias("seen"))  # equal places need no search
+    places = written(running(places.select("x", "y", "seen"), ["seen"], "node_id").select("x", "y", "node_id"))
+    keys = written(places.join(merge_nodes(places, tolerance), "node_id").select("x", "y", "node_id", "key"))
+    vertices = keys.where("node_id = key").select("key", "x", "y")
+    keyed = nodes.join(keys.select("x", "y", "key"), ["x", "y"])
     nxt = F.lead("key").over(W.partitionBy("line_id").orderBy("seq"))
     steps = keyed.select("key", nxt.alias("next")).where("next is not null and key <> next")
     ends = steps.select(F.least("key", "next").alias("k1"), F.greatest("key", "next").alias("k2")).distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from geopulse.functions.grid import GridSpec
 from geopulse.functions.kernels import triangle_integral
-from geopulse.functions.tables import running, written
+from geopulse.functions.tables import running, scratch, written
 from geopulse.operators import geometry
 from geopulse.operators.graph import both_ways, degrees
 
@@ -51,6 +51,55 @@ def network_hotspot(events: DataFrame, edges: DataFrame, bandwidth: float, weigh
     return edges.select("edge_id").join(parts.groupBy("edge_id").agg(F.sum("risk").alias("risk")), "edge_id", "left").fillna(0.0, ["risk"])
 
 
+def path_index(edges: DataFrame, length: float) -> DataFrame:
+    """(edge_id, at_end, to_edge, d, w): every edge that simple paths from either end of an edge (at_end: k2) enter within the length, at the distance d
+    from that end, with the sum w of the shares that come there. It serves all bandwidths up to the length (``network_hotspot_indexed``)."""
+    both = edges.select("edge_id", F.lit(True).alias("at_end"), F.array("k1", "k2").alias("path"), F.col("k2").alias("at")).unionAll(edges.select("edge_id", F.lit(False), F.array("k2", "k1"), F.col("k1")))
+    at = both.select("*", F.lit(0.0).alias("d"), F.lit(1.0).alias("w"))
+    ways = both_ways(edges).withColumnRenamed("edge_id", "to_edge").join(degrees(edges).select(F.col("key").alias("a"), F.greatest(F.col("degree") - 1, F.lit(1)).alias("split")), "a")
+    out = None
+    while True:
+        grown = at.join(ways, at.at == ways.a).where(~F.array_contains("path", F.col("b"))).withColumn("w", F.col("w") / F.col("split"))
+        grown = written(grown.select("edge_id", "at_end", "to_edge", F.concat("path", F.array("b")).alias("path"), F.col("b").alias("at"), "d", "w", "length"))
+        rows = grown.select("edge_id", "at_end", "to_edge", "d", "w")
+        out = rows if out is None else out.unionAll(rows)
+        if grown.isEmpty():
+            return out.groupBy("edge_id", "at_end", "to_edge", "d").agg(F.sum("w").alias("w"))
+        at = grown.withColumn("d", F.col("d") + F.col("length")).where(F.col("d") < length).select("edge_id", "at_end", "path", "at", "d", "w")
+
+
+def graph_version(edges: DataFrame) -> str:
+    """A name for the edges' content, whatever their order."""
+    h = edges.agg(F.sum(F.xxhash64("edge_id", "k1", "k2", "length").cast("decimal(38,0)")).alias("h"), F.count("*").alias("n")).head()
+    return f"{h.n}-{h.h or 0}"
+
+
+def saved_path_index(edges: DataFrame, length: float, folder: str) -> DataFrame:
+    """``path_index`` from the folder, where it is made once for each version of the graph and length."""
+    spark = edges.sparkSession
+    path = f"{folder}/{graph_version(edges)}-{length!r}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        with scratch():
+            path_index(edges, length).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def network_hotspot_indexed(events: DataFrame, edges: DataFrame, index: DataFrame, bandwidth: float) -> DataFrame:
+    """``network_hotspot`` by one join with a path index at least as long as the bandwidth."""
+    start = events.join(edges, "edge_id")
+    there, back = F.col("length") * (1 - F.col("t")), F.col("length") * F.col("t")
+    own = start.select("edge_id", ((triangle_integral(F.lit(0.0), there, bandwidth) + triangle_integral(F.lit(0.0), back, bandwidth)) / F.col("length")).alias("risk"))
+    tips = start.select("edge_id", F.lit(True).alias("at_end"), there.alias("own")).unionAll(start.select("edge_id", F.lit(False), back))
+    # Events at one place weigh together.
+    tips = tips.where(F.col("own") < bandwidth).groupBy("edge_id", "at_end", "own").agg(F.count("*").alias("n"))
+    reached = tips.join(index, ["edge_id", "at_end"]).withColumn("d", F.col("own") + F.col("d")).where(F.col("d") < bandwidth)
+    reached = reached.join(edges.select(F.col("edge_id").alias("to_edge"), "length"), "to_edge")
+    v = F.col("n") * F.col("w") * triangle_integral(F.col("d"), F.col("d") + F.col("length"), bandwidth) / F.col("length")
+    parts = own.unionAll(reached.select("to_edge", v))
+    return edges.select("edge_id").join(parts.groupBy("edge_id").agg(F.sum("risk").alias("risk")), "edge_id", "left").fillna(0.0, ["risk"])
+
+
 def ranked_lengths(risks: DataFrame, edges: DataFrame) -> DataFrame:
     """(edge_id, length, upto, all): the length of the edges up to each, by falling risk and id, and of all."""
     joined = risks.select("edge_id", "risk").join(edges.select("edge_id", "length"), "edge_id")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from geopulse.functions.grid import GridSpec
 from geopulse.functions.tables import written
@@ -176,6 +177,9 @@ def queries() -> dict[str, Query]:
     q["knox_pvalue"] = lambda s, d: knox.knox_pvalues(pts(s, d), SPACE_BINS, TIME_BINS, 19).drop("distribution")
     q["scan_best_per_centre"] = lambda s, d: rounded(scan.best_per_centre(scan.scan_candidates(pts(s, d), 300.0, 3.0)), "d2", "statistic").select("centre", "d2", "statistic", "space_count", "actual")
     q["scan_clusters"] = lambda s, d: scan.clusters(scan.scan_candidates(pts(s, d), 300.0, 3.0), pts(s, d))
+    q["scan_maximal"] = lambda s, d: rounded(scan.maximal(small_clusters(s, d), scan.with_age(pts(s, d), None, DAY)), "radius", "statistic").select("rank", "centre", "radius", "statistic")
+    q["scan_surface"] = lambda s, d: risks(scan.scan_surface(small_clusters(s, d), GRID.cells(s), GRID), 9)
+    q["scan_continuous"] = lambda s, d: rounded(scan.continuous_risk(small_clusters(s, d), pts(s, d).select(F.col("event_id").alias("place_id"), "x", "y")), "risk").select("place_id", "risk")
     # Self-exciting processes.
     q["seppexp_p_matrix"] = lambda s, d: p_columns(sepp_p(s, d))
     q["seppexp_em_1"] = sepp_em
@@ -200,6 +204,9 @@ def queries() -> dict[str, Query]:
     q["graph_simple_paths"] = lambda s, d: from_an_edge(s, d, lambda e, _, a, b: graph.simple_paths(e, b, 750.0, 5).select(F.concat_ws(",", F.transform("path", lambda k: k.cast("string"))).alias("path"), "length"))
     q["graph_walk_degrees"] = lambda s, d: from_an_edge(s, d, lambda e, _, a, b: graph.walks_with_degrees(e, b, a, 600.0, 50.0))
     q["graph_segments"] = lambda s, d: graph.segments(streets(s, d)[1])
+    q["graph_ordered_segments"] = lambda s, d: graph.ordered_segments(streets(s, d)[1])
+    q["graph_from_lines"] = from_lines
+    q["network_hotspot_indexed"] = lambda s, d: rounded((lambda v, e, p: network.network_hotspot_indexed(p, e, network.path_index(e, 400.0), 320.0))(*on_streets(s, d)), "risk")
     q["graph_split_edges"] = lambda s, d: graph.split_edges(*streets(s, d), 60.0)
     q["network_project"] = lambda s, d: rounded(on_streets(s, d)[2], "t")
     q["network_hotspot"] = lambda s, d: rounded((lambda v, e, p: network.network_hotspot(p, e, 320.0))(*on_streets(s, d)), "risk")
@@ -222,6 +229,19 @@ def queries() -> dict[str, Query]:
     return q
 
 
+def small_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters within 60 m and two days of the last event."""
+    return written(scan.clusters(scan.scan_candidates(pts(spark, sf), 60.0, 2.0), pts(spark, sf)))
+
+
+def from_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The vertices of each user's way through their events, where places of up to 40 m are one vertex."""
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    ways = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "ts").join(pts(spark, sf).select("event_id", "x", "y"), "event_id")
+    lines = ways.select(F.col("user_id").alias("line_id"), F.row_number().over(w).alias("seq"), "x", "y")
+    return graph.from_lines(lines, 40.0)[0].select("x", "y")
+
+
 def shifted(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The streets with their vertices moved off the grid's lines."""
     return points.translate(vertices, 40.0, 55.0), edges

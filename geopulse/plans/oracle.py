@@ -369,6 +369,12 @@ ORACLE: dict[str, str] = {
       r AS (SELECT k1, k2, [k1, k2] AS path, 0.0::DOUBLE AS enter, 0.0::DOUBLE AS leave, 1.0::DOUBLE AS degree FROM own UNION ALL
       SELECT w.a, w.b, list_append(path, w.b), r.leave, r.leave + w.length, r.degree * split FROM r JOIN w ON r.k2 = w.a WHERE NOT list_contains(path, w.b) AND r.degree * split <= 50 AND r.leave < 600)
       SELECT k1, k2, enter AS length, degree FROM r WHERE len(path) > 2""",
+    "graph_ordered_segments": f"""WITH RECURSIVE {STREETS}, two AS (SELECT s.edge_id AS e, t.edge_id AS f FROM both_ways s JOIN both_ways t ON s.a = t.a AND s.edge_id <> t.edge_id JOIN deg ON deg.key = s.a AND degree = 2),
+      r AS (SELECT edge_id, edge_id AS c FROM edges UNION SELECT f, c FROM r JOIN two ON r.edge_id = two.e), seg AS (SELECT edge_id, min(c) AS segment FROM r GROUP BY edge_id),
+      ends AS (SELECT key FROM deg WHERE degree <> 2 UNION SELECT min(a) FROM both_ways JOIN seg USING (edge_id) JOIN deg ON key = a GROUP BY segment HAVING count(*) FILTER (degree <> 2) = 0),
+      walk AS (SELECT edge_id, a, b, a AS s, edge_id AS f, 0 AS place FROM both_ways JOIN ends ON key = a
+        UNION ALL SELECT n.edge_id, n.a, n.b, w.s, w.f, w.place + 1 FROM walk w JOIN both_ways n ON n.a = w.b AND n.edge_id <> w.edge_id WHERE w.b NOT IN (SELECT key FROM ends))
+      SELECT edge_id, segment, place, a AS k_from, b AS k_to FROM walk JOIN seg USING (edge_id) QUALIFY row_number() OVER (PARTITION BY edge_id ORDER BY s, f, place, a) = 1""",
     "graph_split_edges": f"""WITH {STREETS} SELECT edge_id, range::INTEGER AS part, a.x + (b.x - a.x) * range / 3 AS x1, a.y + (b.y - a.y) * range / 3 AS y1, a.x + (b.x - a.x) * (range + 1) / 3 AS x2, a.y + (b.y - a.y) * (range + 1) / 3 AS y2, length / 3 AS length
       FROM edges e JOIN v a ON a.key = k1 JOIN v b ON b.key = k2, range(3)""",
     "graph_segments": f"""WITH RECURSIVE {STREETS}, two AS (SELECT s.edge_id AS e, t.edge_id AS f FROM both_ways s JOIN both_ways t ON s.a = t.a AND s.edge_id <> t.edge_id JOIN deg ON deg.key = s.a AND degree = 2),
@@ -386,3 +392,4 @@ ORACLE: dict[str, str] = {
         round(coalesce(sum(n) FILTER (upto <= total * (coverage / 100.0::DOUBLE)), 0) * 100 / (SELECT count(*) FROM ev), 6) AS rate FROM z, (SELECT unnest([10, 20, 50])::INTEGER AS coverage) GROUP BY coverage""",
     "network_hit_rate": f"WITH {STREET_EVENTS}, {NET_COVER} SELECT count(cover.edge_id) AS hits, count(*) AS total, round(count(cover.edge_id) / count(*), 6) AS rate FROM ev LEFT JOIN cover USING (edge_id)",
 }
+ORACLE["network_hotspot_indexed"] = ORACLE["network_hotspot"]
