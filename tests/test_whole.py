@@ -61,8 +61,10 @@ def test_scan_against_brute_force(spark, monkeypatch, block):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
-def test_clusters_take_all_discs(spark):
+@pytest.mark.parametrize("settled", [0, 40, 1 << 16])
+def test_clusters_take_all_discs(spark, monkeypatch, settled):
     """Against the greedy choice over all candidates."""
+    monkeypatch.setattr(scan, "SETTLED", settled)
     rng = np.random.default_rng(11)
     at = np.concatenate([rng.normal((a, b), 1.5, (9, 2)) for a, b in rng.integers(0, 30, (9, 2))])
     pts = make_points(spark, [(f"2017-01-{1 + int(d):02d}", float(x), float(y)) for (x, y), d in zip(at, rng.integers(0, 28, len(at)), strict=True)])
