@@ -3,6 +3,11 @@
 Quality rules, near duplicates, decontamination and secret redaction keep the columns of
 ``documents``; the last stage returns the packed pieces. Each stage reads what its predecessor
 wrote.
+
+Defined results: null and empty texts fail the quality rules and go; rows with a null lang or source
+have fences of their own; of near duplicates, the row with the least doc_id stays; documents
+that hold a benchmark item go, whatever else they hold; redaction changes texts and n_chars only; an
+empty table gives no pieces; further columns are kept up to the last stage.
 """
 
 from __future__ import annotations

@@ -181,7 +181,7 @@ def queries() -> dict[str, Query]:
     q["scan_surface"] = lambda s, d: risks(scan.scan_surface(small_clusters(s, d), GRID.cells(s), GRID), 9)
     q["scan_continuous"] = lambda s, d: rounded(scan.continuous_risk(small_clusters(s, d), pts(s, d).select(F.col("event_id").alias("place_id"), "x", "y")), "risk").select("place_id", "risk")
     # Self-exciting processes.
-    q["seppexp_p_matrix"] = lambda s, d: p_columns(sepp_p(s, d))
+    q["seppexp_p_matrix"] = lambda s, d: rounded(sepp.p_matrix_columns(*sepp_columns(s, d)), "background", "triggered")
     q["seppexp_em_1"] = sepp_em
     q["seppexp_predict"] = sepp_predict
     q["seppexp_em_corrected"] = lambda s, d: sepp_em(s, d, corrected=True)
@@ -272,17 +272,9 @@ def sepp_inputs(spark: SparkSession, sf: str):
     return events, mu
 
 
-def sepp_p(spark: SparkSession, sf: str) -> DataFrame:
+def sepp_columns(spark: SparkSession, sf: str):
     events, mu = sepp_inputs(spark, sf)
-    return sepp.p_matrix(events, sepp.trigger_pairs(events), OMEGA, THETA, mu)
-
-
-def p_columns(p: DataFrame) -> DataFrame:
-    """Of each column of a p matrix: its background, the number and sum of its triggers, and the latest of them (of equals the least)."""
-    own = F.col("i") == F.col("j")
-    latest = F.min(F.when(~own, F.struct("dt", "i"))).alias("latest")
-    columns = p.groupBy("j").agg(F.sum(F.when(own, F.col("p"))).alias("background"), F.count_if(~own).alias("triggers"), F.coalesce(F.sum(F.when(~own, F.col("p"))), F.lit(0.0)).alias("triggered"), latest)
-    return rounded(columns, "background", "triggered").select("j", "background", "triggers", "triggered", F.coalesce("latest.i", F.lit(-1)).alias("latest"))
+    return events, OMEGA, THETA, mu
 
 
 def sepp_em(spark: SparkSession, sf: str, corrected: bool = False) -> DataFrame:

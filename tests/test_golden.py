@@ -3,9 +3,10 @@
 import math
 
 import pytest
+import simulate
 
 from geopulse.functions.grid import GridSpec
-from geopulse.operators import backtest, evaluate, graph, hotspot, knox, scan, sepp, simulate, surface
+from geopulse.operators import backtest, evaluate, graph, hotspot, knox, scan, sepp, surface
 from geopulse.sources import tables
 
 
