@@ -174,7 +174,7 @@ def queries() -> dict[str, Query]:
     q["beta_posterior"] = lambda s, d: rounded(evaluate.beta_posterior(q["hotspot_backtest"](s, d), ["coverage"]), "mean", "sd")
     # Interaction and clusters.
     q["knox_statistic"] = lambda s, d: knox.knox_statistic(pts(s, d), SPACE_BINS, TIME_BINS)
-    q["knox_pvalue"] = lambda s, d: knox.knox_pvalues(pts(s, d), SPACE_BINS, TIME_BINS, 19).drop("distribution")
+    q["knox_pvalue"] = lambda s, d: knox.knox_pvalues(pts(s, d), SPACE_BINS, TIME_BINS, 99).drop("distribution")
     q["scan_best_per_centre"] = lambda s, d: rounded(scan.best_per_centre(scan.scan_candidates(pts(s, d), 300.0, 3.0)), "d2", "statistic").select("centre", "d2", "statistic", "space_count", "actual")
     q["scan_clusters"] = lambda s, d: scan.clusters(scan.scan_candidates(pts(s, d), 300.0, 3.0), pts(s, d))
     q["scan_maximal"] = lambda s, d: rounded(scan.maximal(small_clusters(s, d), scan.with_age(pts(s, d), None, DAY)), "radius", "statistic").select("rank", "centre", "radius", "statistic")
