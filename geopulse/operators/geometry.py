@@ -84,6 +84,15 @@ def mask_by_points(points: DataFrame, grid: GridSpec) -> DataFrame:
     return cells.where(grid.inside()).distinct()
 
 
+def grid_over_points(points: DataFrame, grid: GridSpec) -> GridSpec:
+    """The smallest grid on the lattice of ``grid`` that holds all points; without points it has no cells."""
+    ends = points.agg(*(f(c(v)).alias(f"{n}_{v}") for v, c in (("x", grid.gx), ("y", grid.gy)) for n, f in (("low", F.min), ("high", F.max)))).head()
+    if ends.low_x is None or ends.low_y is None:
+        return grid.moved(grid.xoffset, grid.yoffset, 0, 0)
+    x, y = grid.xoffset + ends.low_x * grid.xsize, grid.yoffset + ends.low_y * grid.ysize
+    return grid.moved(x, y, ends.high_x - ends.low_x + 1, ends.high_y - ends.low_y + 1)
+
+
 def mask_by_polygon(cells: DataFrame, grid: GridSpec, polygon: Polygon) -> DataFrame:
     """cells that the polygon meets: a corner of one in the other, or an edge through the cell."""
     x0, y0 = grid.xoffset + F.col("gx") * grid.xsize, grid.yoffset + F.col("gy") * grid.ysize

@@ -217,6 +217,27 @@ def from_lines(lines: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame
     return vertices, ends.join(a, "k1").join(b, "k2").select(F.xxhash64("k1", "k2").alias("edge_id"), "k1", "k2", length.alias("length"))
 
 
+def from_paths(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices and edges of polylines (line_id, seq, x, y) that may cross without meeting: only a line's first and last corner are shared.
+
+    Corners are numbered from 1 by (line_id, seq). A corner inside a line is a vertex of its own; an end is the first corner at exactly its
+    place. A line of one corner gives a vertex, steps between equal vertices no edge; an edge has the number of the corner at which it begins.
+    """
+    corners = running(lines.select("line_id", "seq", "x", "y"), ["line_id", "seq"], "node_id")
+    line = W.partitionBy("line_id")
+    end = (F.col("seq") == F.min("seq").over(line)) | (F.col("seq") == F.max("seq").over(line))
+    corners = written(corners.select("*", end.alias("end")))
+    # Many lines may end at one place: the first corner comes from an aggregate.
+    firsts = corners.groupBy("x", "y").agg(F.min("node_id").alias("first"))
+    keyed = corners.join(firsts, ["x", "y"]).withColumn("key", F.when(F.col("end"), F.col("first")).otherwise(F.col("node_id")))
+    keyed = written(keyed.select("line_id", "node_id", "x", "y", "key"))
+    nxt = F.lead(F.struct("key", "x", "y")).over(line.orderBy("node_id"))
+    steps = keyed.select(F.col("node_id").alias("edge_id"), F.col("key").alias("k1"), "x", "y", nxt.alias("n")).where("n is not null and k1 <> n.key")
+    length = F.sqrt((F.col("x") - F.col("n.x")) ** 2 + (F.col("y") - F.col("n.y")) ** 2)
+    edges = steps.select("edge_id", "k1", F.col("n.key").alias("k2"), length.alias("length"))
+    return keyed.where("node_id = key").select("key", "x", "y"), edges
+
+
 def reduce_chains(edges: DataFrame) -> DataFrame:
     """(edge_id, k1, k2, length): each chain over vertices of degree 2 as one edge between its ends; chains that close, or that would
     double an edge, stay as they are."""

@@ -77,6 +77,14 @@ def counts_by_type(points: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(earlier), earlier.other < counts.category, "left").groupBy("category", "n").agg(F.count("other").alias("code"))
 
 
+def split_counts(points: DataFrame, train_start: str, train_end: str, assess_start: str, assess_end: str) -> DataFrame:
+    """One row: the points of the training time, both ends included, and of the assessed time, without its begin."""
+    at = lambda t: F.lit(t).cast("timestamp_ntz")
+    train = F.col("ts").between(at(train_start), at(train_end))
+    assess = (F.col("ts") > at(assess_start)) & (F.col("ts") <= at(assess_end))
+    return points.agg(F.count_if(train).alias("train_count"), F.count_if(assess).alias("assess_count"))
+
+
 def default_split(points: DataFrame) -> DataFrame:
     """start, middle and end of a default train/assess split: to the minute, at most a year of training."""
     minute = F.lit(60_000_000)

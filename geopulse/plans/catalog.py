@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from geopulse.functions.grid import GridSpec
 from geopulse.functions.tables import written
 from geopulse.operators import backtest as bt
-from geopulse.operators import evaluate, geometry, graph, hotspot, kernels_nd, knox, network, points, scan, sepp, sepp_kernels, surface
+from geopulse.operators import correlated, evaluate, geometry, graph, hotspot, kernels_nd, knox, network, points, regions, scan, scan_sets, sepp, sepp_kernels, surface
 
 GRID = GridSpec(150.0, 150.0, 0.0, 0.0, 33, 20)
 TRAIN_END, SCORE_END = "2024-01-22 00:00:00", "2024-01-29 00:00:00"
@@ -118,7 +118,11 @@ def queries() -> dict[str, Query]:
     q["points_assess"] = lambda s, d: points.assessment(pts(s, d), TRAIN_END, SCORE_END, ["click", "error"]).select("event_id")
     q["points_default_split"] = lambda s, d: points.default_split(pts(s, d))
     q["project_lonlat"] = lambda s, d: rounded(points.project_lonlat(points.translate(pts(s, d).withColumns({"x": F.col("x") / 1e5, "y": F.col("y") / 1e5}), -1.5, 51.0)), "x", "y", places=3).select("event_id", "x", "y")
+    q["points_split_counts"] = lambda s, d: points.split_counts(pts(s, d), "2024-01-03 00:00:00", TRAIN_END, TRAIN_END, SCORE_END)
     # Grids and geometry.
+    q["grid_over_points"] = lambda s, d: (lambda g: g.cells(s).select((F.col("gx") * g.xsize + g.xoffset).alias("x"), (F.col("gy") * g.ysize + g.yoffset).alias("y")))(geometry.grid_over_points(pts(s, d), GridSpec(130.0, 170.0, 35.0, -20.0)))
+    q["points_in_regions"] = lambda s, d: regions.places_in_regions(pts(s, d), event_rings(s, d), ["event_id"])
+    q["region_edge_factors"] = lambda s, d: rounded(correlated.region_factors(pts(s, d), cell_centres(occupied(s, d)), ["gx", "gy"], event_rings(s, d)), "factor")
     q["grid_coord"] = lambda s, d: GRID.with_cells(pts(s, d)).select("event_id", "gx", "gy")
     q["grid_snap_centre"] = lambda s, d: geometry.snap_to_centres(pts(s, d), 250.0, 20.0, 30.0).select("event_id", "x", "y")
     q["grid_mask_points"] = lambda s, d: geometry.mask_by_points(pts(s, d), GRID)
@@ -141,6 +145,8 @@ def queries() -> dict[str, Query]:
     q["kde_knn"] = lambda s, d: risks(hotspot.nearest_neighbour_kde(train(s, d), GRID, 15), 12)
     q["kde_edge_corrected"] = lambda s, d: risks(hotspot.edge_corrected_kde(train(s, d), masked(s, d), GRID, 200.0), 12)
     q["kde_score"] = lambda s, d: rounded(evaluate.kde_score(surface.renormalise(masked(s, d)), score(s, d), GRID, 300.0), "score")
+    q["kde_score_scott"] = lambda s, d: rounded(correlated.score(surface.renormalise(masked(s, d)), score(s, d), GRID), "score")
+    q["kde_correlated_3d"] = kde_correlated
     q["knn_distance"] = lambda s, d: rounded(hotspot.knn_distance(pts(s, d), 15), "distance")
     q["kde_mixture_3d"] = lambda s, d: density(kernels_nd.on_lattice(kernels_nd.mixture(with_days(s, d), ["t", "x", "y"], 15), [(3.0, 6.0, 4), (400.0, 700.0, 5), (300.0, 500.0, 5)]), 15)
     q["kde_mixture_marginal"] = lambda s, d: density(kernels_nd.on_lattice(kernels_nd.marginal(kernels_nd.mixture(with_days(s, d), ["t", "x", "y"], 15), 1), [(0.0, 250.0, 16)]), 12)
@@ -180,6 +186,8 @@ def queries() -> dict[str, Query]:
     q["scan_maximal"] = lambda s, d: rounded(scan.maximal(small_clusters(s, d), scan.with_age(pts(s, d), None, DAY)), "radius", "statistic").select("rank", "centre", "radius", "statistic")
     q["scan_surface"] = lambda s, d: risks(scan.scan_surface(small_clusters(s, d), GRID.cells(s), GRID), 9)
     q["scan_continuous"] = lambda s, d: rounded(scan.continuous_risk(small_clusters(s, d), pts(s, d).select(F.col("event_id").alias("place_id"), "x", "y")), "risk").select("place_id", "risk")
+    q["scan_set_clusters"] = lambda s, d: rounded(scan.clusters(scan_sets.set_candidates(pts(s, d), 60.0, 2.0), pts(s, d)), "radius", "statistic").select("rank", "centre", "radius", "statistic")
+    q["scan_tied_discs"] = lambda s, d: rounded(scan_sets.set_candidates(geometry.snap_to_centres(pts(s, d), 50.0), 75.0, 3.0, ties=True), "d2", "statistic")
     # Self-exciting processes.
     q["seppexp_p_matrix"] = lambda s, d: rounded(sepp.p_matrix_columns(*sepp_columns(s, d)), "background", "triggered")
     q["seppexp_em_1"] = sepp_em
@@ -206,6 +214,7 @@ def queries() -> dict[str, Query]:
     q["graph_segments"] = lambda s, d: graph.segments(streets(s, d)[1])
     q["graph_ordered_segments"] = lambda s, d: graph.ordered_segments(streets(s, d)[1])
     q["graph_from_lines"] = from_lines
+    q["graph_from_paths"] = lambda s, d: rounded(graph.from_paths(ways(s, geometry.snap_to_centres(pts(s, d), 250.0), d))[1], "length")
     q["network_hotspot_indexed"] = lambda s, d: rounded((lambda v, e, p: network.network_hotspot_indexed(p, e, network.path_index(e, 400.0), 320.0))(*on_streets(s, d)), "risk")
     q["graph_split_edges"] = lambda s, d: graph.split_edges(*streets(s, d), 60.0)
     q["network_project"] = lambda s, d: rounded(on_streets(s, d)[2], "t")
@@ -234,12 +243,39 @@ def small_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return written(scan.clusters(scan.scan_candidates(pts(spark, sf), 60.0, 2.0), pts(spark, sf)))
 
 
+def ways(spark: SparkSession, places: DataFrame, sf: str) -> DataFrame:
+    """Each user's way through the places of their events as a line."""
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    steps = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "ts").join(places.select("event_id", "x", "y"), "event_id")
+    return steps.select(F.col("user_id").alias("line_id"), F.row_number().over(w).alias("seq"), "x", "y")
+
+
 def from_lines(spark: SparkSession, sf: str) -> DataFrame:
     """The vertices of each user's way through their events, where places of up to 40 m are one vertex."""
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    ways = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "ts").join(pts(spark, sf).select("event_id", "x", "y"), "event_id")
-    lines = ways.select(F.col("user_id").alias("line_id"), F.row_number().over(w).alias("seq"), "x", "y")
-    return graph.from_lines(lines, 40.0)[0].select("x", "y")
+    return graph.from_lines(ways(spark, pts(spark, sf), sf), 40.0)[0].select("x", "y")
+
+
+def event_rings(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions of events: in each cell of 750 m the events farthest to the left, below, to the right and above are the corners of a ring;
+    half way from them to their mean are the corners of a hole."""
+    cells = GridSpec(750.0, 750.0).with_cells(pts(spark, sf)).groupBy("gx", "gy")
+    across, along = F.struct("x", "event_id", "y"), F.struct("y", "event_id", "x")
+    c = cells.agg(F.min(across).alias("c0"), F.min(along).alias("c1"), F.max(across).alias("c2"), F.max(along).alias("c3"))
+    c = c.withColumns({f"m{v}": (F.col(f"c0.{v}") + F.col(f"c1.{v}") + F.col(f"c2.{v}") + F.col(f"c3.{v}")) / 4 for v in "xy"})
+    corner = lambda ring, k: {v: F.col(f"c{k}.{v}") if ring == 0 else (F.col(f"c{k}.{v}") + F.col(f"m{v}")) / 2 for v in "xy"}
+    rows = [F.struct(F.lit(r).alias("ring_id"), F.lit(k).alias("seq"), *(c.alias(v) for v, c in corner(r, k).items())) for r in (0, 1) for k in range(4)]
+    return c.select((1000 * F.col("gy") + F.col("gx")).alias("region_id"), F.inline(F.array(*rows)))
+
+
+def cell_centres(cells: DataFrame) -> DataFrame:
+    return cells.select("gx", "gy", GRID.centre_x().alias("x"), GRID.centre_y().alias("y"))
+
+
+def kde_correlated(spark: SparkSession, sf: str) -> DataFrame:
+    """The density of the training events in time and place, by Silverman's rule, at four times over all cells' centres; in units of 1e-9."""
+    at = cell_centres(GRID.cells(spark)).select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")).withColumn("t", 3.0 + 6 * F.col("i"))
+    found = correlated.density(with_days(spark, sf), at, ["t", "x", "y"], ["gx", "gy", "i"], "silverman")
+    return found.select("gx", "gy", "i", F.round(F.col("density") * 1e9, 6).alias("density"))
 
 
 def shifted(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

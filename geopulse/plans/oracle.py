@@ -393,3 +393,50 @@ ORACLE: dict[str, str] = {
     "network_hit_rate": f"WITH {STREET_EVENTS}, {NET_COVER} SELECT count(cover.edge_id) AS hits, count(*) AS total, round(count(cover.edge_id) / count(*), 6) AS rate FROM ev LEFT JOIN cover USING (edge_id)",
 }
 ORACLE["network_hotspot_indexed"] = ORACLE["network_hotspot"]
+
+RINGS = f"""WITH {PTS},
+ c AS (SELECT 1000 * gy + gx AS region_id, [l.x, b.x, r.x, t.x] AS xs, [l.y, b.y, r.y, t.y] AS ys FROM
+   (SELECT CAST(floor(x / 750) AS BIGINT) AS gx, CAST(floor(y / 750) AS BIGINT) AS gy, min({{'x': x, 'e': event_id, 'y': y}}) AS l, min({{'y': y, 'e': event_id, 'x': x}}) AS b,
+     max({{'x': x, 'e': event_id, 'y': y}}) AS r, max({{'y': y, 'e': event_id, 'x': x}}) AS t FROM pts GROUP BY ALL)),
+ m AS (SELECT *, (xs[1] + xs[2] + xs[3] + xs[4]) / 4 AS mx, (ys[1] + ys[2] + ys[3] + ys[4]) / 4 AS my FROM c),
+ rings AS (SELECT region_id, xs, ys FROM m UNION ALL SELECT region_id, list_transform(xs, lambda v: (v + mx) / 2), list_transform(ys, lambda v: (v + my) / 2) FROM m),
+ edges AS (SELECT region_id, xs[i] AS x1, ys[i] AS y1, xs[i % 4 + 1] AS x2, ys[i % 4 + 1] AS y2 FROM rings, (SELECT unnest([1, 2, 3, 4]) AS i))"""
+LIES = """(count(*) FILTER (y1 <> y2 AND (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1) % 2 = 1 OR
+   count(*) FILTER ((x1 <> x2 OR y1 <> y2) AND (x2 - x1) * (y - y1) = (y2 - y1) * (x - x1) AND x BETWEEN least(x1, x2) AND greatest(x1, x2) AND y BETWEEN least(y1, y2) AND greatest(y1, y2)) > 0)"""
+CLOUD = """(SELECT s.*, h * sqrt(-2 * ln(1 - (i.range + 0.5::DOUBLE) / 10)) AS r, a.range * (2 * pi() / 100) AS phi, i.range AS i, a.range AS a FROM {source} s, range(10) i, range(100) a)"""
+ROOT = """root AS (SELECT *, sqrt(sxx * syy - sxy * sxy) AS det, sqrt(sxx + syy + 2 * sqrt(sxx * syy - sxy * sxy)) AS t FROM
+   (SELECT var_samp(x) AS sxx, var_samp(y) AS syy, covar_samp(x, y) AS sxy, pow(count(*), -1 / 6.0::DOUBLE) AS h FROM {events}))"""
+MOVED = "{x} + (sxx + det) / t * r * cos(phi) + sxy / t * r * sin(phi) AS x, {y} + sxy / t * r * cos(phi) + (syy + det) / t * r * sin(phi) AS y"
+ORACLE |= {
+    "points_split_counts": f"""WITH {PTS} SELECT count(*) FILTER (ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-22') AS train_count,
+      count(*) FILTER (ts > TIMESTAMP '2024-01-22' AND ts <= TIMESTAMP '2024-01-29') AS assess_count FROM pts""",
+    "grid_over_points": f"""WITH {PTS}, b AS (SELECT CAST(floor((min(x) - 35) / 130) AS BIGINT) AS x0, CAST(floor((max(x) - 35) / 130) AS BIGINT) AS x1,
+      CAST(floor((min(y) + 20) / 170) AS BIGINT) AS y0, CAST(floor((max(y) + 20) / 170) AS BIGINT) AS y1 FROM pts)
+      SELECT i * 130.0::DOUBLE + 35 AS x, j * 170.0::DOUBLE - 20 AS y FROM (SELECT unnest(range(x0, x1 + 1)) AS i FROM b), (SELECT unnest(range(y0, y1 + 1)) AS j FROM b)""",
+    "points_in_regions": f"{RINGS} SELECT event_id, region_id FROM pts, edges GROUP BY event_id, region_id HAVING {LIES}",
+    "region_edge_factors": f"""{RINGS}, {ROOT.format(events="pts")},
+      cells AS (SELECT gx, gy, (gx + 0.5::DOUBLE) * 150 AS x, (gy + 0.5::DOUBLE) * 150 AS y FROM (SELECT DISTINCT {CELL} FROM pts) WHERE gx BETWEEN 0 AND 32 AND gy BETWEEN 0 AND 19),
+      inside AS (SELECT gx, gy, region_id, any_value(x) AS cx, any_value(y) AS cy FROM cells, edges GROUP BY gx, gy, region_id HAVING {LIES}),
+      cloud AS (SELECT gx, gy, region_id, i, a, {MOVED.format(x="cx", y="cy")} FROM {CLOUD.format(source="(SELECT * FROM inside, root)")}),
+      hits AS (SELECT gx, gy, region_id, i, a FROM cloud JOIN edges USING (region_id) GROUP BY ALL HAVING {LIES})
+      SELECT gx, gy, region_id, round(coalesce(n, 0) / 1000.0::DOUBLE, 6) AS factor FROM inside LEFT JOIN (SELECT gx, gy, region_id, count(*) AS n FROM hits GROUP BY ALL) USING (gx, gy, region_id)""",
+    "kde_correlated_3d": f"""WITH {PTS}, {TRAIN}, {CELLS}, e AS (SELECT (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 86400000000.0::DOUBLE AS t, x, y FROM train),
+      s AS (SELECT var_samp(t) AS a, covar_samp(t, x) AS b, covar_samp(t, y) AS c, var_samp(x) AS d, covar_samp(x, y) AS f, var_samp(y) AS g, count(*) AS n, pow(count(*) * 5 / 4.0::DOUBLE, -1 / 7.0::DOUBLE) AS h FROM e),
+      k AS (SELECT *, a * (d * g - f * f) - b * (b * g - f * c) + c * (b * f - d * c) AS det FROM s),
+      w AS (SELECT gx, gy, i, mx - x AS u, my - y AS v, 3.0::DOUBLE + 6 * i - t AS z, k.* FROM cells, (SELECT unnest([0, 1, 2, 3])::INTEGER AS i), e, k)
+      SELECT gx, gy, i, round(1e9::DOUBLE * sum(exp(-(z * z * (d * g - f * f) + u * u * (a * g - c * c) + v * v * (a * d - b * b) + 2 * (z * u * (c * f - b * g) + z * v * (b * f - c * d) + u * v * (b * c - a * f)))
+        / det / (2 * h * h)) / (n * sqrt(det) * pow(2 * pi(), 1.5::DOUBLE) * h * h * h)), 6) AS density FROM w GROUP BY gx, gy, i""",
+    "graph_from_paths": f"""WITH {PTS}, p AS (SELECT user_id AS line, event_id, e.ts, (floor(pts.x / 250) + 0.5::DOUBLE) * 250 AS x, (floor(pts.y / 250) + 0.5::DOUBLE) * 250 AS y FROM events e JOIN pts USING (event_id)),
+      c AS (SELECT *, row_number() OVER (ORDER BY line, ts, event_id) AS id, row_number() OVER (PARTITION BY line ORDER BY ts, event_id) AS seq, count(*) OVER (PARTITION BY line) AS n FROM p),
+      k AS (SELECT line, id, x, y, CASE WHEN seq = 1 OR seq = n THEN min(id) OVER (PARTITION BY x, y) ELSE id END AS key FROM c),
+      s AS (SELECT id AS edge_id, key AS k1, lead(key) OVER w AS k2, sqrt(pow(lead(x) OVER w - x, 2) + pow(lead(y) OVER w - y, 2)) AS length FROM k WINDOW w AS (PARTITION BY line ORDER BY id))
+      SELECT edge_id, k1, k2, round(length, 6) AS length FROM s WHERE k2 IS NOT NULL AND k1 <> k2""",
+    "kde_score_scott": f"""{SCORED}, {ROOT.format(events="score")}, {OK_CELLS},
+      valid AS (SELECT gx, gy, risk / sum(risk) OVER () AS p FROM base JOIN ok USING (gx, gy)),
+      places AS (SELECT gx, gy, i.range * 5 + j.range AS s, (gx + (i.range + 0.5::DOUBLE) / 5) * 150 AS x, (gy + (j.range + 0.5::DOUBLE) / 5) * 150 AS y FROM valid, range(5) i, range(5) j),
+      d AS (SELECT q.gx, q.gy, q.s, sum(exp(-((q.x - e.x) * (q.x - e.x) * syy - 2 * (q.x - e.x) * (q.y - e.y) * sxy + (q.y - e.y) * (q.y - e.y) * sxx) / (det * det) / (2 * h * h))) AS v FROM places q, score e, root GROUP BY ALL),
+      cloud AS (SELECT pgx, pgy, s, {MOVED.format(x="px", y="py")} FROM {CLOUD.format(source="(SELECT gx AS pgx, gy AS pgy, s, x AS px, y AS py, root.* FROM places, root)")}),
+      fac AS (SELECT pgx AS gx, pgy AS gy, s, sum(k) / 1000.0::DOUBLE AS factor FROM (SELECT pgx, pgy, s, {CELL}, count(*) AS k FROM cloud GROUP BY ALL) JOIN ok USING (gx, gy) GROUP BY ALL),
+      z AS (SELECT gx, gy, avg(v / factor) AS r FROM d JOIN fac USING (gx, gy, s) GROUP BY ALL), u AS (SELECT gx, gy, r / sum(r) OVER () AS q FROM z)
+      SELECT round(sum(pow(p - q, 2)) * 22500, 6) AS score FROM valid JOIN u USING (gx, gy)""",
+}
