@@ -115,8 +115,8 @@ def mask_factors(points: DataFrame, places: DataFrame, key: list[str], valid: Da
     factor = written(cholesky(moments(points, ["x", "y"], covariance), 2))
     around = grid.with_cells(cloud(places, key, factor, bandwidth))
     # Places of one cloud that fall into the same cell are added up before they meet the mask.
-    counts = around.groupBy(*key, "gx", "gy").agg(F.count("*").alias("k"))
-    hits = counts.join(valid.select("gx", "gy"), ["gx", "gy"]).groupBy(*key).agg(F.sum("k").alias("hits"))
+    counts = around.groupBy(*key, "gx", "gy").agg(F.count("*").alias("_n"))
+    hits = counts.join(valid.select("gx", "gy"), ["gx", "gy"]).groupBy(*key).agg(F.sum("_n").alias("hits"))
     return places.select(*key).join(hits, key, "left").select(*key, (F.coalesce("hits", F.lit(0)) / (RADII * ANGLES)).alias("factor"))
 
 
