@@ -47,9 +47,9 @@ PREDICTORS: dict[str, Predictor] = {
 }
 
 
-def predict(predictor: str, points: DataFrame, grid: GridSpec, at: str, mask: DataFrame | None = None) -> DataFrame:
+def predict(predictor: str | Predictor, points: DataFrame, grid: GridSpec, at: str, mask: DataFrame | None = None) -> DataFrame:
     """The surface of the events before ``at``: zeros to a constant, masked, renormalised."""
-    s = surface.zero_to_constant(PREDICTORS[predictor](between(points, end=at), grid, at))
+    s = surface.zero_to_constant((PREDICTORS[predictor] if isinstance(predictor, str) else predictor)(between(points, end=at), grid, at))
     return surface.renormalise(s if mask is None else surface.mask_with(s, mask))
 
 

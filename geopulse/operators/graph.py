@@ -106,6 +106,34 @@ def simple_paths(edges: DataFrame, start: int, most: float, steps: int) -> DataF
     return out.select("path", "at", "length")
 
 
+def paths_between(edges: DataFrame, start: int, end: int, most: float | None = None, avoid: list[tuple[int, int]] = ()) -> DataFrame:
+    """(path, length): the paths from start to end that pass no vertex twice, no longer than ``most``, and not over the avoided edges,
+    named by their two vertices. A path ends where it first comes to the end; start and end may be equal."""
+    both = both_ways(edges).select("a", "b", F.col("length").alias("step"))
+    if avoid:
+        left_out = edges.sparkSession.createDataFrame([p for u, v in avoid for p in ((u, v), (v, u))], "a long, b long").distinct()
+        both = both.join(F.broadcast(left_out), ["a", "b"], "left_anti")  # as many as the caller names
+    at = edges.sparkSession.createDataFrame([([start], start, 0.0)], "path array<long>, at long, length double")
+    if start == end:
+        return at.select("path", "length")
+    out = None
+    while True:
+        grown = at.join(both, at.at == both.a).where(~F.array_contains("path", F.col("b")))
+        grown = grown.select(F.concat("path", F.array("b")).alias("path"), F.col("b").alias("at"), (F.col("length") + F.col("step")).alias("length"))
+        grown = written(grown if most is None else grown.where(F.col("length") <= most))
+        found = grown.where(F.col("at") == end).select("path", "length")
+        out = found if out is None else out.unionAll(found)
+        at = grown.where(F.col("at") != end)
+        if at.isEmpty():
+            return out
+
+
+def edge_paths_between(edges: DataFrame, start: tuple[int, int], end: tuple[int, int], most: float | None = None) -> DataFrame:
+    """(path, length): the paths from either end of one edge to either end of another that use neither; the two edges' own lengths don't count."""
+    each = [paths_between(edges, u, v, most, [start, end]) for u in start for v in end]
+    return reduce(DataFrame.unionAll, each)
+
+
 def walks_with_degrees(edges: DataFrame, start: int, avoid: int, most: float, max_degree: float) -> DataFrame:
     """(k1, k2, length, degree): walks from ``start`` not over ``avoid``; each row enters an edge at distance ``length`` with the
     product of max(degree - 1, 1) so far. A walk ends where its length reaches ``most`` or its degree exceeds ``max_degree``."""

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from geopulse.functions.grid import GridSpec
 from geopulse.functions.tables import written
 from geopulse.operators.scan import power
 
@@ -85,3 +86,34 @@ def places_in_regions(places: DataFrame, rings: DataFrame, key: list[str], repea
 def points_in_regions(points: DataFrame, rings: DataFrame) -> DataFrame:
     """The points (with event_id) that lie in any of the regions."""
     return points.join(places_in_regions(points, rings, ["event_id"]).select("event_id"), "event_id", "left_semi")
+
+
+def grid_over_regions(rings: DataFrame, grid: GridSpec) -> GridSpec:
+    """The smallest grid on the lattice of ``grid`` that holds all corners; without any it has no cells."""
+    from geopulse.operators.geometry import grid_over_points
+
+    return grid_over_points(rings.dropna(subset=["x", "y"]), grid)
+
+
+def cells_meeting(rings: DataFrame, grid: GridSpec) -> DataFrame:
+    """(gx, gy) of the grid's cells, borders included, that have a place in common with a region.
+
+    Either an edge passes through the cell, and edges are followed from column to column, so that a long one makes a row for each cell that
+    it meets only; or the cell lies within a region as a whole, and so does its centre.
+    """
+    edges = ring_edges(rings)
+    to_cells = lambda c, off, size: (F.col(c) - off) / size
+    e = edges.select(*(to_cells(f"{c}{k}", off, size).alias(f"{c}{k}") for c, off, size in (("x", grid.xoffset, grid.xsize), ("y", grid.yoffset, grid.ysize)) for k in (1, 2)))
+    first = lambda v: F.greatest(F.ceil(v) - 1, F.lit(0))
+    last = lambda v, n: F.least(F.floor(v), F.lit(n - 1))
+    span = lambda a, b: F.explode(F.when(a <= b, F.sequence(a, b)))
+    columns = e.select("*", span(first(F.least("x1", "x2")), last(F.greatest("x1", "x2"), grid.xextent)).alias("gx"))
+    # The edge's heights where it enters and leaves the column; a column that it touches only gives one height.
+    part_of = lambda at: F.when(F.col("x1") == F.col("x2"), F.lit(None)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(at - F.col("x1"), F.col("x2") - F.col("x1")))))
+    height = lambda t, whole: F.coalesce(F.when(t == 1, F.col("y2")).otherwise(F.col("y1") + t * (F.col("y2") - F.col("y1"))), F.col(whole))
+    a, b = height(part_of(F.col("gx")), "y1"), height(part_of(F.col("gx") + 1), "y2")
+    columns = columns.select("gx", F.least(a, b).alias("low"), F.greatest(a, b).alias("high"))
+    touched = columns.select("gx", span(first(F.col("low")), last(F.col("high"), grid.yextent)).alias("gy"))
+    cells = grid.cells(rings.sparkSession)
+    inner = places_in_regions(cells.select("gx", "gy", grid.centre_x().alias("x"), grid.centre_y().alias("y")), rings, ["gx", "gy"], repeated=False)
+    return touched.select(F.col("gx").cast("long").alias("gx"), F.col("gy").cast("long").alias("gy")).unionByName(inner.select("gx", "gy")).distinct()

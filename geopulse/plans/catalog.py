@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from geopulse.functions.grid import GridSpec
 from geopulse.functions.tables import written
 from geopulse.operators import backtest as bt
-from geopulse.operators import correlated, evaluate, geometry, graph, hotspot, kernels_nd, knox, network, points, regions, scan, scan_sets, sepp, sepp_kernels, surface
+from geopulse.operators import correlated, evaluate, geometry, graph, hotspot, kernels_nd, knox, network, points, regions, scan, scan_sets, sepp, sepp_kernels, study, surface
 
 GRID = GridSpec(150.0, 150.0, 0.0, 0.0, 33, 20)
 TRAIN_END, SCORE_END = "2024-01-22 00:00:00", "2024-01-29 00:00:00"
@@ -122,6 +122,7 @@ def queries() -> dict[str, Query]:
     # Grids and geometry.
     q["grid_over_points"] = lambda s, d: (lambda g: g.cells(s).select((F.col("gx") * g.xsize + g.xoffset).alias("x"), (F.col("gy") * g.ysize + g.yoffset).alias("y")))(geometry.grid_over_points(pts(s, d), GridSpec(130.0, 170.0, 35.0, -20.0)))
     q["points_in_regions"] = lambda s, d: regions.places_in_regions(pts(s, d), event_rings(s, d), ["event_id"])
+    q["cells_meeting_regions"] = lambda s, d: regions.cells_meeting(event_rings(s, d), GRID)
     q["region_edge_factors"] = lambda s, d: rounded(correlated.region_factors(pts(s, d), cell_centres(occupied(s, d)), ["gx", "gy"], event_rings(s, d)), "factor")
     q["grid_coord"] = lambda s, d: GRID.with_cells(pts(s, d)).select("event_id", "gx", "gy")
     q["grid_snap_centre"] = lambda s, d: geometry.snap_to_centres(pts(s, d), 250.0, 20.0, 30.0).select("event_id", "x", "y")
@@ -210,6 +211,7 @@ def queries() -> dict[str, Query]:
     q["graph_components"] = lambda s, d: graph.connected_components(streets(s, d)[1].where("edge_id % 3 <> 1"))
     q["graph_shortest_paths"] = lambda s, d: from_an_edge(s, d, lambda e, _, a, b: graph.shortest_paths(e, b).select("key", "distance"))
     q["graph_simple_paths"] = lambda s, d: from_an_edge(s, d, lambda e, _, a, b: graph.simple_paths(e, b, 750.0, 5).select(F.concat_ws(",", F.transform("path", lambda k: k.cast("string"))).alias("path"), "length"))
+    q["graph_paths_between"] = lambda s, d: from_an_edge(s, d, lambda e, _, a, b: graph.paths_between(e, a, b, 900.0, [(a, b)]).select(F.concat_ws(",", F.transform("path", lambda k: k.cast("string"))).alias("path"), "length"))
     q["graph_walk_degrees"] = lambda s, d: from_an_edge(s, d, lambda e, _, a, b: graph.walks_with_degrees(e, b, a, 600.0, 50.0))
     q["graph_segments"] = lambda s, d: graph.segments(streets(s, d)[1])
     q["graph_ordered_segments"] = lambda s, d: graph.ordered_segments(streets(s, d)[1])
@@ -235,9 +237,17 @@ def queries() -> dict[str, Query]:
     q["backtest_rates"] = lambda s, d: bt.wide(rounded(bt.backtest(pts(s, d), GRID, ["naive"], bt.periods("2024-01-15", SCORE_END, 7), EVERY_COVERAGE), "rate"), "rate", EVERY_COVERAGE).drop("total")
     q["backtest_pivot"] = lambda s, d: bt.wide(q["hotspot_backtest"](s, d).withColumn("predictor", F.lit("naive")), "hits", COVERAGES)
     q["backtest_predictors"] = lambda s, d: rounded(bt.backtest(pts(s, d), GRID, ["naive", "retro", "prospective"], bt.periods("2024-01-15", SCORE_END, 7), [10, 20]), "rate")
+    q["study_scores"] = study_scores
     return q
 
 
+def study_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictors of several kinds over the regions of events; the cell grid's predictors for two weeks, clusters for the last."""
+    weeks = bt.periods("2024-01-15", SCORE_END, 7)
+    predictions = {"naive": ("naive", weeks), "retro": ("retro", weeks), "sepp": (study.sepp_predictor(2), weeks[1:]), "scan": (study.scan_predictor(60.0, 2.0), weeks[1:])}
+    return rounded(study.study(pts(spark, sf), GRID, predictions, rings=event_rings(spark, sf)), "value")
+
+
 def small_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """Clusters within 60 m and two days of the last event."""
     return written(scan.clusters(scan.scan_candidates(pts(spark, sf), 60.0, 2.0), pts(spark, sf)))

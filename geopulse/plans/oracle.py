@@ -440,3 +440,15 @@ ORACLE |= {
       z AS (SELECT gx, gy, avg(v / factor) AS r FROM d JOIN fac USING (gx, gy, s) GROUP BY ALL), u AS (SELECT gx, gy, r / sum(r) OVER () AS q FROM z)
       SELECT round(sum(pow(p - q, 2)) * 22500, 6) AS score FROM valid JOIN u USING (gx, gy)""",
 }
+ORACLE |= {
+    "graph_paths_between": f"""WITH RECURSIVE {STREETS}, r AS (SELECT [k1] AS path, k1 AS at, k2 AS goal, k1 AS origin, 0.0::DOUBLE AS length FROM own UNION ALL
+      SELECT list_append(path, b.b), b.b, goal, origin, r.length + b.length FROM r JOIN both_ways b ON r.at = b.a
+      WHERE r.at <> goal AND NOT list_contains(path, b.b) AND r.length + b.length <= 900 AND NOT (b.a = origin AND b.b = goal))
+      SELECT array_to_string(path, ',') AS path, length FROM r WHERE r.at = goal""",
+    "cells_meeting_regions": f"""{RINGS}, real AS (SELECT region_id, x1, y1, x2, y2 FROM edges WHERE x1 <> x2 OR y1 <> y2),
+      grid AS (SELECT a.range AS gx, b.range AS gy, a.range * 150.0::DOUBLE AS l, b.range * 150.0::DOUBLE AS b, a.range * 150.0::DOUBLE + 75 AS x, b.range * 150.0::DOUBLE + 75 AS y FROM range(33) a, range(20) b),
+      crossed AS (SELECT gx, gy FROM grid, real WHERE least(x1, x2) <= l + 150 AND greatest(x1, x2) >= l AND least(y1, y2) <= b + 150 AND greatest(y1, y2) >= b
+        AND least((x2 - x1) * (b - y1) - (y2 - y1) * (l - x1), (x2 - x1) * (b + 150 - y1) - (y2 - y1) * (l - x1), (x2 - x1) * (b - y1) - (y2 - y1) * (l + 150 - x1), (x2 - x1) * (b + 150 - y1) - (y2 - y1) * (l + 150 - x1)) <= 0
+        AND greatest((x2 - x1) * (b - y1) - (y2 - y1) * (l - x1), (x2 - x1) * (b + 150 - y1) - (y2 - y1) * (l - x1), (x2 - x1) * (b - y1) - (y2 - y1) * (l + 150 - x1), (x2 - x1) * (b + 150 - y1) - (y2 - y1) * (l + 150 - x1)) >= 0)
+      SELECT gx, gy FROM crossed UNION SELECT gx, gy FROM (SELECT gx, gy, region_id FROM grid, edges GROUP BY gx, gy, region_id HAVING {LIES})""",
+}
