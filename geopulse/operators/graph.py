@@ -206,26 +206,35 @@ def merge_nodes(nodes: DataFrame, tolerance: float) -> DataFrame:
     """(node_id, key): going through the nodes by id, each that is still free becomes a key and takes the free nodes within the tolerance.
 
     So keys are the first maximal set of nodes in order that are farther apart, and a node belongs to its first key. In a round, every free node that
-    comes before all free nodes near it becomes a key at once, and those near it are taken; as many rounds are needed as choices depend on one another.
+    comes before all free nodes of its cell (as wide as the tolerance) and of those beside it becomes a key at once, and those near it are taken; as many
+    rounds are needed as choices depend on one another. Nodes meet keys only, of which a cell holds a few, so no table has a row for each pair of nodes.
     """
-    from geopulse.operators.knox import close_pairs
-
-    near = close_pairs(nodes.select(F.col("node_id").alias("event_id"), "x", "y", F.lit(None).cast("timestamp_ntz").alias("ts")), tolerance).select("i", "j")
-    pairs = written(near.select(F.col("i").alias("u"), F.col("j").alias("v")).unionAll(near.select(F.col("j").alias("u"), F.col("i").alias("v"))))
-    free, keys = pairs, None
-    while not free.isEmpty():
-        new = written(free.groupBy("u").agg(F.min("v").alias("least")).where("u < least").select("u"))
+    cell = lambda c: F.floor(F.col(c) / tolerance).cast("long")
+    steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    beside = lambda df: df.select("*", steps.alias("s")).withColumns({"cx": F.col("cx") + F.col("s.i"), "cy": F.col("cy") + F.col("s.j")}).drop("s")
+    near = (F.col("x") - F.col("kx")) ** 2 + (F.col("y") - F.col("ky")) ** 2 <= tolerance * tolerance
+    celled = written(nodes.select("node_id", "x", "y", cell("x").alias("cx"), cell("y").alias("cy")).where("cx is not null and cy is not null"))
+    free, keys = celled, None
+    while True:
+        least = written(free.groupBy("cx", "cy").agg(F.min(F.struct("node_id", "x", "y")).alias("m")).select("cx", "cy", "m.*"))
+        if least.isEmpty():
+            forget(least)
+            break
+        first = beside(least).groupBy("cx", "cy").agg(F.min("node_id").alias("first"))
+        new = written(least.join(first, ["cx", "cy"]).where("node_id = first").select(F.col("node_id").alias("key"), F.col("x").alias("kx"), F.col("y").alias("ky"), "cx", "cy"))
+        forget(least)
         keys = new if keys is None else keys.unionAll(new)
-        gone = new.unionAll(free.join(new, "u").select(F.col("v").alias("u"))).distinct()
-        rest = free.join(gone, "u", "left_anti").join(gone.select(F.col("u").alias("v")), "v", "left_anti").select("u", "v")
+        taken = beside(new).withColumnsRenamed({"cx": "tx", "cy": "ty"})
+        rest = free.join(taken, (F.col("cx") == F.col("tx")) & (F.col("cy") == F.col("ty")) & ((F.col("node_id") == F.col("key")) | near), "left_anti")
         left, free = free, written(rest)
-        if left is not pairs:
+        if left is not celled:
             forget(left)
+    forget(free)
     if keys is None:
         return nodes.select("node_id", F.col("node_id").alias("key"))
-    # Nodes without a key near them are keys themselves.
-    taken = pairs.join(keys.select(F.col("u").alias("v")), "v").groupBy("u").agg(F.min("v").alias("key")).join(keys, "u", "left_anti")
-    return nodes.select("node_id").join(taken, nodes.node_id == taken.u, "left").select("node_id", F.coalesce("key", "node_id").alias("key"))
+    # Nodes that are near no key (not even themselves, without a place) are keys themselves.
+    found = celled.join(beside(keys), ["cx", "cy"]).where(near).groupBy("node_id").agg(F.min("key").alias("key"))
+    return nodes.select("node_id").join(found.hint("merge"), "node_id", "left").select("node_id", F.coalesce("key", "node_id").alias("key"))
 
 
 def from_lines(lines: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame]:
@@ -234,9 +243,9 @@ def from_lines(lines: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame
     nodes = written(lines.select("line_id", "seq", "x", "y"))
     places = nodes.groupBy("x", "y").agg(F.min(F.struct("line_id", "seq")).alias("seen"))  # equal places need no search
     places = written(running(places.select("x", "y", "seen"), ["seen"], "node_id").select("x", "y", "node_id"))
-    keys = written(places.join(merge_nodes(places, tolerance), "node_id").select("x", "y", "node_id", "key"))
+    keys = written(places.hint("merge").join(merge_nodes(places, tolerance), "node_id").select("x", "y", "node_id", "key"))
     vertices = keys.where("node_id = key").select("key", "x", "y")
-    keyed = nodes.join(keys.select("x", "y", "key"), ["x", "y"])
+    keyed = nodes.join(keys.select("x", "y", "key").hint("merge"), ["x", "y"])
     nxt = F.lead("key").over(W.partitionBy("line_id").orderBy("seq"))
     steps = keyed.select("key", nxt.alias("next")).where("next is not null and key <> next")
     ends = steps.select(F.least("key", "next").alias("k1"), F.greatest("key", "next").alias("k2")).distinct()

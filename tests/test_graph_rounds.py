@@ -32,6 +32,23 @@ def test_nodes_merge_as_in_sequence(spark, seed, parts):
     assert {r.node_id: r.key for r in graph.merge_nodes(apart, 1.0).collect()} == {1: 1, 2: 2}
 
 
+def test_dense_nodes_merge_without_a_table_of_pairs(spark, monkeypatch):
+    """All nodes near one another: no table may grow with their pairs."""
+    rng, most = random.Random(5), [0]
+    nodes = [(i, rng.uniform(0, 1), rng.uniform(0, 1)) for i in range(600)] + [(601, float("nan"), 0.0), (602, None, 0.0)]
+    keep = graph.written
+
+    def counted(df):
+        out = keep(df)
+        most[0] = max(most[0], out.count())
+        return out
+
+    monkeypatch.setattr(graph, "written", counted)
+    df = spark.createDataFrame(nodes, "node_id long, x double, y double")
+    got = {r.node_id: r.key for r in graph.merge_nodes(df, 2.0).collect()}
+    assert got == {i: 0 for i in range(600)} | {601: 601, 602: 602} and most[0] <= len(nodes)
+
+
 def test_graph_of_lines_keeps_first_places(spark):
     lines = [(1, 1, 0.0, 0.0), (1, 2, 1.0, 1.0), (1, 3, 5.1, 1.2), (2, 1, 2.0, 0.0), (2, 2, 1.05, 1.0), (2, 3, 0.0, 5.0), (2, 4, 5.1, 1.2), (3, 1, 0.0, 0.0), (3, 2, 0.0, 5.0), (3, 3, 0.02, 5.0)]
     vertices, edges = graph.from_lines(spark.createDataFrame(lines, "line_id long, seq long, x double, y double"), 0.1)
