@@ -190,3 +190,11 @@ def test_stream_counts(spark, tmp_path):
         assert {(r.gx, r["count"]) for r in spark.table("cells").collect()} == {(0, 2), (1, 1)}
     finally:
         query.stop()
+
+
+def test_beta_posterior_of_large_counts(spark):
+    counts = spark.createDataFrame([(1, 3_000_000_000, 8_000_000_000), (1, 1_000_000_000, 2_000_000_000)], "coverage int, hits long, total long")
+    row = evaluate.beta_posterior(counts, ["coverage"]).head()
+    a, b = 4e9, 6e9
+    assert (row.a, row.b, row.mean) == (4_000_000_000, 6_000_000_000, 0.4)
+    assert row.sd == pytest.approx((a * b / (1e10 * 1e10 * (1e10 + 1))) ** 0.5)
