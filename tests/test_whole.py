@@ -32,6 +32,24 @@ def test_knox_permutations_of_equal_times(spark):
     assert sorted((r.space_bin, r.statistic, r.pvalue, tuple(r.distribution)) for r in got) == [(0, 5, 0.8, (5,) * 4), (1, 9, 0.8, (9,) * 4)]
 
 
+@pytest.mark.parametrize("block", [3, 512])
+def test_knox_counts_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(knox, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    rows = [(f"2017-01-{d:02d}", float(x), float(y)) for d, (x, y) in zip(rng.integers(1, 28, 120).tolist(), rng.integers(-9, 9, (120, 2)).tolist(), strict=True)]
+    day, space, time = 86_400_000_000, [(0.0, 2.0), (1.0, 3.0), (0.0, 3.0)], [(0, 86_400_000_000), (2 * 86_400_000_000, 9 * 86_400_000_000)]
+    at = [(int(ts[-2:]) * day, x, y) for ts, x, y in rows]
+    pairs = [(math.hypot(a[1] - b[1], a[2] - b[2]), abs(a[0] - b[0])) for k, a in enumerate(at) for b in at[:k]]
+    want = {(i, j): sum(lo <= d <= hi and t0 <= g <= t1 for d, g in pairs) for i, (lo, hi) in enumerate(space) for j, (t0, t1) in enumerate(time)}
+    assert {(r.space_bin, r.time_bin): r.statistic for r in knox.knox_statistic(make_points(spark, rows), space, time).collect()} == want
+
+
+def test_pairs_of_points_in_small_files_are_not_broadcast(spark):
+    pts = make_points(spark, [("2017-01-01", float(k), 0.0) for k in range(9)])
+    plan = knox.close_pairs(pts, 1.0)._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def brute_scan(rows, radius, max_age):
     """The best statistic of each centre over all its discs and all ages of the table; rows: (x, y, age)."""
     n, out = len(rows), {}
