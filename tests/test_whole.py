@@ -79,6 +79,22 @@ def test_scan_against_brute_force(spark, monkeypatch, block):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+@pytest.mark.parametrize("coarse,centres", [(1, 3), (4, 1000), (64, 1000)])
+def test_leading_discs_give_what_all_discs_give(spark, monkeypatch, coarse, centres):
+    monkeypatch.setattr(scan, "COARSE", coarse)
+    monkeypatch.setattr(scan, "CENTRES", centres)
+    rng = np.random.default_rng(8)
+    places = np.concatenate([rng.integers(0, 12, (60, 2)), rng.normal(5, 1, (60, 2))]).tolist()
+    pts = make_points(spark, [(f"2017-01-{d:02d}", *map(float, p)) for d, p in zip(rng.integers(1, 29, 120).tolist(), places, strict=True)])
+    found, some = scan.scan_candidates(pts, 5.0, 9.0).toPandas(), scan.leading_candidates(pts, 5.0, 9.0).toPandas()
+    want = found.sort_values(["centre", "d2"])
+    want = want[want["statistic"] > want.groupby("centre")["statistic"].transform(lambda s: s.cummax().shift(fill_value=0.0))]
+    rows = lambda df: sorted((r.centre, r.d2, r.age, r.space_count, r.time_count, r.actual, round(r.statistic, 9)) for r in df.itertuples())
+    assert rows(some) == rows(want) and 120 < len(some) < len(found)
+    all_discs, leading = (scan.clusters(spark.createDataFrame(df), pts).orderBy("rank").collect() for df in (found, some))
+    assert [(r.rank, r.centre, r.radius, r.age) for r in leading] == [(r.rank, r.centre, r.radius, r.age) for r in all_discs]
+
+
 @pytest.mark.parametrize("settled", [0, 40, 1 << 16])
 def test_clusters_take_all_discs(spark, monkeypatch, settled):
     """Against the greedy choice over all candidates."""
