@@ -79,9 +79,10 @@ def test_scan_against_brute_force(spark, monkeypatch, block):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
-@pytest.mark.parametrize("coarse,centres", [(1, 3), (4, 1000), (64, 1000)])
-def test_leading_discs_give_what_all_discs_give(spark, monkeypatch, coarse, centres):
+@pytest.mark.parametrize("coarse,centres,small", [(1, 3, 0), (4, 1000, 0), (64, 1000, 1 << 16)])
+def test_leading_discs_give_what_all_discs_give(spark, monkeypatch, coarse, centres, small):
     monkeypatch.setattr(scan, "COARSE", coarse)
+    monkeypatch.setattr(scan, "SMALL", small)
     monkeypatch.setattr(scan, "CENTRES", centres)
     rng = np.random.default_rng(8)
     places = np.concatenate([rng.integers(0, 12, (60, 2)), rng.normal(5, 1, (60, 2))]).tolist()
