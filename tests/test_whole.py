@@ -50,6 +50,11 @@ def test_pairs_of_points_in_small_files_are_not_broadcast(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_neighbours_are_not_broadcast(spark):
+    plan = hotspot.knn_distance(make_points(spark, [("2017-01-01", float(k), 0.0) for k in range(40)]), 3)._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def brute_scan(rows, radius, max_age):
     """The best statistic of each centre over all its discs and all ages of the table; rows: (x, y, age)."""
     n, out = len(rows), {}
