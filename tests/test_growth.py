@@ -1,9 +1,12 @@
 """Work that must not grow faster than the events."""
 
+import math
+
+import numpy as np
 import pytest
 
 from geopulse.functions.grid import GridSpec
-from geopulse.operators import geometry
+from geopulse.operators import geometry, knox, sepp
 from test_golden import make_points
 
 
@@ -14,3 +17,63 @@ def test_polygons_are_tested_by_cell_not_by_event(spark, masked):
     cells = masked(grid.with_cells(pts).groupBy("gx", "gy").count().select("gx", "gy"), grid, [(0.2, 0.2), (1.8, 0.2), (1.8, 1.8), (0.2, 1.8)])
     assert "Aggregate" not in cells._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(tuple(r) for r in cells.collect()) == [(0, 1), (1, 1)]
+
+
+def crowd(spark, n=90, seed=4):
+    """Points with ties of place and time, and their rows (id, days, x, y)."""
+    rng = np.random.default_rng(seed)
+    rows = [(int(d), float(x), float(y)) for d, x, y in zip(rng.integers(1, 20, n), rng.integers(-9, 9, n), rng.integers(-9, 9, n), strict=True)]
+    pts = make_points(spark, [(f"2017-01-{d:02d}", x, y) for d, x, y in rows])
+    return pts, [(k, float(d), x, y) for k, (d, x, y) in enumerate(rows)]
+
+
+def column(rows, j, days, metres):
+    """(i, d2, dt) of the events before j within both cut-offs."""
+    _, t, x, y = rows[j]
+    near = [(i, (a - x) ** 2 + (b - y) ** 2, t - s) for i, s, a, b in rows if (s, i) < (t, j)]
+    return [(i, d2, dt) for i, d2, dt in near if d2 <= metres**2 and dt <= days]
+
+
+@pytest.mark.parametrize("part", [3, 8192])
+def test_columns_of_pairs_and_parents_against_brute_force(spark, monkeypatch, part):
+    monkeypatch.setattr(knox, "PART", part)
+    pts, rows = crowd(spark)
+    want = {}
+    for j in range(len(rows)):
+        w = {i: math.exp(-dt / 0.1) * math.exp(-d2 / 5000) for i, d2, dt in column(rows, j, 4.0, 5.0)} | {j: 1.0}
+        want |= {(i, j): v / sum(w.values()) for i, v in w.items()}
+    p = sepp.initial_p(pts, 4.0, 5.0)
+    assert {(r.i, r.j): r.p for r in p.collect()} == pytest.approx(want)
+    assert {tuple(r) for r in sepp.initial_parents(pts, 4.0, 5.0, seed=3).collect()} == {tuple(r) for r in sepp.decluster(p, 3).collect()}
+    # Nothing but events moves: no plan meets pairs by join, window or aggregate above the groups.
+    plan = p._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.index("FlatMapGroupsInArrow") < plan.index("Join")
+
+
+def test_histogram_fit_against_brute_force(spark):
+    pts, rows = crowd(spark)
+    grid, times, spaces = GridSpec(4.0, 4.0, -8.0, -8.0, 4, 4), [0.0, 1.0, 4.0], [0.0, 2.0, 5.0]
+    pairs = {(i, j): (int(dt >= 1), int(d2 >= 4)) for j in range(len(rows)) for i, d2, dt in column(rows, j, 4 - 1e-9, 5 - 1e-9)}
+    steps = {(i, j): math.exp(-dt / 0.1 - d2 / 5000) for j in range(len(rows)) for i, d2, dt in column(rows, j, 4 - 1e-9, 5 - 1e-9)}
+    cell = {k: (int((x + 8) // 4), int((y + 8) // 4)) for k, _, x, y in rows if -8 <= x < 8 and -8 <= y < 8}
+    own, off = dict.fromkeys(range(len(rows)), 1.0), steps
+    for _ in range(3):
+        total = dict(own)
+        for (_, j), v in off.items():
+            total[j] = total.get(j, 0.0) + v
+        mu, g = {}, {}
+        for k, c in cell.items():
+            mu[c] = mu.get(c, 0.0) + own[k] / total[k] / (16 * 30)
+        for (i, j), b in pairs.items():
+            volume = (times[b[0] + 1] - times[b[0]]) * math.pi * (spaces[b[1] + 1] ** 2 - spaces[b[1]] ** 2)
+            g[b] = g.get(b, 0.0) + off[i, j] / total[j] / volume / len(rows)
+        own, off = {k: mu[c] for k, c in cell.items()}, {ij: g[b] for ij, b in pairs.items()}
+        own |= dict.fromkeys(set(range(len(rows))) - set(cell), 0.0)
+    p, background, trigger = sepp.histogram_fit(pts, grid, times, spaces, 30.0, 3)
+    assert {(r.gx, r.gy): r.mu for r in background.collect()} == pytest.approx(mu)
+    assert {(r.tb, r.sb): r.g for r in trigger.collect()} == pytest.approx(g)
+    total = dict(own)
+    for (_, j), v in off.items():
+        total[j] += v
+    want = {(k, k): own[k] / total[k] for k in cell} | {(i, j): v / total[j] for (i, j), v in off.items()}
+    assert {(r.i, r.j): r.p for r in p.collect()} == pytest.approx(want)
