@@ -4,9 +4,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from geopulse.functions.grid import GridSpec
-from geopulse.operators import geometry, knox, sepp
+from geopulse.operators import geometry, knox, sepp, sepp_kernels
 from test_golden import make_points
 
 
@@ -77,3 +78,28 @@ def test_histogram_fit_against_brute_force(spark):
         total[j] += v
     want = {(k, k): own[k] / total[k] for k in cell} | {(i, j): v / total[j] for (i, j), v in off.items()}
     assert {(r.i, r.j): r.p for r in p.collect()} == pytest.approx(want)
+
+
+def rates_model(time_reach):
+    return sepp_kernels.Model(lambda t, x, y: F.lit(0.5) + t / 100, lambda dt, dx, dy: F.exp(-dt / 2 - (dx * dx + dy * dy) / 50), 4.0, time_reach)
+
+
+@pytest.mark.parametrize("time_reach", [None, 3.0])
+def test_rates_of_events_at_one_place_and_time(spark, time_reach):
+    rows = [(float(t), float(x), float(y)) for t, x, y in np.random.default_rng(6).integers(0, 8, (80, 3))]
+    events = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "event_id long, t double, x double, y double")
+    model = rates_model(time_reach)
+
+    def rate(t, x, y):
+        near = [(t - s, (x - a) ** 2 + (y - b) ** 2) for s, a, b in rows]
+        return 0.5 + t / 100 + sum(math.exp(-dt / 2 - d2 / 50) for dt, d2 in near if 0 < dt <= (time_reach or 99) and d2 <= 16)
+
+    found = sepp_kernels.log_likelihood(model, events)
+    assert found.head().likelihood == pytest.approx(sum(math.log(rate(*r)) for r in rows))
+    # Pairs are summed where they meet: one join for them, one for their sums.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+    places = spark.createDataFrame([(k, float(k), 3.0) for k in range(6)], "place_id long, px double, py double")
+    times = [5.5, 6.5, 9.0]
+    risks = sepp_kernels.range_predict(model, events, places, times)
+    assert {r.place_id: r.risk for r in risks.collect()} == pytest.approx({k: sum(rate(t, k, 3.0) for t in times) / 3 for k in range(6)})
+    assert risks._jdf.queryExecution().optimizedPlan().toString().count("EXP(") == 1
