@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from geopulse.functions.grid import GridSpec
-from geopulse.operators import geometry, knox, sepp, sepp_kernels
+from geopulse.functions.tables import written
+from geopulse.operators import geometry, knox, mixtures, sepp, sepp_kernels
 from test_golden import make_points
 
 
@@ -103,3 +104,16 @@ def test_rates_of_events_at_one_place_and_time(spark, time_reach):
     risks = sepp_kernels.range_predict(model, events, places, times)
     assert {r.place_id: r.risk for r in risks.collect()} == pytest.approx({k: sum(rate(t, k, 3.0) for t in times) / 3 for k in range(6)})
     assert risks._jdf.queryExecution().optimizedPlan().toString().count("EXP(") == 1
+
+
+def test_fits_broadcast_no_written_tables(spark):
+    pts, rows = crowd(spark)
+    events = written(sepp_kernels.time_space(pts)[0])
+    found = sepp_kernels.steps_within(pts, 4.0, 5.0)
+    want = {(i, j): (dt, rows[j][2] - rows[i][2], rows[j][3] - rows[i][3]) for j in range(len(rows)) for i, _, dt in column(rows, j, 4.0, 5.0)}
+    assert {(r.i, r.j): (r.dt, r.dx, r.dy) for r in found.collect()} == want
+    steps = written(found)
+    guess = written(sepp_kernels.first_guess(events, steps, 1.0, 60.0))
+    mix = written(events.selectExpr("t as m0", "1D as v0", "0.1D as w"))
+    for df in (guess, sepp_kernels.normalised(events, events.selectExpr("event_id", "1D as p"), guess), *sepp_kernels.drawn(events, steps, guess, 2), mixtures.density_at(mix, events, ["t"], ["event_id"])):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
