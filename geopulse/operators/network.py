@@ -147,29 +147,30 @@ def network_log_likelihood(risks: DataFrame, events: DataFrame) -> DataFrame:
 def network_hotspot_shortest(events: DataFrame, edges: DataFrame, bandwidth: float) -> DataFrame:
     """(edge_id, risk): as ``network_hotspot``, but along the shortest path to each vertex only, so the work doesn't grow with the number of paths.
 
-    Rounds of relaxation keep one row for each event and vertex: the least distance, and the split on the way there.
+    Rounds of relaxation keep one row for each event and vertex: the least distance, and the split on the way there. The n events at one place of an edge
+    count as one. Joins of such rows are sorted, as written tables are small as files, but not as rows to broadcast.
     """
-    start = events.join(edges, "edge_id")
+    start = events.groupBy("edge_id", "t").agg(F.min("event_id").alias("event_id"), F.count("*").alias("n")).join(edges, "edge_id")
     there, back = F.col("length") * (1 - F.col("t")), F.col("length") * F.col("t")
-    own = start.select("edge_id", ((triangle_integral(F.lit(0.0), there, bandwidth) + triangle_integral(F.lit(0.0), back, bandwidth)) / F.col("length")).alias("risk"))
+    own = start.select("edge_id", (F.col("n") * (triangle_integral(F.lit(0.0), there, bandwidth) + triangle_integral(F.lit(0.0), back, bandwidth)) / F.col("length")).alias("risk"))
     ways = both_ways(edges).join(degrees(edges).select(F.col("key").alias("a"), F.greatest(F.col("degree") - 1, F.lit(1)).cast("double").alias("split")), "a")
-    ends = start.select("event_id", F.col("edge_id").alias("via"), F.col("k2").alias("at"), there.alias("d")).unionAll(start.select("event_id", F.col("edge_id").alias("via"), F.col("k1").alias("at"), back.alias("d")))
-    row = F.struct("d", "via", "w")
+    ends = start.select("event_id", F.col("edge_id").alias("via"), F.col("k2").alias("at"), there.alias("d"), "n").unionAll(start.select("event_id", F.col("edge_id").alias("via"), F.col("k1").alias("at"), back.alias("d"), "n"))
+    row = F.struct("d", "via", "w", "n")
     known = ends.where(F.col("d") < bandwidth).withColumn("w", F.lit(1.0)).groupBy("event_id", "at").agg(F.min(row).alias("m")).select("event_id", "at", "m.*")
     known = frontier = written(known)
     while True:
         new = frontier.join(ways, (frontier.at == ways.a) & (frontier.via != ways.edge_id))
-        new = new.select("event_id", F.col("b").alias("at"), (F.col("d") + F.col("length")).alias("d"), F.col("edge_id").alias("via"), (F.col("w") / F.col("split")).alias("w")).where(F.col("d") < bandwidth)
+        new = new.select("event_id", F.col("b").alias("at"), (F.col("d") + F.col("length")).alias("d"), F.col("edge_id").alias("via"), (F.col("w") / F.col("split")).alias("w"), "n").where(F.col("d") < bandwidth)
         best = new.groupBy("event_id", "at").agg(F.min(row).alias("m")).select("event_id", "at", "m.*")
         old = known.select("event_id", "at", F.col("d").alias("old"))
-        frontier = written(best.join(old, ["event_id", "at"], "left").where("old is null or d < old").drop("old"))
+        frontier = written(best.join(old.hint("merge"), ["event_id", "at"], "left").where("old is null or d < old").drop("old"))
         if not frontier.limit(1).count():
             break
         known = written(known.unionByName(frontier).groupBy("event_id", "at").agg(F.min(row).alias("m")).select("event_id", "at", "m.*"))
     # From each vertex into the edges that its shortest path didn't come by.
     onward = known.join(ways, (known.at == ways.a) & (known.via != ways.edge_id))
     v = triangle_integral(F.col("d"), F.col("d") + F.col("length"), bandwidth)
-    parts = own.unionAll(onward.select("edge_id", (F.col("w") / F.col("split") * v / F.col("length")).alias("risk")))
+    parts = own.unionAll(onward.select("edge_id", (F.col("n") * F.col("w") / F.col("split") * v / F.col("length")).alias("risk")))
     return edges.select("edge_id").join(parts.groupBy("edge_id").agg(F.sum("risk").alias("risk")), "edge_id", "left").fillna(0.0, ["risk"])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from geopulse.functions.grid import GridSpec
 from geopulse.functions.tables import written
-from geopulse.operators import geometry, knox, mixtures, sepp, sepp_kernels
+from geopulse.operators import geometry, knox, mixtures, network, sepp, sepp_kernels
 from test_golden import make_points
 
 
@@ -117,3 +117,21 @@ def test_fits_broadcast_no_written_tables(spark):
     mix = written(events.selectExpr("t as m0", "1D as v0", "0.1D as w"))
     for df in (guess, sepp_kernels.normalised(events, events.selectExpr("event_id", "1D as p"), guess), *sepp_kernels.drawn(events, steps, guess, 2), mixtures.density_at(mix, events, ["t"], ["event_id"])):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_events_at_one_place_of_a_street_weigh_together(spark, monkeypatch):
+    edges = spark.createDataFrame([(k, k, k + 1, 10.0) for k in range(6)], "edge_id long, k1 long, k2 long, length double")
+    sizes = []
+
+    def recorded(df):
+        out = written(df)
+        sizes[-1].append(out.count())
+        return out
+
+    monkeypatch.setattr(network, "written", recorded)
+    risks = []
+    for copies in (1, 4):
+        sizes.append([])
+        events = spark.createDataFrame([(k, k % 2 * 3, 0.25) for k in range(2 * copies)], "event_id long, edge_id long, t double")
+        risks.append({r.edge_id: r.risk for r in network.network_hotspot_shortest(events, edges, 25.0).collect()})
+    assert sizes[0] == sizes[1] and risks[1] == {k: 4 * v for k, v in risks[0].items()}
