@@ -4,9 +4,11 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_golden import make_points
 
 from geopulse.functions.grid import GridSpec
+from geopulse.functions.tables import written
 from geopulse.operators import correlated, geometry, graph, regions, scan, scan_sets
 
 RING = "region_id long, ring_id long, seq int, x double, y double"
@@ -186,6 +188,25 @@ def test_discs_of_equal_members_count_once(spark, ties):
     assert scan.clusters(found, pts).count() > 1
 
 
+@pytest.mark.parametrize("kind,border", [("set_points", 1), ("scattered", 16)])
+def test_leading_sets_give_the_clusters_of_all_sets(spark, monkeypatch, kind, border):
+    monkeypatch.setattr(scan_sets, "BORDER", border)
+    rng = np.random.default_rng(3)
+    scattered = [(f"2017-01-{d:02d}", *map(float, p)) for d, p in zip(rng.integers(1, 29, 150).tolist(), rng.normal(0, 4, (150, 2)), strict=True)]
+    pts = set_points(spark)[0] if kind == "set_points" else make_points(spark, scattered)
+    pts = written(pts.unionAll(pts.withColumn("event_id", F.col("event_id") + 1000)))  # each place twice
+    found = scan_sets.set_candidates(pts, 3.0, 20.0)
+    monkeypatch.delattr(scan_sets, "around")  # the table of pairs
+    some = written(scan_sets.leading_sets(pts, 3.0, 20.0))
+    want = found.toPandas().sort_values(["centre", "d2"])
+    want = want[want["statistic"] > want.groupby("centre")["statistic"].transform(lambda s: s.cummax().shift(fill_value=0.0)) + 1e-9]
+    rows = lambda df: sorted((r.centre, round(r.d2, 9), r.age, r.space_count, r.time_count, r.actual, round(r.statistic, 9)) for r in df.itertuples())
+    assert rows(some.toPandas()) == rows(want) and len(want) > 20
+    all_sets, leading = ([(r.rank, r.centre, round(r.radius, 9), r.age) for r in scan.clusters(f, pts).orderBy("rank").collect()] for f in (found, some))
+    assert leading == all_sets and len(leading) > 1
+    assert scan_sets.leading_sets(pts.where("false"), 3.0, 20.0).isEmpty() and scan_sets.leading_sets(pts.limit(1), 3.0, 20.0).isEmpty()
+
+
 def test_discs_of_no_events(spark):
     pts, _, _ = set_points(spark)
     for ties in (False, True):
