@@ -5,10 +5,12 @@ import math
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_catalog import SF
 from test_golden import make_points, surface_of
 
 from geopulse.functions.grid import GridSpec
+from geopulse.functions.tables import written
 from geopulse.operators import evaluate, graph, hotspot, knox, network, scan, sepp, surface
 from geopulse.plans import catalog
 from geopulse.sources import tables
@@ -101,6 +103,16 @@ def test_leading_discs_give_what_all_discs_give(spark, monkeypatch, coarse, cent
     assert [(r.rank, r.centre, r.radius, r.age) for r in leading] == [(r.rank, r.centre, r.radius, r.age) for r in all_discs]
 
 
+def test_events_of_one_place_have_one_centre(spark):
+    rng = np.random.default_rng(2)
+    pts = make_points(spark, [(f"2017-01-{d:02d}", float(x), float(y)) for d, x, y in rng.integers([1, 0, 0], [29, 9, 9], (60, 3))])
+    pts = written(pts.unionAll(pts.withColumn("event_id", F.col("event_id") + 1000)))
+    found, once = scan.leading_candidates(pts, 3.0, 9.0), scan.leading_candidates(pts, 3.0, 9.0, each=False).toPandas()
+    assert 2 * len(once) <= found.count() and once["centre"].max() < 1000
+    chosen = [[(r.centre, r.radius, r.age) for r in scan.clusters(f, pts).orderBy("rank").collect()] for f in (found, spark.createDataFrame(once))]
+    assert chosen[0] == chosen[1]
+
+
 @pytest.mark.parametrize("settled", [0, 40, 1 << 16])
 def test_clusters_take_all_discs(spark, monkeypatch, settled):
     """Against the greedy choice over all candidates."""
