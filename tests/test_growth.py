@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from geopulse.functions.grid import GridSpec
 from geopulse.functions.tables import written
-from geopulse.operators import geometry, knox, mixtures, network, sepp, sepp_kernels
+from geopulse.operators import geometry, hotspot, knox, mixtures, network, sepp, sepp_kernels
 from test_golden import make_points
 
 
@@ -135,3 +135,16 @@ def test_events_at_one_place_of_a_street_weigh_together(spark, monkeypatch):
         events = spark.createDataFrame([(k, k % 2 * 3, 0.25) for k in range(2 * copies)], "event_id long, edge_id long, t double")
         risks.append({r.edge_id: r.risk for r in network.network_hotspot_shortest(events, edges, 25.0).collect()})
     assert sizes[0] == sizes[1] and risks[1] == {k: 4 * v for k, v in risks[0].items()}
+
+
+@pytest.mark.parametrize("dims,width,pairs", [(("x", "y"), 3, 1 << 20), (("x",), 1, 1 << 20), (("x", "y", "z"), 0, 7), (("x", "y", "z"), 2, 1 << 20)])
+def test_neighbours_are_found_without_a_row_for_each_pair(spark, monkeypatch, dims, width, pairs):
+    monkeypatch.setattr(hotspot, "WIDTH", width)
+    monkeypatch.setattr(hotspot, "PAIRS", pairs)
+    rng = np.random.default_rng(6)
+    at = np.concatenate([rng.normal(0, 1, (150, 3)), rng.integers(0, 3, (40, 3)) / 10.0, [[50.0, 0.0, 0.0]]])
+    rows = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(at)], "event_id long, x double, y double, z double")
+    found = hotspot.knn_distance(rows, 6, dims)
+    d = np.sqrt(((at[:, None, : len(dims)] - at[None, :, : len(dims)]) ** 2).sum(axis=2))
+    assert {r.event_id: r.distance for r in found.collect()} == pytest.approx(dict(enumerate(np.sort(d, axis=1)[:, 6])))
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
