@@ -21,6 +21,7 @@ scored each; without training rows N and V are 0; an empty table gives no rows.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geopulse.llm.text import arrow_schema, bounded_batches, checkpointed, drop_table, map_rows
+from geopulse.llm.text import arrow_schema, bounded_batches, checkpointed, drop_table, give_back, map_rows
 
 STATES = 12
 TOP_WORDS = 1024
@@ -51,7 +52,7 @@ def fold(doc_id: Column) -> Column:
 class Classes(dict):
     """Word -> class: the most frequent words, then endings. Words met are kept, up to a limit."""
 
-    LIMIT = 400_000
+    LIMIT = 100_000
 
     def __init__(self, top: list[bytes]):
         super().__init__()
@@ -61,10 +62,12 @@ class Classes(dict):
     def __reduce__(self):
         return Classes, (list(self.top),)
 
-    def __missing__(self, word: bytes) -> int:
+    def find(self, word: bytes) -> int:
         k = self.top.get(word)
-        if k is None:
-            k = len(self.top) + xxhash.xxh3_64_intdigest(word[-3:]) % ENDINGS
+        return len(self.top) + xxhash.xxh3_64_intdigest(word[-3:]) % ENDINGS if k is None else k
+
+    def __missing__(self, word: bytes) -> int:
+        k = self.find(word)
         if len(self) >= self.LIMIT:
             self.clear()
         self[word] = k
@@ -231,7 +234,7 @@ def class_totals(totals: DataFrame, classes: Classes) -> tuple[np.ndarray, np.nd
         classes = shared.value
         n, once = np.zeros(classes.n, np.int64), np.zeros(classes.n, np.int64)
         for word, c in rows:
-            k = classes[word]
+            k = classes.find(word)  # each word comes once
             n[k] += c
             once[k] += c == 1
         yield from ((k, int(n[k]), int(once[k])) for k in np.flatnonzero(n))
@@ -327,22 +330,28 @@ def language_model_scores(docs: DataFrame, states: int = STATES, top_words: int
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         classes, model, totals, unseen, common = shared.value
-        words = [*common, *right.column("word").to_pylist()]
-        place = {w: i for i, w in enumerate(words)}
+        # Words of a block come about once, so their classes are not kept; there are fewer than 2^16. Batches are read one at a time.
+        words = chain(common, chain.from_iterable(chunk.to_pylist() for chunk in right.column("word").chunks))
+        place, kind = {}, np.empty(len(common) + right.num_rows, np.uint16)
+        for i, w in enumerate(words):
+            place[w], kind[i] = i, classes.find(w)
         c = np.concatenate([list(common.values()), right.column("c").to_numpy()]).astype(np.float64)
-        kind = classes.of(words)
         base = np.log10((c + 1) / (n + v + 1))
         with np.errstate(divide="ignore"):
             within = np.where(c > 0, np.log10((1 - unseen[kind]) * c / np.maximum(totals[kind], 1)), np.log10(unseen[kind]))
         sequences, stats = [], []
-        for text in left.column("text").to_pylist():
-            words = tokens(text)
-            at = np.fromiter(map(place.__getitem__, words), np.intp, len(words))
-            sequences.append(kind[at])
-            stats.append((len(at), int((c[at] > 0).sum()), base[at].sum(), within[at].sum()))
+        for chunk in left.column("text").chunks:
+            for text in chunk.to_pylist():
+                words = tokens(text)
+                at = np.fromiter(map(place.__getitem__, words), np.int32, len(words))
+                sequences.append(kind[at])
+                stats.append((len(at), int((c[at] > 0).sum()), base[at].sum(), within[at].sum()))
+        del place
         logs = forward(model, sequences) if sequences else np.empty(0)
         columns = list(zip(*stats, strict=True)) or [[], [], [], []]
         whole = logs + np.array(columns[3], np.float64)
+        del sequences
+        give_back()
         return pa.Table.from_arrays([left.column("doc_id").combine_chunks(), *(pa.array(x, t) for x, t in zip([*columns[:3], whole], types[1:], strict=True))], names)
 
     scored = (
