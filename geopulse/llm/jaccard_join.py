@@ -180,6 +180,9 @@ class Joiner:
         self.n = self.rows.count()
         # Rows hold arrays: a tenth as many go into a file.
         self.classes = checkpointed(self.rows.where("sid is not null and doc_id is not null").groupBy("sid").agg(least).select("sid", "r.*"), 10 * self.n)
+        # From here on only the classes need the arrays.
+        wide, self.rows = self.rows, checkpointed(self.rows.select("key", "doc_id", "n", "sid"), self.n)
+        drop_table(wide)
         block = F.floor(F.log("n") / np.log(100 / percent) + 1e-9).cast("int")
         release(docs.sparkSession)
         entries = self.classes.select("sid", "n", "rare", F.posexplode("prefix").alias("pos", "token"))
@@ -189,6 +192,8 @@ class Joiner:
         live = listed.where("lo <> hi").select("sid", "n", "pos", "token").unionAll(entries.where("pos >= rare").select("sid", "n", "pos", "token"))
         self.live = checkpointed(live.withColumns({"block": block, "comp": F.col("sid")}), 40 * self.n)
         self.entries = self.live.count()
+        wide, self.classes = self.classes, checkpointed(self.classes.drop("rare", "prefix"), 10 * self.n)
+        drop_table(wide)
         release(docs.sparkSession)
         self.links: DataFrame | None = None  # a, b: links between classes, or such that join the same components
         self.labels: DataFrame | None = None  # v, label; classes without a row are on their own
@@ -249,10 +254,14 @@ class Joiner:
         """Each entry against the centres of its own block and those beside it that are of other components."""
         entries = self.live.select("sid", "n", "pos", "token", "comp", F.explode(F.expr("array(block - 1, block, block + 1)")).alias("at"))
         met = entries.join(lists, F.expr("token = t and at = b")).where(f"comp <> c_comp and {self.sizes_allow('n', 'c_n', 'pos', 'c_pos')}")
+        before, self.spent = self.spent, []
         scored, found = self.verify(met.select(F.least("sid", "centre").alias("a"), F.greatest("sid", "centre").alias("b")).distinct())
         known = found.select("a", "b", "overlap", F.col("overlap").alias("most")).unionAll(scored.where("not near").select("a", "b", F.lit(None).cast("long"), "most"))
         self.answers = known.select(F.col("a").alias("centre"), F.col("b").alias("sid"), "overlap", "most").unionAll(known.select("b", "a", "overlap", "most"))
         self.join_links()
+        for x in before:  # the answers of the round before, whose links are in the labels
+            drop_table(x)
+        release(self.docs.sparkSession)
 
     def join_links(self) -> None:
         """Links found so far become components, which then stand for them."""

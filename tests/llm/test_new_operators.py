@@ -286,3 +286,19 @@ def test_importance_against_plain_version(spark):
     assert sorted(r["rank"] for r in half.collect()) == list(range(1, len(able) // 2 + 1))
     kept = importance.resample(docs, target, percent=50)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in able[: len(able) // 2]}
+
+
+def test_words_that_come_once_are_not_kept():
+    from geopulse.llm.hmm import Classes
+
+    classes = Classes([b"", b"the"])
+    found = [classes.find(w) for w in (b"", b"the", b"other")]
+    assert not classes and found == classes.of([b"", b"the", b"other"]).tolist()
+
+
+def test_join_keeps_arrays_only_where_they_are_needed(spark):
+    from geopulse.llm.jaccard_join import Joiner
+
+    joiner = Joiner(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, None)], "doc_id long, text string"))
+    assert joiner.rows.columns == ["key", "doc_id", "n", "sid"] and joiner.rows.count() == 3
+    assert joiner.classes.columns == ["sid", "doc_id", "n", "bits", "sketch"]
