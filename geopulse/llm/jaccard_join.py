@@ -234,8 +234,8 @@ class Joiner:
         close = scored.where("near")
         count = close.count()
         ids = checkpointed(close.select("d").unionAll(close.select("e")).distinct(), 2 * count)
-        # Whole sets are made again for the documents in question, and, where the bitmap is full, for some others.
-        sets = checkpointed(set_table(maybe_in(self.docs, "doc_id", ids), self.size).where("tokens[0] is not null"))
+        # Whole sets are made again for the documents in question, and for some others that the bitmap lets through, empty ones among them.
+        sets = checkpointed(set_table(maybe_in(self.docs, "doc_id", ids), self.size).where("size(tokens) > 0"))
         one = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("x"))
         two = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("y"))
         overlap = F.size(F.array_intersect("x", "y")).cast("long")

@@ -327,6 +327,14 @@ def test_jaccard_join_of_a_large_family(spark, monkeypatch):
     assert got == dict(enumerate(brute_components(texts, 4, 85)))
 
 
+def test_jaccard_join_among_many_texts_without_words(spark):
+    """The bitmap of the documents to compare lets some of the others through, and so some whose sets are empty."""
+    texts = [t for k in range(150) for t in (passage(900 + k, 40), passage(900 + k, 40) + " more")] + [None, "", " "] * 500
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.op3_jaccard_join(table(spark, texts)).collect()}
+    words = brute_components(texts[:300], 4, 85)
+    assert got == dict(enumerate([*words, *((0, k) for k in range(300, len(texts)))]))
+
+
 def test_near_duplicates_of_shared_and_missing_ids(spark):
     a, b, near = passage(80, 60), passage(81, 60), passage(80, 60) + " more"
     rows = [(3, a), (7, near), (7, b), (9, b), (9, b), (None, a), (None, a), (12, None), (12, None), (13, "")]
