@@ -5,11 +5,13 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_golden import make_points
 from test_regions import brute_inside, ring_table, star
 
 from geopulse.functions.grid import GridSpec
-from geopulse.operators import backtest, evaluate, graph, regions, study
+from geopulse.operators import backtest, evaluate, graph, regions, sepp, study
+from geopulse.plans import catalog
 
 
 def brute_meets(box, rings):
@@ -89,3 +91,13 @@ def test_study_scores_each_prediction(spark):
         assert got["naive", start, "hit_rate", 10.0] == pytest.approx(rates[10]) and got["naive", start, "hit_rate", 50.0] == pytest.approx(rates[50])
         top = {(r.gx, r.gy) for r in surface.where("valid").collect()}
         assert top == cells
+
+
+def test_study_scores_fits_the_whole_number_of_rounds(spark, monkeypatch):
+    asked, rounds = {}, []
+    monkeypatch.setattr(study, "study", lambda points, grid, predictions, **more: asked.update(predictions) or points.select(F.lit(1.0).alias("value")))
+    monkeypatch.setattr(sepp, "em_step", lambda events, omega, theta, mu, *more, **named: rounds.append(omega) or (omega, theta, mu))
+    catalog.study_scores(spark, "/root/testdata/sf0.001")
+    predictor, _ = asked["sepp"]
+    predictor(catalog.pts(spark, "/root/testdata/sf0.001"), catalog.GRID, "2024-01-22 00:00:00")
+    assert len(rounds) == 20
