@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from geopulse.functions.grid import GridSpec
 from geopulse.functions.tables import written
-from geopulse.operators import geometry, hotspot, knox, mixtures, network, sepp, sepp_kernels
+from geopulse.operators import geometry, hotspot, knox, mixtures, network, scan, sepp, sepp_kernels
 from test_golden import make_points
 
 
@@ -148,3 +148,32 @@ def test_neighbours_are_found_without_a_row_for_each_pair(spark, monkeypatch, di
     d = np.sqrt(((at[:, None, : len(dims)] - at[None, :, : len(dims)]) ** 2).sum(axis=2))
     assert {r.event_id: r.distance for r in found.collect()} == pytest.approx(dict(enumerate(np.sort(d, axis=1)[:, 6])))
     assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("small", [0, 1 << 18])
+def test_leading_discs_are_the_rows_that_exceed_all_before(monkeypatch, small):
+    """In one piece and in blocks, with events of one age, events of one place and weights."""
+    monkeypatch.setattr(scan, "SMALL", small)
+    for seed, k, weighted in ((0, 300, False), (1, 150, True), (2, 3, False), (3, 90, True)):
+        rng = np.random.default_rng(seed)
+        d2, age = rng.integers(0, 400, k) / 4.0, rng.integers(0, 200, k) / 8.0
+        weight = rng.integers(1, 4, k) if weighted else np.ones(k, int)
+        inside = np.sort(np.concatenate([np.repeat(d2, weight), rng.integers(0, 400, 5 * k) / 4.0]))
+        n = 20 * k
+        ages, at = np.unique(age, return_inverse=True)
+        time_count = 3 * np.cumsum(np.bincount(at, weight)).astype(int)
+        discs, best, want = np.unique(d2), 0.0, []
+        for d in discs:
+            held = np.array([int(weight[(d2 <= d) & (age <= a)].sum()) for a in ages])
+            space = int((inside <= d).sum())
+            if space > 0.4 * n:
+                break
+            value = scan.statistic(held.astype(float), space * time_count / n, n)
+            c = int(value.argmax())
+            if value[c] > best:
+                best = float(value[c])
+                want.append((float(d), float(ages[c]), space, int(time_count[c]), int(held[c]), best))
+        got = scan.leading(d2, age, time_count[at], inside, n, 0.4, weight)
+        assert [g[:5] for g in got] == [w[:5] for w in want] and [g[5] for g in got] == pytest.approx([w[5] for w in want], rel=1e-12)
+        rows = scan.block_leads(np.array([[float(weight[(d2 <= d) & (age <= a)].sum()) for a in ages] for d in discs], np.float32), np.searchsorted(inside, discs, "right"), time_count, n, 0.0)
+        assert [float(discs[r]) for r, *_ in rows][: len(want)] == [w[0] for w in want]
