@@ -177,3 +177,15 @@ def test_leading_discs_are_the_rows_that_exceed_all_before(monkeypatch, small):
         assert [g[:5] for g in got] == [w[:5] for w in want] and [g[5] for g in got] == pytest.approx([w[5] for w in want], rel=1e-12)
         rows = scan.block_leads(np.array([[float(weight[(d2 <= d) & (age <= a)].sum()) for a in ages] for d in discs], np.float32), np.searchsorted(inside, discs, "right"), time_count, n, 0.0)
         assert [float(discs[r]) for r, *_ in rows][: len(want)] == [w[0] for w in want]
+
+
+def test_tiles_count_the_pairs_of_blocks(spark):
+    """Dense places on a lattice, whose distances meet the bins' edges, some of them at one time; many of the cells lie within a distance of one another."""
+    rng = np.random.default_rng(6)
+    rows = [(f"2024-01-{1 + k % 9:02d} {k % 24:02d}:00:00", float(a), float(b)) for k, (a, b) in enumerate(zip(rng.integers(-40, 60, 3000) / 2, rng.integers(-30, 50, 3000) / 2, strict=True))]
+    pts = make_points(spark, rows + rows[:200])
+    space, time = [(0.0, 5.0), (5.0, 10.0), (0.0, 10.0), (2.5, 7.5)], [(0, 0), (0, 86_400_000_000), (86_400_000_000, 2 * 86_400_000_000)]
+    timed = pts.select("event_id", "x", "y", F.array(knox.micros("ts")).alias("times"))
+    want = {(r.space_bin, r.time_bin): r.n for r in knox.bin_counts(timed, space, time).collect()}
+    got = {(r.space_bin, r.time_bin): r.statistic for r in knox.knox_statistic(pts, space, time).collect()}
+    assert got == want and len(want) == 12
